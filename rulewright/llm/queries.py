@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.llm import bpe, packing, token_files
+from rulewright.llm import bpe, packing, quality, token_files
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +27,56 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, manifest, with_ids=False)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    judged, name = quality.judge_documents(docs, keep=["doc_id"])
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select("doc_id", *(F.col(name[c]).alias(c) for c in columns))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_token_files, op8_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_token_files, op4_quality_rules, op8_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Counts, rule failures, the hosts' fitted prior and the verdicts, from the documents of the view ``{docs}``.
+QUALITY_SQL = r"""
+texts AS (SELECT doc_id, source, coalesce(text, '') AS t FROM {docs}),
+split AS (
+  SELECT doc_id, source, t,
+         [w FOR w IN string_split_regex(t, '[\x20\x09-\x0D]+') IF w <> ''] AS ws,
+         [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls
+  FROM texts),
+word AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM split),
+win AS (
+  SELECT doc_id, i, w, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2
+  FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, i FROM win WHERE w2 IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, w, w1, w2) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) s(k) GROUP BY doc_id),
+counts AS (
+  SELECT s.doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines,
+         coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM split s LEFT JOIN covered c ON s.doc_id = c.doc_id),
+judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR n_symbols > 0.5 * n_words
+           OR n_dup_lines > 0.5 * n_lines AS rules_failed
+  FROM counts),
+hosts AS (SELECT source, count(*) AS n, sum(rules_failed::INT) AS f FROM judged WHERE source IS NOT NULL GROUP BY source),
+moments AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v, avg(1 / n) AS inv FROM hosts),
+prior AS (
+  SELECT m, CASE WHEN v IS NULL OR v = 0 THEN 50.0 WHEN v - m * (1 - m) * inv <= 0 THEN 10000.0
+                 ELSE least(greatest(m * (1 - m) / (v - m * (1 - m) * inv) - 1, 1.0), 10000.0) END AS k
+  FROM moments),
+bad AS (SELECT source FROM hosts, prior WHERE (f + m * k) / (n + k) >= 0.8),
+verdicts AS (
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+         NOT rules_failed AND NOT coalesce(source IN (SELECT source FROM bad), false) AS kept
+  FROM judged)
+"""
+ORACLE_SQL["op4_quality_rules"] = f"WITH {QUALITY_SQL.format(docs='documents')} SELECT * FROM verdicts"
