@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.llm import bpe, packing, quality, token_files
+from rulewright.llm import bpe, minhash, packing, quality, token_files
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,12 +34,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(name[c]).alias(c) for c in columns))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = minhash.near_duplicates(docs, k=3, percent=85)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_token_files, op4_quality_rules, op8_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_token_files, op4_quality_rules, op5_minhash_near_dedup, op8_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
 
 #: Counts, rule failures, the hosts' fitted prior and the verdicts, from the documents of the view ``{docs}``.
