@@ -69,7 +69,7 @@ class Vocabulary:
         self.lens = np.fromiter(map(len, tokens), np.int64, size)
         self.starts = np.cumsum(self.lens) - self.lens
         self.blob = np.frombuffer(b"".join(tokens), np.uint8)
-        self.encoder = TextEncoder(lambda pieces: [merge_piece(p.encode(), self.ranks) for p in pieces], "byte")
+        self.encoder = TextEncoder(lambda pieces: [merge_piece(p.encode(), self.ranks) for p in pieces], "byte", limit=300_000)
 
 
 def vocabulary(content: bytes) -> Vocabulary:
@@ -80,33 +80,43 @@ def _lists(flat: np.ndarray, lens: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lens)).astype(np.int32)), pa.array(flat, pa.int32()))
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, offsets array<int>): token ids and the byte offset of each token in the UTF-8 text.
-
-    The rank file is read by the driver and broadcast (about 1 MB, fixed by the vocabulary).
-    """
+def _run(docs: DataFrame, ranks_path: str, id_col: str, text_col: str, kinds: dict):
+    """Encodes batches and returns the id and the columns ``kinds``; the rank file (about 1 MB) is broadcast."""
     spark = docs.sparkSession
     with open(ranks_path, "rb") as f:
         content = spark.sparkContext.broadcast(f.read())
-    id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, id_type), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("offsets", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # gives freed memory back
         v = vocabulary(content.value)
         for batch in batches:
             for part in _slices(batch):
                 ids, lens = v.encoder([t or "" for t in part.column(1).to_pylist()])
                 sizes = v.lens[ids]
                 ends = np.cumsum(sizes)
-                firsts = np.cumsum(lens) - lens
                 base = np.append(ends - sizes, 0)[np.cumsum(lens) - lens]
                 offsets = ends - sizes - np.repeat(base, lens)
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids, lens), _lists(offsets.astype(np.int32), lens)], names=[id_col, "ids", "offsets"])
+                cols = {"ids": lambda: _lists(ids, lens), "offsets": lambda: _lists(offsets.astype(np.int32), lens), "decoded": lambda: pa.array(decode_all(ids, offsets, lens, v), pa.binary())}
+                yield pa.RecordBatch.from_arrays([part.column(0), *(cols[c]() for c in kinds)], names=[id_col, *kinds])
 
+    schema = T.StructType([docs.schema[id_col], *(T.StructField(c, kind) for c, kind in kinds.items())])
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 8_000_000):
+_INTS = T.ArrayType(T.IntegerType())
+
+
+def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids array<int>, offsets array<int>): token ids and the byte offset of each token in the UTF-8 text."""
+    return _run(docs, ranks_path, id_col, text_col, {"ids": _INTS, "offsets": _INTS})
+
+
+def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids array<int>, decoded binary): encoded, then decoded from ids and offsets in the same task."""
+    return _run(docs, ranks_path, id_col, text_col, {"ids": _INTS, "decoded": T.BinaryType()})
+
+
+def _slices(batch: pa.RecordBatch, most: int = 2_000_000):
     """Slices of a batch of (.., text) with at most so many bytes of text each, or one longer row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
     begin = size = 0
@@ -135,19 +145,20 @@ def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id"
                     out.append(None)
                     continue
                 out.append(decode_ids(ids.values.to_numpy(), offsets.values.to_numpy(), v))
-                if out[-1] is None:
-                    raise ValueError("offsets and ids disagree")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=[id_col, "ids", "decoded"])
 
     return encoded.select(id_col, "ids", "offsets").mapInArrow(run, schema)
 
 
-def decode_ids(ids: np.ndarray, offsets: np.ndarray, v: Vocabulary, begin: int = 0, stop: int | None = None) -> bytes | None:
-    """Bytes of the tokens [begin, stop); None if the offsets aren't those of the ids."""
+def decode_ids(ids: np.ndarray, offsets: np.ndarray, v: Vocabulary, begin: int = 0, stop: int | None = None) -> bytes:
+    """Bytes of the tokens [begin, stop) of a text; refuses offsets that aren't those of the ids."""
     ids, offsets = ids[begin:stop], offsets[begin:stop].astype(np.int64)
-    if not len(ids):
-        return b""
     lens = v.lens[ids]
-    if len(ids) > 1 and not np.array_equal(np.diff(offsets), lens[:-1]):
-        return None
+    if not np.array_equal(np.diff(offsets), lens[:-1]):
+        raise ValueError("offsets and ids disagree")
     return v.blob[spread(v.starts[ids], lens)].tobytes()
+
+
+def decode_all(ids: np.ndarray, offsets: np.ndarray, lens: np.ndarray, v: Vocabulary) -> list[bytes]:
+    ends = np.cumsum(lens).tolist()
+    return [decode_ids(ids[a:b], offsets[a:b], v) for a, b in zip([0, *ends], ends)]

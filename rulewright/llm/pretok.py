@@ -167,32 +167,49 @@ def chunks(texts: list[str], most: int = 1_000_000):
 
 
 class PieceCache:
-    """Ids of pieces seen so far, in one flat array; emptied when it holds ``limit`` pieces."""
+    """Ids of pieces seen so far, in one flat array. When it would hold more than ``limit`` pieces, those that
+    were used least often make room."""
 
-    def __init__(self, encode, limit: int = 400_000):
+    def __init__(self, encode, limit: int):
         self.encode, self.limit = encode, limit
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat, self.starts, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.starts, self.lens, self.used = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _make_room(self) -> None:
+        """Keeps at most half of the limit: the pieces used most often."""
+        least = np.sort(self.used)[-max(1, min(len(self.used), self.limit // 2))]
+        keep = np.flatnonzero(self.used > max(least, 1))
+        number = np.full(len(self.used), -1)
+        number[keep] = np.arange(len(keep))
+        kept, new = {}, number.tolist()
+        for piece, old in self.index.items():
+            if new[old] >= 0:
+                kept[piece] = new[old]
+        self.index = kept
+        self.flat = self.flat[spread(self.starts[keep], self.lens[keep])]
+        self.lens, self.used = self.lens[keep], self.used[keep] // 2
+        self.starts = np.cumsum(self.lens, dtype=np.int64) - self.lens
 
     def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in order, number of ids of each piece)."""
         new = set(pieces).difference(self.index)
         if new:
             if self.index and len(self.index) + len(new) > self.limit:
-                self.clear()
-                new = set(pieces)
+                self._make_room()
+                new = set(pieces).difference(self.index)
             added = list(new)
             lists = self.encode(added)
-            lens = np.fromiter(map(len, lists), np.int64, len(lists))
+            lens = np.fromiter(map(len, lists), np.int32, len(lists))
             flat = np.fromiter((i for ids in lists for i in ids), np.int32, int(lens.sum()))
-            self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lens) - lens)
-            self.lens = np.append(self.lens, lens)
+            self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lens, dtype=np.int64) - lens)
+            self.lens, self.used = np.append(self.lens, lens), np.append(self.used, np.zeros(len(lens), np.int32))
             self.flat = np.append(self.flat, flat)
             self.index.update(zip(added, range(len(self.index), len(self.index) + len(added))))
         k = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        self.used += np.bincount(k, minlength=len(self.used)).astype(np.int32)
         lens = self.lens[k]
         return self.flat[spread(self.starts[k], lens)], lens
 
@@ -213,7 +230,7 @@ def text_sums(lens: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class TextEncoder:
     """Ids of whole texts: ``split``, then cached pieces."""
 
-    def __init__(self, encode, rules: str, limit: int = 400_000):
+    def __init__(self, encode, rules: str, limit: int = 500_000):
         self.rules, self.cache = rules, PieceCache(encode, limit)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

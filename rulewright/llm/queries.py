@@ -10,10 +10,8 @@ from rulewright.llm import bpe, minhash, packing, quality, token_files
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    decoded = bpe.decode_documents(encoded, path)
-    return decoded.select(
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
