@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.llm import bpe, minhash, packing, quality, token_files
+from rulewright.llm import bpe, embeddings, minhash, packing, quality, token_files
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_token_files, op4_quality_rules, op5_minhash_near_dedup, op8_best_fit_packing)}
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return embeddings.near_duplicate_vectors(vectors, cosine=0.9).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_token_files, op4_quality_rules, op5_minhash_near_dedup, op8_best_fit_packing, op10_embedding_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
 
 #: Counts, rule failures, the hosts' fitted prior and the verdicts, from the documents of the view ``{docs}``.
