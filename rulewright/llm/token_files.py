@@ -157,7 +157,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, vocabulary_size: int
             if not batch.num_rows:
                 continue
             if writer is None:
-                sink = store.open_output_stream(name)
+                sink = store.open_output_stream(name, compression=None)
                 writer = TokenWriter(sink, bits)
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
