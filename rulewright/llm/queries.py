@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.llm import bpe, chat, embeddings, minhash, packing, quality, token_files, warc
+from rulewright.llm import bpe, chat, embeddings, langid, minhash, packing, quality, token_files, toxicity, warc
 
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -59,6 +59,25 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.learn(docs.where(langid.fold("doc_id", 3) != 1))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (langid.fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    """Learned from the folds that the contract leaves for learning."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(langid.fold("doc_id", 5) != 0)
+    return toxicity.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    scored = toxicity_model(spark, sf_dir).score(docs)
+    return scored.select("doc_id", (langid.fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
@@ -75,7 +94,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicate_vectors(vectors, cosine=0.9).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_byte_bpe, op3_token_files, op4_quality_rules, op5_minhash_near_dedup, op8_best_fit_packing, op9_warc_bundles, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_byte_bpe, op3_token_files, op4_quality_rules, op5_minhash_near_dedup, op6_language_id, op7_toxicity, op8_best_fit_packing, op9_warc_bundles, op10_embedding_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
 
 #: Counts, rule failures, the hosts' fitted prior and the verdicts, from the documents of the view ``{docs}``.
