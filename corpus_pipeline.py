@@ -1,8 +1,54 @@
-"""Toxicity, quality rules, near-duplicates and packing over the documents."""
+"""Toxicity, quality rules, near-duplicates and packing over the documents, in four stages.
 
-STAGES: list = []
+Each stage takes what its predecessor kept. The first three return the columns of documents; the last
+returns the pieces of the documents and their places in sequences.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from rulewright.llm import langid, minhash, packing, quality, toxicity
+from rulewright.llm.shared import written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at least 0.5 go. The model learns from the labelled rows outside the held-out fold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(langid.fold("doc_id", 5) != 0)
+    return toxicity.keep_civil(docs, toxicity.fit(docs, labels))
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a rule, or whose host does, go."""
+    return quality.keep_good(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 80 in 100 shared five-word shingles the one with the smallest id stays."""
+    return minhash.keep_one(docs, k=5, percent=80)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document left, in sequences of at most 1024 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality_rules", drop_low_quality),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("best_fit_packing", pack),
+]
+
+#: The first stage is a fitted model, so no SQL gives these rows; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, name)
+    return docs
