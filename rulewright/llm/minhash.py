@@ -17,7 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     classes = full.groupBy("key1", "key2").agg(F.min("id").alias("node"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = written(full.select("id", "key1", "key2").join(written(classes, "classes"), ["key1", "key2"]).where("id <> node").select("id", "node").distinct(), "copies")
     nodes = full.select("id", "bands", "signature").join(copies.select("id"), "id", "left_anti")
-    nodes = written(nodes.dropDuplicates(["id"]) if False else nodes, "nodes")
+    nodes = written(nodes, "nodes")
     members = nodes.select("id", F.explode("bands").alias("band"))
     shared = written(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared-bands")
     members = written(members.join(shared, "band"), "members").withColumn("label", F.col("id"))
@@ -174,3 +174,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             members = written(members.drop("label").join(labels, "id", "left").select("id", "band", F.coalesce("component", "id").alias("label")), "members")
     parts = written(connected_components(edges), "components")
     return features.select("id", "n_shingles").join(parts, F.col("id") == F.col("node"), "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without all but the smallest id of each group; rows with one id are one document,
+    of which the row with the smallest text stays. Null ids and empty texts stay."""
+    found = near_duplicates(docs, k, percent, id_col, text_col)
+    name = unique_name("_gone", docs.columns)
+    gone = written(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct(), "gone")
+    kept = docs.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")
+    twice = docs.where(F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias(name)).agg(F.count("*").alias("n")).where("n > 1").select(name)
+    twice = written(twice, "repeated-ids")
+    if twice.isEmpty():
+        return kept
+    on = F.col(f"`{id_col}`") == F.col(name)
+    row = unique_name("_row", docs.columns)
+    first = kept.join(twice, on, "left_semi").withColumn(row, F.row_number().over(Window.partitionBy(f"`{id_col}`").orderBy(F.col(f"`{text_col}`").asc_nulls_first())))
+    return kept.join(twice, on, "left_anti").unionByName(first.where(F.col(row) == 1).drop(row))

@@ -188,3 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if held.select("label").distinct().count() < 2:
         held = trees.transform(fitted).select("label", vector_to_array("probability")[1].alias("chance"))
     return ToxicityModel(lexicon, trees, IsotonicRegression(featuresCol="chance", labelCol="label").fit(held))
+
+
+def keep_civil(docs: DataFrame, model: ToxicityModel, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below the limit, with the columns of ``docs``."""
+    score = unique_name("_score", docs.columns)
+    return model.score(docs, text_col, score).where(F.col(score) < limit).drop(score)
