@@ -1,12 +1,13 @@
 """Near-duplicates of texts by MinHash: many universal hash minima, banding, verification, components.
 
 Texts with equal shingle sets are one node. The minima of a node's set under multiply-shift hash functions are cut
-into bands; nodes that agree in a band share a bucket. Nodes of a bucket are compared with its pivot first; what
-is linked becomes one component, and only pairs of a bucket that still lie in different components are compared
-one by one. Links inside a component can't change the result, so a bucket of a million copies costs a million
-comparisons, and no link between different components is left out: within the banding (a pair at the threshold is
-missed with a probability of 1e-9 at the defaults) the components are exact. Comparisons go by signature first, with
-a margin of six standard deviations, and are confirmed on the full sets.
+into bands; nodes that agree in a band share a bucket. Nodes of a bucket are first compared with its pivot, the node that
+shares most buckets with others. What is linked becomes one component, and only nodes of a bucket that still lie in
+different components are then compared with each other, in blocks of bounded size inside the tasks: links inside a
+component can't change the result, so a bucket of a million copies costs a million comparisons, and no link between
+different components is left out. Within the banding (a pair at the threshold is missed with a probability of
+1e-9 at the defaults) the components are exact. Comparisons go by signature first, with a margin of six standard
+deviations, and are confirmed on the full sets.
 
 Null or empty text has an empty set and links with nothing; a null id stays alone; rows with one id are one node.
 """
@@ -26,7 +27,8 @@ from rulewright.llm.pretok import chunks
 from rulewright.llm.shared import unique_name, written
 from rulewright.llm.shingles import mix, shingle_sets
 
-ROWS, MISS, PIVOT_ROUNDS = 5, 1e-9, 2
+#: Rows of a band, chance to miss a pair at the threshold, largest set that features carry whole, rows of a block.
+ROWS, MISS, SMALL, BLOCK = 5, 1e-9, 256, 400
 
 
 def band_count(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -60,7 +62,7 @@ class MinHasher:
 
 
 def _features(docs: DataFrame, k: int, hasher: MinHasher) -> DataFrame:
-    schema = T.StructType([docs.schema["id"], *T.StructType.fromDDL("n_shingles long, key1 long, key2 long, bands array<long>, signature binary")])
+    schema = T.StructType([docs.schema["id"], *T.StructType.fromDDL("n_shingles long, key1 long, key2 long, bands array<long>, signature binary, elements binary")])
 
     def run(batches):
         for batch in batches:
@@ -74,8 +76,8 @@ def _features(docs: DataFrame, k: int, hasher: MinHasher) -> DataFrame:
                 ends = np.append(0, np.cumsum(full * hasher.bands)).astype(np.int32)
                 low = minima.astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, keys), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[full].ravel())), pa.array([x.tobytes() for x in low], pa.binary())],
-                    names=["id", "n_shingles", "key1", "key2", "bands", "signature"],
+                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, keys), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[full].ravel())), pa.array([x.tobytes() for x in low], pa.binary()), pa.array([x.tobytes() if 0 < len(x) <= SMALL else None for x in sets], pa.binary())],
+                    names=["id", "n_shingles", "key1", "key2", "bands", "signature", "elements"],
                 )
 
     return docs.mapInArrow(run, schema)
@@ -112,6 +114,77 @@ def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y")
 
 
+def _block_links(batches, percent: int, least_equal: float):
+    """(u, v, sure) of rows (band, low, high, chunk, id, label, signature, elements) sorted by (band, low, high).
+
+    Only rows of the two chunks, and of different labels, are compared. Small sets are compared whole, by one product of
+    their incidence matrices: ``sure`` links, the first for each pair of labels. Other pairs are likely ones by signature.
+    """
+
+    def compare(rows: pa.Table) -> tuple[list, list, list]:
+        chunk, ids = rows["chunk"].to_numpy(), rows["id"].to_numpy()
+        label = rows["label"].to_numpy()
+        a, b = np.flatnonzero(chunk == rows["low"][0].as_py()), np.flatnonzero(chunk == rows["high"][0].as_py())
+        cross = label[a][:, None] != label[b][None, :]
+        if not cross.any():
+            return [], [], []
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) if x.is_valid else None for x in rows["elements"]]
+        small = np.array([x is not None for x in sets])
+        sizes = np.array([0 if x is None else len(x) for x in sets])
+        values, column = np.unique(np.concatenate([x for x in sets if x is not None] or [np.zeros(0, np.uint64)]), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        both = np.zeros(cross.shape, np.float32)
+        for c in range(0, len(values), 8192):
+            hit = (column >= c) & (column < c + 8192)
+            matrix = np.zeros((len(sets), min(8192, len(values) - c)), np.float32)
+            matrix[row[hit], column[hit] - c] = 1
+            both += matrix[a] @ matrix[b].T
+        union = sizes[a][:, None] + sizes[b][None, :] - both
+        whole = small[a][:, None] & small[b][None, :]
+        i, j = np.nonzero(cross & whole & (100 * both >= percent * union))
+        pair = np.stack([np.minimum(label[a[i]], label[b[j]]), np.maximum(label[a[i]], label[b[j]])])
+        first = np.unique(pair, axis=1, return_index=True)[1] if len(i) else np.zeros(0, np.int64)
+        us, vs, sure = [ids[a[i[first]]]], [ids[b[j[first]]]], [np.ones(len(first), bool)]
+        open_ = cross & ~whole
+        if open_.any():
+            signs = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(len(ids), -1)
+            for k in np.flatnonzero(open_.any(axis=1)).tolist():
+                at = b[open_[k]]
+                at = at[(signs[at] == signs[a[k]]).sum(axis=1) >= least_equal]
+                us.append(np.full(len(at), ids[a[k]]))
+                vs.append(ids[at])
+                sure.append(np.zeros(len(at), bool))
+        return us, vs, sure
+
+    for t in sorted_groups(batches, ("band", "low", "high")):
+        key = np.stack([t[c].to_numpy() for c in ("band", "low", "high")])
+        start = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+        found: tuple[list, list, list] = ([], [], [])
+        for x, y in zip(start.tolist(), [*start[1:].tolist(), t.num_rows]):
+            for out, more in zip(found, compare(t.slice(x, y - x))):
+                out += more
+        if found[0]:
+            u, v, sure = map(np.concatenate, found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(sure)], names=["u", "v", "sure"])
+
+
+def sorted_groups(batches, columns: tuple[str, ...]):
+    """Tables of whole groups from batches sorted by the columns; holds a batch and the group that is open."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([rest, t]) if rest is not None else t
+        same = np.logical_and.reduce([t[c].to_numpy() == t[c][t.num_rows - 1].as_py() for c in columns])
+        cut = 0 if same.all() else t.num_rows - int(same[::-1].argmin())
+        if cut:
+            yield t.slice(0, cut).combine_chunks()
+        rest = t.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks()
+
+
 class _Verifier:
     """Links among candidate pairs (u, v)."""
 
@@ -120,59 +193,77 @@ class _Verifier:
         t = percent / 100
         self.least_equal = size * (t - 6 * math.sqrt(t * (1 - t) / size))
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        least, percent = self.least_equal, self.percent
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        least = self.least_equal
+        return _filter_pairs(_with_both(pairs, self.nodes, "signature"), lambda x, y: int((x == y).sum()) >= least)
 
-        def alike(x, y):
-            return int((x == y).sum()) >= least
+    def links(self, likely: DataFrame) -> DataFrame:
+        """The pairs that the full sets confirm, from the texts of their documents."""
+        percent = self.percent
 
         def linked(x, y):
             x, y = x.view(np.uint64), y.view(np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             return 100 * both >= percent * (len(x) + len(y) - both)
 
-        likely = written(_filter_pairs(_with_both(pairs, self.nodes, "signature"), alike), "likely")
+        likely = written(likely, "likely")
         ids = written(likely.select(F.col("u").alias("id")).unionByName(likely.select(F.col("v").alias("id"))).distinct(), "likely-ids")
         sets = written(_sets(self.docs.join(ids, "id", "left_semi"), self.k), "sets")
         return written(_filter_pairs(_with_both(likely, sets, "elements"), linked), "links")
 
 
+def _ordered(u, v) -> list:
+    return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
+
+
+def _open_blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, low, high, chunk, id, label): buckets with several components, dealt into pairs of chunks.
+
+    The nodes of a bucket's largest component meet all others but not each other; chunks have about BLOCK rows.
+    """
+    labelled = members.join(labels, "id", "left").select("id", "band", F.coalesce("component", "id").alias("label"))
+    labelled = written(labelled, "labelled")
+    per = labelled.groupBy("band", "label").agg(F.count("*").alias("n"))
+    bands = per.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    count = lambda n: F.ceil(n / BLOCK).cast("int")
+    bands = written(bands.select("band", "main", count(F.col("n_main")).alias("mains"), count(F.col("n") - F.col("n_main")).alias("others")), "open-bands")
+    rows = labelled.join(bands, "band")
+    is_main = F.col("label") == F.col("main")
+    chunk = F.when(is_main, F.pmod(F.xxhash64("id"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("id"), "others")).cast("int")
+    rows = rows.withColumn("chunk", chunk)
+    first, last = F.when(is_main, F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(first, last)))
+    return rows.select("band", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "id", "label")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row: ids linked by 100 |A & B| >= percent |A | B| of k-word shingles, closed."""
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    bands = band_count(percent / 100)
-    hasher = MinHasher(bands, ROWS)
+    hasher = MinHasher(band_count(percent / 100), ROWS)
     features = written(_features(docs, k, hasher), "features")
     full = features.where("n_shingles > 0 AND id IS NOT NULL")
     classes = full.groupBy("key1", "key2").agg(F.min("id").alias("node"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = written(full.select("id", "key1", "key2").join(written(classes, "classes"), ["key1", "key2"]).where("id <> node").select("id", "node").distinct(), "copies")
-    nodes = full.select("id", "bands", "signature").join(copies.select("id"), "id", "left_anti")
-    nodes = written(nodes, "nodes")
+    nodes = written(full.select("id", "bands", "signature").join(copies.select("id"), "id", "left_anti"), "nodes")
     members = nodes.select("id", F.explode("bands").alias("band"))
-    shared = written(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared-bands")
-    members = written(members.join(shared, "band"), "members").withColumn("label", F.col("id"))
+    shared = written(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared-bands")
+    members = written(members.join(shared, "band"), "members")
+    central = written(members.groupBy("id").agg(F.sum("n").alias("weight")), "central")
+    weighed = members.join(central, "id")
+    pivots = written(weighed.groupBy("band").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("pivot")), "pivots")
+    members = members.drop("n")
+    pairs = written(members.join(pivots, "band").where("id <> pivot").select(*_ordered("id", "pivot")).distinct(), "pairs")
     verifier = _Verifier(docs, nodes, k, percent, hasher.size)
-    edges = copies.select(F.col("id").alias("u"), F.col("node").alias("v"))
-    for turn in range(PIVOT_ROUNDS + 1):
-        last = turn == PIVOT_ROUNDS
-        split = members.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("id", "label"), F.xxhash64("id", F.lit(turn))).alias("pivot")).where("low <> high")
-        split = written(split.select("band", "pivot"), "split-bands")
-        if split.isEmpty():
-            break
-        open_members = members.join(split, "band")
-        if last:
-            a = written(open_members.select("band", F.col("id").alias("u"), F.col("label").alias("lu")), "open-members")
-            b = a.select("band", F.col("u").alias("v"), F.col("lu").alias("lv"))
-            pairs = a.join(b, "band").where("lu < lv")
-        else:
-            pairs = open_members.where("label <> pivot.label").select(F.col("id").alias("u"), F.col("pivot.id").alias("v"))
-        pairs = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-        links = verifier.links(pairs)
-        edges = edges.unionByName(links)
-        if not last:
-            labels = written(connected_components(edges), "labels").withColumnRenamed("node", "id")
-            members = written(members.drop("label").join(labels, "id", "left").select("id", "band", F.coalesce("component", "id").alias("label")), "members")
-    parts = written(connected_components(edges), "components")
+    edges = copies.select(F.col("id").alias("u"), F.col("node").alias("v")).unionByName(verifier.links(verifier.likely(pairs)))
+    labels = written(connected_components(edges), "labels")
+    blocks = _open_blocks(members, labels.withColumnRenamed("node", "id"))
+    wide = blocks.join(nodes.select("id", "signature"), "id").join(full.select("id", "elements").dropDuplicates(["id"]), "id")
+    group, least = ("band", "low", "high"), verifier.least_equal
+    wide = wide.select(*group, "chunk", "id", "label", "signature", "elements").repartition(*group).sortWithinPartitions(*group)
+    found = written(wide.mapInArrow(lambda b: _block_links(b, percent, least), "u long, v long, sure boolean").distinct(), "block-links")
+    more = found.where("sure").select("u", "v").unionByName(verifier.links(found.where("NOT sure").select("u", "v")))
+    roots = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    parts = written(connected_components(roots.unionByName(more)), "components")
     return features.select("id", "n_shingles").join(parts, F.col("id") == F.col("node"), "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
 
 
