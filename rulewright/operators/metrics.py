@@ -108,4 +108,4 @@ def backfill_confusion(results: DataFrame, scored: DataFrame, keys: list[str]) -
 
 def format_metrics(df: DataFrame, columns: tuple[str, ...] = PRIORITY) -> DataFrame:
     """Metrics as text with three decimals, blank when missing."""
-    return df.withColumns({c: F.coalesce(F.format_string("%.3f", F.col(c)), F.lit("")) for c in columns if c in df.columns})
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.format_string("%.3f", F.col(c))).otherwise("") for c in columns if c in df.columns})

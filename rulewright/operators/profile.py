@@ -231,5 +231,5 @@ def profile_table(df: DataFrame, label_col: str, features: list[str] | None = No
 
 def top_features(profile: DataFrame, k: int = 30) -> DataFrame:
     """(rank, feature, summary) of the first k features."""
-    text = F.concat_ws(", ", F.concat(F.lit("rank="), F.col("rank").cast("string")), F.concat(F.lit("feature="), "feature"), F.concat(F.lit("type="), "feature_type"), F.concat(F.lit("method="), "method"), F.concat(F.lit("p="), F.format_string("%.3g", "p_value")), F.concat(F.lit("missing="), F.format_string("%.3f", "missing_rate")))
+    text = F.concat_ws(", ", F.concat(F.lit("rank="), F.col("rank").cast("string")), F.concat(F.lit("feature="), "feature"), F.concat(F.lit("type="), "feature_type"), F.concat(F.lit("method="), "method"), F.concat(F.lit("p="), F.when(F.col("p_value").isNotNull(), F.format_string("%.3g", "p_value")).otherwise("nan")), F.concat(F.lit("missing="), F.format_string("%.3f", "missing_rate")))
     return profile.orderBy("rank").limit(k).select("rank", "feature", text.alias("summary"))
