@@ -72,7 +72,7 @@ def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
                 for a, b in chunks(texts):
                     total += np.bincount(trigrams(texts[a:b])[0], minlength=BUCKETS)
                 some = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(some.astype(np.int32)), pa.array(total[some])], names=["lang", "bucket", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(total[some])], names=["lang", "bucket", "n"])
 
     sums = sample.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((BUCKETS, len(langs)), SMOOTHING)
