@@ -13,11 +13,11 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from rulewright.llm.pretok import TextEncoder, once, spread
+from rulewright.llm.shared import text_slices
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -90,7 +90,7 @@ def _run(docs: DataFrame, ranks_path: str, id_col: str, text_col: str, kinds: di
         pa.set_memory_pool(pa.system_memory_pool())  # gives freed memory back
         v = vocabulary(content.value)
         for batch in batches:
-            for part in _slices(batch):
+            for part in text_slices(batch):
                 ids, lens = v.encoder([t or "" for t in part.column(1).to_pylist()])
                 sizes = v.lens[ids]
                 ends = np.cumsum(sizes)
@@ -116,19 +116,6 @@ def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_co
     return _run(docs, ranks_path, id_col, text_col, {"ids": _INTS, "decoded": T.BinaryType()})
 
 
-def _slices(batch: pa.RecordBatch, most: int = 2_000_000):
-    """Slices of a batch of (.., text) with at most so many bytes of text each, or one longer row."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-    begin = size = 0
-    for i, n in enumerate(sizes.tolist()):
-        if size and size + n > most:
-            yield batch.slice(begin, i - begin)
-            begin, size = i, 0
-        size += n
-    if begin < batch.num_rows:
-        yield batch.slice(begin)
-
-
 def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
     """(id, ids, decoded binary): each token's bytes go to its kept offset. Null ids give null."""
     spark = encoded.sparkSession

@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rulewright.llm.components import connected_components
-from rulewright.llm.pretok import chunks
-from rulewright.llm.shared import unique_name, written
+from rulewright.llm.shared import give_back, text_slices, unique_name, written
 from rulewright.llm.shingles import mix, shingle_sets
 
 #: Rows of a band, chance to miss a pair at the threshold, largest set that features carry whole, rows of a block.
@@ -66,9 +65,8 @@ def _features(docs: DataFrame, k: int, hasher: MinHasher) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            for a, b in chunks(texts):
-                sets = shingle_sets(texts[a:b], k)
+            for part in text_slices(batch):
+                sets = shingle_sets([(t or "").encode() for t in part.column(1).to_pylist()], k)
                 minima = np.stack([hasher.minima(s) for s in sets])
                 bands = hasher.band_keys(minima).view(np.int64)
                 full = np.array([len(s) > 0 for s in sets])
@@ -76,9 +74,10 @@ def _features(docs: DataFrame, k: int, hasher: MinHasher) -> DataFrame:
                 ends = np.append(0, np.cumsum(full * hasher.bands)).astype(np.int32)
                 low = minima.astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, keys), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[full].ravel())), pa.array([x.tobytes() for x in low], pa.binary()), pa.array([x.tobytes() if 0 < len(x) <= SMALL else None for x in sets], pa.binary())],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, keys), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[full].ravel())), pa.array([x.tobytes() for x in low], pa.binary()), pa.array([x.tobytes() if 0 < len(x) <= SMALL else None for x in sets], pa.binary())],
                     names=["id", "n_shingles", "key1", "key2", "bands", "signature", "elements"],
                 )
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -88,9 +87,10 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            for a, b in chunks(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(texts[a:b], k)], pa.binary())], names=["id", "elements"])
+            for part in text_slices(batch):
+                sets = shingle_sets([(t or "").encode() for t in part.column(1).to_pylist()], k)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "elements"])
+        give_back()
 
     return docs.mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("elements", T.BinaryType())]))
 
@@ -103,6 +103,7 @@ def _filter_pairs(pairs: DataFrame, test) -> DataFrame:
             xs, ys = batch.column(2), batch.column(3)
             ok = [test(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) for x, y in zip(xs, ys)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+        give_back()
 
     return pairs.mapInArrow(run, T.StructType(pairs.schema.fields[:2]))
 
@@ -166,6 +167,7 @@ def _block_links(batches, percent: int, least_equal: float):
         if found[0]:
             u, v, sure = map(np.concatenate, found)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(sure)], names=["u", "v", "sure"])
+    give_back()
 
 
 def sorted_groups(batches, columns: tuple[str, ...]):

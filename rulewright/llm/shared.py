@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,7 +29,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, survives lost executors, and tells
     Spark the real size, so that it broadcasts a side only below spark.sql.autoBroadcastJoinThreshold."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -35,3 +40,41 @@ def unique_name(base: str, taken) -> str:
     while base.lower() in low:
         base += "_"
     return base
+
+
+#: Most bytes of an Arrow batch that goes to a Python worker while a table is written.
+BATCH_BYTES = 16 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Bounds the Arrow batches of a job, so that rows with long values don't add up in Python workers."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def text_slices(batch: pa.RecordBatch, most: int = 2_000_000):
+    """Slices of a batch of (.., text in the second column) with at most so many bytes of text, or one longer row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    begin = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if size and size + n > most:
+            yield batch.slice(begin, i - begin)
+            begin, size = i, 0
+        size += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: Python workers outlive it and share the executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
