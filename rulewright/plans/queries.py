@@ -12,6 +12,7 @@ from rulewright.functions.hashing import hash_order
 from rulewright.operators import baselines, drift, errors, metrics, profile, rules, sampling
 from rulewright.plans import grid, tasks
 from rulewright.sources import runs, tables
+from rulewright.sources.scratch import scratch_path
 from rulewright.streaming import scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +114,17 @@ def b1_b2_classify_and_missing(spark, sf):
     return _round(_profiled(spark, sf)[1], 6, "missing_rate").drop("ordinal")
 
 
+B1_SQL = ORACLE["b1_b2_classify_and_missing"]
+
+
+@query(B1_SQL)
+def a5_a6_profile_store(spark, sf):
+    path, kinds = scratch_path(spark, "profiles"), _profiled(spark, sf)[1]
+    runs.write_profile(kinds, path, "first")
+    runs.snapshot_previous(spark, path, "first", "second", kinds)
+    return _round(runs.read_profile(spark, path, "second", "prev"), 6, "missing_rate").drop("ordinal")
+
+
 @query(LONG + """SELECT feature, round(avg(num), 4) AS mean, round(stddev_samp(num), 4) AS std, round(quantile_cont(num, 0.5), 4) AS median, min(num) AS min, max(num) AS max,
   round(quantile_cont(num, 0.25), 4) AS q1, round(quantile_cont(num, 0.75), 4) AS q3 FROM cont GROUP BY feature""", "returns")
 def b3_numeric_summary(spark, sf):
@@ -544,6 +556,22 @@ def f12_format_metrics(spark, sf):
     return metrics.format_metrics(_history(spark, sf)).select("version", "acc", "f1")
 
 
+@query(SCORED + "SELECT version, tp, fp, tn, fn FROM hist", "returns")
+def a7_eval_log(spark, sf):
+    path, history = scratch_path(spark, "log"), _history(spark, sf)
+    for v in tasks.RULES:
+        runs.append_eval_log(history.where(F.col("version") == v), path)
+    return spark.read.parquet(path).select("version", "tp", "fp", "tn", "fn")
+
+
+@query(SCORED + "SELECT version, printf('%.3f', f1) AS f1, tp FROM hist", "returns")
+def a8_a9_results_and_manifest(spark, sf):
+    path, shown = scratch_path(spark, "results"), metrics.format_metrics(_history(spark, sf))
+    runs.write_results(shown, f"{path}/csv")
+    runs.write_manifest(tables.load_table(spark, f"{path}/csv", shown.schema, "csv"), f"{path}/json")
+    return spark.read.schema(shown.schema).json(f"{path}/json").select("version", "f1", "tp")
+
+
 # G: errors and regressions
 
 
