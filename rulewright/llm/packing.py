@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rulewright.llm.lib_tokens import lib_encoder
-from rulewright.llm.shared import written
+from rulewright.llm.shared import give_back, written
 
 
 def cut(n_tokens: int, capacity: int) -> list[tuple[int, int]]:
@@ -65,6 +65,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None, c
                 if out:
                     cols = [pa.array(c, k) for c, k in zip(list(zip(*out))[: len(fields)], kinds)]
                     yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(owner, pa.int64())), *cols], names=[id_col, *(f.name for f in fields)])
+        give_back()
 
     schema = T.StructType([docs.schema[id_col], *fields])
     return written(docs.select(id_col, text_col).mapInArrow(run, schema), "pieces")

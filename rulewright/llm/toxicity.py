@@ -25,7 +25,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulewright.llm.shared import unique_name, written
+from rulewright.llm.shared import give_back, unique_name, written
 
 #: Labelled rows learned from, entries of the lexicon, least toxic documents and least odds ratio of an entry.
 TRAIN_ROWS, LEXICON, LEAST_DOCS, LEAST_ODDS = 12_000, 2000, 4, 15.0
@@ -157,6 +157,7 @@ def featurized(docs: DataFrame, lexicon: dict[str, float], text_col: str, name:
         of = Featurizer(shared.value)
         for texts in batches:
             yield pd.Series([np.array(of(t or ""), float) for t in texts], dtype=object)
+        give_back()
 
     return docs.withColumn(name, features(F.col(f"`{text_col}`").cast("string")))
 
