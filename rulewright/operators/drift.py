@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rulewright.operators.sampling import TwoStageSpec, two_stage_partition
 
+#: Names of the feature column in knowledge tables.
 FEATURE_HEADERS = ("feature", "features", "变量", "特征")
 
 

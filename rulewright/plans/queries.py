@@ -83,7 +83,7 @@ def a10_latest_run(spark, sf):
 @query("SELECT c_custkey::INT AS seed, (c_nationkey + 1)::INT AS p, 50 AS n, (c_custkey % 2)::INT AS u, ((c_custkey // 2) % 2)::INT AS k FROM customer")
 def a11_parse_run_labels(spark, sf):
     key, nation = F.col("c_custkey"), F.col("c_nationkey")
-    named = tasks.table(spark, sf, "customer").select(F.concat(F.lit("contrast2_hl_"), key, F.lit(".csv")).alias("file"), F.concat(F.lit("HL("), nation + 1, F.lit(":50)")).alias("model"), F.concat(F.lit("U"), key % 2, F.lit("_K"), F.floor(key / 2) % 2).alias("name"))
+    named = tasks.table(spark, sf, "customer").select(F.concat(F.lit("results_"), key, F.lit(".csv")).alias("file"), F.concat(F.lit("rules("), nation + 1, F.lit(":50)")).alias("model"), F.concat(F.lit("U"), key % 2, F.lit("_K"), F.floor(key / 2) % 2).alias("name"))
     (p, n), (u, k) = runs.ratio_of(F.col("model")), runs.flags_of(F.col("name"))
     return named.select(runs.seed_of(F.col("file")).alias("seed"), p.alias("p"), n.alias("n"), u.alias("u"), k.alias("k"))
 

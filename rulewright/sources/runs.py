@@ -70,12 +70,12 @@ def latest_run(runs: DataFrame, keys: list[str], ts_col: str = "run_ts") -> Data
 
 
 def seed_of(file_name: Column) -> Column:
-    """The seed in a name such as ``contrast2_hl_42.csv``."""
+    """The seed in a name such as ``results_42.csv``."""
     return F.regexp_extract(file_name, r"_(\d+)\.csv$", 1).try_cast("int")
 
 
 def ratio_of(model: Column) -> tuple[Column, Column]:
-    """(p, n) of a model name such as ``HL(1:50)``."""
+    """(p, n) of a model name such as ``rules(1:50)``."""
     return tuple(F.regexp_extract(model, r"\((\d+):(\d+)\)", g).try_cast("int") for g in (1, 2))
 
 
