@@ -173,61 +173,6 @@ def _bucket_links(batches, percent: int, least_equal: float):
     give_back()
 
 
-def _block_links(batches, percent: int, least_equal: float):
-    """(u, v, sure) of rows (band, low, high, chunk, id, label, signature, elements) sorted by (band, low, high).
-
-    Only rows of the two chunks, and of different labels, are compared. Small sets are compared whole, by one product of
-    their incidence matrices: ``sure`` links, the first for each pair of labels. Other pairs are likely ones by signature.
-    """
-
-    def compare(rows: pa.Table) -> tuple[list, list, list]:
-        chunk, ids = rows["chunk"].to_numpy(), rows["id"].to_numpy()
-        label = rows["label"].to_numpy()
-        a, b = np.flatnonzero(chunk == rows["low"][0].as_py()), np.flatnonzero(chunk == rows["high"][0].as_py())
-        cross = label[a][:, None] != label[b][None, :]
-        if not cross.any():
-            return [], [], []
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) if x.is_valid else None for x in rows["elements"]]
-        small = np.array([x is not None for x in sets])
-        sizes = np.array([0 if x is None else len(x) for x in sets])
-        values, column = np.unique(np.concatenate([x for x in sets if x is not None] or [np.zeros(0, np.uint64)]), return_inverse=True)
-        row = np.repeat(np.arange(len(sets)), sizes)
-        both = np.zeros(cross.shape, np.float32)
-        for c in range(0, len(values), 8192):
-            hit = (column >= c) & (column < c + 8192)
-            matrix = np.zeros((len(sets), min(8192, len(values) - c)), np.float32)
-            matrix[row[hit], column[hit] - c] = 1
-            both += matrix[a] @ matrix[b].T
-        union = sizes[a][:, None] + sizes[b][None, :] - both
-        whole = small[a][:, None] & small[b][None, :]
-        i, j = np.nonzero(cross & whole & (100 * both >= percent * union))
-        pair = np.stack([np.minimum(label[a[i]], label[b[j]]), np.maximum(label[a[i]], label[b[j]])])
-        first = np.unique(pair, axis=1, return_index=True)[1] if len(i) else np.zeros(0, np.int64)
-        us, vs, sure = [ids[a[i[first]]]], [ids[b[j[first]]]], [np.ones(len(first), bool)]
-        open_ = cross & ~whole
-        if open_.any():
-            signs = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            for k in np.flatnonzero(open_.any(axis=1)).tolist():
-                at = b[open_[k]]
-                at = at[(signs[at] == signs[a[k]]).sum(axis=1) >= least_equal]
-                us.append(np.full(len(at), ids[a[k]]))
-                vs.append(ids[at])
-                sure.append(np.zeros(len(at), bool))
-        return us, vs, sure
-
-    for t in sorted_groups(batches, ("band", "low", "high")):
-        key = np.stack([t[c].to_numpy() for c in ("band", "low", "high")])
-        start = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
-        found: tuple[list, list, list] = ([], [], [])
-        for x, y in zip(start.tolist(), [*start[1:].tolist(), t.num_rows]):
-            for out, more in zip(found, compare(t.slice(x, y - x))):
-                out += more
-        if found[0]:
-            u, v, sure = map(np.concatenate, found)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(sure)], names=["u", "v", "sure"])
-    give_back()
-
-
 def sorted_groups(batches, columns: tuple[str, ...]):
     """Tables of whole groups from batches sorted by the columns; holds a batch and the group that is open."""
     rest: pa.Table | None = None
