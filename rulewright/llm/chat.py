@@ -148,27 +148,29 @@ def _unescape_role(role: Column) -> Column:
 
 
 def format_chats(df: DataFrame, key_col: str, order_col: str, turns_col: str = "turns") -> DataFrame:
-    """(key, formatted, mask array<struct<start,length>>): one row for each conversation, spans in code points.
+    """(key, formatted, mask array<struct<start,length>>, unmapped): one row for each conversation, spans in code points.
 
-    One shuffle by the key serves the running offsets and the grouping.
+    ``unmapped`` counts records without turns; a conversation of none but these has a null text. One shuffle by the key serves the running offsets and the grouping.
     """
-    rows = df.select(F.col(f"`{key_col}`").alias("_key"), F.col(f"`{order_col}`").alias("_order"), F.posexplode(f"`{turns_col}`").alias("_pos", "_turn"))
+    rows = df.select(F.col(f"`{key_col}`").alias("_key"), F.col(f"`{order_col}`").alias("_order"), F.posexplode_outer(f"`{turns_col}`").alias("_pos", "_turn"))
     head = F.concat(F.lit(START), _escape_role(F.col("_turn.role")), F.lit("\n"))
     rows = rows.select("_key", "_order", "_pos", F.col("_turn.role").alias("_role"), F.col("_turn.text").alias("_text"), head.alias("_head"), escape(F.col("_turn.text")).alias("_body"))
     rows = rows.withColumn("_segment", F.concat("_head", "_body", F.lit(END + "\n")))
     w = Window.partitionBy("_key").orderBy("_order", "_pos", "_role", "_text")
     rows = rows.withColumn("_start", F.sum(F.length("_segment")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.length("_segment"))
     span = F.when(F.col("_role") == "assistant", F.struct((F.col("_start") + F.length("_head")).alias("start"), F.length("_body").cast("long").alias("length")))
-    grouped = rows.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_start", "_segment", span.alias("_span")))).alias("_all"))
+    turn = F.when(F.col("_pos").isNotNull(), F.struct("_start", "_segment", span.alias("_span")))
+    grouped = rows.groupBy("_key").agg(F.array_sort(F.collect_list(turn)).alias("_all"), F.count_if(F.col("_pos").isNull()).alias("unmapped"))
     return grouped.select(
         F.col("_key").alias(key_col),
-        F.array_join(F.transform("_all", lambda x: x["_segment"]), "").alias("formatted"),
+        F.when(F.size("_all") > 0, F.array_join(F.transform("_all", lambda x: x["_segment"]), "")).alias("formatted"),
         F.filter(F.transform("_all", lambda x: x["_span"]), lambda x: x.isNotNull()).alias("mask"),
+        "unmapped",
     )
 
 
 def read_chats(df: DataFrame) -> DataFrame:
-    """``df`` (.., formatted, mask) with what can be read back: turns and loss_texts, both unescaped."""
+    """The rows of ``df`` (.., formatted, mask) that have a text, with what can be read back: turns and loss_texts, both unescaped."""
     segments = F.slice(F.split("formatted", r"<\|im_start\|>"), F.lit(2), F.lit(2_000_000_000))
 
     def turn(s: Column) -> Column:
@@ -176,4 +178,4 @@ def read_chats(df: DataFrame) -> DataFrame:
         return F.struct(_unescape_role(F.substring(s, F.lit(1), at - 1)).alias("role"), unescape(F.substring(s, at + 1, F.length(s) - at - len(END) - 1)).alias("text"))
 
     texts = F.transform("mask", lambda m: unescape(F.substring("formatted", (m["start"] + 1).cast("int"), m["length"].cast("int"))))
-    return df.withColumns({"turns": F.transform(segments, turn), "loss_texts": texts})
+    return df.where("formatted IS NOT NULL").withColumns({"turns": F.transform(segments, turn), "loss_texts": texts})
