@@ -3,7 +3,7 @@
 Each language has a smoothed distribution of character trigrams. A word's likelihood under a language is the product over
 its letters' trigrams. Expectation-maximisation finds each document's language proportions from its words; then the
 nested sets of the likeliest languages compete by penalised likelihood, and the largest share of the set that wins is
-the prediction, its share the score.
+the prediction, its share the score; the whole set and its shares come with it.
 
 Null text, or text without a letter, is ``und`` with score 0; so is every text where nothing was learned. Long texts
 are scored whole, in bounded chunks of documents. Repeated rows are scored each by itself.
@@ -21,9 +21,10 @@ from pyspark.sql import types as T
 
 from rulewright.llm.pretok import LETTER, chunks, class_table
 
-#: Trigram buckets, rows learned from per language, rounds of expectation-maximisation, languages of a set, price of a language in words' log.
-BUCKETS, TRAIN_ROWS, ROUNDS, MOST_LANGUAGES, PENALTY, SMOOTHING = 1 << 16, 4000, 6, 3, 2.0, 0.05
+#: Trigram buckets, rows learned from per language, rounds of expectation-maximisation, price of a language in words' log.
+BUCKETS, TRAIN_ROWS, ROUNDS, PENALTY, SMOOTHING = 1 << 16, 4000, 6, 2.0, 0.05
 HASHES = 1 << 20
+LANGUAGES = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))
 
 
 @lru_cache(None)
@@ -80,13 +81,13 @@ def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     return langs, np.log(table / table.sum(axis=0)).astype(np.float32)
 
 
-def mixtures(texts: list[str], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(best language or -1, its share) of each text."""
-    best, score = np.full(len(texts), -1), np.zeros(len(texts))
+def proportions(texts: list[str], logp: np.ndarray) -> np.ndarray:
+    """(texts, languages): the shares of the chosen set of languages, 0 for all others and for text without a letter."""
+    shares = np.zeros((len(texts), logp.shape[1]))
     grams, first, words = trigrams(texts)
     full = np.flatnonzero(words)
     if not len(full) or not logp.shape[1]:
-        return best, score
+        return shares
     n = words[full]
     doc, start = np.repeat(np.arange(len(full)), n), np.cumsum(n) - n
     like = np.add.reduceat(logp[grams], first, axis=0)
@@ -104,27 +105,41 @@ def mixtures(texts: list[str], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray
         ll = np.log(np.maximum((like * p[doc]).sum(axis=1), 1e-30))
         return p, top + np.add.reduceat(ll, start)
 
-    shares, _ = fit(np.ones((len(full), logp.shape[1]), np.float32), ROUNDS)
-    rank = np.argsort(np.argsort(-shares, axis=1, kind="stable"), axis=1)
-    most = min(MOST_LANGUAGES, logp.shape[1])
+    first_shares, _ = fit(np.ones((len(full), logp.shape[1]), np.float32), ROUNDS)
+    rank = np.argsort(np.argsort(-first_shares, axis=1, kind="stable"), axis=1)
     won, value = None, None
-    for size in range(1, most + 1):
+    for size in range(1, logp.shape[1] + 1):
+        price = PENALTY * size * np.log1p(n)
+        if won is not None and not (top - price > value).any():
+            break  # even a likelihood of each word's best language would not win
         p, ll = fit((rank < size).astype(np.float32), 0 if size == 1 else ROUNDS)
-        ll = ll - PENALTY * size * np.log1p(n)
+        ll = ll - price
         if won is None:
             won, value = p, ll
         else:
             better = ll > value
             won, value = np.where(better[:, None], p, won), np.where(better, ll, value)
-    best[full], score[full] = won.argmax(axis=1), np.clip(won.max(axis=1), 0, 1)
-    return best, score
+    shares[full] = np.clip(won, 0, 1)
+    return shares
+
+
+def mixtures(texts: list[str], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(best language or -1, its share) of each text."""
+    return _best(proportions(texts, logp))
+
+
+def _best(shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not shares.shape[1]:
+        return np.full(len(shares), -1), np.zeros(len(shares))
+    score = shares.max(axis=1)
+    return np.where(score > 0, shares.argmax(axis=1), -1), score
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score). Narrow; the model is broadcast: BUCKETS numbers for each language, whatever the corpus."""
+    """(id, lang_pred, score, languages): the last are the chosen set and its shares, largest first. Narrow; the model is broadcast: BUCKETS numbers for each language, whatever the corpus."""
     langs, logp = model
     shared = docs.sparkSession.sparkContext.broadcast((langs, logp))
-    schema = T.StructType([docs.schema[id_col], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([docs.schema[id_col], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", LANGUAGES)])
 
     def run(batches):
         langs, logp = shared.value
@@ -132,10 +147,17 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
         most = max(20_000, 2_000_000 // max(4, len(langs)))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            found = [mixtures(texts[a:b], logp) for a, b in chunks(texts, most)]
+            found = [proportions(texts[a:b], logp) for a, b in chunks(texts, most)]
             if found:
-                best, score = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([batch.column(0), names.take(pa.array(np.where(best < 0, len(langs), best))), pa.array(score)], names=[id_col, "lang_pred", "score"])
+                shares = np.concatenate(found)
+                best, score = _best(shares)
+                order = np.argsort(-shares, axis=1, kind="stable")
+                ranked = np.take_along_axis(shares, order, axis=1)
+                in_set = ranked > 0
+                ends = np.append(0, np.cumsum(in_set.sum(axis=1))).astype(np.int32)
+                chosen = pa.StructArray.from_arrays([names.take(pa.array(order[in_set])), pa.array(ranked[in_set])], names=["lang", "share"])
+                columns = [batch.column(0), names.take(pa.array(np.where(best < 0, len(langs), best))), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), chosen)]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "lang_pred", "score", "languages"])
 
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, schema)
 
