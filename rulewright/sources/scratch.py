@@ -1,4 +1,4 @@
-"""A new path in the folder that the whole cluster shares."""
+"""New paths in the folder that the whole cluster shares."""
 
 from __future__ import annotations
 
@@ -8,10 +8,17 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """Under ``spark.checkpoint.dir``; under a temporary folder of our own only where the session names none (tests)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only a local session that names none gets a temporary one; on a cluster
+    such a folder would lie on one machine's disk, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="rulewright-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/rulewright/{name}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/rulewright/{name}-{uuid.uuid4().hex}"
