@@ -1,15 +1,16 @@
 """Near-duplicates of texts by MinHash: many universal hash minima, banding, verification, components.
 
-Texts with equal shingle sets are one node. The minima of a node's set under multiply-shift hash functions are cut
-into bands; nodes that agree in a band share a bucket. Nodes of a bucket are first compared with its pivot, the node that
-shares most buckets with others. What is linked becomes one component, and only nodes of a bucket that still lie in
-different components are then compared with each other, in blocks of bounded size inside the tasks: links inside a
-component can't change the result, so a bucket of a million copies costs a million comparisons, and no link between
-different components is left out. Within the banding (a pair at the threshold is missed with a probability of
-1e-9 at the defaults) the components are exact. Comparisons go by signature first, with a margin of six standard
-deviations, and are confirmed on the full sets.
-
-Null or empty text has an empty set and links with nothing; a null id stays alone; rows with one id are one node.
+Texts with equal shingle sets, told by a 128-bit digest, are one node. The minima of a node's set under multiply-shift hash
+functions are cut into bands; nodes that agree in a band share a bucket. Nodes of a bucket are first compared with its
+pivot, the node that shares most buckets with others. What is linked becomes one component, and only nodes of a bucket that
+still lie in different components are then compared with each other, in blocks of bounded size inside the tasks: links inside
+a component can't change the result, so a bucket of a million copies costs a million comparisons, and no link between different
+components is left out. Every comparison goes by signature first, with a margin of six standard deviations, and is
+confirmed on the full sets. Within the banding (a pair at the threshold is missed with a probability of 1e-9 at
+the defaults) the components are exact.
+
+Null or empty text has an empty set and links with nothing; a null id stays alone. Rows with one id are one document: it
+has the links of all its texts, and each of its rows its own n_shingles.
 """
 
 from __future__ import annotations
@@ -18,16 +19,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rulewright.llm.components import connected_components
-from rulewright.llm.shared import give_back, text_slices, unique_name, written
-from rulewright.llm.shingles import mix, shingle_sets
+from rulewright.llm.shared import give_back, sorted_groups, temporary_tables, text_slices, unique_name, written
+from rulewright.llm.shingles import mix, set_digest, shingle_lanes, shingle_sets
 
-#: Rows of a band, chance to miss a pair at the threshold, largest set that features carry whole, rows of a block.
-ROWS, MISS, SMALL, BLOCK = 5, 1e-9, 256, 400
+#: Rows of a band, chance to miss a pair at the threshold, rows of a block.
+ROWS, MISS, BLOCK = 5, 1e-9, 400
 
 
 def band_count(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -61,38 +63,47 @@ class MinHasher:
 
 
 def _features(docs: DataFrame, k: int, hasher: MinHasher) -> DataFrame:
-    schema = T.StructType([docs.schema["id"], *T.StructType.fromDDL("n_shingles long, key1 long, key2 long, bands array<long>, signature binary, elements binary")])
+    """(id, n_shingles, key1, key2, bands, signature): the digest of the whole set in two longs, the band keys, the minima's last bytes."""
+    fields = "n_shingles long, key1 long, key2 long, bands array<long>, signature binary"
+    schema = T.StructType([docs.schema["id"], *T.StructType.fromDDL(fields)])
 
     def run(batches):
         for batch in batches:
             for part in text_slices(batch):
-                sets = shingle_sets([(t or "").encode() for t in part.column(1).to_pylist()], k)
-                minima = np.stack([hasher.minima(s) for s in sets])
-                bands = hasher.band_keys(minima).view(np.int64)
-                full = np.array([len(s) > 0 for s in sets])
-                keys = [np.array([f(s) for s in sets], np.uint64).view(np.int64) for f in (lambda s: s.sum(dtype=np.uint64), lambda s: mix(s).sum(dtype=np.uint64))]
-                ends = np.append(0, np.cumsum(full * hasher.bands)).astype(np.int32)
-                low = minima.astype(np.uint8)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, keys), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[full].ravel())), pa.array([x.tobytes() for x in low], pa.binary()), pa.array([x.tobytes() if 0 < len(x) <= SMALL else None for x in sets], pa.binary())],
-                    names=["id", "n_shingles", "key1", "key2", "bands", "signature", "elements"],
-                )
+                lanes = shingle_lanes([(t or "").encode() for t in part.column(1).to_pylist()], k)
+                keys = np.frombuffer(b"".join(map(set_digest, lanes)), "<i8").reshape(-1, 2)
+                minima = np.stack([hasher.minima(first) for first, _ in lanes])
+                sizes = np.array([len(first) for first, _ in lanes], np.int64)
+                bands = hasher.band_keys(minima).view(np.int64)[sizes > 0]
+                ends = np.append(0, np.cumsum((sizes > 0) * hasher.bands)).astype(np.int32)
+                signatures = [x.tobytes() for x in minima.astype(np.uint8)]
+                columns = [
+                    part.column(0),
+                    pa.array(sizes),
+                    pa.array(keys[:, 0]),
+                    pa.array(keys[:, 1]),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel())),
+                    pa.array(signatures, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
         give_back()
 
     return docs.mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(id, elements binary): the sorted hashes of the full set."""
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """The table of (id, text, ..) with ``elements``, the sorted hashes of the full set, in the place of the text."""
+    schema = T.StructType([texts.schema[0], *texts.schema[2:], T.StructField("elements", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
             for part in text_slices(batch):
                 sets = shingle_sets([(t or "").encode() for t in part.column(1).to_pylist()], k)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "elements"])
+                elements = pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], elements], names=schema.names)
         give_back()
 
-    return docs.mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("elements", T.BinaryType())]))
+    return texts.mapInArrow(run, schema)
 
 
 def _filter_pairs(pairs: DataFrame, test) -> DataFrame:
@@ -115,106 +126,89 @@ def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y")
 
 
-def _bucket_links(batches, percent: int, least_equal: float):
-    """(u, v, sure) of rows (band, low, high, chunk, id, label, signature, bands, elements) sorted by (band, low, high).
+def _first_links(rows: pa.Table, percent: int, least_equal: float) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the linked pairs between the two chunks of one group, one pair for each two labels.
 
-    Only rows of the two chunks, and of different labels, are compared. Small sets are compared whole, by one product of
-    their incidence matrices: ``sure`` links, the first for each pair of labels. Other pairs are likely ones by signature, told in the first
-    band that the two share; they meet in all of them.
+    Only rows of different labels are compared: by signature first, each pair in the first band that the two share
+    (they meet in all of them), then by the full sets, whose intersections one product of incidence matrices counts.
     """
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    chunk, ids, label = (rows[c].to_numpy() for c in ("chunk", "id", "label"))
+    a, b = np.flatnonzero(chunk == rows["low"][0].as_py()), np.flatnonzero(chunk == rows["high"][0].as_py())
+    apart = label[a][:, None] != label[b][None, :]
+    if not apart.any():
+        return nothing
+    signs = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(len(ids), -1)
+    bands, here = rows["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1), rows["band"][0].as_py()
+    us, vs = [], []
+    for i in np.flatnonzero(apart.any(axis=1)).tolist():
+        others = b[apart[i]]
+        others = others[(signs[others] == signs[a[i]]).sum(axis=1) >= least_equal]
+        shared = bands[others] == bands[a[i]]
+        others = others[bands[a[i]][shared.argmax(axis=1)] == here]
+        us.append(np.full(len(others), a[i]))
+        vs.append(others)
+    u, v = np.concatenate(us), np.concatenate(vs)
+    if not len(u):
+        return nothing
+    linked = 100 * (both := _intersections(rows, u, v)) >= percent * (_set_sizes(rows)[u] + _set_sizes(rows)[v] - both)
+    u, v = u[linked], v[linked]
+    two = np.stack([np.minimum(label[u], label[v]), np.maximum(label[u], label[v])])
+    first = np.unique(two, axis=1, return_index=True)[1] if len(u) else []
+    return ids[u[first]], ids[v[first]]
+
+
+def _set_sizes(rows: pa.Table) -> np.ndarray:
+    return pc.binary_length(rows["elements"]).to_numpy() // 8
+
+
+def _intersections(rows: pa.Table, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets of the rows u and v, pair by pair."""
+    left, at_left = np.unique(u, return_inverse=True)
+    right, at_right = np.unique(v, return_inverse=True)
+    of = lambda some: [np.frombuffer(rows["elements"][i].as_buffer(), np.uint64) for i in some.tolist()]
+    xs, ys = of(left), of(right)
+    both = np.zeros((len(left), len(right)), np.float32)
+    values = np.intersect1d(np.concatenate(xs), np.concatenate(ys))
+    for c in range(0, len(values), 8192):
+        some = values[c : c + 8192]
+        product = [np.stack([np.isin(some, x, assume_unique=True) for x in sets]).astype(np.float32) for sets in (xs, ys)]
+        both += product[0] @ product[1].T
+    return both[at_left, at_right].astype(np.int64)
 
-    def compare(rows: pa.Table) -> tuple[list, list, list]:
-        chunk, ids = rows["chunk"].to_numpy(), rows["id"].to_numpy()
-        label = rows["label"].to_numpy()
-        a, b = np.flatnonzero(chunk == rows["low"][0].as_py()), np.flatnonzero(chunk == rows["high"][0].as_py())
-        cross = label[a][:, None] != label[b][None, :]
-        if not cross.any():
-            return [], [], []
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) if x.is_valid else None for x in rows["elements"]]
-        small = np.array([x is not None for x in sets])
-        sizes = np.array([0 if x is None else len(x) for x in sets])
-        values, column = np.unique(np.concatenate([x for x in sets if x is not None] or [np.zeros(0, np.uint64)]), return_inverse=True)
-        row = np.repeat(np.arange(len(sets)), sizes)
-        both = np.zeros(cross.shape, np.float32)
-        for c in range(0, len(values), 8192):
-            hit = (column >= c) & (column < c + 8192)
-            matrix = np.zeros((len(sets), min(8192, len(values) - c)), np.float32)
-            matrix[row[hit], column[hit] - c] = 1
-            both += matrix[a] @ matrix[b].T
-        union = sizes[a][:, None] + sizes[b][None, :] - both
-        whole = small[a][:, None] & small[b][None, :]
-        i, j = np.nonzero(cross & whole & (100 * both >= percent * union))
-        pair = np.stack([np.minimum(label[a[i]], label[b[j]]), np.maximum(label[a[i]], label[b[j]])])
-        first = np.unique(pair, axis=1, return_index=True)[1] if len(i) else np.zeros(0, np.int64)
-        us, vs, sure = [ids[a[i[first]]]], [ids[b[j[first]]]], [np.ones(len(first), bool)]
-        open_ = cross & ~whole
-        if open_.any():
-            signs = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            bands, here = rows["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1), rows["band"][0].as_py()
-            for k in np.flatnonzero(open_.any(axis=1)).tolist():
-                at = b[open_[k]]
-                at = at[(signs[at] == signs[a[k]]).sum(axis=1) >= least_equal]
-                at = at[bands[a[k]][(bands[at] == bands[a[k]]).argmax(axis=1)] == here]
-                us.append(np.full(len(at), ids[a[k]]))
-                vs.append(ids[at])
-                sure.append(np.zeros(len(at), bool))
-        return us, vs, sure
 
+def _bucket_links(batches, percent: int, least_equal: float):
+    """Links (u, v) of rows (band, low, high, chunk, id, label, signature, bands, elements) sorted by (band, low, high)."""
     for t in sorted_groups(batches, ("band", "low", "high")):
         key = np.stack([t[c].to_numpy() for c in ("band", "low", "high")])
         start = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
-        found: tuple[list, list, list] = ([], [], [])
-        for x, y in zip(start.tolist(), [*start[1:].tolist(), t.num_rows]):
-            for out, more in zip(found, compare(t.slice(x, y - x))):
-                out += more
-        if found[0]:
-            u, v, sure = map(np.concatenate, found)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(sure)], names=["u", "v", "sure"])
+        found = [_first_links(t.slice(x, y - x), percent, least_equal) for x, y in zip(start.tolist(), [*start[1:].tolist(), t.num_rows])]
+        u, v = (np.concatenate(x) for x in zip(*found))
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
     give_back()
 
 
-def sorted_groups(batches, columns: tuple[str, ...]):
-    """Tables of whole groups from batches sorted by the columns; holds a batch and the group that is open."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([batch])
-        t = pa.concat_tables([rest, t]) if rest is not None else t
-        same = np.logical_and.reduce([t[c].to_numpy() == t[c][t.num_rows - 1].as_py() for c in columns])
-        cut = 0 if same.all() else t.num_rows - int(same[::-1].argmin())
-        if cut:
-            yield t.slice(0, cut).combine_chunks()
-        rest = t.slice(cut)
-    if rest is not None and rest.num_rows:
-        yield rest.combine_chunks()
-
-
-class _Verifier:
-    """Links among candidate pairs (u, v)."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame, k: int, percent: int, size: int):
-        self.docs, self.nodes, self.k, self.percent = docs, nodes, k, percent
-        t = percent / 100
-        self.least_equal = size * (t - 6 * math.sqrt(t * (1 - t) / size))
+def least_agreement(percent: int, size: int) -> float:
+    """Least number of equal minima, of ``size``, of a pair that may reach the threshold: six standard deviations below its mean."""
+    t = percent / 100
+    return size * (t - 6 * math.sqrt(t * (1 - t) / size))
 
-    def likely(self, pairs: DataFrame) -> DataFrame:
-        least = self.least_equal
-        return _filter_pairs(_with_both(pairs, self.nodes, "signature"), lambda x, y: int((x == y).sum()) >= least)
 
-    def links(self, likely: DataFrame) -> DataFrame:
-        """The pairs that the full sets confirm, from the texts of their documents."""
-        percent = self.percent
+def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int, least_equal: float) -> DataFrame:
+    """The links among the pairs (u, v) of nodes: likely ones by signature, then by the full sets of their texts."""
 
-        def linked(x, y):
-            x, y = x.view(np.uint64), y.view(np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            return 100 * both >= percent * (len(x) + len(y) - both)
+    def linked(x, y):
+        x, y = x.view(np.uint64), y.view(np.uint64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both)
 
-        likely = written(likely, "likely")
-        ids = written(likely.select(F.col("u").alias("id")).unionByName(likely.select(F.col("v").alias("id"))).distinct(), "likely-ids")
-        sets = written(_sets(self.docs.join(ids, "id", "left_semi"), self.k), "sets")
-        return written(_filter_pairs(_with_both(likely, sets, "elements"), linked), "links")
+    likely = _filter_pairs(_with_both(pairs, nodes, "signature"), lambda x, y: int((x == y).sum()) >= least_equal)
+    likely = written(likely.distinct(), "likely")
+    ids = written(likely.select(F.col("u").alias("id")).unionByName(likely.select(F.col("v").alias("id"))).distinct(), "likely-ids")
+    texts = docs.join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
+    sets = written(_sets(texts, k), "sets")
+    return written(_filter_pairs(_with_both(likely, sets, "elements"), linked).distinct(), "links")
 
 
 def _ordered(u, v) -> list:
@@ -229,61 +223,80 @@ def _open_blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
     labelled = members.join(labels, "id", "left").select("id", "band", F.coalesce("component", "id").alias("label"))
     labelled = written(labelled, "labelled")
     per = labelled.groupBy("band", "label").agg(F.count("*").alias("n"))
-    bands = per.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    main = F.max_by("label", F.struct("n", "label")).alias("main")
+    bands = per.groupBy("band").agg(main, F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
     count = lambda n: F.ceil(n / BLOCK).cast("int")
-    bands = written(bands.select("band", "main", count(F.col("n_main")).alias("mains"), count(F.col("n") - F.col("n_main")).alias("others")), "open-bands")
-    rows = labelled.join(bands, "band")
+    mains, others = count(F.col("n_main")).alias("mains"), count(F.col("n") - F.col("n_main")).alias("others")
+    rows = labelled.join(written(bands.select("band", "main", mains, others), "open-bands"), "band")
     is_main = F.col("label") == F.col("main")
-    chunk = F.when(is_main, F.pmod(F.xxhash64("id"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("id"), "others")).cast("int")
-    rows = rows.withColumn("chunk", chunk)
+    dealt = F.pmod(F.xxhash64("id"), F.when(is_main, F.col("mains")).otherwise(F.col("others")))
+    rows = rows.withColumn("chunk", F.when(is_main, dealt).otherwise(F.col("mains") + dealt).cast("int"))
     first, last = F.when(is_main, F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1
     rows = rows.withColumn("other", F.explode(F.sequence(first, last)))
     return rows.select("band", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "id", "label")
 
 
+def _pivot_pairs(members: DataFrame) -> DataFrame:
+    """Each node of a bucket with the bucket's pivot, the node that shares most buckets with others: linear in the bucket's size."""
+    central = written(members.groupBy("id").agg(F.sum("n").alias("weight")), "central")
+    most = F.max_by("id", F.struct("weight", -F.col("id")))
+    pivots = written(members.join(central, "id").groupBy("band").agg(most.alias("pivot")), "pivots")
+    met = members.join(pivots, "band").where("id <> pivot")
+    return written(met.select(*_ordered("id", "pivot")).distinct(), "pairs")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for every row: ids linked by 100 |A & B| >= percent |A | B| of k-word shingles, closed."""
+    """(id, n_shingles, component_id) for every row: ids linked by 100 |A & B| >= percent |A | B| of k-word shingles, closed.
+
+    A node is a set of shingles, named by the smallest id that has it; ids with several texts link their sets.
+    The result is a written table; all others of the run are deleted.
+    """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     hasher = MinHasher(band_count(percent / 100), ROWS)
-    features = written(_features(docs, k, hasher), "features")
-    full = features.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = full.groupBy("key1", "key2").agg(F.min("id").alias("node"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = written(full.select("id", "key1", "key2").join(written(classes, "classes"), ["key1", "key2"]).where("id <> node").select("id", "node").distinct(), "copies")
-    nodes = written(full.select("id", "bands", "signature").join(copies.select("id"), "id", "left_anti"), "nodes")
-    members = nodes.select("id", F.explode("bands").alias("band"))
-    shared = written(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared-bands")
-    members = written(members.join(shared, "band"), "members")
-    central = written(members.groupBy("id").agg(F.sum("n").alias("weight")), "central")
-    weighed = members.join(central, "id")
-    pivots = written(weighed.groupBy("band").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("pivot")), "pivots")
-    members = members.drop("n")
-    pairs = written(members.join(pivots, "band").where("id <> pivot").select(*_ordered("id", "pivot")).distinct(), "pairs")
-    verifier = _Verifier(docs, nodes, k, percent, hasher.size)
-    edges = copies.select(F.col("id").alias("u"), F.col("node").alias("v")).unionByName(verifier.links(verifier.likely(pairs)))
-    labels = written(connected_components(edges), "labels")
-    blocks = _open_blocks(members, labels.withColumnRenamed("node", "id"))
-    wide = blocks.join(nodes.select("id", "signature", "bands"), "id").join(full.select("id", "elements").dropDuplicates(["id"]), "id")
-    group, least = ("band", "low", "high"), verifier.least_equal
-    wide = wide.select(*group, "chunk", "id", "label", "signature", "bands", "elements").repartition(*group).sortWithinPartitions(*group)
-    found = written(wide.mapInArrow(lambda b: _bucket_links(b, percent, least), "u long, v long, sure boolean").distinct(), "block-links")
-    more = found.where("sure").select("u", "v").unionByName(verifier.links(found.where("NOT sure").select("u", "v")))
-    roots = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    parts = written(connected_components(roots.unionByName(more)), "components")
-    return features.select("id", "n_shingles").join(parts, F.col("id") == F.col("node"), "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    least_equal = least_agreement(percent, hasher.size)
+    with temporary_tables():
+        features = written(_features(docs, k, hasher), "features")
+        full = features.where("n_shingles > 0 AND id IS NOT NULL")
+        of_set = [F.min("id").alias("id"), F.max("id").alias("_last"), *(F.first(c).alias(c) for c in ("bands", "signature"))]
+        nodes = written(full.groupBy("key1", "key2").agg(*of_set), "nodes")
+        shared_sets = nodes.where("_last > id").select("key1", "key2", F.col("id").alias("node"))
+        copies = full.select("id", "key1", "key2").join(written(shared_sets, "classes"), ["key1", "key2"]).where("id <> node")
+        copies = written(copies.select(F.col("id").alias("u"), F.col("node").alias("v")).distinct(), "copies")
+
+        members = nodes.select("id", F.explode("bands").alias("band")).distinct()
+        shared = written(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared-bands")
+        members = written(members.join(shared, "band"), "members")
+        links = _confirmed(docs, nodes, _pivot_pairs(members), k, percent, least_equal)
+        labels = connected_components(copies.unionByName(links))
+
+        blocks = written(_open_blocks(members, labels.withColumnRenamed("node", "id")), "blocks")
+        open_nodes = nodes.join(written(blocks.select("id").distinct(), "open-ids"), "id", "left_semi")
+        texts = docs.join(open_nodes.select("id", "key1", "key2", "signature", "bands"), "id").dropDuplicates(["id", "key1", "key2", "text"])
+        described = _sets(texts.select("id", "text", "key1", "key2", "signature", "bands"), k)
+        described = written(described.select("id", "signature", "bands", "elements"), "described")
+        group = ("band", "low", "high")
+        wide = blocks.join(described, "id").select(*group, "chunk", "id", "label", "signature", "bands", "elements")
+        wide = wide.repartition(*group).sortWithinPartitions(*group)
+        more = written(wide.mapInArrow(lambda b: _bucket_links(b, percent, least_equal), "u long, v long").distinct(), "block-links")
+        roots = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        parts = connected_components(roots.unionByName(more))
+        found = features.select("id", "n_shingles").join(parts, F.col("id") == F.col("node"), "left")
+        found = found.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+        return written(found, "near-duplicates", keep=True)
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without all but the smallest id of each group; rows with one id are one document,
-    of which the row with the smallest text stays. Null ids and empty texts stay."""
+    of which the row with the smallest text stays (any one of equal rows). Null ids and empty texts stay."""
     found = near_duplicates(docs, k, percent, id_col, text_col)
-    name = unique_name("_gone", docs.columns)
-    gone = written(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct(), "gone")
-    kept = docs.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")
-    twice = docs.where(F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias(name)).agg(F.count("*").alias("n")).where("n > 1").select(name)
+    id_ = F.col(f"`{id_col}`")
+    name, row = unique_name("_gone", docs.columns), unique_name("_row", docs.columns)
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    kept = docs.join(written(gone, "gone"), id_ == F.col(name), "left_anti")
+    twice = docs.where(id_.isNotNull()).groupBy(id_.alias(name)).agg(F.count("*").alias("n")).where("n > 1").select(name)
     twice = written(twice, "repeated-ids")
     if twice.isEmpty():
         return kept
-    on = F.col(f"`{id_col}`") == F.col(name)
-    row = unique_name("_row", docs.columns)
-    first = kept.join(twice, on, "left_semi").withColumn(row, F.row_number().over(Window.partitionBy(f"`{id_col}`").orderBy(F.col(f"`{text_col}`").asc_nulls_first())))
-    return kept.join(twice, on, "left_anti").unionByName(first.where(F.col(row) == 1).drop(row))
+    by_text = Window.partitionBy(f"`{id_col}`").orderBy(F.col(f"`{text_col}`").asc_nulls_first())
+    first = kept.join(twice, id_ == F.col(name), "left_semi").withColumn(row, F.row_number().over(by_text))
+    return kept.join(twice, id_ == F.col(name), "left_anti").unionByName(first.where(F.col(row) == 1).drop(row))

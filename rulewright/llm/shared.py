@@ -3,33 +3,49 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+from rulewright.sources.scratch import scratch_path as new_path
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where the session names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="rulewright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+#: Paths of the tables written inside each open ``temporary_tables`` block.
+_OPEN: list[list[str]] = []
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/rulewright/{name}-{uuid.uuid4().hex}"
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def temporary_tables():
+    """Deletes the tables that ``written`` made inside the block when it ends, but for those it was told to keep."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            try:
+                store, name = file_system(path)
+                store.delete_dir(name)
+            except (OSError, ValueError):  # never written, or in a store that pyarrow can't reach: left to the folder's owner
+                pass
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, survives lost executors, and tells
-    Spark the real size, so that it broadcasts a side only below spark.sql.autoBroadcastJoinThreshold."""
+    Spark the real size, so that it broadcasts a side only below spark.sql.autoBroadcastJoinThreshold.
+
+    ``keep``: the table outlives the block of ``temporary_tables`` that it is written in.
+    """
     path = new_path(df.sparkSession, name)
-    with small_batches(df.sparkSession):
+    if _OPEN[keep:]:
+        _OPEN[-1 - keep].append(path)
+    with job_settings(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -42,20 +58,24 @@ def unique_name(base: str, taken) -> str:
     return base
 
 
-#: Most bytes of an Arrow batch that goes to a Python worker while a table is written.
-BATCH_BYTES = 16 << 20
+#: Most bytes of an Arrow batch that goes to a Python worker while a table is written, and how much larger a written
+#: table is taken to be in memory than its compressed files, when Spark weighs a broadcast.
+BATCH_BYTES, FILE_COMPRESSION = 16 << 20, 4.0
 
 
 @contextmanager
-def small_batches(spark: SparkSession):
-    """Bounds the Arrow batches of a job, so that rows with long values don't add up in Python workers."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(BATCH_BYTES))
+def job_settings(spark: SparkSession):
+    """Bounds the Arrow batches of a job, so that rows with long values don't add up in Python workers, and
+    makes Spark compare the size in memory of a compressed table with its broadcast limit."""
+    ours = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.sources.fileCompressionFactor": FILE_COMPRESSION}
+    before = {key: spark.conf.get(key) for key in ours}
+    for key, value in ours.items():
+        spark.conf.set(key, str(value))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def text_slices(batch: pa.RecordBatch, most: int = 2_000_000):
@@ -71,6 +91,23 @@ def text_slices(batch: pa.RecordBatch, most: int = 2_000_000):
         yield batch.slice(begin)
 
 
+def sorted_groups(batches, columns: tuple[str, ...]):
+    """Tables of whole groups from batches sorted by the columns; holds a batch and the group that is open."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([rest, t]) if rest is not None else t
+        same = np.logical_and.reduce([t[c].to_numpy() == t[c][t.num_rows - 1].as_py() for c in columns])
+        cut = 0 if same.all() else t.num_rows - int(same[::-1].argmin())
+        if cut:
+            yield t.slice(0, cut).combine_chunks()
+        rest = t.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks()
+
+
 def give_back() -> None:
     """Returns freed memory to the system at the end of a task: Python workers outlive it and share the executor's limit."""
     pa.default_memory_pool().release_unused()

@@ -62,7 +62,6 @@ def test_components_are_exact(spark, k, percent):
 
 def test_blocks_of_one_bucket_find_every_link(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 5)
-    monkeypatch.setattr(minhash, "SMALL", 60)
     texts = corpus(11, 120)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     sets = dict(enumerate(brute_sets(texts, 3)))
@@ -88,6 +87,50 @@ def test_shingle_hashes_match_brute_force():
     assert a.tolist() == b.tolist()
 
 
+def thue_morse(letters):
+    """A word and its complement, which collide under polynomial hashes modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(letters)]
+    return tuple("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+
+
+def test_words_that_break_polynomial_hashes(spark):
+    pairs = [" ".join(w) for w in zip(thue_morse(1024), thue_morse(4096), thue_morse(2048))]
+    long = [" ".join([w] * 3 + [f"{i}" for i in range(9)]) for w in thue_morse(1024)]
+    texts = [*pairs, *long]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = brute_sets(texts, 3)
+    want = closed(list(range(4)), lambda i, j: 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 3, 85).collect()}
+    assert got == want and len(set(got.values())) == 4
+
+
+def test_ids_with_several_texts(spark):
+    """Rows with one id are one document with the links of all its texts, whichever row is read first."""
+    texts = corpus(21, 60)[:60]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(i + 5, texts[i]) for i in range(0, 50, 7)] + [(3, texts[3])] * 40 + [(59, None)]
+    sets: dict = {}
+    for i, t in rows:
+        sets.setdefault(i, []).append(brute_sets([t], 3)[0])
+    link = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 85 * len(a | b)
+    want = closed(list(sets), lambda i, j: any(link(a, b) for a in sets[i] for b in sets[j]))
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got = minhash.near_duplicates(df, 3, 85).collect()
+        assert len(got) == len(rows) and {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_temporary_tables_go(spark):
+    import os
+
+    from rulewright.llm.shared import new_path
+
+    folder = os.path.dirname(new_path(spark, "x"))
+    before = set(os.listdir(folder))
+    df = spark.createDataFrame(list(enumerate(corpus(2, 40))), "doc_id long, text string")
+    found = minhash.near_duplicates(df)
+    assert len(set(os.listdir(folder)) - before) == 1 and found.count() == df.count()
+
+
 def test_bands_meet_the_miss_rate():
     for t in (0.8, 0.85):
         b = minhash.band_count(t)
@@ -129,6 +172,39 @@ def test_vectors(spark):
     assert embeddings.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_dense_clusters_and_repeated_ids(spark, monkeypatch):
+    """Counts and components of clusters larger than a block, of pairs close to the threshold, and of ids with several vectors."""
+    monkeypatch.setattr(embeddings, "BLOCK", 40)
+    rng = np.random.default_rng(4)
+    rows = []
+    for size, spread in ((150, 0.05), (90, 0.24), (30, 0.3)):
+        base = rng.standard_normal(24)
+        rows += [(len(rows) + i, (base + spread * rng.standard_normal(24)).tolist()) for i in range(size)]
+    rows += [(7, rows[200][1]), (7, rows[7][1]), (300, rows[3][1]), (12, [0.0] * 24)]
+    x = np.array([v for _, v in rows[:-1]])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    of_id: dict = {}
+    for k, (i, _) in enumerate(rows[:-1]):
+        of_id.setdefault(i, []).append(k)
+    want = closed(list(of_id), lambda i, j: near[np.ix_(of_id[i], of_id[j])].any())
+    got = embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    expected = sorted([(i, int(near[k].sum()), want[i]) for k, (i, _) in enumerate(rows[:-1])] + [(12, 0, want[12])])
+    found = sorted(map(tuple, got))
+    assert [r[::2] for r in found] == [r[::2] for r in expected]
+    links = sum(r[1] for r in expected)
+    assert links - 0.01 * links <= sum(r[1] for r in found) <= links and all(a[1] <= b[1] for a, b in zip(found, expected))
+
+
+def test_forest_connects():
+    rng = np.random.default_rng(5)
+    u, v = rng.integers(0, 60, 70), rng.integers(60, 120, 70)
+    a, b = embeddings.forest(u, v)
+    nodes = sorted({*u.tolist(), *v.tolist()})
+    reach = lambda x, y: closed(nodes, lambda i, j: (i, j) in pairs) if (pairs := {p for i, j in zip(x.tolist(), y.tolist()) for p in ((i, j), (j, i))}) else {}
+    assert reach(u, v) == reach(a, b) and len(a) < len(nodes)
+
+
 def test_recall_at_the_threshold(spark):
     """Pairs a little above the threshold are missed no more often than stated."""
     rng = np.random.default_rng(2)
