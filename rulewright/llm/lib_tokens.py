@@ -1,19 +1,21 @@
 """Whole texts through the tokenizers library, which sees each distinct piece once per worker.
 
 A vectorised split finds the pieces that the library's own pre-tokenizer would find; unseen pieces go
-to the library joined by line breaks, in one call, and its word numbers tell their ids apart. Texts with
-characters whose normalisation could join or split pieces go to the library whole.
+to the library joined by line breaks, in one call, and its word numbers tell their ids apart. Texts that may hold the
+string of an added token, which the library gives that token's id, and texts with characters whose normalisation could
+join or split pieces go to the library whole, in batches.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 import unicodedata
 
 import numpy as np
 
-from rulewright.llm.pretok import TextEncoder, once
+from rulewright.llm.pretok import TextEncoder, chunks, once
 
 #: Below this code point, without the dotted capital I, lower-casing and NFC map one character to one.
 SIMPLE_BELOW = 0x250
@@ -23,10 +25,11 @@ class LibEncoder:
     def __init__(self, content: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker for each core
         self.lib = Tokenizer.from_str(content)
         self.lib.no_padding()
         self.lib.no_truncation()
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t["content"] for t in json.loads(content).get("added_tokens", [])]
         self.words = json.loads(content)["normalizer"] is not None
         self.coder = TextEncoder(self._pieces, "word" if self.words else "byte")
 
@@ -52,20 +55,23 @@ class LibEncoder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, number of ids of each text)."""
-        if not self.words:
-            return self.coder(texts)
-        simple = [self._simple(t) for t in texts]
-        ids, lens = self.coder([t.lower() if ok else "" for t, ok in zip(texts, simple)])
-        if all(simple):
+        whole = np.fromiter(map(self._goes_whole, texts), bool, len(texts))
+        ids, lens = self.coder(["" if w else t.lower() if self.words else t for t, w in zip(texts, whole)])
+        if not whole.any():
             return ids, lens
-        parts, ends = [], np.cumsum(lens).tolist()
-        for t, ok, n, end in zip(texts, simple, lens.tolist(), ends):
-            if not ok and self._maps_one_to_one(t):
-                got, _ = self.coder([t.lower()])
-                parts.append(got)
-            else:
-                parts.append(ids[end - n : end] if ok else np.array(self.lib.encode(t, add_special_tokens=False).ids, np.int32))
-        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        at = np.flatnonzero(whole)
+        some = [texts[i] for i in at]
+        found = [e.ids for a, b in chunks(some) for e in self.lib.encode_batch(some[a:b], add_special_tokens=False)]
+        lens = np.array(lens, np.int64)
+        before = np.cumsum(lens)[at]
+        lens[at] = [len(x) for x in found]
+        parts = np.split(ids, before)
+        return np.concatenate([parts[0], *(x for x, rest in zip(found, parts[1:]) for x in (np.array(x, np.int32), rest))]), lens
+
+    def _goes_whole(self, text: str) -> bool:
+        if any(a[0] in text for a in self.added) and any(a.lower() in text.lower() for a in self.added):
+            return True
+        return self.words and not self._simple(text) and not self._maps_one_to_one(text)
 
     @staticmethod
     def _simple(text: str) -> bool:

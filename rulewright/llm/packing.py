@@ -1,27 +1,36 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens.
 
-The method works in bulk-synchronous steps on range-sorted documents and gaps. Sizes are whole numbers up
-to the capacity, so both sorted lists are held as runs of equal size: a document is named by its size and its
-rank among documents of that size, a gap by its run and its rank there. In a step all documents of the
-largest size left sweep to their successor, the smallest run of gaps that holds them; conflicts go by rank (the
-k-th document takes the k-th gap), the gaps shrink, and the step repeats until the size is placed; new gaps open
-only where no successor exists. The runs depend on the capacity, never on the number of documents. Ranks
-come from a distributed counting sort, and one join deals every document its place.
+The method works in bulk-synchronous rounds on documents and gaps sorted by size. Sizes are whole numbers up to the
+capacity, so both are held as runs: documents of one size with consecutive ranks, and gaps of one room with consecutive
+sequences. A round takes the sizes between two fractions of the capacity, the largest left first. Documents and gaps
+are dealt to ranges of their size; each range is swept for every document's successor, the smallest gap that
+holds it; conflicts go by rank; what a range can't match is swept again over all ranges together. Then the gaps are
+updated, sequences open for documents that no gap holds, and the next round begins. Documents for which this round made
+much better gaps wait for the next one. A round is exactly single-document best fit over the gaps it began with.
+The number of runs depends on the capacity, not on the number of documents. Ranks come from a distributed counting sort,
+and one join deals every document its place.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rulewright.llm.lib_tokens import lib_encoder
-from rulewright.llm.shared import give_back, written
+from rulewright.llm.shared import give_back, new_path, written
+
+#: Ranges of sizes that a round deals its runs to. A document waits if a gap made in its round would hold it WAIT times,
+#: unless it is smaller than the capacity by a factor of WAIT_BELOW.
+RANGES, WAIT, WAIT_BELOW = 8, 5, 10
 
 
 def cut(n_tokens: int, capacity: int) -> list[tuple[int, int]]:
@@ -71,46 +80,163 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None, c
     return written(docs.select(id_col, text_col).mapInArrow(run, schema), "pieces")
 
 
-def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, end rank, first sequence, offset): where the documents of each length and rank go."""
-    gaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # runs of sequences with that much room
-    runs, sequences = [], 0
-    for size in sorted((s for s, n in counts.items() if n), reverse=True):
-        rank, end = 0, counts[size]
-        while rank < end:
-            gap = next((g for g in range(size, capacity + 1) if gaps[g]), None)
-            if gap is None:
-                new = -(-(end - rank) // (capacity // size))
-                gaps[capacity].append((sequences, new))
-                sequences += new
-                continue
-            first, n = gaps[gap].pop()
-            used = min(n, end - rank)
-            if used < n:
-                gaps[gap].append((first + used, n - used))
-            runs.append((size, rank, rank + used, first, capacity - gap))
-            gaps[gap - size].append((first, used))
-            rank += used
-    return runs
+class Round(NamedTuple):
+    """What a round of the packing is told: its sizes (low, high], the capacity, and the sequences opened so far."""
+
+    low: int
+    high: int
+    capacity: int
+    opened: int
+
+
+def size_class(size: int, capacity: int) -> tuple[int, int]:
+    """The class (low, high] of a size: between fractions of the capacity, halves below the eighth."""
+    parts = [*range(1, 9), *(2**i for i in range(4, 40))]
+    bounds = [capacity // p for p in parts if capacity // p]
+    high = min(b for b in bounds if b >= size)
+    return max((b for b in bounds if b < high), default=0), high
+
+
+def sweep(documents: list[tuple], gaps: list[tuple]) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """(matches, documents left, gaps left): each document takes the smallest gap that holds it.
+
+    ``documents`` are runs (size, first rank, n), ``gaps`` runs (room, first sequence, n). Conflicts go by rank: larger
+    documents first, then smaller ranks. Documents of one size fill a gap as often as they fit. A match is
+    (size, first rank, n, room, first sequence, documents in each gap).
+    """
+    gaps, matches, left = sorted(gaps), [], []
+    for size, first, n in sorted(documents, key=lambda d: (-d[0], d[1])):
+        while n:
+            at = bisect_left(gaps, (size,))
+            if at == len(gaps):
+                left.append((size, first, n))
+                break
+            room, sequence, free = gaps[at]
+            each = room // size
+            used = min(free, -(-n // each))
+            placed = min(n, used * each)
+            matches.append((size, first, placed, room, sequence, each))
+            first, n = first + placed, n - placed
+            if used == free:
+                del gaps[at]
+            else:
+                gaps[at] = (room, sequence + used, free - used)
+    return matches, left, gaps
+
+
+def settle(matches: list[tuple], documents: list[tuple], gaps: list[tuple], r: Round) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """(matches that hold, documents left, gaps): the gaps after a round.
+
+    From the first size on that a gap made by larger documents of this round would hold WAIT times or more, documents wait for the
+    next round. Only when none waits, new sequences open for those that no gap holds.
+    """
+    matches = sorted(matches, key=lambda m: (-m[0], m[1]))
+    documents, gaps, held = list(documents), list(gaps), []
+    made, stopped = 0, False
+    for i, (size, first, n, room, sequence, each) in enumerate(matches):
+        if i and size < matches[i - 1][0]:
+            stopped = stopped or (size * WAIT_BELOW >= r.capacity and made >= WAIT * size)
+        used, (full, rest) = -(-n // each), divmod(n, each)
+        if stopped:
+            documents.append((size, first, n))
+            gaps.append((room, sequence, used))
+            continue
+        held.append((size, first, n, room, sequence, each))
+        for count, begin, inside in ((full, sequence, each), (min(rest, 1), sequence + full, rest)):
+            after = room - inside * size
+            if count:
+                made = max(made, after)
+                if after:
+                    gaps.append((after, begin, count))
+    if documents and not stopped:
+        inside = r.capacity // max(size for size, _, _ in documents)
+        gaps.append((r.capacity, r.opened, -(-sum(n for _, _, n in documents) // inside)))
+    return held, documents, gaps
+
+
+DOCUMENT, GAP, MATCH = ("size", "first", "n"), ("room", "sequence", "n"), ("size", "first", "n", "room", "sequence", "each")
+STATE = "kind string, " + ", ".join(f"{c} long" for c in MATCH)
+
+
+def _of_kinds(rows: pd.DataFrame) -> list[list[tuple]]:
+    """The matches, documents and gaps of a part of the state."""
+    kinds = (("match", MATCH), ("document", DOCUMENT), ("gap", GAP))
+    return [list(rows.loc[rows["kind"] == kind, list(fields)].itertuples(index=False, name=None)) for kind, fields in kinds]
+
+
+def _state(matches: list[tuple], documents: list[tuple], gaps: list[tuple]) -> pd.DataFrame:
+    rows = [("match", *m) for m in matches]
+    rows += [("document", *d, 0, 0, 0) for d in documents]
+    rows += [("gap", 0, 0, n, room, sequence, 0) for room, sequence, n in gaps]
+    return pd.DataFrame(rows, columns=["kind", *MATCH])
+
+
+def _superstep(state: DataFrame, r: Round) -> DataFrame:
+    """One round over the runs of documents and gaps: sweeps inside ranges of sizes, then one over what the ranges leave.
+
+    The class's documents and the gaps that hold one are dealt to ranges of their size. What matches inside its range
+    matches so in the whole, since no smaller document comes before and no larger one takes so small a gap.
+    """
+    at = F.when(F.col("kind") == "document", F.col("size")).otherwise(F.col("room"))
+    ranges = F.floor((at - 1) * RANGES / r.capacity)
+    now = ((F.col("kind") == "document") & (F.col("size") > r.low)) | ((F.col("kind") == "gap") & (F.col("room") > r.low))
+
+    def inside(rows: pd.DataFrame) -> pd.DataFrame:
+        return _state(*sweep(*_of_kinds(rows)[1:]))
+
+    def across(rows: pd.DataFrame) -> pd.DataFrame:
+        matches, documents, gaps = _of_kinds(rows)
+        more, documents, gaps = sweep(documents, gaps)
+        return _state(*settle(matches + more, documents, gaps, r))
+
+    swept = state.where(now).groupBy(ranges.alias("range")).applyInPandas(inside, STATE)
+    return swept.groupBy().applyInPandas(across, STATE).unionByName(state.where(~now))
+
+
+def place_runs(counts: DataFrame, capacity: int) -> DataFrame:
+    """Matches (size, first, n, room, sequence, each) for all documents of ``counts`` (length, n).
+
+    The rounds repeat until no document is left. Each writes its state, whose rows depend on the capacity
+    and not on the number of documents; the driver holds the largest size left and the number of sequences.
+    """
+    spark = counts.sparkSession
+    folder = new_path(spark, "packing-rounds")
+    zero = [F.lit(0).cast("long").alias(c) for c in ("room", "sequence", "each")]
+    state = counts.select(F.lit("document").alias("kind"), F.col("length").cast("long").alias("size"), F.lit(0).cast("long").alias("first"), F.col("n").cast("long").alias("n"), *zero)
+    largest, opened, step = counts.agg(F.max("length")).first()[0], 0, 0
+    while largest:
+        r = Round(*size_class(largest, capacity), capacity, opened)
+        told = Observation()
+        is_new = (F.col("kind") == "gap") & (F.col("sequence") >= opened)
+        left = F.max(F.when(F.col("kind") == "document", F.col("size")))
+        after = _superstep(state, r).observe(told, left.alias("largest"), F.max(F.when(is_new, F.col("sequence") + F.col("n"))).alias("opened"))
+        after.write.parquet(f"{folder}/round={step}")
+        largest, opened, step = told.get["largest"], told.get["opened"] or opened, step + 1
+        state = spark.read.schema(STATE).parquet(f"{folder}/round={step - 1}").where("kind <> 'match'")
+    if not step:
+        return spark.createDataFrame([], STATE).drop("kind")
+    return spark.read.schema(STATE).parquet(*[f"{folder}/round={i}" for i in range(step)]).where("kind = 'match'").drop("kind")
 
 
 def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     """Adds sequence_id and offset to a written table of pieces and drops part and local_rank.
 
-    The driver sees one number for each length (``capacity`` rows at most); the runs that it broadcasts are
-    bounded by the capacity as well. The rest is a join of slim rows on (part, length).
+    A piece's rank among those of its length is its rank in its task plus the pieces of the tasks before. One join of
+    slim rows deals the places; Spark broadcasts the matches by their measured size.
     """
-    spark = pieces.sparkSession
-    by_part = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    runs = spark.createDataFrame(best_fit_runs(counts, capacity), "run_length long, first_rank long, end_rank long, first_sequence long, offset long")
+    by_part = written(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
+    runs = place_runs(by_part.groupBy("length").agg(F.sum("n").alias("n")), capacity)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = by_part.select("part", "length", before.alias("base"))
     ranked = pieces.join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("local_rank"))
-    at = (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank"))
-    placed = ranked.join(F.broadcast(runs), at).withColumn("sequence_id", F.col("first_sequence") + F.col("rank") - F.col("first_rank"))
-    gone = ("part", "local_rank", "base", "rank", "run_length", "first_rank", "end_rank", "first_sequence")
-    return placed.drop(*gone)
+    at = (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))
+    index = F.col("rank") - F.col("first")
+    places = {
+        "sequence_id": F.col("sequence") + F.floor(index / F.col("each")),
+        "offset": F.lit(capacity) - F.col("room") + index % F.col("each") * F.col("size"),
+    }
+    gone = ("part", "local_rank", "base", "rank", *MATCH)
+    return ranked.join(runs, at).withColumns(places).drop(*gone)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -1,8 +1,8 @@
 """Token ids in bit-packed files, in ascending order of document id.
 
 A file holds, in this order: a magic number; blocks of ``BLOCK`` ids, each id in the fewest bits that hold the
-largest id of the vocabulary; the document ids; where each document ends; the byte offset of each block; a
-footer. Block offsets let a reader unpack any range of ids without the rest of the file.
+largest id of the vocabulary; the document ids, null ones first; where each document ends; the byte offset of each
+block; a footer with the numbers of all these and of the null ids. Block offsets let a reader unpack any range of ids without the rest of the file.
 
 Every task writes a file of its own name, and only files named by the manifest, which is written after
 the tasks have succeeded, are ever read: lost executors and repeated tasks leave no trace in the result.
@@ -20,17 +20,15 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulewright.llm.lib_tokens import lib_encoder
-from rulewright.llm.shared import new_path, written
+from rulewright.llm.shared import file_system, new_path, written
 
-MAGIC, FOOTER = b"RWTOKEN1", struct.Struct("<QQQHI8s")
+MAGIC, FOOTER = b"RWTOKEN2", struct.Struct("<QQQQHI8s")
 BLOCK = 4096
-NULL_ID = -(2**63)
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 
 
@@ -58,23 +56,21 @@ def unpack(data: bytes, bits: int, begin: int, stop: int) -> np.ndarray:
     return ((out >> (at & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
-def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 class TokenWriter:
     """Streams one file; holds a block of ids and two numbers for each document."""
 
     def __init__(self, sink, bits: int):
         self.sink, self.bits, self.rest = sink, bits, np.zeros(0, np.uint32)
-        self.at, self.tokens = len(MAGIC), 0
+        self.at, self.tokens, self.nulls = len(MAGIC), 0, 0
         self.ids: list[np.ndarray] = []
         self.ends: list[np.ndarray] = []
         self.blocks: list[int] = []
         sink.write(MAGIC)
 
-    def add(self, doc_ids: np.ndarray, flat: np.ndarray, lens: np.ndarray) -> None:
-        self.ids.append(doc_ids)
+    def add(self, doc_ids: pa.Array, flat: np.ndarray, lens: np.ndarray) -> None:
+        """Documents in order, null ids first."""
+        self.nulls += doc_ids.null_count
+        self.ids.append(pc.fill_null(doc_ids, 0).to_numpy(zero_copy_only=False))
         self.ends.append(self.tokens + np.cumsum(lens))
         self.tokens += len(flat)
         flat = np.concatenate([self.rest, flat.astype(np.uint32)])
@@ -97,7 +93,7 @@ class TokenWriter:
         for parts, kind in ((self.ids, "<i8"), (self.ends, "<u8"), ([np.array(self.blocks)], "<u8")):
             for x in parts:
                 self.sink.write(x.astype(kind).tobytes())
-        self.sink.write(FOOTER.pack(n, self.tokens, len(self.blocks), self.bits, BLOCK, MAGIC))
+        self.sink.write(FOOTER.pack(n, self.nulls, self.tokens, len(self.blocks), self.bits, BLOCK, MAGIC))
         return n
 
 
@@ -107,7 +103,7 @@ class TokenReader:
     def __init__(self, source):
         self.source = source
         end = source.size()
-        self.n_docs, self.n_tokens, self.n_blocks, self.bits, self.block, magic = FOOTER.unpack(self._read(end - FOOTER.size, FOOTER.size))
+        self.n_docs, self.n_nulls, self.n_tokens, self.n_blocks, self.bits, self.block, magic = FOOTER.unpack(self._read(end - FOOTER.size, FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a token file")
         self.table = end - FOOTER.size - 8 * (2 * self.n_docs + self.n_blocks)
@@ -164,11 +160,14 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, vocabulary_size: int
                 flat, lens = encode([t or "" for t in part.column(1).to_pylist()])
                 if end_id is not None:
                     flat, lens = np.insert(flat, np.cumsum(lens), end_id), lens + 1
-                writer.add(pc.fill_null(part.column(0), NULL_ID).to_numpy(zero_copy_only=False), flat, lens)
+                writer.add(part.column(0), flat, lens)
         if writer is not None:
             n = writer.close()
             sink.close()
-            yield pa.RecordBatch.from_pylist([{"shard": TaskContext.get().partitionId(), "path": name if store.type_name == "local" else folder + name[len(root) :], "n_docs": n, "n_tokens": writer.tokens}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            path = name if store.type_name == "local" else folder + name[len(root) :]
+            row = {"shard": TaskContext.get().partitionId(), "path": path, "n_docs": n, "n_tokens": writer.tokens}
+            kinds = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+            yield pa.RecordBatch.from_pylist([row], schema=kinds)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
@@ -198,7 +197,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, id_col: str = "do
                         flat = r.tokens(int(first[0]), int(end[-1]))
                         ends = (end - first[0]).tolist()
                         parts = [flat[i:j] for i, j in zip([0, *ends], ends)]
-                        cols = [pa.array(ids, mask=ids == NULL_ID), pa.array(base + first), pa.array(end - first), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
+                        cols = [pa.array(ids, mask=np.arange(a, a + stop) < r.n_nulls), pa.array(base + first), pa.array(end - first), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
                         if with_ids:
                             cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat.astype(np.int32))))
                         yield pa.RecordBatch.from_arrays(cols, names=[id_col, "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])

@@ -14,10 +14,11 @@ from tokenizers import Tokenizer
 
 from rulewright.llm import bpe, packing, pretok, queries, token_files
 from rulewright.llm.lib_tokens import LibEncoder
+from tests.conftest import DATA
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TRICKY = "ab'sdtmlrve \n\t\r\x0b\x85\xa0 '12²½.,!?é漢́ßÀİŉǅ–’\x00\x1c😀"
-TEXTS = [None, "", " ", "'s", "''s", " 's", "don't I'll we've", "a  b\n\n c ", "\n\n", "x" * 5000, "<|endoftext|>", " ".join(["word"] * 3000), "ábc"]
+TEXTS = [None, "", " ", "'s", "''s", " 's", "don't I'll we've", "a  b\n\n c ", "\n\n", "x" * 5000, "<|endoftext|>", "a <|endoftext|> b", "<|EndOfText|><|startoftext|>x", "<| endoftext|>", " ".join(["word"] * 3000), "ábc"]
 
 
 @pytest.fixture(scope="module")
@@ -60,7 +61,6 @@ def test_the_cache_makes_room_without_changing_ids(reference, ranks):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_pieces_give_the_librarys_ids(name):
     lib = Tokenizer.from_file(public_tokenizers.path(name))
-    lib.encode_special_tokens = True
     ours = LibEncoder(open(public_tokenizers.path(name), encoding="utf-8").read())
     rng = random.Random(2)
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice(TRICKY) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
@@ -113,7 +113,6 @@ def test_token_files(spark):
     docs = _documents(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     manifest = token_files.write_token_files(docs, path, 49_408)
     got = token_files.read_token_files(spark, manifest).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == sorted((r["doc_id"] for r in got), key=lambda x: -1 if x is None else x)
@@ -149,19 +148,74 @@ class _Sized:
         return self.f.read(n)
 
 
-def test_best_fit_runs_place_everything():
-    rng = random.Random(5)
-    for capacity in (10, 64, 1024):
-        sizes = [rng.randint(1, capacity) for _ in range(2000)]
-        counts = {s: sizes.count(s) for s in set(sizes)}
-        fill, places = {}, 0
-        for length, a, b, first, offset in packing.best_fit_runs(counts, capacity):
-            for k in range(b - a):
-                assert fill.get(first + k, 0) == offset
-                fill[first + k] = offset + length
-                places += 1
-        assert places == 2000 and max(fill.values()) <= capacity
-        assert len(fill) <= 1.02 * -(-sum(sizes) // capacity) + 2
+def brute_rounds(sizes, capacity):
+    """The sequences, as sorted sizes, of rounds in which single documents take single gaps, one after the other."""
+    bounds = sorted({capacity // p for p in (1, 2, 3, 4, 5, 6, 7, 8, 16, 32, 64, 128, 256, 512, 1024)} - {0})
+    left, held = sorted(sizes, reverse=True), []
+    while left:
+        high = min(b for b in bounds if b >= left[0])
+        low = max((b for b in bounds if b < high), default=0)
+        gaps = sorted((capacity - sum(x), i) for i, x in enumerate(held))
+        here, last, made, wait, orphans = None, None, 0, [], []
+        for d in left:
+            if d != last:
+                if here is not None:
+                    made, here = max(made, capacity - sum(held[here])), None
+                if d <= low or wait or (d * 10 >= capacity and made >= 5 * d):
+                    wait.append(d)
+                    continue
+                last = d
+            if here is None or capacity - sum(held[here]) < d:
+                if here is not None:
+                    made = max(made, capacity - sum(held[here]))
+                k = next((k for k, g in enumerate(gaps) if g[0] >= d), None)
+                if k is None:
+                    orphans.append(d)
+                    here = None
+                    continue
+                here = gaps.pop(k)[1]
+            held[here].append(d)
+        stopped = any(d > low for d in wait)
+        if orphans and not stopped:
+            held += [[] for _ in range(-(-len(orphans) // (capacity // orphans[0])))]
+        left = sorted(orphans + wait, reverse=True)
+    return sorted(sorted(x) for x in held)
+
+
+def best_fit_decreasing(sizes, capacity):
+    rooms = []
+    for d in sorted(sizes, reverse=True):
+        k = min((k for k, r in enumerate(rooms) if r >= d), key=rooms.__getitem__, default=None)
+        if k is None:
+            rooms.append(capacity - d)
+        else:
+            rooms[k] -= d
+    return len(rooms)
+
+
+@pytest.mark.parametrize("capacity, largest, n", [(10, 10, 300), (64, 30, 400), (1024, 1024, 300)])
+def test_rounds_are_single_document_best_fit(spark, capacity, largest, n):
+    rng = random.Random(capacity)
+    sizes = [rng.randint(1, largest) for _ in range(n)]
+    counts = spark.createDataFrame([(s, sizes.count(s)) for s in set(sizes)], "length int, n long")
+    held: dict = {}
+    for r in packing.place_runs(counts, capacity).collect():
+        for k in range(r["n"]):
+            held.setdefault(r["sequence"] + k // r["each"], []).append((capacity - r["room"] + k % r["each"] * r["size"], r["size"]))
+    for places in held.values():
+        at = 0
+        for offset, size in sorted(places):
+            assert offset == at
+            at += size
+        assert at <= capacity
+    assert sorted(held) == list(range(len(held)))
+    assert sorted(sorted(size for _, size in x) for x in held.values()) == brute_rounds(sizes, capacity)
+    assert len(held) <= best_fit_decreasing(sizes, capacity) + 2
+
+
+def test_few_sequences(spark):
+    packed = queries.op8_best_fit_packing(spark, f"{DATA}/sf0.01")
+    assert packed.select("sequence_id").distinct().count() <= 964
 
 
 def test_pieces():
@@ -174,7 +228,6 @@ def test_packing_documents(spark):
     packed = packing.pack_documents(docs, path, end_id=2, capacity=16, with_ids=True).persist()
     rows = packed.collect()
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     by = {}
     for r in rows:
         by.setdefault(r["sequence_id"], []).append(r)
