@@ -6,8 +6,8 @@ them and escapes control strings inside texts; a loss mask gives the spans of th
 
 A layout no mapping knows gives null turns and stays in the table. Null texts and roles are empty. Turns of
 one conversation are ordered by their order column, their place in the record, role and text, so ties and repeated
-rows (all kept) have one result; a null order comes first and a null key is a conversation of its own. A conversation's
-formatted text is one value, so its turns meet in one task; nothing larger does.
+rows (all kept) have one result; a null order comes first. Each record with a null key is a conversation of its own, so they
+neither merge nor meet in one task. A conversation's formatted text is one value, so its turns meet in one task; nothing larger does.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from rulewright.llm.shared import unique_name
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Names that layouts use for the canonical roles.
+#: Names that lists of messages use for the canonical roles; the roles of plain turn rows are kept as they are.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -102,7 +102,7 @@ def _mapped(m: Mapping, record: Column) -> Column:
 
     out = []
     for t in m.turns:
-        role = F.lit(t.role) if t.role else _role(text(t.role_path))
+        role = F.lit(t.role) if t.role else F.coalesce(text(t.role_path), F.lit(""))
         parts = F.concat_ws("\n\n", *[F.nullif(text(p), F.lit("")) for p in t.text])
         one = F.array(F.struct(role.alias("role"), parts.alias("text")))
         optional = all(p in m.optional for p in t.text)
@@ -152,15 +152,20 @@ def format_chats(df: DataFrame, key_col: str, order_col: str, turns_col: str = "
 
     ``unmapped`` counts records without turns; a conversation of none but these has a null text. One shuffle by the key serves the running offsets and the grouping.
     """
-    rows = df.select(F.col(f"`{key_col}`").alias("_key"), F.col(f"`{order_col}`").alias("_order"), F.posexplode_outer(f"`{turns_col}`").alias("_pos", "_turn"))
+    key = F.col(f"`{key_col}`")
+    own = F.when(key.isNull(), F.monotonically_increasing_id())
+    rows = df.select(key.alias("_key"), own.alias("_own"), F.col(f"`{order_col}`").alias("_order"), F.col(f"`{turns_col}`").alias("_turns"))
+    rows = rows.select("_key", "_own", "_order", F.posexplode_outer("_turns").alias("_pos", "_turn"))
     head = F.concat(F.lit(START), _escape_role(F.col("_turn.role")), F.lit("\n"))
-    rows = rows.select("_key", "_order", "_pos", F.col("_turn.role").alias("_role"), F.col("_turn.text").alias("_text"), head.alias("_head"), escape(F.col("_turn.text")).alias("_body"))
+    texts = F.col("_turn.role").alias("_role"), F.col("_turn.text").alias("_text"), head.alias("_head"), escape(F.col("_turn.text")).alias("_body")
+    rows = rows.select("_key", "_own", "_order", "_pos", *texts)
     rows = rows.withColumn("_segment", F.concat("_head", "_body", F.lit(END + "\n")))
-    w = Window.partitionBy("_key").orderBy("_order", "_pos", "_role", "_text")
+    w = Window.partitionBy("_key", "_own").orderBy("_order", "_pos", "_role", "_text")
     rows = rows.withColumn("_start", F.sum(F.length("_segment")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.length("_segment"))
     span = F.when(F.col("_role") == "assistant", F.struct((F.col("_start") + F.length("_head")).alias("start"), F.length("_body").cast("long").alias("length")))
     turn = F.when(F.col("_pos").isNotNull(), F.struct("_start", "_segment", span.alias("_span")))
-    grouped = rows.groupBy("_key").agg(F.array_sort(F.collect_list(turn)).alias("_all"), F.count_if(F.col("_pos").isNull()).alias("unmapped"))
+    unmapped = F.count_if(F.col("_pos").isNull()).alias("unmapped")
+    grouped = rows.groupBy("_key", "_own").agg(F.array_sort(F.collect_list(turn)).alias("_all"), unmapped)
     return grouped.select(
         F.col("_key").alias(key_col),
         F.when(F.size("_all") > 0, F.array_join(F.transform("_all", lambda x: x["_segment"]), "")).alias("formatted"),

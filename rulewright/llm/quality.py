@@ -1,10 +1,11 @@
 """Quality rules of documents and of their hosts, in DataFrame functions only.
 
-A document fails a rule by its own counts. Failures are summed by host, each host's failure rate is shrunk
-towards the corpus by a beta prior that is fitted to the hosts' rates, and the verdict on the host is joined back:
-a document is kept if it fails no rule and its host isn't rejected.
+A document fails a rule by its own counts. Failures are summed by host and each host's failure rate is shrunk
+towards the corpus by a beta prior that is fitted to the hosts' rates. The verdict on the host is joined back to its
+documents: all documents of a rejected host go, and those of a suspect host, one whose shrunk rate lies well above the
+corpus, must keep stricter limits. Documents of other hosts are kept if they fail no rule.
 
-Null text has no words and so fails; a null host is nobody's, never rejected and not part of the prior.
+Null text has no words and so fails; a null host is nobody's, never rejected or suspect and not part of the prior.
 Repeated rows are judged each by itself; an empty table gives an empty result.
 """
 
@@ -19,9 +20,14 @@ WHITE = r"[\x20\x09-\x0D]+"
 NOT_WHITE = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 #: Production limits. Symbols and lines are shares of words and of lines with a word.
-MIN_WORDS, MAX_REPEAT, MAX_SYMBOLS, MAX_DUP_LINES, HOST_LIMIT = 50, 0.5, 0.5, 0.5, 0.8
-#: Bounds of the prior's weight in documents; the middle one holds where the hosts' rates don't vary.
-LEAST_WEIGHT, USUAL_WEIGHT, MOST_WEIGHT = 1.0, 50.0, 10_000.0
+MIN_WORDS, MAX_REPEAT, MAX_SYMBOLS, MAX_DUP_LINES = 50, 0.5, 0.5, 0.5
+#: Limits for documents of suspect hosts.
+STRICT_REPEAT, STRICT_SYMBOLS, STRICT_DUP_LINES = 0.25, 0.1, 0.1
+#: Shrunk rate from which a host is rejected, and its multiple of the prior's mean from which a host is suspect.
+HOST_LIMIT, SUSPECT = 0.8, 1.25
+#: The prior's weight in documents: at least LEAST_WEIGHT, at most those of an average host, so that a host's own documents
+#: always count; USUAL_WEIGHT where the hosts' rates don't vary at all.
+LEAST_WEIGHT, USUAL_WEIGHT = 1.0, 50.0
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
@@ -64,49 +70,58 @@ def base_failed(name: dict[str, str]) -> Column:
     return (n < MIN_WORDS) | (100 * F.col(f"`{name['n_repeat_words']}`") > 100 * MAX_REPEAT * n)
 
 
-def rules_failed(name: dict[str, str]) -> Column:
+def rules_failed(name: dict[str, str], repeat: float = MAX_REPEAT, symbols: float = MAX_SYMBOLS, dup_lines: float = MAX_DUP_LINES) -> Column:
     """Whether a document fails any rule of its own."""
     c = {k: F.col(f"`{v}`") for k, v in name.items()}
-    return base_failed(name) | (c["n_symbols"] > MAX_SYMBOLS * c["n_words"]) | (c["n_dup_lines"] > MAX_DUP_LINES * c["n_lines"])
+    repeats = 100 * c["n_repeat_words"] > 100 * repeat * c["n_words"]
+    return base_failed(name) | repeats | (c["n_symbols"] > symbols * c["n_words"]) | (c["n_dup_lines"] > dup_lines * c["n_lines"])
 
 
-def host_verdicts(rows: DataFrame, host_col: str, failed_col: str, limit: float = HOST_LIMIT) -> DataFrame:
-    """(host, n_docs, n_failed, rate, rejected): one row for each host, the rate shrunk by the fitted prior.
+def host_verdicts(rows: DataFrame, host_col: str, failed_col: str) -> DataFrame:
+    """(host, n_docs, n_failed, rate, verdict): one row for each host, the rate shrunk by the fitted prior, and
+    ``rejected``, ``suspect`` or ``trusted``.
 
     Sums are combined before the shuffle, so a host with a third of all documents is one row of each task.
-    The prior's mean and weight come from the moments of the hosts' rates: three numbers reach the driver.
+    The prior's mean and weight come from the moments of the hosts' rates: four numbers reach the driver.
     """
-    hosts = rows.where(F.col(f"`{host_col}`").isNotNull()).groupBy(F.col(f"`{host_col}`").alias("host")).agg(F.count("*").alias("n_docs"), F.sum(F.col(f"`{failed_col}`").cast("long")).alias("n_failed"))
-    hosts = written(hosts, "hosts")
+    host = F.col(f"`{host_col}`")
+    sums = F.count("*").alias("n_docs"), F.sum(F.col(f"`{failed_col}`").cast("long")).alias("n_failed")
+    hosts = written(rows.where(host.isNotNull()).groupBy(host.alias("host")).agg(*sums), "hosts")
     rate = F.col("n_failed") / F.col("n_docs")
-    m = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("var"), F.avg(1 / F.col("n_docs")).alias("inverse")).first()
-    mean, weight = m["mean"] or 0.0, USUAL_WEIGHT
+    m = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("var"), F.avg(1 / F.col("n_docs")).alias("inverse"), F.avg("n_docs").alias("size")).first()
+    mean, most, weight = m["mean"] or 0.0, max(m["size"] or 0.0, LEAST_WEIGHT), USUAL_WEIGHT
     spread = mean * (1 - mean)
     if m["var"] and (between := m["var"] - spread * m["inverse"]) > 0:  # what sampling alone doesn't explain
         weight = spread / between - 1
     elif m["var"]:
-        weight = MOST_WEIGHT
-    weight = min(max(weight, LEAST_WEIGHT), MOST_WEIGHT)
+        weight = most
+    weight = min(max(weight, LEAST_WEIGHT), most)
     shrunk = (F.col("n_failed") + mean * weight) / (F.col("n_docs") + weight)
-    return hosts.select("*", shrunk.alias("rate"), (shrunk >= limit).alias("rejected"))
+    verdict = F.when(shrunk >= HOST_LIMIT, "rejected").when((shrunk > 0) & (shrunk >= SUSPECT * mean), "suspect").otherwise("trusted")
+    return hosts.select("*", shrunk.alias("rate"), verdict.alias("verdict"))
 
 
 def judge_documents(docs: DataFrame, host_col: str = "source", text_col: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """The columns ``keep`` (all) of ``docs`` with counts, base_failed, host_rate and kept; and the names they got.
+    """The columns ``keep`` (all) of ``docs`` with counts, base_failed, rules_failed, host_rate, host_verdict and kept; and the names they got.
 
     The counts are written once to the shared folder and read for the hosts' sums and for the result. The hosts are
     a written table too: Spark broadcasts it only below its limit and else splits the hot host's partition.
     """
     df, name = with_counts(docs, text_col)
-    name |= {c: unique_name(c, docs.columns) for c in ("base_failed", "rules_failed", "host_rate", "kept")}
+    made = ("base_failed", "rules_failed", "host_rate", "host_verdict", "kept")
+    name |= {c: unique_name(c, docs.columns) for c in made}
     df = df.withColumns({name["base_failed"]: base_failed(name), name["rules_failed"]: rules_failed(name)})
     wanted = list(dict.fromkeys([*(docs.columns if keep is None else keep), host_col]))
-    df = written(df.select([F.col(f"`{x}`") for x in [*wanted, *(name[k] for k in (*COUNTS, "base_failed", "rules_failed"))]]), "counts")
-    key, rate, no = (unique_name(x, [*docs.columns, *name.values()]) for x in ("_host", "_rate", "_rejected"))
-    hosts = host_verdicts(df, host_col, name["rules_failed"]).select(F.col("host").alias(key), F.col("rate").alias(rate), F.col("rejected").alias(no))
-    judged = df.join(hosts, F.col(f"`{host_col}`") == F.col(f"`{key}`"), "left")
-    kept = ~F.col(f"`{name['rules_failed']}`") & ~F.coalesce(F.col(f"`{no}`"), F.lit(False))
-    return judged.withColumns({name["host_rate"]: F.col(f"`{rate}`"), name["kept"]: kept}).drop(key, rate, no), name
+    counted = [name[k] for k in (*COUNTS, "base_failed", "rules_failed")]
+    df = written(df.select([F.col(f"`{x}`") for x in [*wanted, *counted]]), "counts")
+    key = unique_name("_host", [*docs.columns, *name.values()])
+    hosts = host_verdicts(df, host_col, name["rules_failed"])
+    hosts = hosts.select(F.col("host").alias(key), F.col("rate").alias(name["host_rate"]), F.col("verdict").alias(name["host_verdict"]))
+    judged = df.join(hosts, F.col(f"`{host_col}`") == F.col(f"`{key}`"), "left").drop(key)
+    verdict = F.coalesce(F.col(f"`{name['host_verdict']}`"), F.lit("trusted"))
+    strict = rules_failed(name, STRICT_REPEAT, STRICT_SYMBOLS, STRICT_DUP_LINES)
+    kept = ~F.col(f"`{name['rules_failed']}`") & (verdict != "rejected") & ((verdict != "suspect") | ~strict)
+    return judged.withColumn(name["kept"], kept), name
 
 
 def keep_good(docs: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:

@@ -123,16 +123,19 @@ judged AS (
            OR n_dup_lines > 0.5 * n_lines AS rules_failed
   FROM counts),
 hosts AS (SELECT source, count(*) AS n, sum(rules_failed::INT) AS f FROM judged WHERE source IS NOT NULL GROUP BY source),
-moments AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v, avg(1 / n) AS inv FROM hosts),
+moments AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v, avg(1 / n) AS inv, greatest(avg(n), 1.0) AS most FROM hosts),
 prior AS (
-  SELECT m, CASE WHEN v IS NULL OR v = 0 THEN 50.0 WHEN v - m * (1 - m) * inv <= 0 THEN 10000.0
-                 ELSE least(greatest(m * (1 - m) / (v - m * (1 - m) * inv) - 1, 1.0), 10000.0) END AS k
+  SELECT m, least(greatest(CASE WHEN v IS NULL OR v = 0 THEN 50.0 WHEN v - m * (1 - m) * inv <= 0 THEN most
+                                ELSE m * (1 - m) / (v - m * (1 - m) * inv) - 1 END, 1.0), most) AS k
   FROM moments),
-bad AS (SELECT source FROM hosts, prior WHERE (f + m * k) / (n + k) >= 0.8),
+rated AS (SELECT source, m, (f + m * k) / (n + k) AS rate FROM hosts, prior),
+said AS (SELECT source, CASE WHEN rate >= 0.8 THEN 'rejected' WHEN rate > 0 AND rate >= 1.25 * m THEN 'suspect' ELSE 'trusted' END AS verdict FROM rated),
 verdicts AS (
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-         NOT rules_failed AND NOT coalesce(source IN (SELECT source FROM bad), false) AS kept
-  FROM judged)
+         NOT rules_failed AND coalesce(verdict, 'trusted') <> 'rejected'
+           AND NOT (coalesce(verdict, 'trusted') = 'suspect'
+                    AND (100 * n_repeat_words > 25 * n_words OR n_symbols > 0.1 * n_words OR n_dup_lines > 0.1 * n_lines)) AS kept
+  FROM judged LEFT JOIN said ON judged.source = said.source)
 """
 ORACLE_SQL["op4_quality_rules"] = f"WITH {QUALITY_SQL.format(docs='documents')} SELECT * FROM verdicts"
 

@@ -6,7 +6,8 @@ record to (path, frame, offset in the frame, length), so one record is read by d
 
 Of records with equal payloads of at least ``LEAST`` bytes the one with the smallest page id is a response and the others
 refer to it. A null payload is empty; a null page id is never referred to and is always a response; repeated
-rows of the smallest id are all responses. An empty table gives no bundle and an empty result.
+rows of the smallest id are all responses. An empty table gives no bundle and an empty result. Sizes in the seek table have
+32 bits, as in the public format, so a record of 4 GiB or more is an error (ValueError).
 Tasks write to names of their own, and only files in the written index are read, so repeated tasks do no harm.
 """
 
@@ -20,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulewright.llm.shared import new_path, written
-from rulewright.llm.token_files import file_system
+from rulewright.llm.shared import file_system, new_path, written
 
 LEAST, FRAME, LEVEL = 100, 1 << 20, 3
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -76,6 +76,8 @@ class BundleWriter:
 
     def add(self, record: bytes) -> tuple[int, int, int]:
         """(frame, offset, length) of the record."""
+        if self.size + len(record) >= 1 << 32:
+            raise ValueError(f"a record of {len(record)} bytes is too long for the seek table")
         place = len(self.table), self.size, len(record)
         self.frame.append(record)
         self.size += len(record)

@@ -35,7 +35,7 @@ LAYOUTS = [
     ({"prompt": "p", "completion": "c"}, "prompt_completion", [("user", "p"), ("assistant", "c")]),
     ({"prompt": "p", "response": "c"}, "prompt_response", [("user", "p"), ("assistant", "c")]),
     ({"context": "x", "question": "y", "answer": "z"}, "question_answer", [("user", "x\n\ny"), ("assistant", "z")]),
-    ({"conv_id": 1, "turn": 0, "role": "bot", "text": "t"}, "turn_rows", [("assistant", "t")]),
+    ({"conv_id": 1, "turn": 0, "role": "bot", "text": "t"}, "turn_rows", [("bot", "t")]),
     ({"messages": []}, None, None),
     ({"other": {"deep": [1, 2]}}, None, None),
 ]
@@ -69,9 +69,9 @@ def test_texts_come_back(spark):
 
 def test_ties_nulls_and_repeats(spark):
     turns = "c int, i int, turns array<struct<role:string,text:string>>"
-    df = spark.createDataFrame([(1, 0, [("user", "b")]), (1, 0, [("user", "a")]), (1, 0, [("user", "a")]), (None, None, [("user", "n")]), (2, 0, None)], turns)
-    got = {r["c"]: [t["text"] for t in r["turns"]] for r in chat.read_chats(chat.format_chats(df, "c", "i")).collect()}
-    assert got == {1: ["a", "a", "b"], None: ["n"]}
+    df = spark.createDataFrame([(1, 0, [("user", "b")]), (1, 0, [("user", "a")]), (1, 0, [("user", "a")]), (None, None, [("user", "n")]), (None, None, [("user", "m")]), (2, 0, None)], turns)
+    got = sorted(((r["c"] or 0, [t["text"] for t in r["turns"]]) for r in chat.read_chats(chat.format_chats(df, "c", "i")).collect()))
+    assert got == [(0, ["m"]), (0, ["n"]), (1, ["a", "a", "b"])]  # records without a key don't merge
 
 
 def test_archives(spark):
