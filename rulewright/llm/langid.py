@@ -5,6 +5,8 @@ its letters' trigrams. Expectation-maximisation finds each document's language p
 nested sets of the likeliest languages compete by penalised likelihood, and the largest share of the set that wins is
 the prediction, its share the score; the whole set and its shares come with it.
 
+Each fit runs until the shares are at rest, and sets of any number of languages compete.
+
 Null text, or text without a letter, is ``und`` with score 0; so is every text where nothing was learned. Long texts
 are scored whole, in bounded chunks of documents. Repeated rows are scored each by itself.
 """
@@ -21,9 +23,10 @@ from pyspark.sql import types as T
 
 from rulewright.llm.pretok import LETTER, chunks, class_table
 
-#: Trigram buckets, rows learned from per language, rounds of expectation-maximisation, price of a language in words' log.
-BUCKETS, TRAIN_ROWS, ROUNDS, PENALTY, SMOOTHING = 1 << 16, 4000, 6, 2.0, 0.05
-HASHES = 1 << 20
+#: Trigram buckets, rows learned from per language, price of a language in words' log.
+BUCKETS, TRAIN_ROWS, PENALTY, SMOOTHING = 1 << 16, 4000, 2.0, 0.05
+#: Expectation-maximisation ends when no share of a text moves by more than TOLERANCE, or after MOST_ROUNDS.
+TOLERANCE, MOST_ROUNDS = 1e-3, 500
 LANGUAGES = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))
 
 
@@ -61,8 +64,8 @@ def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     langs = sorted(counts)
     if not langs:
         return [], np.zeros((BUCKETS, 0), np.float32)
-    share = F.create_map(*[F.lit(x) for k in langs for x in (k, int(HASHES * min(1.0, train_rows / counts[k])))])
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(HASHES)) < share[F.col("lang")])
+    share = F.create_map(*[F.lit(x) for k in langs for x in (k, hash_share(train_rows, counts[k]))])
+    sample = rows.where(hashed(F.col("id")) < share[F.col("lang")])
 
     def count(batches):
         for batch in batches:
@@ -81,6 +84,29 @@ def learn(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     return langs, np.log(table / table.sum(axis=0)).astype(np.float32)
 
 
+def maximise(like: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The proportions at which expectation-maximisation from ``p`` ends, for texts of ``n`` words each.
+
+    ``like`` holds the words' likelihoods by language. Texts that have come to rest leave the rounds.
+    """
+    out = p.copy()
+    active = np.flatnonzero((p > 0).sum(axis=1) > 1)
+    like = like if len(active) == len(p) else like[np.repeat(np.isin(np.arange(len(p)), active), n)]
+    n, p = n[active], p[active]
+    for _ in range(MOST_ROUNDS):
+        if not len(active):
+            break
+        start = np.cumsum(n) - n
+        r = like * np.repeat(p, n, axis=0)
+        r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-30)
+        after = np.add.reduceat(r, start, axis=0) / n[:, None]
+        moving = np.abs(after - p).max(axis=1) > TOLERANCE
+        out[active], p = after, after
+        if 2 * moving.sum() < len(moving):
+            like, active, n, p = like[np.repeat(moving, n)], active[moving], n[moving], p[moving]
+    return out
+
+
 def proportions(texts: list[str], logp: np.ndarray) -> np.ndarray:
     """(texts, languages): the shares of the chosen set of languages, 0 for all others and for text without a letter."""
     shares = np.zeros((len(texts), logp.shape[1]))
@@ -95,24 +121,20 @@ def proportions(texts: list[str], logp: np.ndarray) -> np.ndarray:
     like = np.exp(like - top[:, None])
     top = np.add.reduceat(top, start)
 
-    def fit(allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    def fit(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(proportions, log-likelihood) with the allowed languages only."""
-        p = allowed / allowed.sum(axis=1, keepdims=True)
-        for _ in range(rounds):
-            r = like * p[doc]
-            r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-30)
-            p = np.add.reduceat(r, start, axis=0) / n[:, None]
+        p = maximise(like, n, allowed / allowed.sum(axis=1, keepdims=True))
         ll = np.log(np.maximum((like * p[doc]).sum(axis=1), 1e-30))
         return p, top + np.add.reduceat(ll, start)
 
-    first_shares, _ = fit(np.ones((len(full), logp.shape[1]), np.float32), ROUNDS)
+    first_shares, _ = fit(np.ones((len(full), logp.shape[1]), np.float32))
     rank = np.argsort(np.argsort(-first_shares, axis=1, kind="stable"), axis=1)
     won, value = None, None
     for size in range(1, logp.shape[1] + 1):
         price = PENALTY * size * np.log1p(n)
         if won is not None and not (top - price > value).any():
             break  # even a likelihood of each word's best language would not win
-        p, ll = fit((rank < size).astype(np.float32), 0 if size == 1 else ROUNDS)
+        p, ll = fit((rank < size).astype(np.float32))
         ll = ll - price
         if won is None:
             won, value = p, ll
@@ -162,6 +184,19 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, schema)
 
 
+HASHES = 1 << 60
+
+
+def hashed(id_: Column) -> Column:
+    """A hash of the id below HASHES; fine enough for a share of any table."""
+    return F.pmod(F.xxhash64(id_.cast("string")), F.lit(HASHES))
+
+
+def hash_share(wanted: int, n: int) -> int:
+    """The bound below which the hashes of about ``wanted`` of ``n`` rows lie."""
+    return HASHES * min(wanted, n) // max(n, 1)
+
+
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds."""
     return F.crc32(F.col(f"`{id_col}`").cast("string")) % folds

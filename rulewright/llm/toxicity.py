@@ -4,8 +4,10 @@ Features of a text: densities of a lexicon, closeness of its hits to the second
 obfuscation. The lexicon, words and word stems that mark toxic documents, is learned from the labelled rows by
 smoothed odds; the trees and the calibration are Spark ML models fitted on a bounded sample of labelled rows.
 
-Null and empty texts have features too and get a score. Rows without a label, with a null one or with an id that
-is null don't train; of contradicting labels of one id the toxic one holds. Without both labels every score is 0.
+Null and empty texts have features too and get a score. Rows without a label, with one that is neither 0 nor 1 or with an id
+that is null don't train; of contradicting labels of one id the toxic one holds. Without both labels every score is 0.
+A quarter of each label's rows calibrates and trains neither lexicon nor trees; where a label has a single
+row nothing is held back, the model says so (``calibration`` is None) and its scores are the trees' own.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulewright.llm.langid import hash_share, hashed
 from rulewright.llm.shared import give_back, unique_name, written
 
 #: Labelled rows learned from, entries of the lexicon, least toxic documents and least odds ratio of an entry.
@@ -38,7 +41,6 @@ WORD = re.compile(r"[^\W\d_]+")
 DISGUISED = re.compile(r"[^\W\d_]+(?:[*@$!0-9._-]+[^\W\d_]+)+")
 STEMS = (4, 5, 6)
 FEATURES = ("hits", "hits_per_word", "distinct", "weight_per_word", "most_weight", "second_per_word", "near_second", "near_share", "capitals", "shouting", "exclaim", "punctuation", "digits", "disguised", "disguised_hits", "log_words")
-HASHES = 1 << 20
 
 
 def tokens(text: str) -> set[str]:
@@ -145,7 +147,10 @@ class ToxicityModel:
         df = featurized(docs, self.lexicon, text_col, dense).withColumn(features, array_to_vector(F.col(dense)))
         trees = self.trees.copy().setFeaturesCol(features).setRawPredictionCol(raw).setProbabilityCol(probability).setPredictionCol(prediction)
         df = trees.transform(df).withColumn(chance, vector_to_array(F.col(probability))[1])
-        df = self.calibration.copy().setFeaturesCol(chance).setPredictionCol(calibrated).transform(df)
+        if self.calibration is None:
+            df = df.withColumn(calibrated, F.col(chance))
+        else:
+            df = self.calibration.copy().setFeaturesCol(chance).setPredictionCol(calibrated).transform(df)
         return df.withColumn(score_col, F.least(F.greatest(F.col(calibrated), F.lit(0.0)), F.lit(1.0))).drop(dense, *made)
 
 
@@ -163,31 +168,34 @@ def featurized(docs: DataFrame, lexicon: dict[str, float], text_col: str, name:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Fits on about ``train_rows`` of the labelled rows, chosen by hash of the id; a quarter of them calibrates.
+    """Fits on about ``train_rows`` of the labelled rows, chosen by hash of the id; a quarter of each label calibrates.
 
     Only the sample's ids and labels are written and joined to the documents: a small table that Spark broadcasts
     below its limit. The sample's features go to the ML fits; the corpus never does.
     """
-    known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
-    known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
-    total = known.count()
-    share = int(HASHES * min(1.0, train_rows / max(total, 1)))
-    chosen = written(known.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(HASHES)) < share), "labelled")
+    label = F.col(f"`{label_col}`").try_cast("double")
+    known = labels.select(F.col(f"`{id_col}`").alias("id"), label.alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)")
+    known = known.groupBy("id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    share = hash_share(train_rows, known.count())
+    chosen = written(known.where(hashed(F.col("id")) < share), "labelled")
+    of_label = Window.partitionBy("toxic").orderBy(F.xxhash64(F.col("id").cast("string"), F.lit(1)), F.col("id").cast("string"))
+    chosen = chosen.withColumn("part", F.pmod(F.row_number().over(of_label), F.lit(4)))  # of a bounded sample
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(chosen, "id")
-    rows = written(rows.withColumn("part", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(1)), F.lit(4))), "train")
-    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rows = written(rows, "train")
+    parts = rows.groupBy("toxic").agg(F.count("*").alias("n"), F.count_if(F.col("part") == 1).alias("held"), F.count_if(F.col("part") != 1).alias("fitted"))
+    n = {r["toxic"]: r for r in parts.collect()}
     if len(n) < 2:
         return ToxicityModel({}, None, None)
-    lexicon = learn_lexicon(rows.where("part <> 0"), n.get(1, 0), n.get(0, 0))
-    dense = written(featurized(rows, lexicon, "text", "dense").select("id", "dense", "part", F.col("toxic").cast("double").alias("label")).coalesce(8), "train-features")
-    dense = dense.withColumn("features", array_to_vector("dense"))
-    fitted, held = dense.where("part <> 0"), dense.where("part = 0")
-    if fitted.select("label").distinct().count() < 2:
-        return ToxicityModel({}, None, None)
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, maxBins=64).fit(fitted)
-    held = trees.transform(held).select("label", vector_to_array("probability")[1].alias("chance"))
-    if held.select("label").distinct().count() < 2:
-        held = trees.transform(fitted).select("label", vector_to_array("probability")[1].alias("chance"))
+    calibrates = all(r["held"] and r["fitted"] for r in n.values())
+    fitted = F.col("part") != 1 if calibrates else F.lit(True)
+    size = "fitted" if calibrates else "n"
+    lexicon = learn_lexicon(rows.where(fitted), n[1][size], n[0][size])
+    dense = featurized(rows, lexicon, "text", "dense").select("id", "dense", "part", F.col("toxic").cast("double").alias("label"))
+    dense = written(dense.coalesce(8), "train-features").withColumn("features", array_to_vector("dense"))
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, maxBins=64).fit(dense.where(fitted))
+    if not calibrates:
+        return ToxicityModel(lexicon, trees, None)
+    held = trees.transform(dense.where(~fitted)).select("label", vector_to_array("probability")[1].alias("chance"))
     return ToxicityModel(lexicon, trees, IsotonicRegression(featuresCol="chance", labelCol="label").fit(held))
 
 

@@ -22,6 +22,47 @@ def brute_quality(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), len(lines)
 
 
+def fails(q, repeat=0.5, symbols=0.5, lines=0.5):
+    return q[0] < 50 or 100 * q[4] > 50 * q[0] or q[4] > repeat * q[0] or q[2] > symbols * q[0] or q[3] > lines * q[5]
+
+
+def brute_kept(rows):
+    """(ids kept, verdict of each host) of rows (id, text, host)."""
+    counts = {i: brute_quality(t) for i, t, _ in rows}
+    hosts: dict = {}
+    for i, _, h in rows:
+        if h is not None:
+            hosts.setdefault(h, []).append(fails(counts[i]))
+    rates = [np.mean(x) for x in hosts.values()]
+    mean, var, most = np.mean(rates), np.var(rates), max(np.mean([len(x) for x in hosts.values()]), 1)
+    between = var - mean * (1 - mean) * np.mean([1 / len(x) for x in hosts.values()])
+    weight = 50 if not var else most if between <= 0 else mean * (1 - mean) / between - 1
+    weight = min(max(weight, 1), most)
+    shrunk = {h: (sum(x) + mean * weight) / (len(x) + weight) for h, x in hosts.items()}
+    verdict = {h: "rejected" if r >= 0.8 else "suspect" if r and r >= 1.25 * mean else "trusted" for h, r in shrunk.items()}
+    strict = {i for i, _, h in rows if verdict.get(h) == "suspect" and fails(counts[i], 0.25, 0.1, 0.1)}
+    return {i for i, _, h in rows if not fails(counts[i]) and verdict.get(h) != "rejected" and i not in strict}, verdict
+
+
+def test_host_verdicts_decide(spark):
+    """On the given documents some go for their host's verdict alone, and on two hosts that only their rates tell apart."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want, verdict = brute_kept([(r["doc_id"], r["text"], r["source"]) for r in docs.collect()])
+    judged, name = quality.judge_documents(docs)
+    rows = judged.collect()
+    assert {r["doc_id"] for r in rows if r[name["kept"]]} == want
+    assert {r["source"]: r[name["host_verdict"]] for r in rows} == verdict
+    gone = [r for r in rows if not r[name["kept"]] and not r[name["rules_failed"]]]
+    assert gone and all(verdict[r["source"]] == "suspect" for r in gone)
+    lines = [" ".join(f"w{12 * k + i}" for i in range(12)) for k in range(5)]
+    good, bad, doubtful = "\n".join(lines), "short", "\n".join([*lines, "x y", "x y"])
+    texts = {"a": [good] * 36 + [bad] * 12 + [doubtful] * 2, "b": [good] * 44 + [bad] * 4 + [doubtful] * 2}
+    some = [(i, t, h) for i, (h, t) in enumerate((h, t) for h in texts for t in texts[h])]
+    judged, name = quality.judge_documents(spark.createDataFrame(some, "doc_id long, text string, source string"))
+    kept = {r["doc_id"] for r in judged.collect() if r[name["kept"]]}
+    assert kept == brute_kept(some)[0] and {i for i, t, _ in some if t == doubtful} & kept == {98, 99}
+
+
 def test_counts(spark):
     texts = [None, "", " \t\n", "a", "a b c a b c", "a a a a a", "x y z\nx y z\n\n \nq", "é 漢 #*$%&|<> \x0b\x0c end\r\nend\r\n", " ".join(["w"] * 3000), " ".join(str(i % 700) for i in range(20000))]
     df = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, n_words string")
@@ -65,6 +106,53 @@ def test_mixtures():
     assert best.tolist() == [-1, -1, 0, 2] and score[2] == pytest.approx(0.7, abs=0.03) and score[3] == 1
 
 
+def brute_em(like, allowed):
+    """Shares by plain expectation-maximisation of one text's words, to rest."""
+    p = [1 / len(allowed) if j in allowed else 0.0 for j in range(len(like[0]))]
+    while True:
+        new = [0.0] * len(p)
+        for w in like:
+            total = sum(a * b for a, b in zip(w, p))
+            for j in range(len(p)):
+                new[j] += w[j] * p[j] / total / len(like)
+        if max(abs(a - b) for a, b in zip(new, p)) < 1e-7:
+            return new
+        p = new
+
+
+def test_mixtures_match_brute_force():
+    """Five languages: shares and the chosen set, against single words in plain Python."""
+    rng = np.random.default_rng(3)
+    alphabets = ["abcdefg", "efghijk", "ijklmno", "mnopqrs", "qrstuva"]
+    word = lambda j: "".join(rng.choice(list(alphabets[j]), 4))
+    learned = [" ".join(word(j) for _ in range(400)) for j in range(5)]
+    table = np.stack([np.bincount(langid.trigrams([t])[0], minlength=langid.BUCKETS) + langid.SMOOTHING for t in learned], axis=1)
+    logp = np.log(table / table.sum(axis=0)).astype(np.float32)
+    mixes = [(1, 1, 1, 1, 1), (6, 3, 1, 0, 0), (1, 0, 0, 0, 0), (0, 5, 0, 5, 0), (9, 0, 0, 0, 1)]
+    texts = [" ".join(word(j) for j in range(5) for _ in range(12 * m[j])) for m in mixes]
+    got = langid.proportions(texts, logp)
+    for text, shares in zip(texts, got):
+        words = [langid.trigrams([w])[0] for w in text.split()]
+        logs = [logp[g].sum(axis=0).astype(float) for g in words]
+        like = [np.exp(x - x.max()) for x in logs]
+        order = np.argsort([-x for x in brute_em(like, range(5))], kind="stable")
+        best = None
+        for size in range(1, 6):
+            p = brute_em(like, set(order[:size].tolist()))
+            value = sum(np.log(np.dot(w, p)) + x.max() for w, x in zip(like, logs)) - langid.PENALTY * size * np.log1p(len(words))
+            if best is None or value > best[0]:
+                best = value, p
+        assert shares == pytest.approx(best[1], abs=0.02)
+    assert (got[0] > 0).sum() == 5 and (got[2] > 0).sum() == 1
+
+
+@pytest.mark.parametrize("n", [10**6, 5 * 10**9, 10**11])
+def test_samples_of_any_table(n):
+    for wanted in (4000, 12_000):
+        assert langid.hash_share(wanted, n) / langid.HASHES * n == pytest.approx(wanted, rel=1e-6)
+    assert langid.hash_share(4000, 10) == langid.HASHES
+
+
 def test_language_edges(spark):
     docs = spark.createDataFrame([(1, "uno dos tres", "es"), (2, None, "es"), (3, "", None), (4, "123 !", "xx"), (None, "one two three", "en"), (5, "one two three four", "en"), (5, "one two", "en")], "doc_id long, text string, lang string")
     got = [(r["doc_id"], r["lang_pred"]) for r in langid.identify(docs, langid.learn(docs)).collect()]
@@ -100,6 +188,78 @@ def test_toxicity_edges(spark):
     assert model.score(docs.limit(0)).count() == 0
 
 
+def brute_features(text, lexicon):
+    """The dense features of a text, place by place."""
+    low = text.lower()
+    hits, second = [], []
+    for i in range(len(low)):
+        if (i and low[i - 1].isalpha()) or not low[i].isalpha():
+            continue
+        word = re.match(r"[^\W\d_]+", low[i:]).group()
+        weights = [lexicon[word]] if word in lexicon else []
+        weights += [lexicon[word[:n] + "*"] for n in range(1, len(word)) if word[:n] + "*" in lexicon]
+        if weights:
+            hits.append((i, max(weights)))
+        if word in toxicity.SECOND:
+            second.append(i)
+    words, chars = sum(c in " \t\n\x0b\x0c\r" for c in text) + 1, max(len(text), 1)
+    upper, lower = (len(re.findall(x, text)) for x in ("[A-Z]", "[a-z]"))
+    signs, digits = len(re.findall(r"[!-/:-@\[-`{-~]", text)), len(re.findall("[0-9]", text))
+    masked = re.findall(r"[^\W\d_]+(?:[*@$!0-9._-]+[^\W\d_]+)+", text)
+    plain = ["".join({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}.get(c, c) for c in x.lower()) for x in masked]
+    cloaked = sum(x in lexicon or any(x[:n] + "*" in lexicon for n in (4, 5, 6)) for x in plain)
+    near = sum(any(abs(i - j) <= 40 for j in second) for i, _ in hits)
+    return [
+        len(hits), 100 * len(hits) / words, len({low[i : i + 4] for i, _ in hits}), 100 * sum(w for _, w in hits) / words, max((w for _, w in hits), default=0),
+        100 * len(second) / words, near, near / max(len(hits), 1), upper / max(upper + lower, 1), float(upper > lower), 100 * text.count("!") / words,
+        signs / chars, digits / chars, 100 * len(masked) / words, cloaked, np.log1p(words),
+    ]
+
+
+def isotonic(points):
+    """Pool adjacent violators: (chance, value) of sorted distinct chances."""
+    blocks = []
+    for x in sorted({x for x, _ in points}):
+        ys = [y for c, y in points if c == x]
+        blocks.append([sum(ys), len(ys), [x]])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+            s, n, xs = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2] + xs]
+    return [x for _, _, xs in blocks for x in xs], [s / n for s, n, xs in blocks for _ in xs]
+
+
+def test_toxicity_matches_brute_force(spark):
+    """Features place by place, and the calibration by pooling adjacent violators over the held quarter."""
+    docs = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{DATA}/sf0.1/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels)
+    some = [r["text"] for r in docs.join(labels.where("toxic = 1"), "doc_id").limit(80).collect()] + [r["text"] for r in docs.limit(60).collect()]
+    some += ["", "You IDIOT! 1d10t y0u", "a" * 3000, "x\u0301 You, I.d.i.o.t id-iot"]
+    of = toxicity.Featurizer(model.lexicon)
+    for text in some:
+        assert of(text or "") == pytest.approx(brute_features(text or "", model.lexicon), abs=1e-9)
+    known = labels.where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy("toxic", F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)), F.col("doc_id").cast("string")).collect()
+    place, held, fitted = Counter(), set(), set()
+    for r in known:
+        place[r["toxic"]] += 1
+        (held if place[r["toxic"]] % 4 == 1 else fitted).add(r["doc_id"])
+    raw = toxicity.ToxicityModel(model.lexicon, model.trees, None).score(docs, score_col="chance").join(labels, "doc_id").collect()
+    xs, ys = isotonic([(r["chance"], r["toxic"]) for r in raw if r["doc_id"] in held])
+    assert len(held) + len(fitted) <= 12_000 and all(sum(r["toxic"] == v and r["doc_id"] in held for r in raw) for v in (0, 1))
+    final = {r["doc_id"]: r["score"] for r in model.score(docs).collect()}
+    for r in raw:
+        assert final[r["doc_id"]] == pytest.approx(float(np.interp(r["chance"], xs, ys)), abs=1e-6)
+
+
+def test_toxicity_of_few_labels(spark):
+    docs = spark.createDataFrame([(i, f"plain words {i}") for i in range(20)] + [(20, "stupid idiot")], "doc_id long, text string")
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") == 20).cast("int").alias("toxic")))
+    assert model.trees is not None and model.calibration is None
+    assert model.score(docs).where("score BETWEEN 0 AND 1").count() == 21
+    odd = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") + 2).alias("toxic")))
+    assert odd.trees is None
+
+
 def test_obfuscation_is_a_feature():
     f = toxicity.Featurizer({"idiot": 3.0, "stup*": 2.0})
     at = toxicity.FEATURES.index
@@ -116,8 +276,8 @@ def test_pipeline_stages(spark):
     rejected = {r["doc_id"] for r in queries.toxicity_model(spark, SF).score(docs).where("score >= 0.5").collect()}
     assert a.columns == docs.columns and ids(a) == ids(docs) - rejected and rejected
     b = good(spark, a, SF).persist()
-    fails = {r["doc_id"] for r in a.collect() if (q := brute_quality(r["text"])) and (q[0] < 50 or 100 * q[4] > 50 * q[0] or q[2] > 0.5 * q[0] or q[3] > 0.5 * q[5])}
-    assert b.columns == docs.columns and ids(b) == ids(a) - fails and fails
+    want, _ = brute_kept([(r["doc_id"], r["text"], r["source"]) for r in a.collect()])
+    assert b.columns == docs.columns and ids(b) == want and len(want) < a.count()
     c = once(spark, b, SF).persist()
     assert c.columns == docs.columns and 0 < c.count() < b.count()
     from tests.llm.test_duplicates import brute_sets, closed
