@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Most cells n1 * n0 of the exact Mann-Whitney count; beyond it the normal form is used and the caller is told.
-EXACT_CELLS = 40_000
+#: Largest smaller sample of the exact Mann-Whitney count, and its most cells n1 * n0. Beyond the cells the normal form is
+#: used, which the profile's ``method_note`` says.
+EXACT_SAMPLE, EXACT_CELLS = 8, 40_000
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -106,7 +107,7 @@ def mwu_p(u1: float, n1: int, n0: int, ties: float) -> float | None:
     if not n1 or not n0:
         return None
     u = max(u1, n1 * n0 - u1)
-    if min(n1, n0) <= 8 and not ties and n1 * n0 <= EXACT_CELLS:
+    if min(n1, n0) <= EXACT_SAMPLE and not ties and n1 * n0 <= EXACT_CELLS:
         counts = _mwu_counts(n1, n0)
         return min(1.0, 2 * sum(counts[math.ceil(u) :]) / sum(counts))
     n = n1 + n0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rulewright.operators.metrics import classification_metrics
-from rulewright.operators.profile import coerce_numeric
+from rulewright.operators.profile import coerce_numeric, medians
+from rulewright.sources.tables import with_row_id
 
 
 def column_kinds(df: DataFrame, exclude: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
@@ -22,15 +24,26 @@ def column_kinds(df: DataFrame, exclude: tuple[str, ...] = ()) -> tuple[list[str
     return cat, [c for c in df.columns if c not in cat and c not in exclude]
 
 
+def column_values(df: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """(column, kind, n_values, n_missing): the kinds with what the columns hold, in one aggregation."""
+    cat, num = column_kinds(df, exclude)
+    held = df.agg(F.count("*").alias("_rows"), *[F.count(f"`{c}`").alias(f"_{i}") for i, c in enumerate([*cat, *num])])
+    rows = [
+        F.struct(F.lit(c).alias("column"), F.lit("categorical" if c in cat else "numeric").alias("kind"), F.col(f"_{i}").alias("n_values"), (F.col("_rows") - F.col(f"_{i}")).alias("n_missing"))
+        for i, c in enumerate([*cat, *num])
+    ]
+    return held.select(F.inline(F.array(*rows)))
+
+
 def numeric_stats(train: DataFrame, columns: list[str]) -> dict[str, dict[str, float | None]]:
-    """Exact median, and mean and population deviation after filling with it: two aggregations over the columns."""
+    """Exact median, and mean and population deviation after filling with it. Medians come from the histogram's prefix
+    sums, so no task holds all values of a column."""
     if not columns:
         return {}
-    x = {c: coerce_numeric(F.col(f"`{c}`")) for c in columns}
-    med = train.agg(*[F.percentile(x[c], F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    full = [F.coalesce(x[c], F.lit(med[i] or 0.0)) for i, c in enumerate(columns)]
+    med = medians(train, columns)
+    full = [F.coalesce(coerce_numeric(F.col(f"`{c}`")), F.lit(med[c] or 0.0)) for c in columns]
     rest = train.agg(*[f(v).alias(f"{f.__name__}{i}") for i, v in enumerate(full) for f in (F.avg, F.stddev_pop)]).first()
-    return {c: {"median": med[i], "mean": rest[2 * i], "std": rest[2 * i + 1]} for i, c in enumerate(columns)}
+    return {c: {"median": med[c], "mean": rest[2 * i], "std": rest[2 * i + 1]} for i, c in enumerate(columns)}
 
 
 def impute_scale(df: DataFrame, stats: dict[str, dict[str, float | None]]) -> DataFrame:
@@ -55,6 +68,18 @@ def impute_modes(df: DataFrame, found: dict[str, str | None]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(m or "")) for c, m in found.items()}) if found else df
 
 
+def _numbered(train: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(column, value, code): the distinct values of each column, numbered from 0 in sorted order.
+
+    Values are range-sorted and numbered by task, so a column of very many values never meets in one task or row.
+    """
+    each = [F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in values.items()]
+    long = train.select(F.inline(F.array(*each))).where("value IS NOT NULL").distinct()
+    placed = with_row_id(long, ["column", "value"], "_place")
+    first = F.broadcast(placed.groupBy("column").agg(F.min("_place").alias("_first")))  # a row for each column
+    return placed.join(first, "column").select("column", "value", (F.col("_place") - F.col("_first")).alias("code"))
+
+
 def encoding_metadata(train: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
     """(column, kind, value, code): sorted codes of each text column's values, and each number's median (0 if all missing)."""
     cat, num = column_kinds(train, exclude)
@@ -63,8 +88,7 @@ def encoding_metadata(train: DataFrame, exclude: tuple[str, ...] = ()) -> DataFr
     out = spark.createDataFrame([(c, "numeric", None, float(stats[c]["median"] or 0.0)) for c in num], "column string, kind string, value string, code double")
     if not cat:
         return out
-    long = train.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in cat]))).where("value IS NOT NULL").distinct()
-    codes = long.groupBy("column").agg(F.array_sort(F.collect_set("value")).alias("_v")).select("column", F.posexplode("_v").alias("code", "value"))
+    codes = _numbered(train, {c: F.col(f"`{c}`").cast("string") for c in cat})
     return out.unionByName(codes.select("column", F.lit("categorical").alias("kind"), "value", F.col("code").cast("double").alias("code")))
 
 
@@ -89,14 +113,30 @@ def apply_encoding(df: DataFrame, metadata: DataFrame, columns: list[str] | None
 def index_with_unknown(train: DataFrame, df: DataFrame, columns: list[str], missing: str = "__MISSING__") -> DataFrame:
     """Ids from 1 for the train categories in sorted order, 0 for unknown ones; missing text is a level of its own."""
     filled = {c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(missing)) for c in columns}
-    long = train.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in filled.items()]))).distinct()
-    ids = long.groupBy("column").agg(F.array_sort(F.collect_set("value")).alias("_v")).select("column", F.posexplode("_v").alias("_i", "_value"))
+    ids = _numbered(train, filled)
     for c in columns:
-        one = ids.where(F.col("column") == c).select("_value", (F.col("_i") + 1).alias("_id"))
+        one = ids.where(F.col("column") == c).select(F.col("value").alias("_value"), (F.col("code") + 1).alias("_id"))
         df = df.withColumn(c, filled[c]).join(one, F.col(f"`{c}`") == F.col("_value"), "left").withColumn(c, F.coalesce("_id", F.lit(0))).drop("_value", "_id")
     return df
 
 
+def one_hot(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with an array of 0 and 1 for each column in its place, an entry for each train category in sorted order.
+
+    Missing values are the train mode; an unseen category is all zeros. The categories are as many as the arrays
+    are long, and join as a small table.
+    """
+    found = modes(train, columns)
+    ready, codes = impute_modes(df, found), _numbered(impute_modes(train, found), {c: F.col(f"`{c}`") for c in columns})
+    sizes = {r["column"]: r["n"] for r in codes.groupBy("column").agg(F.count("*").alias("n")).collect()}
+    for c in columns:
+        one = codes.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+        ready = ready.join(one, F.col(f"`{c}`") == F.col("_value"), "left")
+        entries = [F.coalesce((F.col("_code") == i).cast("int"), F.lit(0)) for i in range(sizes.get(c, 0))]
+        ready = ready.withColumn(c, F.array(*entries).cast("array<int>")).drop("_value", "_code")
+    return ready
+
+
 def class_weights(train: DataFrame, label_col: str, scheme: str = "balanced") -> Column:
     """A weight for each row: ``balanced`` n / (k n_c), or ``pos`` n_neg / n_pos (1 without positives) on positives."""
     counts = {r["y"]: r["n"] for r in train.groupBy(F.col(f"`{label_col}`").cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
@@ -109,6 +149,10 @@ def class_weights(train: DataFrame, label_col: str, scheme: str = "balanced") ->
     return out
 
 
+#: Rows that one task of a fit holds.
+ROWS_OF_TASK = 50_000
+
+
 @dataclass
 class Prepared:
     """Fitted preparation: medians, scales, modes and the one-hot pipeline."""
@@ -155,6 +199,19 @@ def make_baseline(name: str, n_rows: int, size: int, label_col: str = "label", w
     return GBTClassifier(maxDepth=depth, maxIter=rounds, stepSize=step, subsamplingRate=0.8, seed=42, **base, **weight)
 
 
+@contextmanager
+def training_rows(prepared: Prepared, train: DataFrame, label_col: str, weight_col: str | None = None):
+    """The prepared columns that a fit reads, kept in memory while it runs, in a task for each ROWS_OF_TASK rows.
+
+    Boosting and nets make thousands of short passes, whose time on small tables is that of starting their tasks.
+    """
+    ready = prepared.transform(train).select("features", label_col, *([weight_col] if weight_col else [])).persist()
+    try:
+        yield ready.coalesce(1 + ready.count() // ROWS_OF_TASK)
+    finally:
+        ready.unpersist()
+
+
 def fit_eval_baseline(name: str, train: DataFrame, test: DataFrame, label_col: str, weights: str | None = None, exclude: tuple[str, ...] = (), drift: bool = False) -> DataFrame:
     """One result row (model, status, error, metrics); a failure is a row with its status and error."""
     spark = train.sparkSession
@@ -163,8 +220,10 @@ def fit_eval_baseline(name: str, train: DataFrame, test: DataFrame, label_col: s
         prepared = prepare(train, label_col, exclude)
         if weights and name != "mlp":
             train = train.withColumn("_weight", class_weights(train, label_col, weights))
-        made = make_baseline(name, n, prepared.size, label_col, "_weight" if weights and name != "mlp" else None, drift)
-        model = made.fit(prepared.transform(train))
+        weight_col = "_weight" if weights and name != "mlp" else None
+        made = make_baseline(name, n, prepared.size, label_col, weight_col, drift)
+        with training_rows(prepared, train, label_col, weight_col) as rows:
+            model = made.fit(rows)
         scored = model.transform(prepared.transform(test)).select(F.col(label_col).alias("y"), F.col("prediction").cast("int").alias("prediction"))
         out = classification_metrics(scored)
         return out.select(F.lit(name).alias("model"), F.lit("ok").alias("status"), F.lit("").alias("error"), *out.columns)

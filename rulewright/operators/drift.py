@@ -45,6 +45,18 @@ def drift_meta(df: DataFrame, drift: Drift) -> DataFrame:
     return df.sparkSession.createDataFrame([row], "dropped array<string>, dropped_present array<string>, added array<string>, added_missing_filled array<string>, renamed array<string>, note string")
 
 
+def drift_effects(df: DataFrame, drift: Drift) -> DataFrame:
+    """(action, columns, took_effect, n_rows): each declared change with the rows whose values it removed, filled or renamed."""
+    after = df.withColumnsRenamed(dict(drift.renamed)).columns
+    before = {b: a for a, b in drift.renamed}
+    told = [("dropped", c, c in after, F.count(f"`{before.get(c, c)}`") if c in after else F.lit(0)) for c in drift.dropped]
+    told += [("added", c, c not in after, F.count("*") if c not in after else F.lit(0)) for c in drift.added]
+    told += [("renamed", f"{a}->{b}", a in df.columns, F.count(f"`{a}`") if a in df.columns else F.lit(0)) for a, b in drift.renamed]
+    counts = df.agg(*[n.cast("long").alias(f"n{i}") for i, (*_, n) in enumerate(told)])
+    rows = [F.struct(F.lit(a).alias("action"), F.lit(c).alias("columns"), F.lit(ok).alias("took_effect"), F.col(f"n{i}").alias("n_rows")) for i, (a, c, ok, _) in enumerate(told)]
+    return counts.select(F.inline(F.array(*rows)))
+
+
 def select_stage(df: DataFrame, features: list[str] | tuple[str, ...], label_col: str, id_col: str | None = None) -> DataFrame:
     """Exactly the stage's features, the label and the id, in that order; the scan reads only these."""
     wanted = [*features, label_col, *([id_col] if id_col else [])]
@@ -94,7 +106,11 @@ def merge_profile(previous: DataFrame | None, new: DataFrame, drift: Drift) -> D
     return merged.withColumn("rank_new", F.row_number().over(w))
 
 
-def drift_top_features(merged: DataFrame, k: int = 30) -> DataFrame:
+def drift_top_features(merged: DataFrame | None, k: int = 30, columns: list[str] | None = None) -> DataFrame:
+    """(rank_new, feature) of the first ``k`` features; without a profile, or with an empty one, all ``columns`` in their order."""
+    if columns and (merged is None or merged.isEmpty()):
+        spark = SparkSession.active()
+        return spark.createDataFrame(list(enumerate(columns, 1)), "rank_new int, feature string")
     return merged.orderBy("rank_new").limit(k).select("rank_new", "feature")
 
 
@@ -138,21 +154,24 @@ def carry_knowledge(parsed: DataFrame, drift: Drift) -> DataFrame:
     return df.select(*parsed.columns)
 
 
-def merge_knowledge(previous: DataFrame | None, new: DataFrame, drift: Drift, run_id: str) -> DataFrame:
-    """No previous rows: the new ones. Nothing added: the carried ones. Else both, new rows of added features in the old width."""
+def merge_knowledge(previous: DataFrame | None, new: DataFrame, drift: Drift, run_id: str | None = None) -> DataFrame:
+    """No previous rows: the new ones. Nothing added: the carried ones. Else both, run by run: new rows of added features
+    follow the run's last row, in the width of its header; a run without carried rows keeps its own header.
+
+    ``run_id`` renames the runs of the result.
+    """
     if previous is None or previous.isEmpty():
-        return new.withColumn("run_id", F.lit(run_id))
-    carried = carry_knowledge(previous, drift).withColumn("run_id", F.lit(run_id))
-    if not drift.added:
-        return carried
-    header = carried.select("header").first()
-    if header is None:
-        return new.withColumn("run_id", F.lit(run_id))
-    names = F.array(*[F.lit(h) for h in header["header"]])
-    added = new.where(feature_of().isin(list(drift.added)))
-    cells = F.slice(F.concat("cells", F.array_repeat(F.lit(""), len(header["header"]))), 1, len(header["header"]))
-    added = added.select(F.lit(run_id).alias("run_id"), (F.col("row_no") + 1_000_000).alias("row_no"), names.alias("header"), cells.alias("cells"))
-    return carried.unionByName(added)
+        merged = new
+    else:
+        merged = carry_knowledge(previous, drift)
+        if drift.added:
+            old = merged.groupBy("run_id").agg(F.min_by("header", "row_no").alias("_header"), (F.max("row_no") + 1).alias("_next"))
+            added = new.where(feature_of().isin(list(drift.added))).join(old, "run_id", "left")
+            header = F.coalesce("_header", "header")
+            cells = F.slice(F.concat("cells", F.array_repeat(F.lit(""), F.size(header))), F.lit(1), F.size(header))
+            row_no = F.coalesce("_next", F.lit(0)) + F.col("row_no")
+            merged = merged.unionByName(added.select("run_id", row_no.alias("row_no"), header.alias("header"), cells.alias("cells")))
+    return merged.withColumn("run_id", F.lit(run_id)) if run_id is not None else merged
 
 
 def render_knowledge(parsed: DataFrame) -> DataFrame:
@@ -167,7 +186,10 @@ def render_knowledge(parsed: DataFrame) -> DataFrame:
     return per.select("run_id", F.array_join(F.concat(F.array(line(F.col("header")), rule), F.transform("_r", lambda x: x["t"])), "\n").alias("text"))
 
 
-def drift_context(spark: SparkSession, run_id: str, task: str, priority: tuple[str, ...], iterations: int, seed: int, drift: Drift) -> DataFrame:
-    """One row that records what a run was asked to do."""
-    row = (run_id, task, list(priority), iterations, seed, list(drift.dropped), list(drift.added), [f"{a}->{b}" for a, b in drift.renamed], drift.note, drift.previous_run)
-    return spark.createDataFrame([row], "run_id string, task string, metric_priority array<string>, iterations int, seed int, dropped array<string>, added array<string>, renamed array<string>, note string, previous_run string")
+def drift_context(df: DataFrame, label_col: str, run_id: str, task: str, priority: tuple[str, ...], iterations: int, seed: int, drift: Drift) -> DataFrame:
+    """One row that records what a run was asked to do, and the rows and positives of the table it was asked about."""
+    texts = {"metric_priority": priority, "dropped": drift.dropped, "added": drift.added, "renamed": [f"{a}->{b}" for a, b in drift.renamed]}
+    told = {c: F.array(*map(F.lit, v)).cast("array<string>") for c, v in texts.items()}
+    told |= {"run_id": F.lit(run_id), "task": F.lit(task), "iterations": F.lit(iterations), "seed": F.lit(seed), "note": F.lit(drift.note), "previous_run": F.lit(drift.previous_run)}
+    counts = df.agg(F.count("*").alias("n_rows"), F.count_if(F.col(f"`{label_col}`") == 1).alias("n_positive"))
+    return counts.withColumns(told)

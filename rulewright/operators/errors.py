@@ -24,8 +24,8 @@ def error_report(errors: DataFrame, id_col: str = "row_id", max_details: int = 4
     """(line_no, line): a header with totals, the first ``max_details`` errors by id, a note on those left out."""
     total = errors.agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "FP").alias("fp"), F.count_if(F.col("kind") == "FN").alias("fn"))
     counted = (F.col("fp") + F.col("fn") == F.col("n")) & (F.col("n") > 0)
-    head = F.when(F.col("n") == 0, "No error samples.").when(counted, F.format_string("Error samples=%d (FP=%d, FN=%d)", "n", "fp", "fn")).otherwise(F.format_string("Error samples=%d", "n"))
-    note = F.format_string("(Showing only the first %d samples; the rest are omitted.)", F.lit(max(0, max_details)))
+    head = F.when(F.col("n") == 0, "No row is wrong.").when(counted, F.format_string("%d rows are wrong: %d FP, %d FN", "n", "fp", "fn")).otherwise(F.format_string("%d rows are wrong", "n"))
+    note = F.format_string("%d more are left out.", F.col("n") - max(0, max_details))
     lines = total.select(F.lit(0).cast("long").alias("line_no"), head.alias("line")).unionByName(total.where(F.col("n") > max_details).select(F.lit(2**40).alias("line_no"), note.alias("line")))
     first = errors.orderBy(id_col).limit(max(0, max_details))
     detail = F.format_string("- id=%s kind=%s y=%s prediction=%s features=%s", F.col(f"`{id_col}`").cast("string"), "kind", F.col("y").cast("string"), F.col("prediction").cast("string"), "features")
@@ -51,14 +51,14 @@ def regression_summary(found: DataFrame, id_col: str = "row_id", most: int = 20)
     n = found.agg(F.count("*").alias("n_regressed"))
     first = found.select(id_col).orderBy(id_col).limit(most).agg(F.array_sort(F.collect_list(id_col)).alias("ids"))
     more = F.col("n_regressed") - F.size("ids")
-    text = F.when(F.col("n_regressed") == 0, "No regressions.").otherwise(
-        F.concat(F.format_string("Regressions=%d, example_indices=[", "n_regressed"), F.array_join(F.col("ids").cast("array<string>"), ", "), F.lit("]"), F.when(more > 0, F.format_string(" (%d more not shown)", more)).otherwise(""))
+    text = F.when(F.col("n_regressed") == 0, "Nothing got worse.").otherwise(
+        F.concat(F.format_string("%d rows got worse: ", "n_regressed"), F.array_join(F.col("ids").cast("array<string>"), ", "), F.when(more > 0, F.format_string(" and %d more", more)).otherwise(""))
     )
     return n.crossJoin(first).select("n_regressed", "ids", more.alias("n_more"), text.alias("message"))  # one row each
 
 
 def version_diff_all(long: DataFrame, id_col: str = "row_id") -> DataFrame:
-    """(version_old, version_new, ordinal, n_fixed, n_regressed) of consecutive versions from (id, y, version, ordinal, prediction)."""
+    """(version_old, version_new, ordinal, n_fixed, n_regressed) of consecutive versions from (id, y, version, ordinal, prediction); ids are unique."""
     w = Window.partitionBy(f"`{id_col}`").orderBy("ordinal")
     both = long.withColumns({"_old": F.lag("prediction").over(w), "version_old": F.lag("version").over(w)}).where("version_old IS NOT NULL")
     y, old, new = F.col("y"), F.col("_old"), F.col("prediction")
@@ -76,12 +76,15 @@ def version_diff_wide(wide: DataFrame, versions: list[str]) -> DataFrame:
     return wide.agg(*sums).select(F.inline(F.array(*rows)))
 
 
-def iteration_log(resolved: DataFrame, regressed_ids: DataFrame) -> DataFrame:
+def iteration_log(resolved: DataFrame, regressed_counts: DataFrame) -> DataFrame:
     """(run_id, version, ordinal, accepted, statuses, last_accepted_version, last_regressed).
 
-    ``regressed_ids``: (run_id, version, last_regressed array). A version that failed repeats what came before it.
+    ``regressed_counts``: (run_id, version, n_regressed); the ids stay a table of ``regressions``, since a run may have very
+    many. A version that failed repeats what came before it.
     """
     w = Window.partitionBy("run_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    df = resolved.join(regressed_ids, ["run_id", "version"], "left")
+    df = resolved.join(regressed_counts, ["run_id", "version"], "left")
     ok = F.col("accepted")
-    return df.select("run_id", "version", "ordinal", "accepted", "statuses", F.last(F.when(ok, F.col("version")), ignorenulls=True).over(w).alias("last_accepted_version"), F.last(F.when(ok, F.coalesce("last_regressed", F.array().cast("array<bigint>"))), ignorenulls=True).over(w).alias("last_regressed"))
+    last = F.last(F.when(ok, F.col("version")), ignorenulls=True).over(w).alias("last_accepted_version")
+    regressed_ = F.last(F.when(ok, F.coalesce("n_regressed", F.lit(0))), ignorenulls=True).over(w).alias("last_regressed")
+    return df.select("run_id", "version", "ordinal", "accepted", "statuses", last, regressed_)

@@ -2,18 +2,38 @@
 
 The table is read once: all features are unpivoted into (feature, value, y) and combined before the shuffle into the
 histogram H of counts by (feature, value). Everything else comes from H, whose size is the number of distinct
-values, and the wide table is never collected.
+values, and the wide table is never collected. What has a row for each feature is read once, by ``per_feature``, and
+broadcast; so H is never shuffled by feature, only once by (feature, bucket of values) for the ranks.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rulewright.functions.pvalues import chi2_p_value, mwu_p_value, pearson_p_value
+from rulewright.functions.pvalues import EXACT_CELLS, EXACT_SAMPLE, chi2_p_value, mwu_p_value, pearson_p_value
+
+#: Levels shown, and distinct values that one task sorts.
+MAX_LEVELS, VALUES_OF_TASK = 20, 200_000
+
+
+@contextmanager
+def kept(df: DataFrame):
+    """``df`` in memory or on disk while the block runs."""
+    df = df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
 
-MAX_LEVELS, EDGES = 20, 63
+def per_feature(df: DataFrame) -> DataFrame:
+    """A result with a row for each feature, or each of its few bins, as a broadcast local table: computed once, as large as the
+    table is wide."""
+    return F.broadcast(df.sparkSession.createDataFrame(df.toArrow(), df.schema))
 
 
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -68,16 +88,21 @@ def classify_features(h: DataFrame) -> DataFrame:
 def cumulative(values: DataFrame) -> DataFrame:
     """H rows of numbers with ``before``, the number of rows with a smaller value of the feature.
 
-    A two-level prefix sum: approximate edges cut each feature into buckets, totals of the buckets are
-    summed over a small table, and the window runs inside (feature, bucket), so no task sorts a whole feature.
+    A two-level prefix sum: approximate edges cut each feature's distinct values into buckets of about VALUES_OF_TASK,
+    totals of the buckets are summed over a small table, and the window runs inside (feature, bucket), so no task sorts
+    a whole feature, however many values it has.
     """
-    edges = values.groupBy("ordinal").agg(F.percentile_approx("num", [i / (EDGES + 1) for i in range(1, EDGES + 1)], 1000).alias("_edges"))
+    most = values.groupBy("ordinal").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    cuts = most // VALUES_OF_TASK + 7
+    edges = F.percentile_approx("num", [i / (cuts + 1) for i in range(1, cuts + 1)], max(1000, 20 * cuts))
+    edges = per_feature(values.groupBy("ordinal").agg(edges.alias("_edges")))
     placed = values.join(edges, "ordinal").withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col("num")))).drop("_edges")
-    totals = placed.groupBy("ordinal", "_bucket").agg(F.sum("n").alias("_n"))
+    totals = per_feature(placed.groupBy("ordinal", "_bucket").agg(F.sum("n").alias("_n")))
     lower = F.coalesce(F.sum("_n").over(Window.partitionBy("ordinal").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = totals.select("ordinal", "_bucket", lower.alias("_base"))
+    offsets = per_feature(totals.select("ordinal", "_bucket", lower.alias("_base")))
     inside = Window.partitionBy("ordinal", "_bucket").orderBy("num").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.join(offsets, ["ordinal", "_bucket"]).withColumn("before", F.col("_base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).drop("_bucket", "_base")
+    before = F.col("_base") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return placed.join(offsets, ["ordinal", "_bucket"]).withColumn("before", before).drop("_bucket", "_base")
 
 
 def _at(q: float, high: bool) -> Column:
@@ -91,9 +116,11 @@ def numeric_summary(h: DataFrame, kinds: DataFrame, cum: DataFrame | None = None
     """(ordinal, mean, std, median, min, max, q1, q3) of the continuous features; the quantiles are exact."""
     values = _continuous(h, kinds)
     cum = cumulative(values) if cum is None else cum
-    means = values.groupBy("ordinal").agg((F.sum(F.col("num") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("_n"), F.min("num").alias("min"), F.max("num").alias("max"))
+    mean = (F.sum(F.col("num") * F.col("n")) / F.sum("n")).alias("mean")
+    means = per_feature(values.groupBy("ordinal").agg(mean, F.sum("n").alias("_n"), F.min("num").alias("min"), F.max("num").alias("max")))
     spread = values.join(means, "ordinal").groupBy("ordinal").agg(F.sum(F.col("n") * F.pow(F.col("num") - F.col("mean"), 2)).alias("_m2"))
-    ends = cum.groupBy("ordinal", "n_valid").agg(*[_at(q, hi).alias(f"_{name}{int(hi)}") for name, q in (("a", 0.25), ("b", 0.5), ("c", 0.75)) for hi in (False, True)])
+    spread = per_feature(spread)
+    ends = per_feature(cum.groupBy("ordinal", "n_valid").agg(*[_at(q, hi).alias(f"_{name}{int(hi)}") for name, q in (("a", 0.25), ("b", 0.5), ("c", 0.75)) for hi in (False, True)]))
 
     def between(name: str, q: float) -> Column:
         pos = (F.col("n_valid") - 1) * F.lit(q)
@@ -105,7 +132,7 @@ def numeric_summary(h: DataFrame, kinds: DataFrame, cum: DataFrame | None = None
 
 
 def _continuous(h: DataFrame, kinds: DataFrame) -> DataFrame:
-    wanted = kinds.where("feature_type = 'continuous'").select("ordinal", "n_valid")
+    wanted = F.broadcast(kinds.where("feature_type = 'continuous'").select("ordinal", "n_valid"))
     return h.where(F.col("is_number") & F.col("num").isNotNull()).join(wanted, "ordinal").select("ordinal", "num", "n", "c1", "c0", "n_valid")
 
 
@@ -126,7 +153,7 @@ def level_counts(h: DataFrame, kinds: DataFrame, max_levels: int = MAX_LEVELS) -
 
 
 def _levels(h: DataFrame, kinds: DataFrame) -> DataFrame:
-    wanted = kinds.where("feature_type <> 'continuous'").select("ordinal")
+    wanted = F.broadcast(kinds.where("feature_type <> 'continuous'").select("ordinal"))
     text = F.when(F.col("is_number"), F.when(F.col("whole"), F.col("num").cast("bigint").cast("string")).otherwise(F.col("num").cast("string"))).otherwise(F.col("txt"))
     return h.where(~_missing()).join(wanted, "ordinal").select("ordinal", "feature", text.alias("level"), "n", "c1", "c0")
 
@@ -135,7 +162,7 @@ def point_biserial(h: DataFrame, kinds: DataFrame) -> DataFrame:
     """(ordinal, n, n1, n0, pointbiserial_r, direction) of the continuous features; a constant gives null and ``neg``."""
     values = _continuous(h, kinds)
     y = F.col("c1") + F.col("c0")
-    base = values.groupBy("ordinal").agg((F.sum(F.col("num") * y) / F.sum(y)).alias("_mx"), F.sum("c1").alias("n1"), F.sum("c0").alias("n0"))
+    base = per_feature(values.groupBy("ordinal").agg((F.sum(F.col("num") * y) / F.sum(y)).alias("_mx"), F.sum("c1").alias("n1"), F.sum("c0").alias("n0")))
     my = F.col("n1") / (F.col("n1") + F.col("n0"))
     dx = F.col("num") - F.col("_mx")
     sums = values.join(base, "ordinal").groupBy("ordinal", "n1", "n0").agg(F.sum(y * dx * dx).alias("_xx"), F.sum(dx * (F.col("c1") * (1 - my) - F.col("c0") * my)).alias("_xy"))
@@ -157,7 +184,7 @@ def mann_whitney_u(cum: DataFrame) -> DataFrame:
 def chi_square(h: DataFrame, kinds: DataFrame) -> DataFrame:
     """(ordinal, chi2_stat, chi2_df) of binary and categorical features, with Yates' correction for 2x2."""
     levels = _levels(h, kinds)
-    per = levels.groupBy("ordinal").agg(F.count("*").alias("_k"), F.sum("c1").alias("_n1"), F.sum("c0").alias("_n0"))
+    per = per_feature(levels.groupBy("ordinal").agg(F.count("*").alias("_k"), F.sum("c1").alias("_n1"), F.sum("c0").alias("_n0")))
     n, rows = (F.col("_n1") + F.col("_n0")).cast("double"), (F.col("c1") + F.col("c0")).cast("double")
 
     def cell(seen: str, of: str) -> Column:
@@ -173,7 +200,8 @@ def chi_square(h: DataFrame, kinds: DataFrame) -> DataFrame:
 
 def quartile_odds_ratio(h: DataFrame, kinds: DataFrame, summary: DataFrame) -> DataFrame:
     """(ordinal, bin, n_bins, odds) and the text of B8: odds ratios of the quartile bins against the first one."""
-    values = _continuous(h, kinds).join(summary.select("ordinal", F.array_distinct(F.array("min", "q1", "median", "q3", "max")).alias("_edges")), "ordinal")
+    edges = F.array_distinct(F.array("min", "q1", "median", "q3", "max")).alias("_edges")
+    values = _continuous(h, kinds).join(F.broadcast(summary.select("ordinal", edges)), "ordinal")
     binned = values.withColumn("bin", F.greatest(F.size(F.filter("_edges", lambda e: e < F.col("num"))), F.lit(1)))
     counts = binned.groupBy("ordinal", F.size("_edges").alias("_k"), "bin").agg(F.sum("c1").alias("a"), F.sum("c0").alias("b")).where("_k > 2")
     first = F.max(F.when(F.col("bin") == 1, F.struct("a", "b"))).over(Window.partitionBy("ordinal"))
@@ -208,25 +236,53 @@ def rank_features(profile: DataFrame) -> DataFrame:
     return profile.withColumn("rank", F.row_number().over(w))
 
 
-FIELDS = ("rank", "feature", "feature_type", "n_valid", "method", "statistic", "p_value", "direction", "missing_rate", "mean", "std", "median", "min", "max", "n_unique", "level_counts", "pointbiserial_r", "pointbiserial_p", "mwu_u", "mwu_p", "chi2_stat", "chi2_p", "binned_or_q4_rel_to_q1")
+FIELDS = ("rank", "feature", "feature_type", "n_valid", "method", "statistic", "p_value", "direction", "missing_rate", "mean", "std", "median", "min", "max", "n_unique", "level_counts", "pointbiserial_r", "pointbiserial_p", "mwu_u", "mwu_p", "chi2_stat", "chi2_p", "binned_or_q4_rel_to_q1", "method_note")
+
+
+def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """Exact medians of the columns' numbers, from their histogram; None for a column without a number."""
+    numbers = df.select(F.lit(0).alias("_y"), *[coerce_numeric(F.col(f"`{c}`")).alias(c) for c in columns])
+    with kept(histogram(numbers, "_y", columns)) as h:
+        kinds = per_feature(classify_features(h).withColumn("feature_type", F.lit("continuous")))
+        found = {r["ordinal"]: r["median"] for r in numeric_summary(h, kinds).select("ordinal", "median").collect()}
+    return {c: found.get(i) for i, c in enumerate(columns)}
 
 
 def profile_table(df: DataFrame, label_col: str, features: list[str] | None = None) -> DataFrame:
-    """All statistics, a row for each feature (B15). H is kept for the passes over it; no driver data."""
-    h = histogram(df, label_col, features).persist()
-    kinds = classify_features(h)
-    cum = cumulative(_continuous(h, kinds)).persist()
-    summary = numeric_summary(h, kinds, cum)
-    numbers = kinds.where("feature_type = 'continuous'").drop("n_unique")
-    numbers = numbers.join(summary, "ordinal", "left").join(point_biserial(h, kinds), "ordinal", "left").join(mann_whitney_u(cum), "ordinal", "left")
-    numbers = numbers.join(quartile_text(quartile_odds_ratio(h, kinds, summary)), "ordinal", "left")
-    numbers = numbers.withColumns({"pointbiserial_p": pearson_p_value("pointbiserial_r", "n"), "mwu_p": mwu_p_value("mwu_u", "u_n1", "u_n0", "ties"), "binned_or_q4_rel_to_q1": F.coalesce("binned_or_q4_rel_to_q1", F.lit("")), "direction": F.coalesce("direction", F.lit(""))})
-    numbers = choose_test(numbers)
-    others = kinds.where("feature_type <> 'continuous'").join(level_counts(h, kinds), "ordinal", "left").join(chi_square(h, kinds), "ordinal", "left")
-    p = F.when(F.col("chi2_df") == 0, F.lit(1.0)).otherwise(chi2_p_value("chi2_stat", "chi2_df"))
-    others = others.withColumn("chi2_p", F.when(F.col("chi2_stat").isNotNull(), p))
-    others = others.withColumns({"method": F.lit("chi2"), "statistic": F.col("chi2_stat"), "p_value": F.col("chi2_p"), "direction": F.lit("")})
-    return rank_features(numbers.unionByName(others, allowMissingColumns=True)).select(*FIELDS)
+    """All statistics, a row for each feature (B15), computed when called. H is kept while its passes run.
+
+    ``method_note`` says where the exact count of Mann-Whitney's U was too large and the normal form stands in.
+    """
+    with kept(histogram(df, label_col, features)) as h:
+        kinds = per_feature(classify_features(h))
+        with kept(cumulative(_continuous(h, kinds))) as cum:
+            summary = per_feature(numeric_summary(h, kinds, cum))
+            ranks = per_feature(mann_whitney_u(cum))
+        numbers = kinds.where("feature_type = 'continuous'").drop("n_unique")
+        for part in (summary, per_feature(point_biserial(h, kinds)), ranks, per_feature(quartile_text(quartile_odds_ratio(h, kinds, summary)))):
+            numbers = numbers.join(part, "ordinal", "left")
+        numbers = numbers.withColumns({
+            "pointbiserial_p": pearson_p_value("pointbiserial_r", "n"),
+            "mwu_p": mwu_p_value("mwu_u", "u_n1", "u_n0", "ties"),
+            "binned_or_q4_rel_to_q1": F.coalesce("binned_or_q4_rel_to_q1", F.lit("")),
+            "direction": F.coalesce("direction", F.lit("")),
+            "method_note": mwu_note(),
+        })
+        numbers = choose_test(numbers)
+        others = kinds.where("feature_type <> 'continuous'").join(per_feature(level_counts(h, kinds)), "ordinal", "left")
+        others = others.join(per_feature(chi_square(h, kinds)), "ordinal", "left")
+        p = F.when(F.col("chi2_df") == 0, F.lit(1.0)).otherwise(chi2_p_value("chi2_stat", "chi2_df"))
+        others = others.withColumn("chi2_p", F.when(F.col("chi2_stat").isNotNull(), p))
+        fixed = {"method": F.lit("chi2"), "statistic": F.col("chi2_stat"), "p_value": F.col("chi2_p"), "direction": F.lit(""), "method_note": F.lit("")}
+        others = others.withColumns(fixed)
+        return per_feature(rank_features(numbers.unionByName(others, allowMissingColumns=True)).select(*FIELDS))
+
+
+def mwu_note() -> Column:
+    """Why ``mwu_p`` isn't exact where a small sample without ties would have it so."""
+    n1, n0 = F.col("u_n1"), F.col("u_n0")
+    large = (F.least(n1, n0) > 0) & (F.least(n1, n0) <= EXACT_SAMPLE) & (F.col("ties") == 0) & (n1 * n0 > EXACT_CELLS)
+    return F.when(large, f"mwu: normal approximation, as n1 * n0 exceeds {EXACT_CELLS}").otherwise("")
 
 
 def top_features(profile: DataFrame, k: int = 30) -> DataFrame:

@@ -28,13 +28,18 @@ STATUSES = ("json_parse_failed", "version_mismatch", "syntax_invalid", "function
 
 
 def compile_predicate(pred: dict, columns: set[str] | None = None) -> Column:
-    """A predicate that is false wherever a value it needs is missing (or NaN); ValueError outside the grammar."""
+    """A predicate that is false wherever a value it needs is missing (or NaN), under ``not`` too; ValueError outside the grammar."""
+    return F.coalesce(_three_valued(pred, columns), F.lit(False))
+
+
+def _three_valued(pred: dict, columns: set[str] | None) -> Column:
+    """The predicate, null where a missing value leaves it open."""
     op = pred.get("op")
     if op in ("and", "or"):
-        parts = [compile_predicate(p, columns) for p in pred["args"]]
+        parts = [_three_valued(p, columns) for p in pred["args"]]
         return reduce(lambda a, b: a & b if op == "and" else a | b, parts, F.lit(op == "and"))
     if op == "not":
-        return ~compile_predicate(pred["args"][0], columns)
+        return ~_three_valued(pred["args"][0], columns)
     name = pred.get("col")
     if not isinstance(name, str) or columns is not None and name not in columns:
         raise ValueError(f"unknown column: {name}")
@@ -42,14 +47,14 @@ def compile_predicate(pred: dict, columns: set[str] | None = None) -> Column:
     if op == "is_null":
         return c.isNull()
     if op == "in":
-        return F.coalesce(c.isin(list(pred["value"])), F.lit(False))
+        return c.isin(list(pred["value"]))
     if op not in COMPARE or not isinstance(pred.get("value"), (int, float, str, bool)):
         raise ValueError(f"not in the grammar: {pred}")
     value = pred["value"]
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         number = c.try_cast("double")
-        return F.coalesce(COMPARE[op](number, F.lit(float(value))) & ~F.isnan(number), F.lit(False))
-    return F.coalesce(COMPARE[op](c.cast("string" if isinstance(value, str) else "boolean"), F.lit(value)), F.lit(False))
+        return F.when(~F.isnan(number), COMPARE[op](number, F.lit(float(value))))
+    return COMPARE[op](c.cast("string" if isinstance(value, str) else "boolean"), F.lit(value))
 
 
 def compile_rules(rules: dict | str, columns: set[str] | None = None) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulewright.functions.hashing import hash_order
+from rulewright.sources.tables import with_row_id
 
 
 @dataclass(frozen=True)
@@ -154,8 +155,8 @@ def sampling_meta(targets: dict[int, int], counts: dict[int, int]) -> list[dict]
     return [{"label": v, "target": n, "available": counts.get(v, 0), "replaced": counts.get(v, 0) < n} for v, n in sorted(targets.items())]
 
 
-def split_row_ids(split: DataFrame, id_col: str, as_list: bool = True) -> DataFrame:
-    """(split, ids) with sorted ids for splits of a stated, small size, or the long table (split, id)."""
+def split_row_ids(split: DataFrame, id_col: str, as_list: bool = False) -> DataFrame:
+    """The long table (split, id); ``as_list``: (split, ids) with sorted ids, for splits of a stated, small size."""
     long = split.select("split", F.col(f"`{id_col}`"))
     return long.groupBy("split").agg(F.array_sort(F.collect_list(id_col)).alias("ids")) if as_list else long
 
@@ -176,3 +177,9 @@ def validate_splits(splits: DataFrame, id_col: str, sizes: dict[str, int], requi
 def shuffle_rows(df: DataFrame, seed: int, id_col: str) -> DataFrame:
     """Hash order, for exports only."""
     return df.orderBy(hash_order(seed, "shuffle", id_col), F.col(f"`{id_col}`"))
+
+
+def shuffled_places(df: DataFrame, seed: int, id_col: str, name: str = "place") -> DataFrame:
+    """``df`` with the place of each row in hash order, from 1, numbered by ranges and not in one task."""
+    hashed = df.withColumn("_hash", hash_order(seed, "shuffle", id_col))
+    return with_row_id(hashed, ["_hash", id_col], name).withColumn(name, F.col(name) + 1).drop("_hash")

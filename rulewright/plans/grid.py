@@ -14,6 +14,9 @@ from rulewright.sources.runs import flags_of
 
 SEEDS = (36, 40, 42)
 TRAIN_SIZES = (3000, 1000, 500, 100, 50, 10)
+#: Training totals and class ratios (positive, negative) of the imbalance study.
+TOTALS = (1000, 3000)
+RATIOS = ((1, 1), (1, 2), (2, 1), (1, 5), (5, 1), (1, 10), (10, 1), (1, 50), (50, 1))
 
 
 def experiment_grid(spark: SparkSession, **dimensions: list) -> DataFrame:
@@ -22,6 +25,15 @@ def experiment_grid(spark: SparkSession, **dimensions: list) -> DataFrame:
     return spark.createDataFrame(rows, ["cell_id", *dimensions])
 
 
+def ratio_grid(found: DataFrame, totals: tuple[int, ...] = TOTALS, ratios: tuple[tuple[int, int], ...] = RATIOS, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+    """(cell_id, columns of ``found``, total, p, n, seed): each row of ``found``, the values that a table holds of a dimension, with
+    every total, ratio and seed. Cells are numbered in the order of these; a grid is small enough for one task."""
+    cells = [F.struct(F.lit(t).alias("total"), F.lit(p).alias("p"), F.lit(n).alias("n"), F.lit(s).alias("seed")) for t in totals for p, n in ratios for s in seeds]
+    rows = found.select("*", F.posexplode(F.array(*cells)).alias("_at", "_cell"))
+    place = F.row_number().over(Window.orderBy(*found.columns, "_at")) - 1
+    return rows.select(place.cast("long").alias("cell_id"), *found.columns, "_cell.*")
+
+
 def filter_grid(grid: DataFrame, **wanted: list) -> DataFrame:
     """Cells with the wanted values; an error if none is left."""
     for name, values in wanted.items():
@@ -90,7 +102,7 @@ def ablation_report(index: DataFrame, summaries: DataFrame, run_col: str = "run_
 def repeat_runs(grid: DataFrame, seeds: list[int]) -> DataFrame:
     """The grid once for each seed, with the number of the run; seeds are given and recorded."""
     each = F.array(*[F.struct(F.lit(i).alias("run_no"), F.lit(s).alias("seed")) for i, s in enumerate(seeds)])
-    return grid.drop("seed").select("*", F.inline(each)).withColumn("cell_id", F.col("run_no") * F.lit(1_000_000) + F.col("cell_id"))
+    return grid.drop("seed").select("*", F.inline(each)).withColumn("cell_id", F.col("cell_id") * len(seeds) + F.col("run_no"))
 
 
 def combine_results(rules: DataFrame, baselines: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,9 +100,11 @@ lev AS (SELECT feature, coalesce(txt, num::INT::VARCHAR) AS level, y FROM long W
 """
 
 
-def _profiled(spark, sf):
-    hist = profile.histogram(tasks.returns(spark, sf).drop("row_id"), "y", RETURN_FEATURES).persist()
-    return hist, profile.classify_features(hist)
+def _profiled(spark, sf, make: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The kinds of the features of ``returns``, or what ``make`` does with their histogram and kinds, under the features' names."""
+    with profile.kept(profile.histogram(tasks.returns(spark, sf).drop("row_id"), "y", RETURN_FEATURES)) as hist:
+        kinds = profile.per_feature(profile.classify_features(hist))
+        return kinds if make is None else profile.per_feature(_named(make(hist, kinds), kinds))
 
 
 def _named(df: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -111,7 +114,7 @@ def _named(df: DataFrame, kinds: DataFrame) -> DataFrame:
 @query(LONG + """SELECT feature, CASE WHEN feature = 'big_discount' THEN 'binary' WHEN feature = 'linestatus' THEN 'categorical' ELSE 'continuous' END AS feature_type,
   round(avg((num IS NULL AND txt IS NULL)::INT), 6) AS missing_rate, count(coalesce(txt, num::VARCHAR)) AS n_valid, count(DISTINCT coalesce(txt, num::VARCHAR)) AS n_unique FROM long GROUP BY feature""", "returns")
 def b1_b2_classify_and_missing(spark, sf):
-    return _round(_profiled(spark, sf)[1], 6, "missing_rate").drop("ordinal")
+    return _round(_profiled(spark, sf), 6, "missing_rate").drop("ordinal")
 
 
 B1_SQL = ORACLE["b1_b2_classify_and_missing"]
@@ -119,7 +122,7 @@ B1_SQL = ORACLE["b1_b2_classify_and_missing"]
 
 @query(B1_SQL)
 def a5_a6_profile_store(spark, sf):
-    path, kinds = scratch_path(spark, "profiles"), _profiled(spark, sf)[1]
+    path, kinds = scratch_path(spark, "profiles"), _profiled(spark, sf)
     runs.write_profile(kinds, path, "first")
     runs.snapshot_previous(spark, path, "first", "second", kinds)
     return _round(runs.read_profile(spark, path, "second", "prev"), 6, "missing_rate").drop("ordinal")
@@ -128,8 +131,7 @@ def a5_a6_profile_store(spark, sf):
 @query(LONG + """SELECT feature, round(avg(num), 4) AS mean, round(stddev_samp(num), 4) AS std, round(quantile_cont(num, 0.5), 4) AS median, min(num) AS min, max(num) AS max,
   round(quantile_cont(num, 0.25), 4) AS q1, round(quantile_cont(num, 0.75), 4) AS q3 FROM cont GROUP BY feature""", "returns")
 def b3_numeric_summary(spark, sf):
-    hist, kinds = _profiled(spark, sf)
-    return _round(_named(profile.numeric_summary(hist, kinds), kinds), 4, "mean", "std", "median", "q1", "q3")
+    return _round(_profiled(spark, sf, profile.numeric_summary), 4, "mean", "std", "median", "q1", "q3")
 
 
 @query("""SELECT 'p_brand' AS feature, '{' || string_agg('"' || level || '":' || n, ',' ORDER BY o) || '}' AS level_counts FROM (
@@ -144,16 +146,15 @@ def b4_level_counts(spark, sf):
 
 @query(LONG + "SELECT feature, round(corr(y, num), 6) AS pointbiserial_r, CASE WHEN corr(y, num) >= 0 THEN 'pos' ELSE 'neg' END AS direction, count(*) AS n, sum(y)::BIGINT AS n1, sum(1 - y)::BIGINT AS n0 FROM cont GROUP BY feature", "returns")
 def b5_point_biserial(spark, sf):
-    hist, kinds = _profiled(spark, sf)
-    return _round(_named(profile.point_biserial(hist, kinds), kinds), 6, "pointbiserial_r")
+    return _round(_profiled(spark, sf, profile.point_biserial), 6, "pointbiserial_r")
 
 
 @query(LONG + """SELECT feature, sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2 AS mwu_u, sum(t * t - 1) AS ties FROM (
   SELECT feature, y, rank() OVER (PARTITION BY feature ORDER BY num) + (count(*) OVER (PARTITION BY feature, num) - 1) / 2 AS r, count(*) OVER (PARTITION BY feature, num)::DOUBLE AS t FROM cont)
 GROUP BY feature""", "returns")
 def b6_mann_whitney_u(spark, sf):
-    hist, kinds = _profiled(spark, sf)
-    return _named(profile.mann_whitney_u(profile.cumulative(profile._continuous(hist, kinds))), kinds).select("feature", "mwu_u", "ties")
+    found = _profiled(spark, sf, lambda hist, kinds: profile.mann_whitney_u(profile.cumulative(profile._continuous(hist, kinds))))
+    return found.select("feature", "mwu_u", "ties")
 
 
 @query(LONG + """, c AS (SELECT feature, level, sum(y) AS c1, sum(1 - y) AS c0, count(*) AS n FROM lev GROUP BY ALL),
@@ -161,16 +162,15 @@ t AS (SELECT *, count(*) OVER w AS k, sum(c1) OVER w AS n1, sum(c0) OVER w AS n0
 e AS (SELECT feature, k, unnest([c1, c0]) AS o, unnest([n * n1 / total, n * n0 / total]) AS x FROM t)
 SELECT feature, round(sum(pow(abs(o - x) - CASE WHEN k = 2 THEN least(0.5, abs(o - x)) ELSE 0 END, 2) / x), 6) AS chi2_stat, any_value(k) - 1 AS chi2_df FROM e GROUP BY feature""", "returns")
 def b7_chi_square(spark, sf):
-    hist, kinds = _profiled(spark, sf)
-    return _round(_named(profile.chi_square(hist, kinds), kinds), 6, "chi2_stat")
+    return _round(_profiled(spark, sf, profile.chi_square), 6, "chi2_stat")
 
 
 @query(LONG + """, q AS (SELECT feature, list_sort(list_distinct([min(num), quantile_cont(num, 0.25), quantile_cont(num, 0.5), quantile_cont(num, 0.75), max(num)])) AS e FROM cont GROUP BY feature),
 b AS (SELECT c.feature, greatest(len([z FOR z IN e IF z < num]), 1) AS bin, sum(y) AS a, sum(1 - y) AS b FROM cont c JOIN q ON c.feature = q.feature WHERE len(e) > 2 GROUP BY ALL)
 SELECT b.feature, b.bin::INT AS bin, round(CASE WHEN b.bin = 1 THEN 1.0 ELSE ((b.a + 0.5) * (f.b + 0.5)) / ((b.b + 0.5) * (f.a + 0.5)) END, 6) AS odds FROM b JOIN b f ON b.feature = f.feature AND f.bin = 1""", "returns")
 def b8_b9_quartile_odds_ratio(spark, sf):
-    hist, kinds = _profiled(spark, sf)
-    return _round(_named(profile.quartile_odds_ratio(hist, kinds, profile.numeric_summary(hist, kinds)), kinds), 6, "odds").select("feature", "bin", "odds")
+    found = _profiled(spark, sf, lambda hist, kinds: profile.quartile_odds_ratio(hist, kinds, profile.per_feature(profile.numeric_summary(hist, kinds))))
+    return _round(found, 6, "odds").select("feature", "bin", "odds")
 
 
 @query()
@@ -273,10 +273,9 @@ def c8_sampling_meta(spark, sf):
     return spark.createDataFrame([tuple(m.values()) for m in meta], "label int, target int, available long, replaced boolean")
 
 
-@query(f"+ {HOLDOUT} SELECT split, array_to_string(list_sort(list(row_id)), ',') AS ids FROM hold GROUP BY split", "finished")
+@query(f"+ {HOLDOUT} SELECT split, row_id FROM hold", "finished")
 def c9_split_row_ids(spark, sf):
-    split = sampling.balanced_holdout(tasks.finished(spark, sf), "y", "row_id", SPEC)
-    return sampling.split_row_ids(split, "row_id").select("split", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+    return sampling.split_row_ids(sampling.balanced_holdout(tasks.finished(spark, sf), "y", "row_id", SPEC), "row_id")
 
 
 @query("""+ s AS (SELECT row_id, CASE WHEN row_id % 2 = 0 THEN 'even' ELSE 'odd' END AS split FROM finished UNION ALL SELECT row_id, 'seven' FROM finished WHERE row_id % 7 = 0),
@@ -293,10 +292,7 @@ def c10_validate_splits(spark, sf):
 
 @query(f"SELECT row_id, row_number() OVER (ORDER BY {h(3, 'shuffle')}, row_id) AS place FROM quality", "quality")
 def c11_shuffle_rows(spark, sf):
-    from pyspark.sql import Window
-
-    df = sampling.shuffle_rows(tasks.quality(spark, sf), 3, "row_id")
-    return df.select("row_id", F.row_number().over(Window.orderBy(hash_order(3, "shuffle", "row_id"), "row_id")).cast("long").alias("place"))
+    return sampling.shuffled_places(tasks.quality(spark, sf), 3, "row_id").select("row_id", "place")
 
 
 # D: drift
@@ -309,10 +305,16 @@ def d1_apply_drift(spark, sf):
     return drift.apply_drift(tasks.finished(spark, sf), "y", DRIFT, "row_id")
 
 
-@query("SELECT 'segment,absent' AS dropped, 'segment' AS dropped_present, 'late_flag,acctbal' AS added, 'late_flag' AS added_missing_filled, 'totalprice->price' AS renamed, 'price list' AS note FROM customer LIMIT 1")
+@query("""SELECT 'dropped' AS action, 'segment' AS "columns", true AS took_effect, count(segment) AS n_rows FROM finished UNION ALL SELECT 'dropped', 'absent', false, 0
+UNION ALL SELECT 'added', 'late_flag', true, count(*) FROM finished UNION ALL SELECT 'added', 'acctbal', false, 0 UNION ALL SELECT 'renamed', 'totalprice->price', true, count(totalprice) FROM finished""", "finished")
 def d2_drift_meta(spark, sf):
-    meta = drift.drift_meta(tasks.finished(spark, sf), DRIFT)
-    return meta.select(*[F.array_join(c, ",").alias(c) for c in ("dropped", "dropped_present", "added", "added_missing_filled", "renamed")], "note")
+    return drift.drift_effects(tasks.finished(spark, sf), DRIFT)
+
+
+@query("SELECT 'r7' AS run_id, 'finish' AS task, 'F1,ACC' AS metric_priority, 10 AS iterations, 42 AS seed, 'segment,absent' AS dropped, count(*) AS n_rows, sum(y)::BIGINT AS n_positive FROM finished", "finished")
+def d13_drift_context(spark, sf):
+    told = drift.drift_context(tasks.finished(spark, sf), "y", "r7", "finish", ("F1", "ACC"), 10, 42, DRIFT)
+    return told.select("run_id", "task", *[F.array_join(c, ",").alias(c) for c in ("metric_priority", "dropped")], "iterations", "seed", "n_rows", "n_positive")
 
 
 @query("SELECT priority, acctbal, y, row_id FROM finished", "finished")
@@ -402,11 +404,12 @@ def d10_carry_knowledge(spark, sf):
     return _flat(drift.carry_knowledge(drift.parse_knowledge(_knowledge(spark, sf)), drift.Drift(dropped=(first,), renamed=((last, "LAST"),))))
 
 
-@query(f"WITH {KNOWN}, b AS (SELECT min(n_name) AS first, max(n_name) AS last FROM nation) SELECT 'new' AS run_id, row_no, feature, signal FROM known, b WHERE feature <> first UNION ALL SELECT 'new', row_no + 1000000, feature, signal FROM known, b WHERE feature = last")
+@query(f"""WITH {KNOWN}, b AS (SELECT min(n_name) AS first, max(n_name) AS last FROM nation), c AS (SELECT known.* FROM known, b WHERE feature <> first), x AS (SELECT run_id, max(row_no) + 1 AS n FROM c GROUP BY run_id)
+SELECT run_id, row_no, feature, signal FROM c UNION ALL SELECT k.run_id, (k.row_no + coalesce(n, 0))::INT, feature, signal FROM known k LEFT JOIN x ON k.run_id = x.run_id, b WHERE feature = last""")
 def d11_merge_knowledge(spark, sf):
     first, last = tasks.table(spark, sf, "nation").agg(F.min("n_name"), F.max("n_name")).first()
     parsed = drift.parse_knowledge(_knowledge(spark, sf))
-    return _flat(drift.merge_knowledge(parsed, parsed, drift.Drift(dropped=(first,), added=(last,)), "new"))
+    return _flat(drift.merge_knowledge(parsed, parsed, drift.Drift(dropped=(first,), added=(last,))))
 
 
 @query(f"WITH {KNOWN} SELECT run_id, '| Feature | signal |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || feature || ' | ' || signal || ' |', chr(10) ORDER BY row_no) AS text FROM known GROUP BY run_id")
@@ -476,7 +479,10 @@ def e6_inference_report(spark, sf):
 
 @query("SELECT r_name AS run_id, 'v' || (length(r_name) % 4) AS version, (length(r_name) % 4)::INT AS ordinal FROM region")
 def e7_rule_store(spark, sf):
-    return rules.current_versions(_rule_table(spark, sf))
+    path, stored = scratch_path(spark, "rules"), _rule_table(spark, sf)
+    for old in (True, False):
+        rules.append_versions(stored.where((F.col("ordinal") < 1) == F.lit(old)), path)
+    return rules.current_versions(spark.read.parquet(path))
 
 
 def _proposals(spark, sf) -> DataFrame:
@@ -484,7 +490,9 @@ def _proposals(spark, sf) -> DataFrame:
     good = json.dumps({"version": "v1", "error_analysis": "x", "new_policy_code": json.dumps(tasks.RULES["v1"])})
     texts = [f"```json\n{good}\n```", "no json", good.replace('"v1"', '"v9"', 1), json.dumps({"version": "v1", "error_analysis": "", "new_policy_code": "def predict_v1(:"}), json.dumps({"version": "v1", "error_analysis": "", "new_policy_code": "def other(features):\n    return 1"}), json.dumps({"version": "v1", "error_analysis": "", "new_policy_code": '{"points": [1]}'}), json.dumps({"version": "v1", "error_analysis": "", "new_policy_code": "```python\ndef predict_v1(features):\n    return 1\n```"})]
     raw = F.get(F.array(*[F.lit(t) for t in texts]), (F.col("event_id") % 7).cast("int"))
-    return tasks.table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("run_id"), F.lit("v1").alias("expected_version"), F.lit(1).alias("ordinal"), raw.alias("raw_text"), (F.col("event_id") % 6 + 1).cast("int").alias("attempt"))
+    ordinal = (F.floor(F.col("event_id") / 6) % 3 + 1).cast("int")
+    version = F.concat(F.lit("v"), ordinal)
+    return tasks.table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("run_id"), version.alias("expected_version"), ordinal.alias("ordinal"), F.replace(raw, F.lit("v1"), version).alias("raw_text"), (F.col("event_id") % 6 + 1).cast("int").alias("attempt"))
 
 
 STATUS_SQL = "list_extract(['ok', 'json_parse_failed', 'version_mismatch', 'syntax_invalid', 'function_name_mismatch', 'load_failed', 'ok'], (event_id % 7 + 1)::INT)"
@@ -495,10 +503,14 @@ def e8_validate_proposals(spark, sf):
     return rules.validate_proposals(_proposals(spark, sf)).select("event_id", "status")
 
 
-@query(f"""WITH a AS (SELECT user_id::VARCHAR AS run_id, event_id % 6 + 1 AS attempt, {STATUS_SQL} AS status FROM events)
-SELECT run_id, min(attempt) FILTER (status = 'ok')::INT AS attempt, coalesce(bool_or(status = 'ok'), false) AS accepted FROM a WHERE attempt <= 4 GROUP BY run_id""")
+RESOLVED = f"""a AS (SELECT user_id::VARCHAR AS run_id, (event_id // 6 % 3 + 1)::INT AS ordinal, (event_id % 6 + 1)::INT AS tried, {STATUS_SQL} AS status FROM events),
+per AS (SELECT run_id, ordinal, min(tried) FILTER (status = 'ok') AS attempt, string_agg(status, ',' ORDER BY tried, status) AS statuses FROM a WHERE tried <= 4 GROUP BY run_id, ordinal),
+res AS (SELECT *, 'v' || ordinal AS version, bool_and(attempt IS NOT NULL) OVER (PARTITION BY run_id ORDER BY ordinal) AS accepted FROM per)"""
+
+
+@query(f"WITH {RESOLVED} SELECT run_id, version, attempt, accepted FROM res")
 def e9_resolve_attempts(spark, sf):
-    return rules.resolve_attempts(rules.validate_proposals(_proposals(spark, sf))).select("run_id", "attempt", "accepted")
+    return rules.resolve_attempts(rules.validate_proposals(_proposals(spark, sf))).select("run_id", "version", "attempt", "accepted")
 
 
 # F: evaluation
@@ -589,10 +601,12 @@ def g2_sample_errors(spark, sf):
     return errors.sample_errors(_errors(spark, sf), 100, 43).select("row_id", "kind")
 
 
-@query(SCORED + """, e AS (SELECT count(*) AS n, count(*) FILTER (y = 0) AS fp, count(*) FILTER (y = 1) AS fn FROM s WHERE y <> v0)
-SELECT 0::BIGINT AS line_no, 'Error samples=' || n || ' (FP=' || fp || ', FN=' || fn || ')' AS line FROM e UNION ALL SELECT 1099511627776, '(Showing only the first 40 samples; the rest are omitted.)' FROM e""", "returns")
+@query(SCORED + """, e AS (SELECT count(*) AS n, count(*) FILTER (y = 0) AS fp, count(*) FILTER (y = 1) AS fn FROM s WHERE y <> v0),
+d AS (SELECT *, row_number() OVER (ORDER BY row_id) AS r FROM s WHERE y <> v0)
+SELECT 0::BIGINT AS line_no, n || ' rows are wrong: ' || fp || ' FP, ' || fn || ' FN' AS line FROM e UNION ALL SELECT 1099511627776, (n - 40) || ' more are left out.' FROM e WHERE n > 40
+UNION ALL SELECT r, '- id=' || row_id || ' kind=' || CASE WHEN y = 0 THEN 'FP' ELSE 'FN' END || ' y=' || y || ' prediction=' || v0 || ' features={"quantity":' || quantity::DOUBLE || ',"tax":' || tax::DOUBLE || '}' FROM d WHERE r <= 40""", "returns")
 def g3_error_report(spark, sf):
-    return errors.error_report(_errors(spark, sf)).where("line_no = 0 OR line_no > 1000000")
+    return errors.error_report(_errors(spark, sf))
 
 
 @query()
@@ -617,12 +631,22 @@ def g6_regression_summary(spark, sf):
     return out.select("n_regressed", F.array_join("ids", ",").alias("ids"), "n_more")
 
 
-@query()
+LIMITS = {"v0": 50, "v1": 80, "v2": 20, "v3": 60}
+
+
+@query(f"""WITH {RESOLVED},
+p AS (SELECT user_id::VARCHAR AS run_id, (event_type = 'purchase')::INT AS y, unnest(['v1', 'v2', 'v3']) AS version, unnest([value > 50, value > 80, value > 20])::INT AS old, unnest([value > 80, value > 20, value > 60])::INT AS new FROM events),
+gone AS (SELECT run_id, version, count(*) AS n FROM p WHERE old = y AND new <> y GROUP BY ALL)
+SELECT res.run_id, res.version, ordinal, accepted, statuses, last_value(CASE WHEN accepted THEN res.version END IGNORE NULLS) OVER w AS last_accepted_version,
+  last_value(CASE WHEN accepted THEN coalesce(n, 0) END IGNORE NULLS) OVER w AS last_regressed
+FROM res LEFT JOIN gone ON res.run_id = gone.run_id AND res.version = gone.version WINDOW w AS (PARTITION BY res.run_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def g7_iteration_log(spark, sf):
     resolved = rules.resolve_attempts(rules.validate_proposals(_proposals(spark, sf)))
-    wide = tasks.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("run_id"), F.lit("v1").alias("version"), "event_id", (F.col("event_type") == "purchase").cast("int").alias("y"), (F.col("value") > 50).cast("int").alias("v0"), (F.col("value") > 80).cast("int").alias("v1"))
-    gone = errors.regressions(wide, "v0", "v1", "event_id", ["run_id", "version"]).groupBy("run_id", "version").agg(F.array_sort(F.collect_list("event_id")).alias("last_regressed"))
-    return errors.iteration_log(resolved, gone)
+    predicted = {v: (F.col("value") > x).cast("int").alias(v) for v, x in LIMITS.items()}
+    wide = tasks.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("run_id"), "event_id", (F.col("event_type") == "purchase").cast("int").alias("y"), *predicted.values())
+    gone = [errors.regressions(wide.withColumn("version", F.lit(new)), old, new, "event_id", ["run_id", "version"]) for old, new in zip(LIMITS, list(LIMITS)[1:])]
+    counts = reduce(DataFrame.unionByName, gone).groupBy("run_id", "version").agg(F.count("*").alias("n_regressed"))
+    return errors.iteration_log(resolved, counts).withColumn("statuses", F.array_join("statuses", ","))
 
 
 G8_SQL = SCORED + " SELECT version_old, version_new, ordinal, count(*) FILTER (a <> y AND b = y) AS n_fixed, count(*) FILTER (a = y AND b <> y) AS n_regressed FROM s, LATERAL (VALUES ('v0', 'v1', 1, v0, v1), ('v1', 'v2', 2, v1, v2), ('v2', 'v3', 3, v2, v3)) t(version_old, version_new, ordinal, a, b) GROUP BY ALL"
@@ -633,22 +657,19 @@ def g8_version_diff_all(spark, sf):
     return errors.version_diff_wide(_wide(spark, sf), list(tasks.RULES))
 
 
-@query(G8_SQL.replace("FROM returns)", "FROM returns QUALIFY count(*) OVER (PARTITION BY row_id) = 1)"), "returns")
+@query(G8_SQL, "returns")
 def g8_version_diff_long(spark, sf):
     df = tasks.returns(spark, sf)
-    once = df.groupBy("row_id").agg(F.count("*").alias("n")).where("n = 1").select("row_id")
-    return errors.version_diff_all(rules.score_versions(df.join(once, "row_id"), tasks.RULES, "row_id", "y"))
+    numbered = tables.with_row_id(df, df.columns, "row_no")  # row_id may repeat
+    return errors.version_diff_all(rules.score_versions(numbered, tasks.RULES, "row_no", "y"), "row_no")
 
 
 # H: preparation and baselines
 
 
-@query("SELECT c AS \"column\", k AS kind FROM (VALUES ('quantity', 'numeric'), ('extendedprice', 'numeric'), ('discount', 'numeric'), ('tax', 'numeric'), ('linestatus', 'categorical'), ('big_discount', 'numeric')) t(c, k), (SELECT 1 FROM lineitem LIMIT 1)")
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", '{'categorical' if c == 'linestatus' else 'numeric'}' AS kind, count({c}) AS n_values, count(*) - count({c}) AS n_missing FROM returns""" for c in RETURN_FEATURES), "returns")
 def h1_column_kinds(spark, sf):
-    df = tasks.returns(spark, sf)
-    cat, num = baselines.column_kinds(df, ("row_id", "y"))
-    have = df.select(F.lit(1)).limit(1)
-    return have.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit("categorical" if c in cat else "numeric").alias("kind")) for c in [*cat, *num]])))
+    return baselines.column_values(tasks.returns(spark, sf), ("row_id", "y"))
 
 
 @query("""+ m AS (SELECT quantile_cont(discount, 0.5) AS md FROM returns), z AS (SELECT row_id, tax, coalesce(discount, md) AS d FROM returns, m),
@@ -666,6 +687,15 @@ def h3_impute_mode(spark, sf):
     return baselines.impute_modes(df, baselines.modes(df, ["priority"])).groupBy("priority").agg(F.count("*").alias("n"))
 
 
+@query("""+ q AS (SELECT row_id, nullif(priority, '1-URGENT') AS priority FROM finished), tr AS (SELECT priority FROM q WHERE priority <> '5-LOW'),
+m AS (SELECT priority FROM tr GROUP BY 1 ORDER BY count(*) DESC, priority LIMIT 1), c AS (SELECT list(DISTINCT priority ORDER BY priority) AS cats FROM tr)
+SELECT row_id, array_to_string([(x = filled)::INT FOR x IN cats], ',') AS hot FROM (SELECT row_id, coalesce(q.priority, m.priority) AS filled FROM q, m), c""", "finished")
+def h3_one_hot(spark, sf):
+    df = tasks.finished(spark, sf).select("row_id", F.nullif("priority", F.lit("1-URGENT")).alias("priority"))
+    hot = baselines.one_hot(df.where("priority <> '5-LOW'"), df, ["priority"])
+    return hot.select("row_id", F.array_join("priority", ",").alias("hot"))
+
+
 @query("""SELECT 'segment' AS "column", 'categorical' AS kind, segment AS value, (dense_rank() OVER (ORDER BY segment) - 1)::DOUBLE AS code FROM (SELECT DISTINCT segment FROM finished)
 UNION ALL SELECT 'acctbal', 'numeric', NULL, round(quantile_cont(acctbal, 0.5), 6) FROM finished""", "finished")
 def h4_fit_encoding(spark, sf):
@@ -698,7 +728,7 @@ def _baseline(name: str):
     def run(spark, sf):
         df = tasks.finished(spark, sf)
         part = F.substring(hash_order(1, "fold", "row_id"), 1, 1)
-        train, test = (df.where(c).drop("row_id").persist() for c in (part < "c", part >= "c"))
+        train, test = (df.where(c).drop("row_id") for c in (part < "c", part >= "c"))
         return baselines.fit_eval_baseline(name, train, test, "y", weights="pos" if name.startswith("boosting") else "balanced")
 
     return run
@@ -716,27 +746,47 @@ DRIFT_STAGES = sampling.TwoStageSpec(train1=1000, train2=40, val_total=500, test
 def h12_h16_two_stage_baselines(spark, sf):
     stages = (drift.StageSpec(("acctbal", "totalprice", "segment")), drift.StageSpec(("acctbal", "totalprice", "priority")))
     bundles = drift.stage_bundles(tasks.finished(spark, sf), "y", "row_id", stages, DRIFT_STAGES, 42)
-    one, two = (b.persist() for b in bundles.values())
+    path = scratch_path(spark, "stages")
+    for name, b in bundles.items():
+        b.write.parquet(f"{path}/{name}")
+    one, two = (spark.read.parquet(f"{path}/{name}") for name in bundles)
     return baselines.two_stage_baselines(one, two, "y")
 
 
 # I: grids
 
 
-def _grid(spark) -> DataFrame:
-    return grid.experiment_grid(spark, dataset=["finished"], total=[100, 50, 10], p=[1, 5], n=[1, 5], seed=list(grid.SEEDS))
+def _grid(spark, sf) -> DataFrame:
+    """Every train size, ratio and seed for the task that the orders hold."""
+    found = tasks.finished(spark, sf).select(F.lit("finished").alias("dataset")).distinct()
+    return grid.ratio_grid(found, grid.TRAIN_SIZES)
+
+
+def _values(values) -> str:
+    return ", ".join(f"({', '.join(map(str, v if isinstance(v, tuple) else (v,)))}, {i})" for i, v in enumerate(values))
+
+
+def _grid_sql(totals) -> str:
+    return f"(VALUES {_values(totals)}) a(total, o), (VALUES {_values(grid.RATIOS)}) b(p, n, r), (VALUES {_values(grid.SEEDS)}) d(seed, s)"
 
 
-GRID = """g AS (SELECT (row_number() OVER (ORDER BY o, p, n, seed) - 1) AS cell_id, total, p, n, seed FROM (VALUES (100, 0), (50, 1), (10, 2)) a(total, o), (VALUES (1), (5)) b(p), (VALUES (1), (5)) c(n), (VALUES (36), (40), (42)) d(seed)),
-t AS (SELECT cell_id, seed, 1 AS label, greatest(1, least(total - 1, round_even(total * p / (p + n), 0)))::INT AS target, total FROM g),
+TARGET = "greatest(1, least(total - 1, round_even(total * p / (p + n), 0)))::INT"
+GRID = f"""g AS (SELECT o * 27 + r * 3 + s AS cell_id, total, p, n, seed FROM {_grid_sql(grid.TRAIN_SIZES)}),
+t AS (SELECT cell_id, seed, 1 AS label, {TARGET} AS target, total FROM g),
 tt AS (SELECT cell_id, seed, label, target FROM t UNION ALL SELECT cell_id, seed, 0, total - target FROM t)"""
 
 
-@query(f"WITH {GRID} SELECT cell_id, seed, label, target::INT AS target FROM tt WHERE EXISTS (SELECT 1 FROM orders)")
+@query(f"""+ g AS (SELECT row_number() OVER (ORDER BY segment, o, r, s) - 1 AS cell_id, segment, total, p, n, seed FROM (SELECT DISTINCT segment FROM finished), {_grid_sql(grid.TOTALS)}),
+t AS (SELECT cell_id, segment, seed, 1 AS label, {TARGET} AS target, total FROM g WHERE seed <> 40),
+tt AS (SELECT cell_id, segment, seed, label, target FROM t UNION ALL SELECT cell_id, segment, seed, 0, total - target FROM t),
+have AS (SELECT segment, y, count(*) AS available FROM finished GROUP BY ALL)
+SELECT cell_id, tt.segment, seed, label, target::INT AS target, coalesce(available, 0) AS available FROM tt LEFT JOIN have ON tt.segment = have.segment AND label = y""", "finished")
 def i1_i2_experiment_grid(spark, sf):
-    cells = grid.filter_grid(_grid(spark), dataset=["finished"])
-    some = tasks.table(spark, sf, "orders").limit(1).select(F.lit("finished").alias("dataset"))
-    return grid.cell_targets(cells.join(some, "dataset"), p="p", n="n").select("cell_id", "seed", "label", "target")
+    pool = tasks.finished(spark, sf)
+    have = pool.groupBy("segment", F.col("y").alias("label")).agg(F.count("*").alias("available"))
+    cells = grid.filter_grid(grid.ratio_grid(pool.select("segment").distinct()), seed=[36, 42])
+    targets = grid.cell_targets(cells, p="p", n="n").join(have, ["segment", "label"], "left")
+    return targets.select("cell_id", "segment", "seed", "label", "target", F.coalesce("available", F.lit(0)).alias("available"))
 
 
 CELLS = f"""+ {GRID},
@@ -745,7 +795,7 @@ cells AS (SELECT cell_id, r.seed, row_id, y FROM r JOIN tt ON r.seed = tt.seed A
 
 
 def _cells(spark, sf):
-    return grid.sample_cells(tasks.finished(spark, sf), grid.cell_targets(_grid(spark), p="p", n="n"), "y", "row_id")
+    return grid.sample_cells(tasks.finished(spark, sf), grid.cell_targets(_grid(spark, sf), p="p", n="n"), "y", "row_id")
 
 
 @query(CELLS + "SELECT cell_id, seed, row_id, y FROM cells", "finished")
@@ -757,7 +807,7 @@ def i3_sample_cells(spark, sf):
 SELECT cell_id, round(avg((y = p)::INT), 6) AS acc, count(*) AS n, 'ok' AS status FROM s GROUP BY cell_id""", "finished")
 def i4_evaluate_cells(spark, sf):
     scored = _cells(spark, sf).join(tasks.finished(spark, sf).select("row_id", (F.col("totalprice") > 200_000).cast("int").alias("prediction")), "row_id")
-    return _round(grid.evaluate_cells(scored, _grid(spark).drop("n")), 6, "acc").select("cell_id", "acc", "n", "status")
+    return _round(grid.evaluate_cells(scored, _grid(spark, sf).drop("n")), 6, "acc").select("cell_id", "acc", "n", "status")
 
 
 @query("""SELECT o_orderpriority, CASE o_orderpriority WHEN '3-MEDIUM' THEN 0 WHEN '1-URGENT' THEN 1 ELSE 99 END AS place, count(*) AS n FROM orders GROUP BY ALL""")
@@ -791,7 +841,7 @@ def i8_combine_results(spark, sf):
 
 @query(f"WITH {GRID}, {tasks.SQL['quality']}, n AS (SELECT y, count(*) AS available FROM quality GROUP BY y) SELECT cell_id, label, target::INT AS target, coalesce(available, 0) AS available, coalesce(available, 0) < target AS replaced FROM tt LEFT JOIN n ON y = label")
 def i9_sampling_audit(spark, sf):
-    return grid.sampling_audit(tasks.quality(spark, sf), grid.cell_targets(_grid(spark), p="p", n="n"), "y")
+    return grid.sampling_audit(tasks.quality(spark, sf), grid.cell_targets(_grid(spark, sf), p="p", n="n"), "y")
 
 
 @query("SELECT date_trunc('day', ts) AS start, count(*) FILTER (event_type = 'purchase' AND value > 50) AS tp, count(*) FILTER (event_type <> 'purchase' AND NOT coalesce(value > 50, false)) AS tn, count(*) FILTER (event_type <> 'purchase' AND value > 50) AS fp, count(*) FILTER (event_type = 'purchase' AND NOT coalesce(value > 50, false)) AS fn FROM events GROUP BY 1")

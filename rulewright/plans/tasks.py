@@ -79,6 +79,6 @@ RULES = {
 RULES_SQL = {
     "v0": "CASE WHEN coalesce(quantity >= 45, false) THEN 1 ELSE (coalesce(discount >= 0.05, false)::INT + coalesce(tax <= 0.02, false)::INT + coalesce(linestatus = 'F', false)::INT >= 2)::INT END",
     "v1": "(2 * coalesce(linestatus = 'F', false)::INT + (discount IS NULL)::INT + coalesce(quantity < 25, false)::INT >= 3)::INT",
-    "v2": "CASE WHEN coalesce(extendedprice > 50000, false) AND (coalesce(linestatus IN ('F'), false) OR NOT coalesce(tax >= 0.04, false)) THEN 1 ELSE (1.5 * coalesce(big_discount = 1, false)::INT >= 1.5)::INT END",
+    "v2": "CASE WHEN coalesce(extendedprice > 50000 AND (linestatus IN ('F') OR NOT (tax >= 0.04)), false) THEN 1 ELSE (1.5 * coalesce(big_discount = 1, false)::INT >= 1.5)::INT END",
 }
 RULES_SQL["v3"] = RULES_SQL["v1"]

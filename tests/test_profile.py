@@ -63,3 +63,16 @@ def test_cumulative_is_exact_across_buckets(spark):
     h = profile.histogram(df, "y")
     got = {r["num"]: r["before"] for r in profile.cumulative(profile._continuous(h, profile.classify_features(h))).collect()}
     assert all(got[float(v)] == sum(w < v for w in values) for v in set(values))
+
+
+def test_the_note_on_large_exact_counts(spark):
+    rows = [(int(i < 5), float(i * 7919 % 10_007)) for i in range(9000)]
+    got = profile.profile_table(spark.createDataFrame(rows, "y int, x double"), "y").first()
+    assert "normal approximation" in got["method_note"]
+    assert profile.profile_table(spark.createDataFrame(rows[:100], "y int, x double"), "y").first()["method_note"] == ""
+
+
+def test_medians_are_exact(spark):
+    values = [(i * 7919) % 1001 for i in range(2000)]
+    df = spark.createDataFrame([(float(v), None if v % 2 else "a", "x") for v in values], "x double, z string, t string")
+    assert profile.medians(df, ["x", "t"]) == {"x": sorted(values)[999] / 2 + sorted(values)[1000] / 2, "t": None}

@@ -34,6 +34,12 @@ def test_missing_values_fire_no_predicate(spark):
     df = spark.createDataFrame([(None, "a"), (float("nan"), "a"), (20.0, None)], "x double, s string")
     rule = {"triggers": [{"op": ">=", "col": "x", "value": 10}], "points": [{"pred": {"op": "=", "col": "s", "value": "a"}, "weight": 1}], "cutoff": 2}
     assert [r["prediction"] for r in rules.score_rules(df, rule).collect()] == [0, 0, 1]
+    below = {"op": "not", "args": [{"op": ">=", "col": "x", "value": 10}]}
+    of_either = {"op": "not", "args": [{"op": "or", "args": [{"op": ">=", "col": "x", "value": 10}, {"op": "=", "col": "s", "value": "b"}]}]}
+    for pred in (below, of_either):
+        assert [r["prediction"] for r in rules.score_rules(df, {"triggers": [pred]}).collect()] == [0, 0, 0]
+    known = spark.createDataFrame([(5.0, "a"), (5.0, None)], df.schema)
+    assert [r["prediction"] for r in rules.score_rules(known, {"triggers": [of_either]}).collect()] == [1, 0]
 
 
 @pytest.mark.parametrize("bad", [{"triggers": [{"op": "exec", "col": "x", "value": 1}]}, {"triggers": [{"op": "=", "col": "nope", "value": 1}]}, {"code": "1"}])
@@ -52,9 +58,26 @@ def test_attempts(spark):
 
 def test_reports_of_nothing(spark):
     none = spark.createDataFrame([], "row_id bigint, y int, prediction int, kind string, features string")
-    assert [r["line"] for r in errors.error_report(none).collect()] == ["No error samples."]
+    assert [r["line"] for r in errors.error_report(none).collect()] == ["No row is wrong."]
     gone = spark.createDataFrame([], "row_id bigint, y int")
-    assert errors.regression_summary(gone).first()["message"] == "No regressions."
+    assert errors.regression_summary(gone).first()["message"] == "Nothing got worse."
+
+
+def test_rows_later_than_the_watermark_are_left_out(spark, tmp_path):
+    schema, rule = "ts timestamp, y int, x double", {"triggers": [{"op": ">", "col": "x", "value": 9}], "cutoff": 1}
+    batches = [[("2024-01-01 00:10:00", 1, 10.0), ("2024-01-01 05:10:00", 0, 10.0)], [("2024-01-01 00:20:00", 1, 10.0), ("2024-01-01 05:20:00", 1, 1.0)], [("2024-01-01 09:00:00", 0, 1.0)]]
+    write = lambda rows: spark.createDataFrame(rows, "ts string, y int, x double").selectExpr("CAST(ts AS timestamp) AS ts", "y", "x").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    write(batches[0])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    counted = scoring.windowed_confusion(stream, rule, "ts", "y")
+    q = counted.writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    for rows in batches[1:]:
+        write(rows)
+        q.processAllAvailable()
+    q.stop()
+    got = {r["start"].hour: (r["tp"], r["fp"], r["fn"]) for r in spark.table("windows").collect()}
+    assert got == {0: (1, 0, 0), 5: (0, 1, 1)}  # the late row of hour 0 is in no window
 
 
 def test_stream_scores_like_a_batch(spark, tmp_path):

@@ -84,6 +84,11 @@ def test_drift(spark, pool):
     assert [r["cells"] for r in parsed.orderBy("row_no").collect()] == [["f1", "x"], ["f2", ""]]
     kept = drift.carry_knowledge(parsed, drift.Drift(dropped=("f2",), renamed=(("f1", "g"),)))
     assert drift.render_knowledge(kept).first()["text"] == "| 特征 | s |\n| --- | --- |\n| g | x |"
+    assert [r["feature"] for r in drift.drift_top_features(None, 1, ["a", "b"]).collect()] == ["a", "b"]
+    two = parsed.unionByName(parsed.withColumns({"run_id": F.lit("q"), "header": F.array(F.lit("f"), F.lit("s"), F.lit("t")), "cells": F.array(F.lit("f1"), F.lit(""), F.lit("z"))}))
+    merged = drift.merge_knowledge(two, parsed, drift.Drift(added=("f2",)))
+    assert {r["run_id"]: (len(r["header"]), r["n"]) for r in merged.groupBy("run_id", "header").agg(F.count("*").alias("n")).collect()} == {"r": (2, 3), "q": (3, 2)}
+    assert merged.groupBy("run_id", "row_no").count().where("count > 1").count() == 0
 
 
 def test_encodings(spark):
