@@ -50,20 +50,20 @@ def coerce_numeric(col: Column) -> Column:
 def histogram(df: DataFrame, label_col: str, features: list[str] | None = None) -> DataFrame:
     """H: (ordinal, feature, is_number, num, txt, n, c1, c0), one row for each value, and for the missing one, of each feature."""
     features = features or [c for c in df.columns if c != label_col]
-    parts = []
+    parts, about = [], []
     for i, c in enumerate(features):
         kind = df.schema[c].dataType
-        number = isinstance(kind, T.NumericType)
-        col = F.col(f"`{c}`")
-        if isinstance(kind, T.BooleanType):
-            col = col.cast("int").cast("string")
-        whole = isinstance(kind, T.IntegralType)
-        num = coerce_numeric(col)
-        txt = F.when(num.isNotNull(), col.cast("string")) if number and not whole else col.cast("string")
+        number, whole = isinstance(kind, T.NumericType), isinstance(kind, T.IntegralType)
+        col = F.col(f"`{c}`").cast("int").cast("string") if isinstance(kind, T.BooleanType) else F.col(f"`{c}`")
         # a number's text is only needed for levels, and comes from the number itself
-        parts.append(F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("feature"), F.lit(number).alias("is_number"), num.alias("num"), (F.lit(None).cast("string") if number else txt).alias("txt"), F.lit(whole).alias("whole")))
+        txt = F.lit(None) if number else col
+        parts.append(F.struct(F.lit(i).alias("ordinal"), coerce_numeric(col).alias("num"), txt.cast("string").alias("txt")))
+        about.append(F.struct(F.lit(c).alias("feature"), F.lit(number).alias("is_number"), F.lit(whole).alias("whole")))
     long = df.select(F.col(f"`{label_col}`").cast("int").alias("_y"), F.inline(F.array(*parts)))
-    return long.groupBy("ordinal", "feature", "is_number", "whole", "num", "txt").agg(F.count("*").alias("n"), F.count_if(F.col("_y") == 1).alias("c1"), F.count_if(F.col("_y") == 0).alias("c0"))
+    sums = F.count("*").alias("n"), F.count_if(F.col("_y") == 1).alias("c1"), F.count_if(F.col("_y") == 0).alias("c0")
+    counted = long.groupBy("ordinal", "num", "txt").agg(*sums)
+    told = F.get(F.array(*about), F.col("ordinal"))
+    return counted.select("ordinal", *[told[c].alias(c) for c in ("feature", "is_number", "whole")], "num", "txt", "n", "c1", "c0")
 
 
 def _missing() -> Column:
