@@ -3,8 +3,8 @@
 Texts with equal shingle sets, told by a 128-bit digest, are one node. The minima of a node's set under multiply-shift hash
 functions are cut into bands; nodes that agree in a band share a bucket. Nodes of a bucket are first compared with its
 pivot, the node that shares most buckets with others. What is linked becomes one component, and only nodes of a bucket that
-still lie in different components are then compared with each other, in blocks of bounded size inside the tasks: links inside
-a component can't change the result, so a bucket of a million copies costs a million comparisons, and no link between different
+still lie in different components are then compared with each other, as pairs where a bucket has a few nodes, else in blocks of bounded
+size inside the tasks: links inside a component can't change the result, so a bucket of a million copies costs a million comparisons, and no link between different
 components is left out. Every comparison goes by signature first, with a margin of six standard deviations, and is
 confirmed on the full sets. Within the banding (a pair at the threshold is missed with a probability of 1e-9 at
 the defaults) the components are exact.
@@ -26,10 +26,10 @@ from pyspark.sql import types as T
 
 from rulewright.llm.components import connected_components
 from rulewright.llm.shared import give_back, sorted_groups, temporary_tables, text_slices, unique_name, written
-from rulewright.llm.shingles import mix, set_digest, shingle_lanes, shingle_sets
+from rulewright.llm.shingles import mix, set_digest, shingle_lanes
 
-#: Rows of a band, chance to miss a pair at the threshold, rows of a block.
-ROWS, MISS, BLOCK = 5, 1e-9, 400
+#: Rows of a band, chance to miss a pair at the threshold, nodes of an open bucket whose pairs become rows, rows of a block.
+ROWS, MISS, FEW, BLOCK = 5, 1e-9, 8, 400
 
 
 def band_count(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -91,19 +91,22 @@ def _features(docs: DataFrame, k: int, hasher: MinHasher) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _sets(texts: DataFrame, k: int) -> DataFrame:
-    """The table of (id, text, ..) with ``elements``, the sorted hashes of the full set, in the place of the text."""
-    schema = T.StructType([texts.schema[0], *texts.schema[2:], T.StructField("elements", T.BinaryType())])
+def _sets(docs: DataFrame, ids: DataFrame, k: int, repeats: bool) -> DataFrame:
+    """(id, key1, key2, elements): the sorted hashes of the full sets of the documents with these ids, from their texts."""
+    schema = T.StructType([docs.schema["id"], *T.StructType.fromDDL("key1 long, key2 long, elements binary")])
 
     def run(batches):
         for batch in batches:
             for part in text_slices(batch):
-                sets = shingle_sets([(t or "").encode() for t in part.column(1).to_pylist()], k)
-                elements = pa.array([s.tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], elements], names=schema.names)
+                lanes = shingle_lanes([(t or "").encode() for t in part.column(1).to_pylist()], k)
+                keys = np.frombuffer(b"".join(map(set_digest, lanes)), "<i8").reshape(-1, 2)
+                elements = pa.array([first.tobytes() for first, _ in lanes], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), elements], names=schema.names)
         give_back()
 
-    return texts.mapInArrow(run, schema)
+    texts = docs.join(ids, "id", "left_semi")
+    texts = texts.dropDuplicates(["id", "text"]) if repeats else texts
+    return written(texts.mapInArrow(run, schema), "sets")
 
 
 def _filter_pairs(pairs: DataFrame, test) -> DataFrame:
@@ -195,7 +198,7 @@ def least_agreement(percent: int, size: int) -> float:
     return size * (t - 6 * math.sqrt(t * (1 - t) / size))
 
 
-def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int, least_equal: float) -> DataFrame:
+def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int, least_equal: float, repeats: bool) -> DataFrame:
     """The links among the pairs (u, v) of nodes: likely ones by signature, then by the full sets of their texts."""
 
     def linked(x, y):
@@ -203,46 +206,80 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, perc
         both = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * both >= percent * (len(x) + len(y) - both)
 
-    likely = _filter_pairs(_with_both(pairs, nodes, "signature"), lambda x, y: int((x == y).sum()) >= least_equal)
-    likely = written(likely.distinct(), "likely")
-    ids = written(likely.select(F.col("u").alias("id")).unionByName(likely.select(F.col("v").alias("id"))).distinct(), "likely-ids")
-    texts = docs.join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
-    sets = written(_sets(texts, k), "sets")
-    return written(_filter_pairs(_with_both(likely, sets, "elements"), linked).distinct(), "links")
+    with temporary_tables():
+        likely = _filter_pairs(_with_both(pairs, nodes, "signature"), lambda x, y: int((x == y).sum()) >= least_equal)
+        likely = written(likely.distinct() if repeats else likely, "likely")
+        ids = likely.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+        sets = _sets(docs, written(ids, "likely-ids"), k, repeats)
+        return written(_filter_pairs(_with_both(likely, sets, "elements"), linked).distinct(), "links", keep=True)
 
 
 def _ordered(u, v) -> list:
     return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
 
 
-def _open_blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(band, low, high, chunk, id, label): buckets with several components, dealt into pairs of chunks.
+def _open_buckets(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows (id, band, label), buckets (band, main, n_main, n)) of the buckets whose nodes lie in several components."""
+    labelled = written(members.join(labels, "id", "left").select("id", "band", F.coalesce("component", "id").alias("label")), "labelled")
+    per = labelled.groupBy("band", "label").agg(F.count("*").alias("n"))
+    main = F.max_by("label", F.struct("n", "label")).alias("main")
+    buckets = per.groupBy("band").agg(main, F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    return labelled, written(buckets.drop("labels"), "open-buckets")
+
+
+def _few_pairs(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """The pairs (u, v) of nodes of different components in open buckets of at most FEW nodes: FEW / 2 for a node at most."""
+    few = rows.join(buckets.where(F.col("n") <= FEW).select("band"), "band")
+    lists = few.groupBy("band").agg(F.sort_array(F.collect_set(F.struct("id", "label"))).alias("x"))
+    each = F.transform("x", lambda a, i: F.transform(F.filter("x", lambda b, j: (j > i) & (b["label"] != a["label"])), lambda b: F.struct(a["id"].alias("u"), b["id"].alias("v"))))
+    return written(lists.select(F.inline(F.flatten(each))).where("u <> v").distinct(), "few-pairs")
+
+
+def _open_blocks(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(band, low, high, chunk, id, label): larger open buckets, dealt into pairs of chunks.
 
     The nodes of a bucket's largest component meet all others but not each other; chunks have about BLOCK rows.
     """
-    labelled = members.join(labels, "id", "left").select("id", "band", F.coalesce("component", "id").alias("label"))
-    labelled = written(labelled, "labelled")
-    per = labelled.groupBy("band", "label").agg(F.count("*").alias("n"))
-    main = F.max_by("label", F.struct("n", "label")).alias("main")
-    bands = per.groupBy("band").agg(main, F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
     count = lambda n: F.ceil(n / BLOCK).cast("int")
     mains, others = count(F.col("n_main")).alias("mains"), count(F.col("n") - F.col("n_main")).alias("others")
-    rows = labelled.join(written(bands.select("band", "main", mains, others), "open-bands"), "band")
+    rows = rows.join(written(buckets.where(F.col("n") > FEW).select("band", "main", mains, others), "large-buckets"), "band")
     is_main = F.col("label") == F.col("main")
     dealt = F.pmod(F.xxhash64("id"), F.when(is_main, F.col("mains")).otherwise(F.col("others")))
     rows = rows.withColumn("chunk", F.when(is_main, dealt).otherwise(F.col("mains") + dealt).cast("int"))
     first, last = F.when(is_main, F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1
     rows = rows.withColumn("other", F.explode(F.sequence(first, last)))
-    return rows.select("band", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "id", "label")
+    rows = rows.select("band", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "id", "label")
+    return written(rows, "blocks")
 
 
 def _pivot_pairs(members: DataFrame) -> DataFrame:
     """Each node of a bucket with the bucket's pivot, the node that shares most buckets with others: linear in the bucket's size."""
-    central = written(members.groupBy("id").agg(F.sum("n").alias("weight")), "central")
-    most = F.max_by("id", F.struct("weight", -F.col("id")))
-    pivots = written(members.join(central, "id").groupBy("band").agg(most.alias("pivot")), "pivots")
-    met = members.join(pivots, "band").where("id <> pivot")
-    return written(met.select(*_ordered("id", "pivot")).distinct(), "pairs")
+    with temporary_tables():
+        central = written(members.groupBy("id").agg(F.sum("n").alias("weight")), "central")
+        most = F.max_by("id", F.struct("weight", -F.col("id")))
+        pivots = written(members.join(central, "id").groupBy("band").agg(most.alias("pivot")), "pivots")
+        met = members.join(pivots, "band").where("id <> pivot")
+        return written(met.select(*_ordered("id", "pivot")).distinct(), "pairs", keep=True)
+
+
+def _nodes(full: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """(nodes (id, key1, key2, bands, signature), copies (u, v), whether an id has a set twice).
+
+    A node is the smallest id of the rows with one set; a copy is another id with that set and its node. Only slim
+    rows are shuffled; the bands move where an id has a set twice, since one of such rows is enough.
+    """
+    slim = full.groupBy("key1", "key2", "id").agg(F.count("*").alias("rows"))
+    slim = written(slim, "sets-of-ids")
+    shared = slim.groupBy("key1", "key2").agg(F.min("id").alias("node"), F.count("*").alias("ids")).where("ids > 1").drop("ids")
+    copies = written(slim.join(written(shared, "classes"), ["key1", "key2"]).where("id <> node").select("id", "key1", "key2", "node"), "copies")
+    nodes = full.select("id", "key1", "key2", "bands", "signature").join(copies.drop("node"), ["id", "key1", "key2"], "left_anti")
+    twice = slim.where("rows > 1").select("id", "key1", "key2")
+    repeats = not twice.isEmpty()
+    if repeats:
+        first = [F.first(c).alias(c) for c in ("bands", "signature")]
+        some = nodes.join(twice, ["id", "key1", "key2"], "left_semi").groupBy("id", "key1", "key2").agg(*first)
+        nodes = nodes.join(twice, ["id", "key1", "key2"], "left_anti").unionByName(some)
+    return written(nodes, "nodes"), copies.select(F.col("id").alias("u"), F.col("node").alias("v")), repeats
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,30 +293,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     least_equal = least_agreement(percent, hasher.size)
     with temporary_tables():
         features = written(_features(docs, k, hasher), "features")
-        full = features.where("n_shingles > 0 AND id IS NOT NULL")
-        of_set = [F.min("id").alias("id"), F.max("id").alias("_last"), *(F.first(c).alias(c) for c in ("bands", "signature"))]
-        nodes = written(full.groupBy("key1", "key2").agg(*of_set), "nodes")
-        shared_sets = nodes.where("_last > id").select("key1", "key2", F.col("id").alias("node"))
-        copies = full.select("id", "key1", "key2").join(written(shared_sets, "classes"), ["key1", "key2"]).where("id <> node")
-        copies = written(copies.select(F.col("id").alias("u"), F.col("node").alias("v")).distinct(), "copies")
-
-        members = nodes.select("id", F.explode("bands").alias("band")).distinct()
+        nodes, copies, repeats = _nodes(features.where("n_shingles > 0 AND id IS NOT NULL"))
+        confirmed = lambda pairs: _confirmed(docs, nodes, pairs, k, percent, least_equal, repeats)
+
+        members = nodes.select("id", F.explode("bands").alias("band"))
         shared = written(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared-bands")
         members = written(members.join(shared, "band"), "members")
-        links = _confirmed(docs, nodes, _pivot_pairs(members), k, percent, least_equal)
-        labels = connected_components(copies.unionByName(links))
-
-        blocks = written(_open_blocks(members, labels.withColumnRenamed("node", "id")), "blocks")
-        open_nodes = nodes.join(written(blocks.select("id").distinct(), "open-ids"), "id", "left_semi")
-        texts = docs.join(open_nodes.select("id", "key1", "key2", "signature", "bands"), "id").dropDuplicates(["id", "key1", "key2", "text"])
-        described = _sets(texts.select("id", "text", "key1", "key2", "signature", "bands"), k)
-        described = written(described.select("id", "signature", "bands", "elements"), "described")
+        labels = connected_components(copies.unionByName(confirmed(_pivot_pairs(members))))
+
+        rows, buckets = _open_buckets(members, labels.withColumnRenamed("node", "id"))
+        few = confirmed(_few_pairs(rows, buckets))
+        blocks = _open_blocks(rows, buckets)
+        ids = written(blocks.select("id").distinct(), "open-ids")
+        sets = _sets(docs, ids, k, repeats)
+        described = nodes.join(ids, "id", "left_semi").join(sets, ["id", "key1", "key2"]).select("id", "signature", "bands", "elements")
         group = ("band", "low", "high")
         wide = blocks.join(described, "id").select(*group, "chunk", "id", "label", "signature", "bands", "elements")
         wide = wide.repartition(*group).sortWithinPartitions(*group)
         more = written(wide.mapInArrow(lambda b: _bucket_links(b, percent, least_equal), "u long, v long").distinct(), "block-links")
         roots = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
-        parts = connected_components(roots.unionByName(more))
+        parts = connected_components(roots.unionByName(few).unionByName(more))
         found = features.select("id", "n_shingles").join(parts, F.col("id") == F.col("node"), "left")
         found = found.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
         return written(found, "near-duplicates", keep=True)

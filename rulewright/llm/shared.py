@@ -60,7 +60,7 @@ def unique_name(base: str, taken) -> str:
 
 #: Most bytes of an Arrow batch that goes to a Python worker while a table is written, and how much larger a written
 #: table is taken to be in memory than its compressed files, when Spark weighs a broadcast.
-BATCH_BYTES, FILE_COMPRESSION = 16 << 20, 4.0
+BATCH_BYTES, FILE_COMPRESSION = 16 << 20, 2.0
 
 
 @contextmanager

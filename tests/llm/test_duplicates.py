@@ -62,6 +62,7 @@ def test_components_are_exact(spark, k, percent):
 
 def test_blocks_of_one_bucket_find_every_link(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 5)
+    monkeypatch.setattr(minhash, "FEW", 2)
     texts = corpus(11, 120)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     sets = dict(enumerate(brute_sets(texts, 3)))
