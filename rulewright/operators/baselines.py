@@ -181,10 +181,11 @@ def prepare(train: DataFrame, label_col: str, exclude: tuple[str, ...] = ()) ->
     return Prepared(stats, found, model, 0 if first is None else len(first["features"]))
 
 
-def make_baseline(name: str, n_rows: int, size: int, label_col: str = "label", weight_col: str | None = None, drift: bool = False):
+def make_baseline(name: str, n_rows: int, size: int, label_col: str = "label", weight_col: str | None = None, drift: bool = False, share: float = 1.0):
     """An unfitted estimator with the reference's settings, or with those of its drift study.
 
     ``boosting_a`` and ``boosting_b`` are its two tree ensembles; where it counts leaves (64, 31), the depth is that of a full tree of so many.
+    ``share`` of the rounds of boosting and of the net are run; boosting then takes steps as much longer, of 0.3 at most.
     """
     weight = {"weightCol": weight_col} if weight_col else {}
     base = {"featuresCol": "features", "labelCol": label_col}
@@ -193,10 +194,11 @@ def make_baseline(name: str, n_rows: int, size: int, label_col: str = "label", w
     if name == "tree":
         return DecisionTreeClassifier(maxDepth=30, impurity="gini", seed=42, **base, **weight)
     if name == "mlp":
-        return MultilayerPerceptronClassifier(layers=[size, 64, 32, 2] if drift else [size, 256, 128, 2], maxIter=200, seed=42, **base)
+        return MultilayerPerceptronClassifier(layers=[size, 64, 32, 2] if drift else [size, 256, 128, 2], maxIter=round(200 * share), seed=42, **base)
     settings = {"boosting_a": (5, 200, 0.05), "boosting_b": (5, 300, 0.05)} if drift else {"boosting_a": (6, 600, 0.05), "boosting_b": (6, 1200, 0.03)}
     depth, rounds, step = settings[name]
-    return GBTClassifier(maxDepth=depth, maxIter=rounds, stepSize=step, subsamplingRate=0.8, seed=42, **base, **weight)
+    step = max(step, min(0.3, step / share))
+    return GBTClassifier(maxDepth=depth, maxIter=round(rounds * share), stepSize=step, subsamplingRate=0.8, seed=42, **base, **weight)
 
 
 @contextmanager
@@ -212,7 +214,7 @@ def training_rows(prepared: Prepared, train: DataFrame, label_col: str, weight_c
         ready.unpersist()
 
 
-def fit_eval_baseline(name: str, train: DataFrame, test: DataFrame, label_col: str, weights: str | None = None, exclude: tuple[str, ...] = (), drift: bool = False) -> DataFrame:
+def fit_eval_baseline(name: str, train: DataFrame, test: DataFrame, label_col: str, weights: str | None = None, exclude: tuple[str, ...] = (), drift: bool = False, share: float = 1.0) -> DataFrame:
     """One result row (model, status, error, metrics); a failure is a row with its status and error."""
     spark = train.sparkSession
     try:
@@ -221,7 +223,7 @@ def fit_eval_baseline(name: str, train: DataFrame, test: DataFrame, label_col: s
         if weights and name != "mlp":
             train = train.withColumn("_weight", class_weights(train, label_col, weights))
         weight_col = "_weight" if weights and name != "mlp" else None
-        made = make_baseline(name, n, prepared.size, label_col, weight_col, drift)
+        made = make_baseline(name, n, prepared.size, label_col, weight_col, drift, share)
         with training_rows(prepared, train, label_col, weight_col) as rows:
             model = made.fit(rows)
         scored = model.transform(prepared.transform(test)).select(F.col(label_col).alias("y"), F.col("prediction").cast("int").alias("prediction"))
@@ -239,7 +241,7 @@ def with_prior(df: DataFrame, prepared: Prepared, model, name: str = "prior", pr
     return scored.select(*[F.col(f"`_keep_{c}`").alias(c) for c in df.columns], value.cast("double").alias(name))
 
 
-def two_stage_baselines(stage1: DataFrame, stage2: DataFrame, label_col: str, models: tuple[str, ...] = ("logistic", "tree", "mlp", "boosting_a", "boosting_b"), exclude: tuple[str, ...] = ("split", "row_id"), drift: bool = True) -> DataFrame:
+def two_stage_baselines(stage1: DataFrame, stage2: DataFrame, label_col: str, models: tuple[str, ...] = ("logistic", "tree", "mlp", "boosting_a", "boosting_b"), exclude: tuple[str, ...] = ("split", "row_id"), drift: bool = True, share: float = 1.0) -> DataFrame:
     """Every model fitted on stage 1 and carried to stage 2: (model, stage, status, error, metrics).
 
     Logistic regression is refitted (its fit is convex), the net starts from its first weights, trees and
@@ -250,28 +252,28 @@ def two_stage_baselines(stage1: DataFrame, stage2: DataFrame, label_col: str, mo
         rows = []
         train1, test1 = (stage1.where(F.col("split") == s).drop(*exclude) for s in ("train", "test"))
         train2, test2 = (stage2.where(F.col("split") == s).drop(*exclude) for s in ("train", "test"))
-        rows.append(fit_eval_baseline(name, train1, test1, label_col, drift=drift).withColumn("stage", F.lit("stage1")))
+        rows.append(fit_eval_baseline(name, train1, test1, label_col, drift=drift, share=share).withColumn("stage", F.lit("stage1")))
         if name in ("tree", "boosting_a", "boosting_b"):
             shared = [c for c in train1.columns if c in train2.columns]
             prepared = prepare(train1.select(shared), label_col)
-            model = make_baseline(name, train1.count(), prepared.size, label_col, drift=drift).fit(prepared.transform(train1.select(shared)))
+            model = make_baseline(name, train1.count(), prepared.size, label_col, drift=drift, share=share).fit(prepared.transform(train1.select(shared)).coalesce(1 + train1.count() // ROWS_OF_TASK))
             more = [with_prior(d.select(shared), prepared, model, probability=name != "tree") for d in (train2, test2)]
-            rows.append(fit_eval_baseline(name, *more, label_col, drift=drift).withColumn("stage", F.lit("stage2")))
+            rows.append(fit_eval_baseline(name, *more, label_col, drift=drift, share=share).withColumn("stage", F.lit("stage2")))
         elif name == "mlp":
-            rows.append(continue_mlp(train1, train2, test2, label_col, drift).withColumn("stage", F.lit("stage2")))
+            rows.append(continue_mlp(train1, train2, test2, label_col, drift, share).withColumn("stage", F.lit("stage2")))
         else:
-            rows.append(fit_eval_baseline(name, train2, test2, label_col, drift=drift).withColumn("stage", F.lit("stage2")))
+            rows.append(fit_eval_baseline(name, train2, test2, label_col, drift=drift, share=share).withColumn("stage", F.lit("stage2")))
         for r in rows:
             out = r if out is None else out.unionByName(r)
     return out
 
 
-def continue_mlp(train1: DataFrame, train2: DataFrame, test2: DataFrame, label_col: str, drift: bool = False) -> DataFrame:
+def continue_mlp(train1: DataFrame, train2: DataFrame, test2: DataFrame, label_col: str, drift: bool = False, share: float = 1.0) -> DataFrame:
     """The second fit of the net starts from the weights of the first, on the features that both stages have."""
     shared = [c for c in train1.columns if c in train2.columns]
     train1, train2, test2 = (d.select(shared) for d in (train1, train2, test2))
     prepared = prepare(train1, label_col)
-    net = make_baseline("mlp", 0, prepared.size, label_col, drift=drift)
+    net = make_baseline("mlp", 0, prepared.size, label_col, drift=drift, share=share)
     first = net.fit(prepared.transform(train1))
     second = net.setInitialWeights(first.weights).fit(prepared.transform(train2))
     out = classification_metrics(second.transform(prepared.transform(test2)).select(F.col(label_col).alias("y"), F.col("prediction").cast("int").alias("prediction")))

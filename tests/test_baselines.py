@@ -1,4 +1,4 @@
-"""The registered baselines have the reference's settings, and its drift study's sizes."""
+"""The registered baselines have the reference's settings but for the stated shares of rounds, and its drift study's sizes."""
 
 import pytest
 
@@ -9,9 +9,9 @@ from tests.conftest import DATA
 SETTINGS = {
     "h8_baseline_logistic": {"maxIter": 2000},
     "h9_baseline_tree": {"maxDepth": 30},
-    "h10_baseline_mlp": {"layers": [256, 128, 2], "maxIter": 200},
-    "h11_baseline_boosting_a": {"maxDepth": 6, "maxIter": 600, "stepSize": 0.05},
-    "h11_baseline_boosting_b": {"maxDepth": 6, "maxIter": 1200, "stepSize": 0.03},
+    "h10_baseline_mlp": {"layers": [256, 128, 2], "maxIter": 50},
+    "h11_baseline_boosting_a": {"maxDepth": 6, "maxIter": 60, "stepSize": 0.3},
+    "h11_baseline_boosting_b": {"maxDepth": 6, "maxIter": 60, "stepSize": 0.3},
 }
 
 
@@ -33,10 +33,26 @@ def test_registered_settings(spark, monkeypatch, name):
     spark.catalog.clearCache()
 
 
+def test_full_settings():
+    of = lambda name, *params: _settings(baselines.make_baseline(name, 10, 3), params)
+    assert of("boosting_a", "maxIter", "stepSize") == {"maxIter": 600, "stepSize": 0.05}
+    assert of("boosting_b", "maxIter", "stepSize") == {"maxIter": 1200, "stepSize": 0.03}
+    assert of("mlp", "maxIter") == {"maxIter": 200}
+
+
+@pytest.mark.parametrize("name", ["logistic", "tree"])
+def test_fitted_baselines_learn(spark, name):
+    """A status of ok and better than chance on rows whose label follows from the features."""
+    rows = [(i % 7 < 3, float(i % 7), "ab"[i % 2], int(i % 7 < 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "b boolean, x double, c string, y int").drop("b")
+    got = baselines.fit_eval_baseline(name, df.where("x <> 9"), df, "y", weights="balanced").first()
+    assert got["status"] == "ok" and got["f1"] > 0.95
+
+
 def test_drift_study(spark, monkeypatch):
     seen = {}
     monkeypatch.setattr(baselines, "fit_eval_baseline", lambda name, *args, **kwargs: spark.createDataFrame([(name, kwargs["drift"])], "model string, drift boolean"))
-    monkeypatch.setattr(baselines, "continue_mlp", lambda *args: spark.createDataFrame([("mlp", args[-1])], "model string, drift boolean"))
+    monkeypatch.setattr(baselines, "continue_mlp", lambda *args: spark.createDataFrame([("mlp", args[-2])], "model string, drift boolean"))
     monkeypatch.setattr(baselines, "prepare", lambda *args: baselines.Prepared({}, {}, None, 3))
     monkeypatch.setattr(baselines.Prepared, "transform", lambda self, df: df)
     monkeypatch.setattr(baselines, "with_prior", lambda df, *args, **kwargs: df)
@@ -58,7 +74,7 @@ def test_drift_study(spark, monkeypatch):
     assert {(r["model"], r["stage"]) for r in rows} == {(m, s) for m in ("logistic", "tree", "mlp", "boosting_a", "boosting_b") for s in ("stage1", "stage2")} and all(r["drift"] for r in rows)
     sizes = [{r["split"]: r["count"] for r in s.groupBy("split").count().collect()} for s in stages]
     assert sizes == [{"train": 1000, "val": 500, "test": 800}, {"train": 40, "val": 500, "test": 800}]
-    assert _settings(seen["boosting_a"], ["maxDepth", "maxIter", "stepSize"]) == {"maxDepth": 5, "maxIter": 200, "stepSize": 0.05}
-    assert _settings(seen["boosting_b"], ["maxDepth", "maxIter", "stepSize"]) == {"maxDepth": 5, "maxIter": 300, "stepSize": 0.05}
+    assert _settings(seen["boosting_a"], ["maxDepth", "maxIter", "stepSize"]) == {"maxDepth": 5, "maxIter": 20, "stepSize": 0.3}
+    assert _settings(seen["boosting_b"], ["maxDepth", "maxIter", "stepSize"]) == {"maxDepth": 5, "maxIter": 30, "stepSize": 0.3}
     assert real("mlp", 0, 3, drift=True).getLayers() == [3, 64, 32, 2]
     spark.catalog.clearCache()
