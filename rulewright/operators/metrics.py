@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulewright.operators.rules import score_versions
+from rulewright.operators.sampling import SplitSpec, balanced_holdout
+from rulewright.sources.runs import latest_run
+
 PRIORITY = ("f1", "acc", "sensitivity", "specificity")
 NAMES = {"ACC": "acc", "F1": "f1", "SENSITIVITY": "sensitivity", "SPECIFICITY": "specificity"}
 
@@ -106,6 +112,25 @@ def backfill_confusion(results: DataFrame, scored: DataFrame, keys: list[str]) -
     return joined.withColumns({c: F.coalesce(F.col(c).cast("long"), F.col(f"_{c}")) for c in ("tp", "fp", "fn", "tn")}).drop("_tp", "_fp", "_fn", "_tn")
 
 
+def backfill_runs(results: DataFrame, stored: DataFrame, df: DataFrame, label_col: str, id_col: str, spec: SplitSpec = SplitSpec()) -> DataFrame:
+    """Fills blank tp, fp, fn, tn of result rows (model, seed): the test split of the row's seed is drawn again from ``df`` and
+    scored by the newest run of that model and seed in ``stored`` (model, seed, run_ts, rule_json).
+
+    Rows that have counts keep them; rows without a run stay blank. The driver reads the one rule of each blank row, and
+    the rules of a seed share one scan of its split, whose size is the spec's.
+    """
+    keys = ["model", "seed"]
+    blank = results.where(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in ("tp", "fp", "fn", "tn")])).select(*keys).distinct()
+    chosen = latest_run(stored.join(blank, keys, "left_semi"), keys).orderBy(*keys).select(*keys, "rule_json").collect()
+    found = None
+    for seed in dict.fromkeys(r["seed"] for r in chosen):
+        test = balanced_holdout(df, label_col, id_col, spec, seed).where("split = 'test'")
+        scored = score_versions(test, {r["model"]: r["rule_json"] for r in chosen if r["seed"] == seed}, id_col, label_col)
+        part = scored.select(F.col("version").alias("model"), F.lit(seed).cast(results.schema["seed"].dataType).alias("seed"), "y", "prediction")
+        found = part if found is None else found.unionByName(part)
+    return results if found is None else backfill_confusion(results, found, keys)
+
+
 def format_metrics(df: DataFrame, columns: tuple[str, ...] = PRIORITY) -> DataFrame:
     """Metrics as text with three decimals, blank when missing."""
     return df.withColumns({c: F.when(F.col(c).isNotNull(), F.format_string("%.3f", F.col(c))).otherwise("") for c in columns if c in df.columns})

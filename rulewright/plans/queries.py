@@ -378,6 +378,16 @@ def d8_drift_top_features(spark, sf):
     return drift.drift_top_features(_merged(spark, sf), 2)
 
 
+@query(PROFILES + """SELECT 'first' AS run_id, rank AS place, feature FROM ranked WHERE rank <= 2
+UNION ALL SELECT 'absent', (o + 1)::INT, feature FROM f""", "purchase")
+def a5_profile_or_fallback(spark, sf):
+    df, path = tasks.purchase(spark, sf), scratch_path(spark, "profiles")
+    runs.write_profile(_small_profile(df), path, "first")
+    columns = [c for c in df.columns if c not in ("row_id", "y")]
+    found = [(run, i, f) for run in ("first", "absent") for i, f in enumerate(runs.profile_or_fallback(spark, path, run, columns, 2)[0], 1)]
+    return spark.createDataFrame(found, "run_id string, place int, feature string")
+
+
 def _knowledge(spark, sf) -> DataFrame:
     """A Markdown table for each region, with a row for each nation, between lines that don't count."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(F.lit("| "), x["n_name"], F.lit(" | key "), x["n_nationkey"], F.lit(" |")))
@@ -563,6 +573,23 @@ def f11_backfill_confusion(spark, sf):
     return metrics.backfill_confusion(results, _long(spark, sf), ["version"]).select("version", "tp", "fp", "fn", "tn")
 
 
+STORED = {
+    "price": [(1, {"triggers": [{"op": "<", "col": "totalprice", "value": 9}]}), (2, {"triggers": [{"op": ">", "col": "totalprice", "value": 150000}]})],
+    "balance": [(5, {"triggers": [{"op": "<", "col": "acctbal", "value": 3000}]}), (4, {"triggers": []})],
+}
+
+
+@query("""+ r AS (SELECT seed, y, totalprice, acctbal, row_number() OVER (PARTITION BY seed, y ORDER BY md5(seed || '|holdout' || y || '|' || row_id), row_id) AS r FROM finished, (VALUES (42), (43)) s(seed)),
+p AS (SELECT seed, y, unnest(['price', 'balance']) AS model, unnest([coalesce(totalprice > 150000, false), coalesce(acctbal < 3000, false)]) AS p FROM r WHERE r <= 100)
+SELECT model, seed, count(*) FILTER (y = 1 AND p) AS tp, count(*) FILTER (y = 0 AND p) AS fp, count(*) FILTER (y = 1 AND NOT p) AS fn, count(*) FILTER (y = 0 AND NOT p) AS tn FROM p GROUP BY ALL
+UNION ALL SELECT 'price', 44, 1, 2, 3, 4 UNION ALL SELECT 'gone', 42, NULL, NULL, NULL, NULL""", "finished")
+def f11_backfill_runs(spark, sf):
+    stored = [(m, seed, ts, json.dumps(r)) for m, of in STORED.items() for seed in (42, 43, 44) for ts, r in of]
+    rows = [(m, seed, None, None, None, None) for m in STORED for seed in (42, 43)] + [("price", 44, 1, 2, 3, 4), ("gone", 42, None, None, None, None)]
+    results = spark.createDataFrame(rows, "model string, seed int, tp long, fp long, fn long, tn long")
+    return metrics.backfill_runs(results, spark.createDataFrame(stored, "model string, seed int, run_ts int, rule_json string"), tasks.finished(spark, sf), "y", "row_id", SPEC)
+
+
 @query(SCORED + "SELECT version, printf('%.3f', acc) AS acc, printf('%.3f', f1) AS f1 FROM hist", "returns")
 def f12_format_metrics(spark, sf):
     return metrics.format_metrics(_history(spark, sf)).select("version", "acc", "f1")

@@ -63,10 +63,10 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
 
 
 def latest_run(runs: DataFrame, keys: list[str], ts_col: str = "run_ts") -> DataFrame:
-    """The newest row of each key, by the run's time stamp, all columns kept."""
-    rest = [c for c in runs.columns if c not in keys]
-    best = runs.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.col(f"`{ts_col}`")).alias("_best"))
-    return best.select(*keys, *[F.col(f"_best.`{c}`").alias(c) for c in rest])
+    """The newest row of each key, by the run's time stamp, all columns kept; of equal time stamps the row last in order of its JSON."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in runs.columns if c not in keys])
+    best = runs.groupBy(*keys).agg(F.max_by(rest, F.struct(F.col(f"`{ts_col}`"), F.to_json(rest))).alias("_best"))
+    return best.select(*keys, *[F.col(f"_best.`{c}`").alias(c) for c in runs.columns if c not in keys])
 
 
 def seed_of(file_name: Column) -> Column:

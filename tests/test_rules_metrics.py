@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulewright.operators import errors, metrics, rules
+from rulewright.sources import runs
 from rulewright.streaming import scoring
 
 
@@ -90,3 +91,16 @@ def test_stream_scores_like_a_batch(spark, tmp_path):
     q.stop()
     assert spark.table("scored").exceptAll(rules.score_rules(df, rule)).count() == 0
     assert spark.table("scored").count() == 20
+
+
+def test_the_latest_of_equal_time_stamps_does_not_depend_on_order(spark):
+    rows = [("a", 1, "x"), ("a", 2, "b"), ("a", 2, "c"), ("b", None, "only")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "k string, run_ts int, v string").repartition(3)
+        assert {tuple(r) for r in runs.latest_run(df, ["k"]).collect()} == {("a", 2, "c"), ("b", None, "only")}
+
+
+def test_backfill_without_runs_changes_nothing(spark):
+    results = spark.createDataFrame([("m", 1, None, None, None, None), ("m", 2, 1, 0, 0, 1)], "model string, seed int, tp long, fp long, fn long, tn long")
+    stored = spark.createDataFrame([("m", 2, 1, "{}")], "model string, seed int, run_ts int, rule_json string")
+    assert metrics.backfill_runs(results, stored, spark.createDataFrame([], "row_id int, y int"), "y", "row_id").exceptAll(results).isEmpty()
