@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from rulewright.llm import components, embeddings, minhash, shingles
+from rulewright.llm import components, embeddings, minhash, queries, shingles
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -60,6 +60,15 @@ def test_components_are_exact(spark, k, percent):
     assert all(got[i]["n_shingles"] == len(s) for i, s in sets.items())
 
 
+def test_op5_is_brute_force(spark, tmp_path):
+    texts = corpus(8, 120)
+    spark.createDataFrame([(i, t, "en", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, id int").write.parquet(str(tmp_path / "documents.parquet"))
+    sets = dict(enumerate(brute_sets(texts, 3)))
+    parts = closed(list(sets), lambda i, j: bool(sets[i]) and bool(sets[j]) and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]))
+    got = queries.op5_minhash_near_dedup(spark, str(tmp_path)).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == [(i, len(s), parts[i], parts[i] == i) for i, s in sets.items()]
+
+
 def test_blocks_of_one_bucket_find_every_link(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 5)
     monkeypatch.setattr(minhash, "FEW", 2)
@@ -197,6 +206,20 @@ def test_dense_clusters_and_repeated_ids(spark, monkeypatch):
     assert links - 0.01 * links <= sum(r[1] for r in found) <= links and all(a[1] <= b[1] for a, b in zip(found, expected))
 
 
+def test_op10_is_brute_force(spark, tmp_path):
+    rng, rows = np.random.default_rng(9), []
+    for size in (1, 12, 5, 1, 30):
+        base = rng.standard_normal(32)
+        rows += [(3 * (len(rows) + i), (base + 0.1 * rng.standard_normal(32)).tolist(), i) for i in range(size)]
+    rows.append((1, rows[2][1], 0))
+    spark.createDataFrame([*rows, (2, None, 0)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    x = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows}
+    links = {i: {j for j in x if j != i and x[i] @ x[j] >= 0.9} for i in x}
+    parts = closed(list(x), lambda i, j: j in links[i])
+    got = queries.op10_embedding_near_dedup(spark, str(tmp_path)).select("vec_id", "n_links", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted([(i, len(links[i]), parts[i], parts[i] == i) for i in x] + [(2, 0, 2, True)])
+
+
 def test_forest_connects():
     rng = np.random.default_rng(5)
     u, v = rng.integers(0, 60, 70), rng.integers(60, 120, 70)

@@ -218,6 +218,18 @@ def test_few_sequences(spark):
     assert packed.select("sequence_id").distinct().count() <= 964
 
 
+def test_op3_is_the_library(spark, tmp_path):
+    _documents(spark).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).write.parquet(str(tmp_path / "documents.parquet"))
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()}
+    lib, at, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0, []
+    for i in sorted(texts):
+        ids = [*lib.encode(texts[i], add_special_tokens=False).ids, 1]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    got = queries.op3_token_files(spark, str(tmp_path))
+    assert sorted(map(tuple, got.select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == want
+
+
 def test_pieces():
     assert packing.cut(5, 4) == [(0, 1), (1, 4)] and packing.cut(8, 4) == [(0, 4), (4, 4)] and packing.cut(0, 4) == []
 
