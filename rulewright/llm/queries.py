@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.llm import bpe, chat, embeddings, langid, minhash, packing, quality, token_files, toxicity, warc
+from rulewright.llm import bpe, chat, collocations, embeddings, langid, minhash, packing, quality, resample, token_files, topk, toxicity, warc
 
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -94,7 +94,30 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicate_vectors(vectors, cosine=0.9).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_byte_bpe, op3_token_files, op4_quality_rules, op5_minhash_near_dedup, op6_language_id, op7_toxicity, op8_best_fit_packing, op9_warc_bundles, op10_embedding_near_dedup)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark texts, and the rank of the tenth that is drawn."""
+    docs, target = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return resample.resample(docs, target, resample.Features(longest=1, buckets=10_000), seed=2024, percent=10, least_words=20)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language."""
+    return collocations.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=100, longest=5, top=2000, percent=100)
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of every fiftieth vector among all others."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5, scale=256)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_formatting, op2_byte_bpe, op3_token_files, op4_quality_rules, op5_minhash_near_dedup, op6_language_id, op7_toxicity,
+        op8_best_fit_packing, op9_warc_bundles, op10_embedding_near_dedup, op11_importance_resampling, op12_collocations, op13_exact_top_k,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
 
 #: Counts, rule failures, the hosts' fitted prior and the verdicts, from the documents of the view ``{docs}``.
@@ -157,3 +180,66 @@ f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN first <> page_id THEN first END AS refers_to
 FROM f"""
+ORACLE_SQL["op11_importance_resampling"] = r"""
+WITH RECURSIVE crc(i, c, k) AS (
+  SELECT i::UBIGINT, i::UBIGINT, 0 FROM range(256) r(i)
+  UNION ALL
+  SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END, k + 1 FROM crc WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8),
+texts AS (SELECT doc_id, 0 AS side, coalesce(text, '') AS t FROM documents UNION ALL SELECT item_id, 1, coalesce(text, '') FROM benchmark),
+word AS (
+  SELECT doc_id, side, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM texts),
+counted AS (SELECT doc_id, side, w, count(*) AS n FROM word GROUP BY ALL),
+bytes AS (
+  SELECT w, [0::UBIGINT] || [('0x' || substr(x, 2 * i - 1, 2))::UBIGINT FOR i IN range(1, len(x) // 2 + 1)] AS bs
+  FROM (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM counted))),
+hashed AS (
+  SELECT w, (xor(list_reduce([4294967295::UBIGINT] || bs[2:], lambda c, b: xor(c // 256, t[(xor(c, b) % 256 + 1)::BIGINT])), 4294967295::UBIGINT) % 10000)::INT AS bucket
+  FROM bytes, tab),
+sums AS (SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 1), 0)::DOUBLE AS t FROM counted JOIN hashed USING (w) GROUP BY bucket),
+totals AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM sums),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS g FROM sums, totals),
+weighed AS (
+  SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * g)::BIGINT AS weight
+  FROM counted JOIN hashed USING (w) JOIN gain USING (bucket) WHERE side = 0 GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM documents d LEFT JOIN weighed w ON d.doc_id = w.doc_id),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS p, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN p <= 10 * n // 100 THEN p END AS rank
+FROM scored s LEFT JOIN placed p ON s.doc_id = p.doc_id"""
+ORACLE_SQL["op12_collocations"] = r"""
+WITH piece AS (
+  SELECT doc_id, lang, p, row_number() OVER () AS piece_id
+  FROM (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+split AS (SELECT piece_id, lang, [w FOR w IN string_split_regex(p, '[\x20\x09]+') IF w <> ''] AS ws FROM piece),
+phrase_at AS (
+  SELECT lang, k, unnest([array_to_string(ws[i:i + k - 1], ' ') FOR i IN range(1, len(ws) - k + 2)]) AS phrase
+  FROM split, range(1, 6) s(k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM phrase_at GROUP BY ALL),
+total AS (SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY lang),
+frequent AS (SELECT * FROM f WHERE f >= 100),
+cand AS (SELECT *, string_split(phrase, ' ') AS ws FROM frequent WHERE k >= 2),
+cut AS (
+  SELECT c.lang, c.phrase, c.f AS a, j, array_to_string(ws[1:j], ' ') AS p, array_to_string(ws[j + 1:], ' ') AS q
+  FROM cand c, range(1, 5) s(j) WHERE j < k),
+rated AS (
+  SELECT cut.lang, cut.phrase, a, j, p.f AS l, q.f AS r, n, (1000 * a::HUGEINT * n) // (p.f::HUGEINT * q.f::HUGEINT) AS score
+  FROM cut JOIN frequent p ON cut.lang = p.lang AND cut.p = p.phrase JOIN frequent q ON cut.lang = q.lang AND cut.q = q.phrase JOIN total ON cut.lang = total.lang),
+weakest AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT lang, array_to_string(ws[s:s + m - 1], ' ') AS phrase, max(f) AS most
+  FROM cand, range(2, 5) x(m), range(1, 5) y(s) WHERE m < k AND s + m - 1 <= k GROUP BY ALL)
+SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank, w.phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM weakest w LEFT JOIN inside i ON w.lang = i.lang AND w.phrase = i.phrase
+WHERE most IS NULL OR 100 * most < 100 * a
+QUALIFY rank <= 2000"""
+ORACLE_SQL["op13_exact_top_k"] = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)
+SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id)::INT AS rank,
+       c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id QUALIFY rank <= 5"""
