@@ -3,7 +3,7 @@
 A text is lower-cased (A-Z), cut into pieces at ``ENDERS`` and pieces into words at spaces and tabs; a phrase is a run of words of one piece.
 
 1. Every word's occurrences are counted by language; their sum is n.
-2. A task takes about ``SHARD`` bytes of text at a time; the texts of one language in them are a shard. A shard with n_i of the language's n words
+2. A task takes ``SHARD`` to twice ``SHARD`` bytes of text at a time; the texts of one language in them are a shard. A shard with n_i of the language's n words
    is mined completely, by growing phrases, at a support of ceil(least * n_i / n), at least 1. A phrase that occurs ``least`` times
    somewhere reaches that in one shard at least, as its counts in the others would add up to less.
 3. The shards' phrases are united. A shard that doesn't name a phrase holds less of it than its support, so a phrase whose named counts and
@@ -72,6 +72,11 @@ class Shard:
             at = end
         self.parts.append(np.zeros(1, np.int32))
 
+    def absorb(self, other: Shard) -> None:
+        number = np.fromiter(map(self.numbers.__getitem__, other.numbers), np.int32, len(other.numbers))
+        self.parts += [number[part] for part in other.parts]
+        self.n_words += other.n_words
+
     def close(self) -> None:
         self.words = np.concatenate(self.parts)
         self.parts = []
@@ -105,23 +110,28 @@ class Shard:
 
 
 def shards(batches, size: int = SHARD) -> Iterator[tuple[str, int | None, Shard]]:
-    """(lang, the language's words if known, shard) from batches of (lang, text, n), ``size`` bytes of text at a time."""
+    """(lang, the language's words if known, shard) from batches of (lang, text, n), ``size`` to twice ``size`` bytes of text at a time; only
+    a task that has less makes smaller shards, as a small one has a low support and many phrases that reach it."""
+    full: dict[str, tuple[int | None, Shard]] = {}
     held: dict[str, tuple[int | None, Shard]] = {}
     taken = 0
 
     def closed():
-        while held:
-            lang, (n, shard) = held.popitem()
+        while full:
+            lang, (n, shard) = full.popitem()
             shard.close()
             yield lang, n, shard
 
     for batch in batches:
         for lang, text, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if taken and taken + len(text) > size:
+            if taken >= size:
                 yield from closed()
-                taken = 0
+                full, held, taken = held, {}, 0
             held.setdefault(lang, (n, Shard()))[1].add(text)
             taken += len(text)
+    for lang, (n, shard) in held.items():
+        full.setdefault(lang, (n, Shard()))[1].absorb(shard)
+    held.clear()
     yield from closed()
 
 
@@ -223,7 +233,7 @@ def frequent_phrases(texts: DataFrame, least: int, longest: int, size: int = SHA
     words = written(count_words(texts), "collocation-words")
     totals = written(words.groupBy("lang").agg(F.sum("f").alias("n")), "collocation-totals")
     words = words.where(F.col("f") >= least)
-    n_tasks = math.ceil((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / size)
+    n_tasks = math.ceil((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / (1.5 * size))
     known = texts.join(totals, "lang").select("lang", "text", "n").coalesce(max(n_tasks, 1))  # few large shards keep the local support high
     mined = written(mine_shards(known, least, longest, size), "collocation-shards")
     bounds = mined.where(F.col("phrase").isNull()).groupBy("lang").agg(F.sum("over").alias("bound"))
