@@ -9,9 +9,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Largest smaller sample of the exact Mann-Whitney count, and its most cells n1 * n0. Beyond the cells the normal form is
-#: used, which the profile's ``method_note`` says.
-EXACT_SAMPLE, EXACT_CELLS = 8, 40_000
+#: Largest smaller sample of the exact Mann-Whitney count; the other sample may have any size.
+EXACT_SAMPLE = 8
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -85,31 +84,49 @@ def pearson_p(r: float, n: int) -> float | None:
     return beta_inc(n / 2 - 1, 0.5, 1 - r * r)
 
 
-@lru_cache(64)
-def _mwu_counts(n1: int, n0: int) -> tuple[int, ...]:
-    """Number of orders of n1 and n0 untied values that give each U: coefficients of the Gaussian binomial."""
-    size = n1 * n0 + 1
-    counts = [1] + [0] * (size - 1)
-    for i in range(1, n1 + 1):
-        up, down = n0 + i, i
-        for u in range(size - 1, up - 1, -1):
-            counts[u] -= counts[u - up]
-        for u in range(down, size):
-            counts[u] += counts[u - down]
-    return tuple(counts)
+@lru_cache(EXACT_SAMPLE)
+def _partition_numerator(m: int) -> tuple[int, list[int]]:
+    """(L, N) with sum over k of (number of partitions of at most k into at most m parts) q^k = N(q) / (1 - q^L)^(m + 1)."""
+    period = math.lcm(*range(1, m + 1))
+    poly = [1] + [0] * ((m + 1) * period)
+    for part in (1, *range(1, m + 1)):  # times (1 - q^L) / (1 - q^part)
+        for k in range(len(poly) - 1, period - 1, -1):
+            poly[k] -= poly[k - period]
+        for k in range(part, len(poly)):
+            poly[k] += poly[k - part]
+    return period, poly
+
+
+def _partitions(k: int, m: int) -> int:
+    """Number of partitions of the numbers 0 to k into at most m parts, for any k."""
+    period, poly = _partition_numerator(m)
+    return sum(poly[j] * math.comb((k - j) // period + m, m) for j in range(k % period, min(k, len(poly) - 1) + 1, period)) if k >= 0 else 0
+
+
+def mwu_orders(u: int, m: int, n: int) -> int:
+    """Number of orders of m and n untied values whose U is at most u.
+
+    They are the partitions of 0 to u into at most m parts of at most n, whose generating function is that of unbounded parts times
+    (1 - q^(n + 1)) .. (1 - q^(n + m)); so the time depends on m alone and all is in whole numbers.
+    """
+    shifts = {0: 1}
+    for i in range(1, m + 1):
+        for at, sign in list(shifts.items()):
+            shifts[at + n + i] = shifts.get(at + n + i, 0) - sign
+    return sum(sign * _partitions(u - at, m) for at, sign in shifts.items() if sign)
 
 
 def mwu_p(u1: float, n1: int, n0: int, ties: float) -> float | None:
     """Two-sided p of Mann-Whitney's U; ``ties`` is the sum of t^3 - t over groups of equal values.
 
-    Exact when a sample has at most 8 values and nothing is tied, else normal with tie and continuity correction.
+    Exact when a sample has at most 8 values and nothing is tied, whatever the other's size, else normal with tie and continuity correction.
     """
     if not n1 or not n0:
         return None
     u = max(u1, n1 * n0 - u1)
-    if min(n1, n0) <= EXACT_SAMPLE and not ties and n1 * n0 <= EXACT_CELLS:
-        counts = _mwu_counts(n1, n0)
-        return min(1.0, 2 * sum(counts[math.ceil(u) :]) / sum(counts))
+    if min(n1, n0) <= EXACT_SAMPLE and not ties:
+        m, n = sorted((n1, n0))
+        return min(1.0, 2 * mwu_orders(m * n - math.ceil(u), m, n) / math.comb(m + n, m))
     n = n1 + n0
     var = n1 * n0 / 12 * (n + 1 - ties / (n * (n - 1)))
     if var <= 0:

@@ -2,22 +2,25 @@
 
 The table is read once: all features are unpivoted into (feature, value, y) and combined before the shuffle into the
 histogram H of counts by (feature, value). Everything else comes from H, whose size is the number of distinct
-values, and the wide table is never collected. What has a row for each feature is read once, by ``per_feature``, and
-broadcast; so H is never shuffled by feature, only once by (feature, bucket of values) for the ranks.
+values, and the wide table is never collected. What has a row for each feature is read once, by ``per_feature``, and joined
+as a local table, which Spark broadcasts by its size; so H is never shuffled by feature, only once by ranges of (feature, value) for the ranks.
 """
 
 from __future__ import annotations
 
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rulewright.functions.pvalues import EXACT_CELLS, EXACT_SAMPLE, chi2_p_value, mwu_p_value, pearson_p_value
+from rulewright.functions.pvalues import chi2_p_value, mwu_p_value, pearson_p_value
+from rulewright.sources.scratch import temporary_tables, written
 
-#: Levels shown, and distinct values that one task sorts.
-MAX_LEVELS, VALUES_OF_TASK = 20, 200_000
+#: Levels shown.
+MAX_LEVELS = 20
 
 
 @contextmanager
@@ -31,9 +34,8 @@ def kept(df: DataFrame):
 
 
 def per_feature(df: DataFrame) -> DataFrame:
-    """A result with a row for each feature, or each of its few bins, as a broadcast local table: computed once, as large as the
-    table is wide."""
-    return F.broadcast(df.sparkSession.createDataFrame(df.toArrow(), df.schema))
+    """A result with a row for each feature, or each of its few bins, as a local table: computed once, as large as the table is wide."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -55,13 +57,13 @@ def histogram(df: DataFrame, label_col: str, features: list[str] | None = None)
         kind = df.schema[c].dataType
         number, whole = isinstance(kind, T.NumericType), isinstance(kind, T.IntegralType)
         col = F.col(f"`{c}`").cast("int").cast("string") if isinstance(kind, T.BooleanType) else F.col(f"`{c}`")
-        # a number's text is only needed for levels, and comes from the number itself
-        txt = F.lit(None) if number else col
-        parts.append(F.struct(F.lit(i).alias("ordinal"), coerce_numeric(col).alias("num"), txt.cast("string").alias("txt")))
+        # a number's text is only needed for levels and comes from the number; a text's number is parsed once for each distinct text
+        num, txt = (coerce_numeric(col), F.lit(None)) if number else (F.lit(None), col)
+        parts.append(F.struct(F.lit(i).alias("ordinal"), num.cast("double").alias("num"), txt.cast("string").alias("txt")))
         about.append(F.struct(F.lit(c).alias("feature"), F.lit(number).alias("is_number"), F.lit(whole).alias("whole")))
     long = df.select(F.col(f"`{label_col}`").cast("int").alias("_y"), F.inline(F.array(*parts)))
     sums = F.count("*").alias("n"), F.count_if(F.col("_y") == 1).alias("c1"), F.count_if(F.col("_y") == 0).alias("c0")
-    counted = long.groupBy("ordinal", "num", "txt").agg(*sums)
+    counted = long.groupBy("ordinal", "num", "txt").agg(*sums).withColumn("num", F.coalesce("num", coerce_numeric(F.col("txt"))))
     told = F.get(F.array(*about), F.col("ordinal"))
     return counted.select("ordinal", *[told[c].alias(c) for c in ("feature", "is_number", "whole")], "num", "txt", "n", "c1", "c0")
 
@@ -85,24 +87,36 @@ def classify_features(h: DataFrame) -> DataFrame:
     return per.select("ordinal", "feature", kind.alias("feature_type"), ((F.col("_total") - F.col("n_valid")) / F.col("_total")).alias("missing_rate"), "n_valid", "n_unique")
 
 
+def _running(batches):
+    """``within``: the rows with a smaller value of the feature in this task, from batches sorted by (ordinal, num)."""
+    ordinal, total = None, 0
+    for batch in batches:
+        of, n = batch["ordinal"].to_numpy(), batch["n"].to_numpy()
+        if not len(n):
+            continue
+        before = np.cumsum(n) - n
+        first = np.concatenate([[0], np.nonzero(of[1:] != of[:-1])[0] + 1])
+        base = before[first]
+        base[0] -= total if of[0] == ordinal else 0
+        before -= np.repeat(base, np.diff(np.append(first, len(n))))
+        ordinal, total = of[-1], int(before[-1] + n[-1])
+        yield batch.append_column("within", pa.array(before, pa.int64()))
+
+
 def cumulative(values: DataFrame) -> DataFrame:
     """H rows of numbers with ``before``, the number of rows with a smaller value of the feature.
 
-    A two-level prefix sum: approximate edges cut each feature's distinct values into buckets of about VALUES_OF_TASK,
-    totals of the buckets are summed over a small table, and the window runs inside (feature, bucket), so no task sorts
-    a whole feature, however many values it has.
+    A sample sort: Spark deals (feature, value) out by ranges of its own sample and sorts inside them, each task adds up its rows, and what
+    the tasks before it hold of the feature is added by a join with a row for each task and feature. No task sorts a whole
+    feature and nothing grows with the number of distinct values but H itself.
     """
-    most = values.groupBy("ordinal").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    cuts = most // VALUES_OF_TASK + 7
-    edges = F.percentile_approx("num", [i / (cuts + 1) for i in range(1, cuts + 1)], max(1000, 20 * cuts))
-    edges = per_feature(values.groupBy("ordinal").agg(edges.alias("_edges")))
-    placed = values.join(edges, "ordinal").withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col("num")))).drop("_edges")
-    totals = per_feature(placed.groupBy("ordinal", "_bucket").agg(F.sum("n").alias("_n")))
-    lower = F.coalesce(F.sum("_n").over(Window.partitionBy("ordinal").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = per_feature(totals.select("ordinal", "_bucket", lower.alias("_base")))
-    inside = Window.partitionBy("ordinal", "_bucket").orderBy("num").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("_base") + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    return placed.join(offsets, ["ordinal", "_bucket"]).withColumn("before", before).drop("_bucket", "_base")
+    placed = values.repartitionByRange("ordinal", "num").sortWithinPartitions("ordinal", "num")
+    placed = placed.mapInArrow(_running, T.StructType([*values.schema.fields, T.StructField("within", T.LongType())])).withColumn("_part", F.spark_partition_id())
+    placed = written(placed, "ordered-values")
+    parts = placed.groupBy("ordinal", "_part").agg(F.sum("n").alias("_n"))
+    earlier = Window.partitionBy("ordinal").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("ordinal", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    return placed.join(offsets, ["ordinal", "_part"]).withColumn("before", F.col("within") + F.col("_base")).drop("within", "_part", "_base")
 
 
 def _at(q: float, high: bool) -> Column:
@@ -112,6 +126,17 @@ def _at(q: float, high: bool) -> Column:
     return F.min(F.when(F.col("before") + F.col("n") > k, F.col("num")))
 
 
+def quantiles(cum: DataFrame, **wanted: float) -> DataFrame:
+    """(ordinal, a column for each wanted share), exact and linear between two values, from a cumulative histogram."""
+    ends = cum.groupBy("ordinal", "n_valid").agg(*[_at(q, high).alias(f"_{name}{int(high)}") for name, q in wanted.items() for high in (False, True)])
+
+    def between(name: str, q: float) -> Column:
+        pos = (F.col("n_valid") - 1) * F.lit(q)
+        return F.col(f"_{name}0") + (F.col(f"_{name}1") - F.col(f"_{name}0")) * (pos - F.floor(pos))
+
+    return ends.select("ordinal", *[between(name, q).alias(name) for name, q in wanted.items()])
+
+
 def numeric_summary(h: DataFrame, kinds: DataFrame, cum: DataFrame | None = None) -> DataFrame:
     """(ordinal, mean, std, median, min, max, q1, q3) of the continuous features; the quantiles are exact."""
     values = _continuous(h, kinds)
@@ -119,16 +144,9 @@ def numeric_summary(h: DataFrame, kinds: DataFrame, cum: DataFrame | None = None
     mean = (F.sum(F.col("num") * F.col("n")) / F.sum("n")).alias("mean")
     means = per_feature(values.groupBy("ordinal").agg(mean, F.sum("n").alias("_n"), F.min("num").alias("min"), F.max("num").alias("max")))
     spread = values.join(means, "ordinal").groupBy("ordinal").agg(F.sum(F.col("n") * F.pow(F.col("num") - F.col("mean"), 2)).alias("_m2"))
-    spread = per_feature(spread)
-    ends = per_feature(cum.groupBy("ordinal", "n_valid").agg(*[_at(q, hi).alias(f"_{name}{int(hi)}") for name, q in (("a", 0.25), ("b", 0.5), ("c", 0.75)) for hi in (False, True)]))
-
-    def between(name: str, q: float) -> Column:
-        pos = (F.col("n_valid") - 1) * F.lit(q)
-        return F.col(f"_{name}0") + (F.col(f"_{name}1") - F.col(f"_{name}0")) * (pos - F.floor(pos))
-
-    quantiles = ends.select("ordinal", between("a", 0.25).alias("q1"), between("b", 0.5).alias("median"), between("c", 0.75).alias("q3"))
     std = F.when(F.col("_n") > 1, F.sqrt(F.col("_m2") / (F.col("_n") - 1)))
-    return means.join(spread, "ordinal").join(quantiles, "ordinal").select("ordinal", "mean", std.alias("std"), "median", "min", "max", "q1", "q3")
+    found = means.join(per_feature(spread), "ordinal").join(per_feature(quantiles(cum, q1=0.25, median=0.5, q3=0.75)), "ordinal")
+    return found.select("ordinal", "mean", std.alias("std"), "median", "min", "max", "q1", "q3")
 
 
 def _continuous(h: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -240,24 +258,22 @@ FIELDS = ("rank", "feature", "feature_type", "n_valid", "method", "statistic", "
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    """Exact medians of the columns' numbers, from their histogram; None for a column without a number."""
+    """Exact medians of the columns' numbers; None for a column without a number. One pass over the table, then the sort of its distinct values."""
     numbers = df.select(F.lit(0).alias("_y"), *[coerce_numeric(F.col(f"`{c}`")).alias(c) for c in columns])
-    with kept(histogram(numbers, "_y", columns)) as h:
-        kinds = per_feature(classify_features(h).withColumn("feature_type", F.lit("continuous")))
-        found = {r["ordinal"]: r["median"] for r in numeric_summary(h, kinds).select("ordinal", "median").collect()}
+    h = histogram(numbers, "_y", columns).where("num IS NOT NULL").select("ordinal", "num", "n")
+    with temporary_tables():
+        ordered = cumulative(h)
+        totals = ordered.groupBy("ordinal").agg(F.sum("n").alias("n_valid"))
+        found = {r["ordinal"]: r["median"] for r in quantiles(ordered.join(totals, "ordinal"), median=0.5).collect()}
     return {c: found.get(i) for i, c in enumerate(columns)}
 
 
 def profile_table(df: DataFrame, label_col: str, features: list[str] | None = None) -> DataFrame:
-    """All statistics, a row for each feature (B15), computed when called. H is kept while its passes run.
-
-    ``method_note`` says where the exact count of Mann-Whitney's U was too large and the normal form stands in.
-    """
-    with kept(histogram(df, label_col, features)) as h:
+    """All statistics, a row for each feature (B15), computed when called. H is kept while its passes run."""
+    with kept(histogram(df, label_col, features)) as h, temporary_tables():
         kinds = per_feature(classify_features(h))
-        with kept(cumulative(_continuous(h, kinds))) as cum:
-            summary = per_feature(numeric_summary(h, kinds, cum))
-            ranks = per_feature(mann_whitney_u(cum))
+        cum = cumulative(_continuous(h, kinds))
+        summary, ranks = per_feature(numeric_summary(h, kinds, cum)), per_feature(mann_whitney_u(cum))
         numbers = kinds.where("feature_type = 'continuous'").drop("n_unique")
         for part in (summary, per_feature(point_biserial(h, kinds)), ranks, per_feature(quartile_text(quartile_odds_ratio(h, kinds, summary)))):
             numbers = numbers.join(part, "ordinal", "left")
@@ -266,7 +282,7 @@ def profile_table(df: DataFrame, label_col: str, features: list[str] | None = No
             "mwu_p": mwu_p_value("mwu_u", "u_n1", "u_n0", "ties"),
             "binned_or_q4_rel_to_q1": F.coalesce("binned_or_q4_rel_to_q1", F.lit("")),
             "direction": F.coalesce("direction", F.lit("")),
-            "method_note": mwu_note(),
+            "method_note": F.lit(""),
         })
         numbers = choose_test(numbers)
         others = kinds.where("feature_type <> 'continuous'").join(per_feature(level_counts(h, kinds)), "ordinal", "left")
@@ -278,13 +294,6 @@ def profile_table(df: DataFrame, label_col: str, features: list[str] | None = No
         return per_feature(rank_features(numbers.unionByName(others, allowMissingColumns=True)).select(*FIELDS))
 
 
-def mwu_note() -> Column:
-    """Why ``mwu_p`` isn't exact where a small sample without ties would have it so."""
-    n1, n0 = F.col("u_n1"), F.col("u_n0")
-    large = (F.least(n1, n0) > 0) & (F.least(n1, n0) <= EXACT_SAMPLE) & (F.col("ties") == 0) & (n1 * n0 > EXACT_CELLS)
-    return F.when(large, f"mwu: normal approximation, as n1 * n0 exceeds {EXACT_CELLS}").otherwise("")
-
-
 def top_features(profile: DataFrame, k: int = 30) -> DataFrame:
     """(rank, feature, summary) of the first k features."""
     text = F.concat_ws(", ", F.concat(F.lit("rank="), F.col("rank").cast("string")), F.concat(F.lit("feature="), "feature"), F.concat(F.lit("type="), "feature_type"), F.concat(F.lit("method="), "method"), F.concat(F.lit("p="), F.when(F.col("p_value").isNotNull(), F.format_string("%.3g", "p_value")).otherwise("nan")), F.concat(F.lit("missing="), F.format_string("%.3f", "missing_rate")))

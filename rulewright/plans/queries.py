@@ -13,7 +13,7 @@ from rulewright.functions.hashing import hash_order
 from rulewright.operators import baselines, drift, errors, metrics, profile, rules, sampling
 from rulewright.plans import grid, tasks
 from rulewright.sources import runs, tables
-from rulewright.sources.scratch import scratch_path
+from rulewright.sources.scratch import scratch_path, temporary_tables
 from rulewright.streaming import scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,7 +102,7 @@ lev AS (SELECT feature, coalesce(txt, num::INT::VARCHAR) AS level, y FROM long W
 
 def _profiled(spark, sf, make: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """The kinds of the features of ``returns``, or what ``make`` does with their histogram and kinds, under the features' names."""
-    with profile.kept(profile.histogram(tasks.returns(spark, sf).drop("row_id"), "y", RETURN_FEATURES)) as hist:
+    with profile.kept(profile.histogram(tasks.returns(spark, sf).drop("row_id"), "y", RETURN_FEATURES)) as hist, temporary_tables():
         kinds = profile.per_feature(profile.classify_features(hist))
         return kinds if make is None else profile.per_feature(_named(make(hist, kinds), kinds))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rulewright.sources.scratch import scratch_path
+from rulewright.sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -76,16 +76,15 @@ def with_row_id(df: DataFrame, order_by: list[str], id_col: str = "row_id") -> D
     """``df`` with ids 0..n-1 in the stated order; a name that is taken is an error.
 
     Rows are range-sorted and written once to the shared folder; each task numbers its own rows and adds the number of rows in
-    the tasks before it, so no task sees the whole table. Ties in the order get ids in no stated order.
+    the tasks before it, so no task sees the whole table. Ties in the order get ids in no stated order. The result reads that table, which
+    lives as long as the block of ``temporary_tables`` around the call.
     """
     if id_col.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"column {id_col} exists already")
     order = [F.col(f"`{c}`").asc_nulls_first() for c in order_by]
-    path = scratch_path(df.sparkSession, "row-ids")
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = placed.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-    placed.write.parquet(path)
-    placed = df.sparkSession.read.schema(placed.schema).parquet(path)
+    placed = written(placed, "row-ids")
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_part", (before - F.col("_first")).alias("_shift"))  # one row for each task
