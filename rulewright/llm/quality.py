@@ -25,9 +25,6 @@ MIN_WORDS, MAX_REPEAT, MAX_SYMBOLS, MAX_DUP_LINES = 50, 0.5, 0.5, 0.5
 STRICT_REPEAT, STRICT_SYMBOLS, STRICT_DUP_LINES = 0.25, 0.1, 0.1
 #: Shrunk rate from which a host is rejected, and its multiple of the prior's mean from which a host is suspect.
 HOST_LIMIT, SUSPECT = 0.8, 1.25
-#: The prior's weight in documents: at least LEAST_WEIGHT, at most those of an average host, so that a host's own documents
-#: always count; USUAL_WEIGHT where the hosts' rates don't vary at all.
-LEAST_WEIGHT, USUAL_WEIGHT = 1.0, 50.0
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
@@ -82,21 +79,20 @@ def host_verdicts(rows: DataFrame, host_col: str, failed_col: str) -> DataFrame:
     ``rejected``, ``suspect`` or ``trusted``.
 
     Sums are combined before the shuffle, so a host with a third of all documents is one row of each task.
-    The prior's mean and weight come from the moments of the hosts' rates: four numbers reach the driver.
+    The prior's mean and weight come from the moments of the hosts' rates: three numbers reach the driver. Where the rates differ
+    no more than sampling makes them, the fitted weight is infinite and no host stands out, whatever the table's size.
     """
     host = F.col(f"`{host_col}`")
     sums = F.count("*").alias("n_docs"), F.sum(F.col(f"`{failed_col}`").cast("long")).alias("n_failed")
     hosts = written(rows.where(host.isNotNull()).groupBy(host.alias("host")).agg(*sums), "hosts")
     rate = F.col("n_failed") / F.col("n_docs")
-    m = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("var"), F.avg(1 / F.col("n_docs")).alias("inverse"), F.avg("n_docs").alias("size")).first()
-    mean, most, weight = m["mean"] or 0.0, max(m["size"] or 0.0, LEAST_WEIGHT), USUAL_WEIGHT
+    m = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("var"), F.avg(1 / F.col("n_docs")).alias("inverse")).first()
+    mean = m["mean"] or 0.0
     spread = mean * (1 - mean)
-    if m["var"] and (between := m["var"] - spread * m["inverse"]) > 0:  # what sampling alone doesn't explain
-        weight = spread / between - 1
-    elif m["var"]:
-        weight = most
-    weight = min(max(weight, LEAST_WEIGHT), most)
-    shrunk = (F.col("n_failed") + mean * weight) / (F.col("n_docs") + weight)
+    between = (m["var"] or 0.0) - spread * (m["inverse"] or 0.0)  # what sampling alone doesn't explain
+    # no spread between hosts is a prior of infinite weight: every host's rate is the mean
+    weight = spread / between - 1 if between > 0 else None
+    shrunk = F.lit(mean) if weight is None else (F.col("n_failed") + mean * weight) / (F.col("n_docs") + weight)
     verdict = F.when(shrunk >= HOST_LIMIT, "rejected").when((shrunk > 0) & (shrunk >= SUSPECT * mean), "suspect").otherwise("trusted")
     return hosts.select("*", shrunk.alias("rate"), verdict.alias("verdict"))
 

@@ -146,12 +146,9 @@ judged AS (
            OR n_dup_lines > 0.5 * n_lines AS rules_failed
   FROM counts),
 hosts AS (SELECT source, count(*) AS n, sum(rules_failed::INT) AS f FROM judged WHERE source IS NOT NULL GROUP BY source),
-moments AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v, avg(1 / n) AS inv, greatest(avg(n), 1.0) AS most FROM hosts),
-prior AS (
-  SELECT m, least(greatest(CASE WHEN v IS NULL OR v = 0 THEN 50.0 WHEN v - m * (1 - m) * inv <= 0 THEN most
-                                ELSE m * (1 - m) / (v - m * (1 - m) * inv) - 1 END, 1.0), most) AS k
-  FROM moments),
-rated AS (SELECT source, m, (f + m * k) / (n + k) AS rate FROM hosts, prior),
+moments AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v, avg(1 / n) AS inv FROM hosts),
+fitted AS (SELECT m, v - m * (1 - m) * inv AS between FROM moments),
+rated AS (SELECT source, m, CASE WHEN between > 0 THEN (f + m * (m * (1 - m) / between - 1)) / (n + m * (1 - m) / between - 1) ELSE m END AS rate FROM hosts, fitted),
 said AS (SELECT source, CASE WHEN rate >= 0.8 THEN 'rejected' WHEN rate > 0 AND rate >= 1.25 * m THEN 'suspect' ELSE 'trusted' END AS verdict FROM rated),
 verdicts AS (
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

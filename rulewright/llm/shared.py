@@ -1,54 +1,15 @@
-"""Written tables in the folder that the whole cluster shares."""
+"""What the operators share: names, batches and memory of tasks; written tables come from ``rulewright.sources.scratch``."""
 
 from __future__ import annotations
 
 import ctypes
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
-
-from rulewright.sources.scratch import scratch_path as new_path
-
-#: Paths of the tables written inside each open ``temporary_tables`` block.
-_OPEN: list[list[str]] = []
-
-
-def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
-@contextmanager
-def temporary_tables():
-    """Deletes the tables that ``written`` made inside the block when it ends, but for those it was told to keep."""
-    _OPEN.append([])
-    try:
-        yield
-    finally:
-        for path in _OPEN.pop():
-            try:
-                store, name = file_system(path)
-                store.delete_dir(name)
-            except (OSError, ValueError):  # never written, or in a store that pyarrow can't reach: left to the folder's owner
-                pass
-
-
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage, survives lost executors, and tells
-    Spark the real size, so that it broadcasts a side only below spark.sql.autoBroadcastJoinThreshold.
-
-    ``keep``: the table outlives the block of ``temporary_tables`` that it is written in.
-    """
-    path = new_path(df.sparkSession, name)
-    if _OPEN[keep:]:
-        _OPEN[-1 - keep].append(path)
-    with job_settings(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+from rulewright.sources.scratch import file_system, job_settings, temporary_tables, written  # noqa: F401
+from rulewright.sources.scratch import scratch_path as new_path  # noqa: F401
 
 def unique_name(base: str, taken) -> str:
     """``base`` with underscores until it clashes with no column of ``taken`` (case-insensitively)."""
@@ -58,26 +19,6 @@ def unique_name(base: str, taken) -> str:
     return base
 
 
-#: Most bytes of an Arrow batch that goes to a Python worker while a table is written, and how much larger a written
-#: table is taken to be in memory than its compressed files, when Spark weighs a broadcast.
-BATCH_BYTES, FILE_COMPRESSION = 16 << 20, 2.0
-
-
-@contextmanager
-def job_settings(spark: SparkSession):
-    """Bounds the Arrow batches of a job, so that rows with long values don't add up in Python workers, and
-    makes Spark compare the size in memory of a compressed table with its broadcast limit."""
-    ours = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.sources.fileCompressionFactor": FILE_COMPRESSION}
-    before = {key: spark.conf.get(key) for key in ours}
-    for key, value in ours.items():
-        spark.conf.set(key, str(value))
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
-
-
 def text_slices(batch: pa.RecordBatch, most: int = 2_000_000):
     """Slices of a batch of (.., text in the second column) with at most so many bytes of text, or one longer row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)

@@ -1,3 +1,4 @@
+import math
 import re
 import zlib
 from collections import Counter
@@ -34,26 +35,23 @@ def brute_kept(rows):
         if h is not None:
             hosts.setdefault(h, []).append(fails(counts[i]))
     rates = [np.mean(x) for x in hosts.values()]
-    mean, var, most = np.mean(rates), np.var(rates), max(np.mean([len(x) for x in hosts.values()]), 1)
+    mean, var = np.mean(rates), np.var(rates)
     between = var - mean * (1 - mean) * np.mean([1 / len(x) for x in hosts.values()])
-    weight = 50 if not var else most if between <= 0 else mean * (1 - mean) / between - 1
-    weight = min(max(weight, 1), most)
-    shrunk = {h: (sum(x) + mean * weight) / (len(x) + weight) for h, x in hosts.items()}
+    weight = mean * (1 - mean) / between - 1 if between > 0 else None  # none: the prior outweighs every host
+    shrunk = {h: mean if weight is None else (sum(x) + mean * weight) / (len(x) + weight) for h, x in hosts.items()}
     verdict = {h: "rejected" if r >= 0.8 else "suspect" if r and r >= 1.25 * mean else "trusted" for h, r in shrunk.items()}
     strict = {i for i, _, h in rows if verdict.get(h) == "suspect" and fails(counts[i], 0.25, 0.1, 0.1)}
     return {i for i, _, h in rows if not fails(counts[i]) and verdict.get(h) != "rejected" and i not in strict}, verdict
 
 
 def test_host_verdicts_decide(spark):
-    """On the given documents some go for their host's verdict alone, and on two hosts that only their rates tell apart."""
+    """The given documents' hosts differ no more than by chance, so none stands out; two hosts that only their rates tell apart do."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want, verdict = brute_kept([(r["doc_id"], r["text"], r["source"]) for r in docs.collect()])
     judged, name = quality.judge_documents(docs)
     rows = judged.collect()
-    assert {r["doc_id"] for r in rows if r[name["kept"]]} == want
-    assert {r["source"]: r[name["host_verdict"]] for r in rows} == verdict
-    gone = [r for r in rows if not r[name["kept"]] and not r[name["rules_failed"]]]
-    assert gone and all(verdict[r["source"]] == "suspect" for r in gone)
+    assert {r["doc_id"] for r in rows if r[name["kept"]]} == want == {r["doc_id"] for r in rows if not r[name["rules_failed"]]}
+    assert {r["source"]: r[name["host_verdict"]] for r in rows} == verdict and set(verdict.values()) == {"trusted"}
     lines = [" ".join(f"w{12 * k + i}" for i in range(12)) for k in range(5)]
     good, bad, doubtful = "\n".join(lines), "short", "\n".join([*lines, "x y", "x y"])
     texts = {"a": [good] * 36 + [bad] * 12 + [doubtful] * 2, "b": [good] * 44 + [bad] * 4 + [doubtful] * 2}
@@ -63,6 +61,24 @@ def test_host_verdicts_decide(spark):
     assert kept == brute_kept(some)[0] and {i for i, t, _ in some if t == doubtful} & kept == {98, 99}
 
 
+@pytest.mark.parametrize("times", [1, 20])
+def test_the_prior_is_the_fitted_one_at_every_size(spark, times):
+    """Rates and verdicts of hosts that differ by chance alone, and of hosts that do differ, on a table and on one with ``times`` as many documents."""
+    chance = [(f"h{i}", n, n // 10 + i % 2) for i, n in enumerate([10] * 8)]
+    differ = [("low", 10, 0), ("high", 10, 5), ("middle", 10, 2)]
+    for hosts, known in ((chance, {"trusted"}), (differ, {"trusted", "suspect"})):
+        rows = [(h, k < f * times) for h, n, f in hosts for k in range(n * times)]
+        got = {r["host"]: r for r in quality.host_verdicts(spark.createDataFrame(rows, "source string, failed boolean"), "source", "failed").collect()}
+        rates = np.array([f / n for _, n, f in hosts])
+        between = rates.var() - rates.mean() * (1 - rates.mean()) * np.mean([1 / (n * times) for _, n, _ in hosts])
+        weight = rates.mean() * (1 - rates.mean()) / between - 1 if between > 0 else math.inf
+        for (h, n, _), rate in zip(hosts, rates, strict=True):
+            want = rates.mean() if weight == math.inf else (rate * n * times + rates.mean() * weight) / (n * times + weight)
+            assert got[h]["rate"] == pytest.approx(want)
+        if times == 1 or hosts is differ:
+            assert {r["verdict"] for r in got.values()} == known
+
+
 def test_counts(spark):
     texts = [None, "", " \t\n", "a", "a b c a b c", "a a a a a", "x y z\nx y z\n\n \nq", "é 漢 #*$%&|<> \x0b\x0c end\r\nend\r\n", " ".join(["w"] * 3000), " ".join(str(i % 700) for i in range(20000))]
     df = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, n_words string")
