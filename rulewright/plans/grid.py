@@ -11,6 +11,7 @@ from rulewright.functions.hashing import hash_order
 from rulewright.operators.metrics import classification_metrics, format_metrics
 from rulewright.operators.sampling import ratio_targets
 from rulewright.sources.runs import flags_of
+from rulewright.sources.scratch import settings, written
 
 SEEDS = (36, 40, 42)
 TRAIN_SIZES = (3000, 1000, 500, 100, 50, 10)
@@ -52,21 +53,38 @@ def cell_targets(grid: DataFrame, total: str = "total", p: str | None = None, n:
     return grid.select("*", F.inline(pair))
 
 
+def first_ranks(pool: DataFrame, most: int, seeds: list[int], label_col: str, id_col: str) -> DataFrame:
+    """(seed, label, id, rank) of the first ``most`` rows of each seed and class in hash order.
+
+    One scan: each task keeps its own first rows of every (seed, class) before the shuffle (the limit of a ranked window, which
+    Spark applies up to a set rank), so a class that holds nearly all rows sends no more than ``most`` from a task.
+    """
+    spark = pool.sparkSession
+    each = F.explode(F.array(*[F.lit(s).cast("int") for s in seeds])).alias("seed")
+    rows = pool.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("label"), each)
+    rows = rows.where("label IS NOT NULL").withColumn("_h", hash_order(F.col("seed"), "cells", F.col("_id")))
+    rank = F.row_number().over(Window.partitionBy("seed", "label").orderBy("_h", "_id"))
+    ranked = rows.withColumn("_rank", rank).where(F.col("_rank") <= most).select("seed", "label", "_id", "_rank")
+    with settings(spark, spark__sql__optimizer__windowGroupLimitThreshold=str(most + 1)):
+        return written(ranked, "cell-ranks")
+
+
 def sample_cells(pool: DataFrame, targets: DataFrame, label_col: str, id_col: str) -> DataFrame:
-    """(cell_id, seed, id, y): every cell's draw without replacement, nested by hash rank.
+    """(cell_id, seed, draw_id, id, y): every cell's draws, ``target`` of each class.
 
-    Only rows that some cell can want are ranked: for each (seed, class) the first rows by hash, found by a
-    per-task top-k of the largest target; the cells are then one equi-join on (seed, class) with rank <= target.
+    A class with enough rows is drawn without replacement, nested by hash rank; a smaller one with replacement, its draw numbers
+    being hashed to ranks. All cells are one equi-join of their draws with the ranked rows; a class without rows gives none.
     """
-    need = [(r["seed"], r["label"], r["most"]) for r in targets.groupBy("seed", "label").agg(F.max("target").alias("most")).collect()]
-    parts = None
-    for seed, label, most in need:
-        rows = pool.where(F.col(f"`{label_col}`").cast("int") == label).select(F.col(f"`{id_col}`"), F.lit(seed).alias("seed"), F.lit(label).alias("label"), hash_order(int(seed), "cells", id_col).alias("_h"))
-        first = rows.orderBy("_h", id_col).limit(int(most))
-        parts = first if parts is None else parts.unionByName(first)
-    ranked = parts.withColumn("_rank", F.row_number().over(Window.partitionBy("seed", "label").orderBy("_h", id_col)))
-    joined = ranked.join(targets.select("cell_id", "seed", "label", "target"), ["seed", "label"]).where("_rank <= target")
-    return joined.select("cell_id", "seed", F.col(f"`{id_col}`"), F.col("label").alias("y"))
+    need = targets.agg(F.max("target").alias("most"), F.array_sort(F.collect_set("seed")).alias("seeds")).first()
+    counts = pool.groupBy(F.col(f"`{label_col}`").cast("int").alias("label")).agg(F.count("*").alias("_have"))
+    ranked = first_ranks(pool, int(need["most"] or 0), need["seeds"] or [0], label_col, id_col)
+    draws = targets.select("cell_id", "seed", "label", "target").where("target > 0").join(counts, "label")
+    draws = draws.select("*", F.explode(F.sequence(F.lit(1), F.col("target").cast("int"))).alias("draw_id"))
+    hashed = hash_order(F.col("seed"), "draws", F.concat_ws(".", "cell_id", "label", "draw_id"))
+    again = F.pmod(F.conv(F.substring(hashed, 1, 8), 16, 10).cast("bigint"), F.col("_have")) + 1
+    draws = draws.withColumn("_rank", F.when(F.col("_have") >= F.col("target"), F.col("draw_id")).otherwise(again).cast("int"))
+    joined = draws.join(ranked, ["seed", "label", "_rank"])
+    return joined.select("cell_id", "seed", "draw_id", F.col("_id").alias(id_col), F.col("label").alias("y"))
 
 
 def sampling_audit(pool: DataFrame, targets: DataFrame, label_col: str) -> DataFrame:
@@ -75,10 +93,13 @@ def sampling_audit(pool: DataFrame, targets: DataFrame, label_col: str) -> DataF
     return targets.select("cell_id", "label", "target").join(counts, "label", "left").select("cell_id", "label", "target", F.coalesce("available", F.lit(0)).alias("available"), (F.coalesce("available", F.lit(0)) < F.col("target")).alias("replaced"))
 
 
-def evaluate_cells(scored: DataFrame, grid: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Metrics of every cell in one aggregation; a cell without rows is a row with its status, not an exception."""
+def evaluate_cells(scored: DataFrame, grid: DataFrame, keys: list[str] | None = None, total: str | None = None) -> DataFrame:
+    """Metrics of every cell in one aggregation; a cell without rows, or with fewer than its column ``total`` says, is a row with its
+    status, not an exception."""
     measured = classification_metrics(scored, keys or ["cell_id"])
-    return grid.join(measured, keys or ["cell_id"], "left").withColumn("status", F.when(F.col("n").isNull(), "no_rows").otherwise("ok"))
+    status = F.when(F.col("n").isNull(), "no_rows")
+    status = status.when(F.col("n") < F.col(total), "short") if total else status
+    return grid.join(measured, keys or ["cell_id"], "left").withColumn("status", status.otherwise("ok"))
 
 
 def order_of(col: Column, known: list[str]) -> Column:

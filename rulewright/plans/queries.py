@@ -821,25 +821,37 @@ def i1_i2_experiment_grid(spark, sf):
     return targets.select("cell_id", "segment", "seed", "label", "target", F.coalesce("available", F.lit(0)).alias("available"))
 
 
-CELLS = f"""+ {GRID},
-r AS (SELECT seed, row_id, y, row_number() OVER (PARTITION BY seed, y ORDER BY md5(seed || '|cells|' || row_id), row_id) AS r FROM finished, (VALUES (36), (40), (42)) d(seed)),
-cells AS (SELECT cell_id, r.seed, row_id, y FROM r JOIN tt ON r.seed = tt.seed AND r.y = tt.label AND r.r <= tt.target) """
+def _cells_sql(pool: str) -> str:
+    return f"""+ {GRID}, have AS (SELECT y, count(*) AS have FROM {pool} GROUP BY y),
+r AS (SELECT seed, row_id, y, row_number() OVER (PARTITION BY seed, y ORDER BY md5(seed || '|cells|' || row_id), row_id) AS r FROM {pool}, (VALUES (36), (40), (42)) d(seed)),
+w AS (SELECT cell_id, seed, label, target, have, unnest(range(1, target + 1)) AS draw_id FROM tt JOIN have ON label = have.y),
+x AS (SELECT *, CASE WHEN have >= target THEN draw_id ELSE ('0x' || substr(md5(seed || '|draws|' || cell_id || '.' || label || '.' || draw_id), 1, 8))::BIGINT % have + 1 END AS at FROM w),
+cells AS (SELECT cell_id, x.seed, draw_id::INT AS draw_id, row_id, y FROM x JOIN r ON r.seed = x.seed AND r.y = x.label AND r.r = x.at) """
 
 
-def _cells(spark, sf):
-    return grid.sample_cells(tasks.finished(spark, sf), grid.cell_targets(_grid(spark, sf), p="p", n="n"), "y", "row_id")
+CELLS = _cells_sql("finished")
 
 
-@query(CELLS + "SELECT cell_id, seed, row_id, y FROM cells", "finished")
+def _cells(spark, sf, task=tasks.finished):
+    return grid.sample_cells(task(spark, sf), grid.cell_targets(_grid(spark, sf), p="p", n="n"), "y", "row_id")
+
+
+@query(CELLS + "SELECT cell_id, seed, draw_id, row_id, y FROM cells", "finished")
 def i3_sample_cells(spark, sf):
     return _cells(spark, sf)
 
 
+@query(_cells_sql("quality") + "SELECT cell_id, seed, draw_id, row_id, y FROM cells", "quality")
+def i3_cells_with_replacement(spark, sf):
+    """The labelled documents are too few for 3000 at 50 to 1, so their cells are drawn with replacement."""
+    return _cells(spark, sf, tasks.quality)
+
+
 @query(CELLS + """, s AS (SELECT cell_id, c.y, (totalprice > 200000)::INT AS p FROM cells c JOIN finished f ON c.row_id = f.row_id)
-SELECT cell_id, round(avg((y = p)::INT), 6) AS acc, count(*) AS n, 'ok' AS status FROM s GROUP BY cell_id""", "finished")
+SELECT s.cell_id, round(avg((s.y = s.p)::INT), 6) AS acc, count(*) AS n, CASE WHEN count(*) < any_value(g.total) THEN 'short' ELSE 'ok' END AS status FROM s JOIN g ON s.cell_id = g.cell_id GROUP BY s.cell_id""", "finished")
 def i4_evaluate_cells(spark, sf):
     scored = _cells(spark, sf).join(tasks.finished(spark, sf).select("row_id", (F.col("totalprice") > 200_000).cast("int").alias("prediction")), "row_id")
-    return _round(grid.evaluate_cells(scored, _grid(spark, sf).drop("n")), 6, "acc").select("cell_id", "acc", "n", "status")
+    return _round(grid.evaluate_cells(scored, _grid(spark, sf).drop("n"), total="total"), 6, "acc").select("cell_id", "acc", "n", "status")
 
 
 @query("""SELECT o_orderpriority, CASE o_orderpriority WHEN '3-MEDIUM' THEN 0 WHEN '1-URGENT' THEN 1 ELSE 99 END AS place, count(*) AS n FROM orders GROUP BY ALL""")
@@ -859,10 +871,12 @@ def i6_ablation_report(spark, sf):
     return grid.ablation_report(index, metrics.classification_metrics(scored, ["run_id"])).select("name", "use_profile", "use_knowledge", "status", "acc")
 
 
-@query("SELECT s.run_no::INT AS run_no, s.seed::INT AS seed, count(*) AS n_cells FROM nation, (VALUES (0, 11), (1, 12)) s(run_no, seed) GROUP BY ALL")
+@query(f"+ {GRID}, r AS (SELECT cell_id * 2 + run_no AS cell_id, run_no, s2.seed, total, p, n FROM g, (VALUES (0, 11), (1, 12)) s2(run_no, seed)) SELECT cell_id, run_no::INT AS run_no, r.seed::INT AS seed, total::BIGINT AS total, count(*) FILTER (quality.y = 1) AS positives FROM r, quality GROUP BY ALL", "quality")
 def i7_repeat_runs(spark, sf):
-    cells = tasks.table(spark, sf, "nation").select(F.col("n_nationkey").alias("cell_id"), F.lit(0).alias("seed"))
-    return grid.repeat_runs(cells, [11, 12]).groupBy("run_no", "seed").agg(F.count("*").alias("n_cells"))
+    """The whole grid again with fresh seeds, each run beside what the pool holds."""
+    cells = grid.repeat_runs(_grid(spark, sf), [11, 12])
+    held = tasks.quality(spark, sf).agg(F.count_if(F.col("y") == 1).alias("positives"))
+    return cells.join(F.broadcast(held)).select("cell_id", F.col("run_no").cast("int").alias("run_no"), F.col("seed").cast("int").alias("seed"), F.col("total").cast("long").alias("total"), "positives")
 
 
 @query(SCORED + "SELECT version AS model, round(f1, 6) AS f1 FROM hist UNION ALL SELECT 'always', round(2 * avg(y) / (1 + avg(y)), 6) FROM returns", "returns")

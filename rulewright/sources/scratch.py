@@ -93,6 +93,20 @@ def job_settings(spark: SparkSession):
                     spark.conf.set(key, value)
 
 
+@contextmanager
+def settings(spark: SparkSession, **wanted: str):
+    """Session settings of one job: names with __ for dots."""
+    ours = {key.replace("__", "."): value for key, value in wanted.items()}
+    before = {key: spark.conf.get(key) for key in ours}
+    for key, value in ours.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, survives lost executors, and tells
     Spark the real size, so that it broadcasts a side only below spark.sql.autoBroadcastJoinThreshold.

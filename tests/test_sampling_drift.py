@@ -107,3 +107,20 @@ def test_grid(spark):
     assert cells.count() == 4 and grid.filter_grid(cells, a=[2]).count() == 2
     with pytest.raises(ValueError):
         grid.filter_grid(cells, a=[9])
+
+
+def test_cells_of_too_small_a_pool(spark):
+    """Every cell is of full size, draws and audit agree, and a class that suffices has no repeats; a class without rows leaves the cell short."""
+    pool = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(200)], "id long, y int")
+    cells = grid.ratio_grid(spark.createDataFrame([("t",)], "task string"), (300, 60), ((50, 1), (1, 50), (1, 2)), (36, 42))
+    targets = grid.cell_targets(cells, p="p", n="n")
+    drawn = grid.sample_cells(pool, targets, "y", "id").collect()
+    audit = {(r["cell_id"], r["label"]): r for r in grid.sampling_audit(pool, targets, "y").collect()}
+    by_cell = {}
+    for r in drawn:
+        by_cell.setdefault((r["cell_id"], r["y"]), []).append(r["id"])
+    assert {k: len(v) for k, v in by_cell.items()} == {k: r["target"] for k, r in audit.items()} and any(r["replaced"] for r in audit.values())
+    for k, ids in by_cell.items():
+        assert (len(set(ids)) < len(ids)) == audit[k]["replaced"] and len(set(ids)) > 0.5 * min(len(ids), audit[k]["available"])
+    scored = grid.sample_cells(pool.where("y = 0"), targets, "y", "id").withColumn("prediction", F.lit(0))
+    assert {r["status"] for r in grid.evaluate_cells(scored, cells.drop("n"), total="total").collect()} == {"short"}
