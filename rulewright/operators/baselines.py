@@ -1,18 +1,20 @@
-"""Feature preparation and baseline classifiers on Spark ML."""
+"""Feature preparation and baseline classifiers: Spark ML, and boosting by histograms."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rulewright.operators.boosting import Boosting
 from rulewright.operators.metrics import classification_metrics
 from rulewright.operators.profile import coerce_numeric, medians
 from rulewright.sources.tables import with_row_id
@@ -181,11 +183,44 @@ def prepare(train: DataFrame, label_col: str, exclude: tuple[str, ...] = ()) ->
     return Prepared(stats, found, model, 0 if first is None else len(first["features"]))
 
 
+def predicted(prepared: Prepared, model, df: DataFrame, label_col: str) -> DataFrame:
+    """(y, prediction) of ``df``. A logistic model is scored by its coefficients in plain Columns: a number's is a factor, a
+    category's a row of a small table that is joined, so an unseen category adds nothing."""
+    if not isinstance(model, LogisticRegressionModel):
+        return model.transform(prepared.transform(df)).select(F.col(f"`{label_col}`").alias("y"), F.col("prediction").cast("int").alias("prediction"))
+    ready, weights = impute_scale(impute_modes(df, prepared.modes), prepared.stats), model.coefficients.toArray().tolist()
+    score, at = F.lit(float(model.intercept)), 0
+    for c in prepared.stats:
+        score, at = score + F.lit(weights[at]) * F.col(f"`{c}`"), at + 1
+    labels = prepared.encoder.stages[0].labelsArray if prepared.modes else []
+    for c, known in zip(prepared.modes, labels, strict=True):
+        rows = [(x, w) for x, w in zip(known, weights[at : at + len(known)], strict=True)]
+        at += len(known)
+        part = df.sparkSession.createDataFrame(rows, "_value string, _weight double")
+        ready = ready.join(part, F.col(f"`{c}`") == F.col("_value"), "left").withColumn(f"_w_{c}", F.coalesce("_weight", F.lit(0.0))).drop("_value", "_weight")
+        score = score + F.col(f"`_w_{c}`")
+    return ready.select(F.col(f"`{label_col}`").alias("y"), (score > 0).cast("int").alias("prediction"))
+
+
+RESULT = "model string, status string, error string, acc double, f1 double, sensitivity double, specificity double, tp bigint, fp bigint, tn bigint, fn bigint, n bigint, n_unexpected bigint"
+
+
+def guarded(spark, name: str, scored: Callable[[], DataFrame]) -> DataFrame:
+    """The result row of a model from its (y, prediction), computed when called; an error of the fit or of a prediction is a row
+    with its status and text, and leaves other models' rows alone."""
+    try:
+        out = classification_metrics(scored())
+        row = out.select(F.lit(name).alias("model"), F.lit("ok").alias("status"), F.lit("").alias("error"), *out.columns).first()
+        return spark.createDataFrame([tuple(row)], out.select(F.lit(name).alias("model"), F.lit("ok").alias("status"), F.lit("").alias("error"), *out.columns).schema)
+    except Exception as e:  # a model that can't be fitted or applied is a result of the experiment
+        return spark.createDataFrame([(name, "failed", f"{type(e).__name__}: {e}"[:500], *[None] * 10)], RESULT)
+
+
 def make_baseline(name: str, n_rows: int, size: int, label_col: str = "label", weight_col: str | None = None, drift: bool = False, share: float = 1.0):
     """An unfitted estimator with the reference's settings, or with those of its drift study.
 
-    ``boosting_a`` and ``boosting_b`` are its two tree ensembles; where it counts leaves (64, 31), the depth is that of a full tree of so many.
-    ``share`` of the rounds of boosting and of the net are run; boosting then takes steps as much longer, of 0.3 at most.
+    ``boosting_a`` grows trees to a depth, ``boosting_b`` best first to a number of leaves. ``share`` of the rounds of boosting and of the net are
+    run; boosting then takes steps as much longer, of 0.3 at most.
     """
     weight = {"weightCol": weight_col} if weight_col else {}
     base = {"featuresCol": "features", "labelCol": label_col}
@@ -195,10 +230,19 @@ def make_baseline(name: str, n_rows: int, size: int, label_col: str = "label", w
         return DecisionTreeClassifier(maxDepth=30, impurity="gini", seed=42, **base, **weight)
     if name == "mlp":
         return MultilayerPerceptronClassifier(layers=[size, 64, 32, 2] if drift else [size, 256, 128, 2], maxIter=round(200 * share), seed=42, **base)
-    settings = {"boosting_a": (5, 200, 0.05), "boosting_b": (5, 300, 0.05)} if drift else {"boosting_a": (6, 600, 0.05), "boosting_b": (6, 1200, 0.03)}
-    depth, rounds, step = settings[name]
-    step = max(step, min(0.3, step / share))
-    return GBTClassifier(maxDepth=depth, maxIter=round(rounds * share), stepSize=step, subsamplingRate=0.8, seed=42, **base, **weight)
+    rounds, step, settings = BOOSTING[name, drift]
+    return Boosting(rounds=max(round(rounds * share), 1), step=max(step, min(0.3, step / share)), label_col=label_col, weight_col=weight_col, **settings)
+
+
+#: Rounds, step and tree settings of the two boosting baselines, and of the drift study's.
+BOOSTING = {
+    ("boosting_a", False): (600, 0.05, {"max_depth": 6}),
+    ("boosting_b", False): (1200, 0.03, {"max_leaves": 64, "least_hessian": 1e-3, "least_rows": 20}),
+    ("boosting_a", True): (200, 0.05, {"max_depth": 5}),
+    ("boosting_b", True): (300, 0.05, {"max_leaves": 31, "l2": 0.0, "least_hessian": 1e-3, "least_rows": 20}),
+}
+#: Rounds that the drift study's second fit adds.
+MORE_ROUNDS = 200
 
 
 @contextmanager
@@ -216,65 +260,88 @@ def training_rows(prepared: Prepared, train: DataFrame, label_col: str, weight_c
 
 def fit_eval_baseline(name: str, train: DataFrame, test: DataFrame, label_col: str, weights: str | None = None, exclude: tuple[str, ...] = (), drift: bool = False, share: float = 1.0) -> DataFrame:
     """One result row (model, status, error, metrics); a failure is a row with its status and error."""
-    spark = train.sparkSession
-    try:
-        n = train.count()
-        prepared = prepare(train, label_col, exclude)
-        if weights and name != "mlp":
-            train = train.withColumn("_weight", class_weights(train, label_col, weights))
+
+    def scored() -> DataFrame:
+        n, prepared = train.count(), prepare(train, label_col, exclude)
         weight_col = "_weight" if weights and name != "mlp" else None
+        weighted = train.withColumn("_weight", class_weights(train, label_col, weights)) if weight_col else train
         made = make_baseline(name, n, prepared.size, label_col, weight_col, drift, share)
-        with training_rows(prepared, train, label_col, weight_col) as rows:
+        with training_rows(prepared, weighted, label_col, weight_col) as rows:
             model = made.fit(rows)
-        scored = model.transform(prepared.transform(test)).select(F.col(label_col).alias("y"), F.col("prediction").cast("int").alias("prediction"))
-        out = classification_metrics(scored)
-        return out.select(F.lit(name).alias("model"), F.lit("ok").alias("status"), F.lit("").alias("error"), *out.columns)
-    except Exception as e:  # a model that can't be fitted is a result of the experiment
-        schema = "model string, status string, error string, acc double, f1 double, sensitivity double, specificity double, tp bigint, fp bigint, tn bigint, fn bigint, n bigint, n_unexpected bigint"
-        return spark.createDataFrame([(name, "failed", f"{type(e).__name__}: {e}"[:500], *[None] * 10)], schema)
+        return predicted(prepared, model, test, label_col)
+
+    return guarded(train.sparkSession, name, scored)
 
 
-def with_prior(df: DataFrame, prepared: Prepared, model, name: str = "prior", probability: bool = False) -> DataFrame:
-    """``df`` with a fitted model's prediction, or its probability of class 1, as a feature more."""
+def with_prior(df: DataFrame, prepared: Prepared, model, name: str = "prior") -> DataFrame:
+    """``df`` with a fitted model's prediction as a feature more."""
     scored = model.transform(prepared.transform(df.withColumns({f"_keep_{c}": F.col(f"`{c}`") for c in df.columns})))
-    value = vector_to_array("probability")[1] if probability else F.col("prediction")
-    return scored.select(*[F.col(f"`_keep_{c}`").alias(c) for c in df.columns], value.cast("double").alias(name))
+    return scored.select(*[F.col(f"`_keep_{c}`").alias(c) for c in df.columns], F.col("prediction").cast("double").alias(name))
 
 
 def two_stage_baselines(stage1: DataFrame, stage2: DataFrame, label_col: str, models: tuple[str, ...] = ("logistic", "tree", "mlp", "boosting_a", "boosting_b"), exclude: tuple[str, ...] = ("split", "row_id"), drift: bool = True, share: float = 1.0) -> DataFrame:
     """Every model fitted on stage 1 and carried to stage 2: (model, stage, status, error, metrics).
 
-    Logistic regression is refitted (its fit is convex), the net starts from its first weights, trees and
-    boosting get the first stage's prediction or probability as a feature more.
+    Logistic regression is refitted (its fit is convex), the net starts from its first weights, the tree gets the first
+    stage's prediction as a feature more, and boosting adds trees to those of the first stage.
     """
-    out = None
+    train1, test1 = (stage1.where(F.col("split") == s).drop(*exclude) for s in ("train", "test"))
+    train2, test2 = (stage2.where(F.col("split") == s).drop(*exclude) for s in ("train", "test"))
+    rows = []
     for name in models:
-        rows = []
-        train1, test1 = (stage1.where(F.col("split") == s).drop(*exclude) for s in ("train", "test"))
-        train2, test2 = (stage2.where(F.col("split") == s).drop(*exclude) for s in ("train", "test"))
         rows.append(fit_eval_baseline(name, train1, test1, label_col, drift=drift, share=share).withColumn("stage", F.lit("stage1")))
-        if name in ("tree", "boosting_a", "boosting_b"):
-            shared = [c for c in train1.columns if c in train2.columns]
-            prepared = prepare(train1.select(shared), label_col)
-            model = make_baseline(name, train1.count(), prepared.size, label_col, drift=drift, share=share).fit(prepared.transform(train1.select(shared)).coalesce(1 + train1.count() // ROWS_OF_TASK))
-            more = [with_prior(d.select(shared), prepared, model, probability=name != "tree") for d in (train2, test2)]
-            rows.append(fit_eval_baseline(name, *more, label_col, drift=drift, share=share).withColumn("stage", F.lit("stage2")))
+        if name == "logistic":
+            second = fit_eval_baseline(name, train2, test2, label_col, drift=drift, share=share)
         elif name == "mlp":
-            rows.append(continue_mlp(train1, train2, test2, label_col, drift, share).withColumn("stage", F.lit("stage2")))
+            second = continue_mlp(train1, train2, test2, label_col, drift, share)
+        elif name == "tree":
+            second = continue_tree(train1, train2, test2, label_col, drift)
         else:
-            rows.append(fit_eval_baseline(name, train2, test2, label_col, drift=drift, share=share).withColumn("stage", F.lit("stage2")))
-        for r in rows:
-            out = r if out is None else out.unionByName(r)
-    return out
+            second = continue_boosting(name, train1, train2, test2, label_col, drift, share)
+        rows.append(second.withColumn("stage", F.lit("stage2")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def continue_tree(train1: DataFrame, train2: DataFrame, test2: DataFrame, label_col: str, drift: bool = False) -> DataFrame:
+    """The second fit of the tree has the first one's prediction as a feature more."""
+    shared = [c for c in train1.columns if c in train2.columns]
+
+    def scored() -> DataFrame:
+        first = train1.select(shared)
+        n, before = first.count(), prepare(first, label_col)
+        model = make_baseline("tree", n, before.size, label_col, drift=drift).fit(before.transform(first).coalesce(1 + n // ROWS_OF_TASK))
+        train, test = (with_prior(d.select(shared), before, model) for d in (train2, test2))
+        after = prepare(train, label_col)
+        with training_rows(after, train, label_col) as ready:
+            second = make_baseline("tree", train.count(), after.size, label_col, drift=drift).fit(ready)
+        return predicted(after, second, test, label_col)
+
+    return guarded(train1.sparkSession, "tree", scored)
+
+
+def continue_boosting(name: str, train1: DataFrame, train2: DataFrame, test2: DataFrame, label_col: str, drift: bool = False, share: float = 1.0) -> DataFrame:
+    """The second fit adds its rounds to the trees of the first, on the features that both stages have."""
+    shared = [c for c in train1.columns if c in train2.columns]
+
+    def scored() -> DataFrame:
+        prepared = prepare(train1.select(shared), label_col)
+        settings = make_baseline(name, 0, prepared.size, label_col, drift=drift, share=share)
+        first = settings.fit(prepared.transform(train1.select(shared)))
+        more = replace(settings, rounds=max(round(MORE_ROUNDS * share), 1), seed=settings.seed + 1)
+        return predicted(prepared, more.fit(prepared.transform(train2.select(shared)), start=first), test2.select(shared), label_col)
+
+    return guarded(train1.sparkSession, name, scored)
 
 
 def continue_mlp(train1: DataFrame, train2: DataFrame, test2: DataFrame, label_col: str, drift: bool = False, share: float = 1.0) -> DataFrame:
     """The second fit of the net starts from the weights of the first, on the features that both stages have."""
     shared = [c for c in train1.columns if c in train2.columns]
-    train1, train2, test2 = (d.select(shared) for d in (train1, train2, test2))
-    prepared = prepare(train1, label_col)
-    net = make_baseline("mlp", 0, prepared.size, label_col, drift=drift, share=share)
-    first = net.fit(prepared.transform(train1))
-    second = net.setInitialWeights(first.weights).fit(prepared.transform(train2))
-    out = classification_metrics(second.transform(prepared.transform(test2)).select(F.col(label_col).alias("y"), F.col("prediction").cast("int").alias("prediction")))
-    return out.select(F.lit("mlp").alias("model"), F.lit("ok").alias("status"), F.lit("").alias("error"), *out.columns)
+
+    def scored() -> DataFrame:
+        one, two, test = (d.select(shared) for d in (train1, train2, test2))
+        prepared = prepare(one, label_col)
+        net = make_baseline("mlp", 0, prepared.size, label_col, drift=drift, share=share)
+        first = net.fit(prepared.transform(one))
+        return predicted(prepared, net.setInitialWeights(first.weights).fit(prepared.transform(two)), test, label_col)
+
+    return guarded(train1.sparkSession, "mlp", scored)

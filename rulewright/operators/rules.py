@@ -2,7 +2,8 @@
 
 A rule set is JSON in a closed grammar: ``{"triggers": [pred], "points": [{"pred": pred, "weight": w}], "cutoff": c}``, a predicate being
 ``{"op": "=", "col": c, "value": v}``, with ``= != < <= > >=``, ``is_null``, ``in``, or ``and``, ``or`` and ``not`` over predicates. It is compiled to
-one Column, so that scoring is generated code inside the scan; text from a table is never evaluated.
+one Column, so that scoring is generated code inside the scan; text from a table is never evaluated. A rule may also be the text of a Python function
+in the subset of ``python_rules``, which is compiled to a Column from its syntax tree.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rulewright.operators.python_rules import parse_rule, rule_column
+
 COMPARE: dict[str, Callable[[Column, object], Column]] = {
     "=": lambda c, v: c == v,
     "!=": lambda c, v: c != v,
@@ -58,7 +61,9 @@ def _three_valued(pred: dict, columns: set[str] | None) -> Column:
 
 
 def compile_rules(rules: dict | str, columns: set[str] | None = None) -> Column:
-    """1 if any trigger fires, else whether the points of the predicates that hold reach the cutoff."""
+    """1 if any trigger fires, else whether the points of the predicates that hold reach the cutoff; or what a Python rule returns."""
+    if isinstance(rules, str) and not rules.lstrip().startswith("{"):
+        return rule_column(parse_rule(rules), columns)
     rules = json.loads(rules) if isinstance(rules, str) else rules
     unknown = set(rules) - {"triggers", "points", "cutoff"}
     if unknown:
@@ -146,7 +151,7 @@ def _compiles(code: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.BooleanType())
 def _in_grammar(code: pd.Series) -> pd.Series:
-    """Whether rule JSON keeps to the grammar."""
+    """Whether rule JSON keeps to the grammar, and Python text to the subset that can be compiled."""
 
     def predicate(p: object) -> bool:
         if not isinstance(p, dict):
@@ -157,9 +162,12 @@ def _in_grammar(code: pd.Series) -> pd.Series:
 
     def ok(text: str | None) -> bool:
         try:
+            if text and not text.lstrip().startswith("{"):
+                parse_rule(text)
+                return True
             rules = json.loads(text or "")
-        except ValueError:
-            return bool(text)  # Python text has no grammar to keep to
+        except (ValueError, RecursionError):
+            return False
         points = rules.get("points", []) if isinstance(rules, dict) else None
         return isinstance(points, list) and all(isinstance(x, dict) and predicate(x.get("pred")) and isinstance(x.get("weight"), (int, float)) for x in points) and all(map(predicate, rules.get("triggers", [])))
 

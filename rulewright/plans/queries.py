@@ -469,9 +469,17 @@ def e4_score_versions(spark, sf):
     return _long(spark, sf).groupBy("version", "ordinal", "y", "prediction").agg(F.count("*").alias("n"))
 
 
-def _rule_table(spark, sf) -> DataFrame:
+@query(SCORED + "SELECT version, ordinal, y, prediction, count(*) AS n FROM lng GROUP BY ALL", "returns")
+def e4_score_python_versions(spark, sf):
+    """The versions stored as Python text, compiled and scored in one scan."""
+    found = rules.score_versions(tasks.returns(spark, sf), tasks.RULES_PYTHON, "row_id", "y")
+    return found.groupBy("version", "ordinal", "y", "prediction").agg(F.count("*").alias("n"))
+
+
+def _rule_table(spark, sf, versions=tasks.RULES) -> DataFrame:
     """Stored versions for a run of each region."""
-    stored = F.array(*[F.struct(F.lit(v).alias("version"), F.lit(i).alias("ordinal"), F.lit(json.dumps(r)).alias("rule_json"), F.lit(f"analysis of {v}").alias("analysis")) for i, (v, r) in enumerate(tasks.RULES.items())])
+    texts = {v: r if isinstance(r, str) else json.dumps(r) for v, r in versions.items()}
+    stored = F.array(*[F.struct(F.lit(v).alias("version"), F.lit(i).alias("ordinal"), F.lit(r).alias("rule_json"), F.lit(f"analysis of {v}").alias("analysis")) for i, (v, r) in enumerate(texts.items())])
     return tasks.table(spark, sf, "region").select(F.col("r_name").alias("run_id"), F.inline(stored)).where(F.col("ordinal") < 1 + F.length("run_id") % 4)
 
 
@@ -482,6 +490,13 @@ def e5_predict_final(spark, sf):
     return rules.predict_final(tasks.returns(spark, sf), stored, run, "v0").select("row_id", "prediction")
 
 
+@query(SCORED + "SELECT row_id, v1 AS prediction FROM s", "returns")
+def e5_predict_stored_python(spark, sf):
+    stored = _rule_table(spark, sf, tasks.RULES_PYTHON)
+    run = stored.where("version = 'v1'").agg(F.min("run_id")).first()[0]
+    return rules.predict_final(tasks.returns(spark, sf), stored, run, "v1").select("row_id", "prediction")
+
+
 @query(SCORED + "SELECT row_id, y AS label, v1 AS prediction FROM s", "returns")
 def e6_inference_report(spark, sf):
     return rules.inference_report(rules.score_rules(tasks.returns(spark, sf), tasks.RULES["v1"]), "row_id", "y")

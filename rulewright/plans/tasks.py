@@ -82,3 +82,50 @@ RULES_SQL = {
     "v2": "CASE WHEN coalesce(extendedprice > 50000 AND (linestatus IN ('F') OR NOT (tax >= 0.04)), false) THEN 1 ELSE (1.5 * coalesce(big_discount = 1, false)::INT >= 1.5)::INT END",
 }
 RULES_SQL["v3"] = RULES_SQL["v1"]
+
+#: The same versions as the text of Python functions.
+RULES_PYTHON = {
+    "v0": """
+def predict_v0(features: dict) -> int:
+    'Large orders, or two of three signs.'
+    quantity = features.get('quantity')
+    if quantity is not None and quantity >= 45:
+        return 1
+    points = 0
+    discount = features.get('discount')
+    if discount is not None:
+        if discount >= 0.05:
+            points += 1
+    if features['tax'] <= 0.02:
+        points += 1
+    points += features.get('linestatus') == 'F'
+    if points >= 2:
+        return 1
+    else:
+        return 0
+""",
+    "v1": """
+def predict_v1(features: dict) -> int:
+    score = 2 if features.get('linestatus') in ('F', 'f') else 0
+    quantity = features.get('quantity', 99)
+    if features.get('discount') is None:
+        score += 1
+    if quantity < 25:
+        score += 1
+    elif quantity > 1000:
+        score -= 0
+    return int(score >= 3)
+""",
+}
+RULES_PYTHON["v2"] = """
+import math
+
+def predict_v2(features: dict) -> int:
+    tax = features.get('tax')
+    dear = features.get('extendedprice') > 50000
+    if dear and (features.get('linestatus') == 'F' or (tax is not None and not tax >= 0.04)):
+        return 1
+    weight = 1.5 * sum([features.get('big_discount') == 1])
+    return 1 if 1.5 <= weight < 9 else 0
+"""
+RULES_PYTHON["v3"] = RULES_PYTHON["v1"].replace("predict_v1", "predict_v3")

@@ -1,8 +1,10 @@
 """The registered baselines have the reference's settings but for the stated shares of rounds, and its drift study's sizes."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from rulewright.operators import baselines
+from rulewright.operators.boosting import Boosting
 from rulewright.plans import queries
 from tests.conftest import DATA
 
@@ -10,12 +12,14 @@ SETTINGS = {
     "h8_baseline_logistic": {"maxIter": 2000},
     "h9_baseline_tree": {"maxDepth": 30},
     "h10_baseline_mlp": {"layers": [256, 128, 2], "maxIter": 50},
-    "h11_baseline_boosting_a": {"maxDepth": 6, "maxIter": 60, "stepSize": 0.3},
-    "h11_baseline_boosting_b": {"maxDepth": 6, "maxIter": 60, "stepSize": 0.3},
+    "h11_baseline_boosting_a": {"max_depth": 6, "max_leaves": None, "rounds": 60, "step": 0.3, "l2": 1.0, "row_share": 0.8, "column_share": 0.8},
+    "h11_baseline_boosting_b": {"max_depth": None, "max_leaves": 64, "rounds": 60, "step": 0.3, "l2": 1.0, "row_share": 0.8, "column_share": 0.8},
 }
 
 
 def _settings(made, names):
+    if isinstance(made, Boosting):
+        return {n: getattr(made, n) for n in names}
     return {n: made.getOrDefault(n)[1:] if n == "layers" else made.getOrDefault(n) for n in names}
 
 
@@ -35,27 +39,34 @@ def test_registered_settings(spark, monkeypatch, name):
 
 def test_full_settings():
     of = lambda name, *params: _settings(baselines.make_baseline(name, 10, 3), params)
-    assert of("boosting_a", "maxIter", "stepSize") == {"maxIter": 600, "stepSize": 0.05}
-    assert of("boosting_b", "maxIter", "stepSize") == {"maxIter": 1200, "stepSize": 0.03}
+    assert of("boosting_a", "rounds", "step") == {"rounds": 600, "step": 0.05}
+    assert of("boosting_b", "rounds", "step") == {"rounds": 1200, "step": 0.03}
     assert of("mlp", "maxIter") == {"maxIter": 200}
 
 
-@pytest.mark.parametrize("name", ["logistic", "tree"])
+@pytest.mark.parametrize("name", ["logistic", "tree", "boosting_a", "boosting_b"])
 def test_fitted_baselines_learn(spark, name):
     """A status of ok and better than chance on rows whose label follows from the features."""
     rows = [(i % 7 < 3, float(i % 7), "ab"[i % 2], int(i % 7 < 3)) for i in range(400)]
     df = spark.createDataFrame(rows, "b boolean, x double, c string, y int").drop("b")
-    got = baselines.fit_eval_baseline(name, df.where("x <> 9"), df, "y", weights="balanced").first()
+    got = baselines.fit_eval_baseline(name, df.where("x <> 9"), df, "y", weights="balanced", share=0.01).first()
     assert got["status"] == "ok" and got["f1"] > 0.95
 
 
 def test_drift_study(spark, monkeypatch):
     seen = {}
     monkeypatch.setattr(baselines, "fit_eval_baseline", lambda name, *args, **kwargs: spark.createDataFrame([(name, kwargs["drift"])], "model string, drift boolean"))
-    monkeypatch.setattr(baselines, "continue_mlp", lambda *args: spark.createDataFrame([("mlp", args[-2])], "model string, drift boolean"))
+
+    def tried(session, name, scored):
+        try:
+            scored()
+        except Exception:  # nothing is fitted here
+            pass
+        return spark.createDataFrame([(name, True)], "model string, drift boolean")
+
+    monkeypatch.setattr(baselines, "guarded", tried)
     monkeypatch.setattr(baselines, "prepare", lambda *args: baselines.Prepared({}, {}, None, 3))
     monkeypatch.setattr(baselines.Prepared, "transform", lambda self, df: df)
-    monkeypatch.setattr(baselines, "with_prior", lambda df, *args, **kwargs: df)
     real = baselines.make_baseline
 
     class Unfitted:
@@ -64,7 +75,7 @@ def test_drift_study(spark, monkeypatch):
 
     def note(name, *args, **kwargs):
         seen[name] = real(name, *args, **kwargs)
-        return Unfitted()
+        return seen[name] if isinstance(seen[name], Boosting) else Unfitted()
 
     monkeypatch.setattr(baselines, "make_baseline", note)
     two = baselines.two_stage_baselines
@@ -74,7 +85,36 @@ def test_drift_study(spark, monkeypatch):
     assert {(r["model"], r["stage"]) for r in rows} == {(m, s) for m in ("logistic", "tree", "mlp", "boosting_a", "boosting_b") for s in ("stage1", "stage2")} and all(r["drift"] for r in rows)
     sizes = [{r["split"]: r["count"] for r in s.groupBy("split").count().collect()} for s in stages]
     assert sizes == [{"train": 1000, "val": 500, "test": 800}, {"train": 40, "val": 500, "test": 800}]
-    assert _settings(seen["boosting_a"], ["maxDepth", "maxIter", "stepSize"]) == {"maxDepth": 5, "maxIter": 20, "stepSize": 0.3}
-    assert _settings(seen["boosting_b"], ["maxDepth", "maxIter", "stepSize"]) == {"maxDepth": 5, "maxIter": 30, "stepSize": 0.3}
+    assert _settings(seen["boosting_a"], ["max_depth", "rounds", "step"]) == {"max_depth": 5, "rounds": 20, "step": 0.3}
+    assert _settings(seen["boosting_b"], ["max_leaves", "rounds", "step", "l2"]) == {"max_leaves": 31, "rounds": 30, "step": 0.3, "l2": 0.0}
     assert real("mlp", 0, 3, drift=True).getLayers() == [3, 64, 32, 2]
     spark.catalog.clearCache()
+
+
+def test_a_failing_prediction_is_a_row_of_that_model_only(spark, monkeypatch):
+    """The tree's second stage can't be applied: its row is failed, and all others are there."""
+    rows = [(i, i % 5 / 2, "ab"[i % 2], int(i % 5 < 2), ("train", "test")[i % 2]) for i in range(200)]
+    stage = spark.createDataFrame(rows, "row_id int, x double, c string, y int, split string")
+    real = baselines.with_prior
+
+    def broken(df, *args, **kwargs):
+        return real(df, *args, **kwargs).withColumn("prior", F.raise_error(F.lit("no prediction")).cast("double"))
+
+    monkeypatch.setattr(baselines, "with_prior", broken)
+    got = baselines.two_stage_baselines(stage, stage, "y", models=("logistic", "tree", "boosting_a"), share=0.02).collect()
+    status = {(r["model"], r["stage"]): r["status"] for r in got}
+    assert status == {(m, s): "failed" if (m, s) == ("tree", "stage2") else "ok" for m in ("logistic", "tree", "boosting_a") for s in ("stage1", "stage2")}
+    assert "no prediction" in next(r["error"] for r in got if r["status"] == "failed") and all(r["acc"] > 0.9 for r in got if r["status"] == "ok")
+
+
+def test_logistic_scores_are_those_of_the_fitted_model(spark):
+    """The plain Columns and Spark's own transform agree, for unseen categories and missing values too."""
+    from pyspark.ml.classification import LogisticRegression
+
+    rows = [(float(i % 7) if i % 11 else None, "abc"[i % 3], "xy"[i % 2], int(i % 7 + i % 3 > 4)) for i in range(300)]
+    train = spark.createDataFrame(rows, "x double, c string, d string, y int")
+    test = train.union(spark.createDataFrame([(1.0, "new", "x", 0), (None, None, None, 1)], train.schema))
+    prepared = baselines.prepare(train, "y")
+    model = LogisticRegression(labelCol="y", regParam=0.01).fit(prepared.transform(train))
+    count = lambda df: {tuple(r)[:2]: r["count"] for r in df.groupBy("y", "prediction").count().collect()}
+    assert count(baselines.predicted(prepared, model, test, "y")) == count(model.transform(prepared.transform(test)).select("y", F.col("prediction").cast("int").alias("prediction")))
