@@ -125,18 +125,41 @@ def index_with_unknown(train: DataFrame, df: DataFrame, columns: list[str], miss
 def one_hot(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
     """``df`` with an array of 0 and 1 for each column in its place, an entry for each train category in sorted order.
 
-    Missing values are the train mode; an unseen category is all zeros. The categories are as many as the arrays
-    are long, and join as a small table.
+    Missing values are the train mode; an unseen category is all zeros. The plan doesn't grow with the categories, the arrays do:
+    ``sparse_one_hot`` is for columns of very many.
     """
+    ready, sizes = _coded(train, df, columns)
+    for c in columns:
+        ready = ready.withColumn(c, _zeros_and_one(F.col(f"_code_{c}"), sizes[c])).drop(f"_code_{c}")
+    return ready
+
+
+def _zeros_and_one(code: Column, size: int) -> Column:
+    if not size:
+        return F.array().cast("array<int>")
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce((code == i).cast("int"), F.lit(0)))
+
+
+def sparse_one_hot(train: DataFrame, df: DataFrame, columns: list[str], out: str = "hot") -> tuple[DataFrame, dict[str, int]]:
+    """(``df`` with a struct ``out`` of size and indices in place of the columns, the first index of each column): the places of the ones among the
+    categories of all columns, so a row takes an index for each column however many categories there are."""
+    ready, sizes = _coded(train, df, columns)
+    first, size = {}, 0
+    for c in columns:
+        first[c], size = size, size + sizes[c]
+    at = F.array_compact(F.array(*[F.col(f"_code_{c}") + F.lit(first[c]) for c in columns]))
+    return ready.withColumn(out, F.struct(F.lit(size).alias("size"), at.cast("array<int>").alias("indices"))).drop(*columns, *[f"_code_{c}" for c in columns]), first
+
+
+def _coded(train: DataFrame, df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, int]]:
+    """``df`` with missing values filled and ``_code_<column>``, null for an unseen category; and the number of categories of each column."""
     found = modes(train, columns)
     ready, codes = impute_modes(df, found), _numbered(impute_modes(train, found), {c: F.col(f"`{c}`") for c in columns})
     sizes = {r["column"]: r["n"] for r in codes.groupBy("column").agg(F.count("*").alias("n")).collect()}
     for c in columns:
-        one = codes.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
-        ready = ready.join(one, F.col(f"`{c}`") == F.col("_value"), "left")
-        entries = [F.coalesce((F.col("_code") == i).cast("int"), F.lit(0)) for i in range(sizes.get(c, 0))]
-        ready = ready.withColumn(c, F.array(*entries).cast("array<int>")).drop("_value", "_code")
-    return ready
+        one = codes.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias(f"_code_{c}"))
+        ready = ready.join(one, F.col(f"`{c}`") == F.col("_value"), "left").drop("_value")
+    return ready, {c: sizes.get(c, 0) for c in columns}
 
 
 def class_weights(train: DataFrame, label_col: str, scheme: str = "balanced") -> Column:

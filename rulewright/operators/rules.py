@@ -13,11 +13,12 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rulewright.operators.python_rules import parse_rule, rule_column
+from rulewright.sources.runs import append_rows, read_rows
 
 COMPARE: dict[str, Callable[[Column, object], Column]] = {
     "=": lambda c, v: c == v,
@@ -117,7 +118,12 @@ def inference_report(scored: DataFrame, id_col: str, label_col: str) -> DataFram
 
 def append_versions(rules: DataFrame, path: str) -> None:
     """Adds (run_id, version, ordinal, rule_json, analysis) rows; stored versions are never changed."""
-    rules.select("run_id", "version", "ordinal", "rule_json", "analysis").write.mode("append").parquet(path)
+    append_rows(rules.select("run_id", "version", "ordinal", "rule_json", "analysis"), path)
+
+
+def read_versions(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored versions; of a version that was appended again, the first one counts."""
+    return read_rows(spark, path, ["run_id", "version"], keep="first")
 
 
 def current_versions(rules: DataFrame) -> DataFrame:

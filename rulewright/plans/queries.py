@@ -507,7 +507,8 @@ def e7_rule_store(spark, sf):
     path, stored = scratch_path(spark, "rules"), _rule_table(spark, sf)
     for old in (True, False):
         rules.append_versions(stored.where((F.col("ordinal") < 1) == F.lit(old)), path)
-    return rules.current_versions(spark.read.parquet(path))
+        rules.append_versions(stored.where(F.col("ordinal") == 0), path)  # again, which changes nothing
+    return rules.current_versions(rules.read_versions(spark, path))
 
 
 def _proposals(spark, sf) -> DataFrame:
@@ -605,6 +606,22 @@ def f11_backfill_runs(spark, sf):
     return metrics.backfill_runs(results, spark.createDataFrame(stored, "model string, seed int, run_ts int, rule_json string"), tasks.finished(spark, sf), "y", "row_id", SPEC)
 
 
+@query(ORACLE["f11_backfill_runs"])
+def f11_backfill_from_files(spark, sf):
+    """The same from folders and result files that the query writes: runs, ratios and seeds come from their paths."""
+    root = scratch_path(spark, "runs")
+    stored = [(m, 1000, 1, 1, seed, f"2024010{ts}_120000", json.dumps(r)) for m, of in STORED.items() for seed in (42, 43, 44) for ts, r in of]
+    runs.write_run_files(spark.createDataFrame(stored, "dataset string, total int, p int, n int, seed int, run_ts string, rule_json string"), f"{root}/out")
+    kept = {42: [("price(1:1)", None, None, None, None), ("balance(1:1)", None, None, None, None), ("gone(1:1)", None, None, None, None)], 43: [("price(1:1)", None, None, None, None), ("balance(1:1)", None, None, None, None)], 44: [("price(1:1)", 1, 2, 3, 4)]}
+    schema = "model string, tp long, fp long, fn long, tn long"
+    for seed, rows in kept.items():
+        runs.write_results(spark.createDataFrame(rows, schema), f"{root}/results/results_{seed}.csv")
+    found, (p, n) = runs.newest_rules(spark, f"{root}/out"), runs.ratio_of(F.col("model"))
+    results = runs.read_result_files(spark, f"{root}/results", schema).withColumns({"_p": p, "_n": n, "model": F.regexp_extract("model", r"^[^(]+", 0)})
+    known = found.join(results.select("_p", "_n").distinct(), (found["p"] == F.col("_p")) & (found["n"] == F.col("_n")), "left_semi").select(F.col("dataset").alias("model"), "seed", "run_ts", "rule_json")
+    return metrics.backfill_runs(results.drop("_p", "_n"), known, tasks.finished(spark, sf), "y", "row_id", SPEC).select("model", "seed", "tp", "fp", "fn", "tn")
+
+
 @query(SCORED + "SELECT version, printf('%.3f', acc) AS acc, printf('%.3f', f1) AS f1 FROM hist", "returns")
 def f12_format_metrics(spark, sf):
     return metrics.format_metrics(_history(spark, sf)).select("version", "acc", "f1")
@@ -615,7 +632,8 @@ def a7_eval_log(spark, sf):
     path, history = scratch_path(spark, "log"), _history(spark, sf)
     for v in tasks.RULES:
         runs.append_eval_log(history.where(F.col("version") == v), path)
-    return spark.read.parquet(path).select("version", "tp", "fp", "tn", "fn")
+    runs.append_eval_log(history, path)  # again, which changes nothing
+    return runs.read_eval_log(spark, path, ["run_id", "version"]).select("version", "tp", "fp", "tn", "fn")
 
 
 @query(SCORED + "SELECT version, printf('%.3f', f1) AS f1, tp FROM hist", "returns")
@@ -651,11 +669,6 @@ def g3_error_report(spark, sf):
     return errors.error_report(_errors(spark, sf))
 
 
-@query()
-def g3_error_report_lines(spark, sf):
-    return errors.error_report(_errors(spark, sf))
-
-
 @query(SCORED + "SELECT row_id, y, v0 AS prediction_old, v1 AS prediction_new FROM s WHERE v0 = y AND v1 <> y", "returns")
 def g4_regressions(spark, sf):
     return errors.regressions(_wide(spark, sf), "v0", "v1")
@@ -738,6 +751,16 @@ def h3_one_hot(spark, sf):
     return hot.select("row_id", F.array_join("priority", ",").alias("hot"))
 
 
+@query("""+ s AS (SELECT row_id, segment, (dense_rank() OVER (ORDER BY segment) - 1)::INT AS i FROM finished), p AS (SELECT priority, (row_number() OVER (ORDER BY priority) - 1)::INT AS i FROM (SELECT DISTINCT priority FROM finished WHERE priority <> '5-LOW')),
+k AS (SELECT count(DISTINCT segment)::INT AS n FROM finished)
+SELECT f.row_id, (n + (SELECT count(*) FROM p))::INT AS size, array_to_string([x FOR x IN [s.i, n + p.i] IF x IS NOT NULL], ',') AS indices
+FROM finished f JOIN s ON f.row_id = s.row_id JOIN k ON true LEFT JOIN p ON f.priority = p.priority""", "finished")
+def h3_sparse_one_hot(spark, sf):
+    df = tasks.finished(spark, sf).select("row_id", "segment", "priority")
+    hot, _ = baselines.sparse_one_hot(df.where("priority <> '5-LOW'"), df, ["segment", "priority"])
+    return hot.select("row_id", "hot.size", F.array_join("hot.indices", ",").alias("indices"))
+
+
 @query("""SELECT 'segment' AS "column", 'categorical' AS kind, segment AS value, (dense_rank() OVER (ORDER BY segment) - 1)::DOUBLE AS code FROM (SELECT DISTINCT segment FROM finished)
 UNION ALL SELECT 'acctbal', 'numeric', NULL, round(quantile_cont(acctbal, 0.5), 6) FROM finished""", "finished")
 def h4_fit_encoding(spark, sf):

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rulewright.operators import baselines, drift, sampling
+from rulewright.operators import baselines, drift, rules, sampling
 from rulewright.plans import grid
 from rulewright.sources import runs, tables
 
@@ -66,9 +66,16 @@ def test_tables_and_runs(spark, pool, tmp_path):
     assert runs.snapshot_previous(spark, path, "r1", "r2", profile).count() == 2
     assert runs.read_profile(spark, path, "r2", "prev").count() == 2
     assert runs.snapshot_previous(spark, path, "none", "r3", profile).count() == 0
-    runs.append_eval_log(profile, str(tmp_path / "log"))
-    runs.append_eval_log(profile, str(tmp_path / "log"))
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 4
+    runs.write_profile(profile.limit(1), path, "r1")  # again: the last one counts
+    assert runs.read_profile(spark, path, "r1").count() == 1 and runs.read_profile(spark, path, "r2", "prev").count() == 2
+    log = str(tmp_path / "log")
+    for _ in range(2):
+        runs.append_eval_log(profile, log)
+    assert runs.read_eval_log(spark, log, ["feature"]).count() == 2
+    profile.withColumn("feature", F.lit("half")).write.parquet(f"{log}/data/attempt=killed")  # no commit record
+    assert {r["feature"] for r in runs.read_eval_log(spark, log, ["feature"]).collect()} == {"a", "b"}
+    with pytest.raises(ValueError):
+        runs.read_rows(spark, log, ["feature"], "any")
     runs.write_results(profile, str(tmp_path / "res"))
     runs.write_manifest(profile, str(tmp_path / "man"))
     assert spark.read.json(str(tmp_path / "man")).count() == 2
@@ -124,3 +131,61 @@ def test_cells_of_too_small_a_pool(spark):
         assert (len(set(ids)) < len(ids)) == audit[k]["replaced"] and len(set(ids)) > 0.5 * min(len(ids), audit[k]["available"])
     scored = grid.sample_cells(pool.where("y = 0"), targets, "y", "id").withColumn("prediction", F.lit(0))
     assert {r["status"] for r in grid.evaluate_cells(scored, cells.drop("n"), total="total").collect()} == {"short"}
+
+
+def test_stored_versions_survive_repetition(spark, tmp_path):
+    path, schema = str(tmp_path / "rules"), "run_id string, version string, ordinal int, rule_json string, analysis string"
+    assert rules.read_versions(spark, path) is None
+    for text in ("first", "second"):
+        rules.append_versions(spark.createDataFrame([("r", "v0", 0, text, None)], schema), path)
+    rules.append_versions(spark.createDataFrame([("r", "v1", 1, "x", "a"), (None, "v0", 0, "y", "a")], schema), path)
+    assert {(r["run_id"], r["version"]): r["rule_json"] for r in rules.read_versions(spark, path).collect()} == {("r", "v0"): "first", ("r", "v1"): "x", (None, "v0"): "y"}
+
+
+def test_runs_are_found_by_their_paths(spark, tmp_path):
+    root = str(tmp_path)
+    rows = [("a", 1000, 1, 50, 42, "20240101_000000", "old"), ("a", 1000, 1, 50, 42, "20240201_000000", "new"), ("a", 1000, 50, 1, 42, "20230101_000000", "other"), ("b", 10, 1, 1, 36, "20240101_000000", '{"x": [1]}')]
+    runs.write_run_files(spark.createDataFrame(rows, "dataset string, total int, p int, n int, seed int, run_ts string, rule_json string"), root)
+    (tmp_path / "note.txt").write_text("not a run")
+    assert runs.find_runs(spark, root).count() == 4
+    got = {(r["dataset"], r["total"], r["p"], r["n"], r["seed"]): (r["run_ts"], r["rule_json"]) for r in runs.newest_rules(spark, root).collect()}
+    assert got == {("a", 1000, 1, 50, 42): ("20240201_000000", "new"), ("a", 1000, 50, 1, 42): ("20230101_000000", "other"), ("b", 10, 1, 1, 36): ("20240101_000000", '{"x": [1]}')}
+
+
+def test_very_many_categories(spark):
+    """100,000 categories: an index a row and a plan that names none of them."""
+    n = 100_000
+    train = spark.range(n).select(F.format_string("c%06d", "id").alias("c"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("d"))
+    df = spark.createDataFrame([("c000000", "y"), ("c099999", "x"), ("new", "z"), (None, None)], "c string, d string")
+    hot, first = baselines.sparse_one_hot(train, df, ["c", "d"])
+    assert first == {"c": 0, "d": n}
+    assert sorted(tuple(r["hot"]["indices"]) for r in hot.collect()) == sorted([(0, n + 1), (n - 1, n), (), (0, n)]) and hot.first()["hot"]["size"] == n + 2
+    assert len(hot._jdf.queryExecution().analyzed().toString()) < 20_000
+    assert len(baselines.one_hot(train, df.limit(1), ["c"]).first()["c"]) == n
+
+
+def test_two_threads_keep_their_own_tables(spark):
+    """A block that ends in one thread leaves the tables of a block in another alone, and the session gets its settings back."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    from rulewright.sources import scratch
+
+    before, both = {k: spark.conf.get(k) for k in scratch.SETTINGS}, Barrier(2, timeout=60)
+
+    def run(i):
+        with scratch.temporary_tables():
+            df = scratch.written(spark.range(10 + i), f"thread{i}")
+            both.wait()
+            if i:
+                with scratch.temporary_tables():
+                    pass
+            path = df.inputFiles()[0]
+            n = df.count()
+            both.wait()
+        return n, path
+
+    with ThreadPoolExecutor(2) as pool:
+        found = list(pool.map(run, range(2)))
+    assert [n for n, _ in found] == [10, 11] and {k: spark.conf.get(k) for k in scratch.SETTINGS} == before
+    assert not any(__import__("os").path.exists(p.removeprefix("file://").removeprefix("file:")) for _, p in found)
