@@ -87,21 +87,23 @@ class Shard:
 
         A phrase is counted only where its first k - 1 words and its last ones were kept, whose two numbers name it.
         """
-        at = np.full(len(self.words) + 1, -1, np.int64)  # the number of the kept phrase that begins here
-        places = np.nonzero(self.words)[0]
+        at = np.full(len(self.words) + 1, -1, np.int32)  # the number of the kept phrase that begins here
+        places = np.nonzero(self.words)[0].astype(np.int32)
         codes = self.words[places]
         for k in range(1, longest + 1):
             if not len(places):
                 return
-            _, first, inverse, counts = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
-            first = places[first]
+            order = np.argsort(codes, kind="stable").astype(np.int32)  # not np.unique, whose copies take twice the memory
+            codes = codes[order]
+            starts = np.nonzero(np.append(True, codes[1:] != codes[:-1]))[0]
+            counts, first = np.diff(np.append(starts, len(codes))), places[order[starts]]
             kept = keep(k, first, counts)
             yield k, first[kept], counts[kept]
-            number = np.where(kept, np.cumsum(kept) - 1, -1)[inverse]
             at[:] = -1
-            at[places] = number
-            places = places[(number >= 0) & (at[places + 1] >= 0)]
-            codes = at[places] * (int(kept.sum()) + 1) + at[places + 1]
+            at[places[order]] = np.repeat(np.where(kept, np.cumsum(kept) - 1, -1).astype(np.int32), counts)
+            del codes, order
+            places = places[(at[places] >= 0) & (at[places + 1] >= 0)]
+            codes = at[places].astype(np.int64) * (int(kept.sum()) + 1) + at[places + 1]
 
     def phrases(self, k: int, places: np.ndarray) -> pa.Array:
         """The k words from each place, joined by spaces."""
