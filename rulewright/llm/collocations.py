@@ -32,7 +32,7 @@ from rulewright.llm.shared import give_back, temporary_tables, written
 from rulewright.sources.tables import with_row_id
 
 #: Bytes of text that a task mines at a time, and that it splits into words at once.
-SHARD, SLICE = 32 << 20, 1 << 20
+SHARD, SLICE = 20 << 20, 1 << 20
 #: Bits of the filter of candidates; a phrase sets two.
 FILTER_BITS = 1 << 26
 
