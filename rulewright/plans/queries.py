@@ -669,6 +669,12 @@ def g3_error_report(spark, sf):
     return errors.error_report(_errors(spark, sf))
 
 
+@query()
+def g3_error_report_lines(spark, sf):
+    """An earlier name of ``g3_error_report``."""
+    return g3_error_report(spark, sf)
+
+
 @query(SCORED + "SELECT row_id, y, v0 AS prediction_old, v1 AS prediction_new FROM s WHERE v0 = y AND v1 <> y", "returns")
 def g4_regressions(spark, sf):
     return errors.regressions(_wide(spark, sf), "v0", "v1")
