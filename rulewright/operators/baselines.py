@@ -1,4 +1,4 @@
-"""Feature preparation and baseline classifiers: Spark ML, and boosting by histograms."""
+"""Feature preparation and baseline classifiers: Spark ML's logistic regression, exact trees, nets, and boosting by histograms."""
 
 from __future__ import annotations
 
@@ -8,15 +8,18 @@ from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rulewright.operators.boosting import Boosting
+from rulewright.operators.exact_tree import ExactTree
 from rulewright.operators.metrics import classification_metrics
+from rulewright.operators.net import Net
 from rulewright.operators.profile import coerce_numeric, medians
+from rulewright.sources.scratch import temporary_tables
 from rulewright.sources.tables import with_row_id
 
 
@@ -232,9 +235,10 @@ def guarded(spark, name: str, scored: Callable[[], DataFrame]) -> DataFrame:
     """The result row of a model from its (y, prediction), computed when called; an error of the fit or of a prediction is a row
     with its status and text, and leaves other models' rows alone."""
     try:
-        out = classification_metrics(scored())
-        row = out.select(F.lit(name).alias("model"), F.lit("ok").alias("status"), F.lit("").alias("error"), *out.columns).first()
-        return spark.createDataFrame([tuple(row)], out.select(F.lit(name).alias("model"), F.lit("ok").alias("status"), F.lit("").alias("error"), *out.columns).schema)
+        with temporary_tables():
+            out = classification_metrics(scored())
+            row = out.select(F.lit(name).alias("model"), F.lit("ok").alias("status"), F.lit("").alias("error"), *out.columns).first()
+            return spark.createDataFrame([tuple(row)], out.select(F.lit(name).alias("model"), F.lit("ok").alias("status"), F.lit("").alias("error"), *out.columns).schema)
     except Exception as e:  # a model that can't be fitted or applied is a result of the experiment
         return spark.createDataFrame([(name, "failed", f"{type(e).__name__}: {e}"[:500], *[None] * 10)], RESULT)
 
@@ -242,17 +246,17 @@ def guarded(spark, name: str, scored: Callable[[], DataFrame]) -> DataFrame:
 def make_baseline(name: str, n_rows: int, size: int, label_col: str = "label", weight_col: str | None = None, drift: bool = False, share: float = 1.0):
     """An unfitted estimator with the reference's settings, or with those of its drift study.
 
-    ``boosting_a`` grows trees to a depth, ``boosting_b`` best first to a number of leaves. ``share`` of the rounds of boosting and of the net are
-    run; boosting then takes steps as much longer, of 0.3 at most.
+    ``boosting_a`` grows trees to a depth, ``boosting_b`` best first to a number of leaves. ``share`` of the rounds of boosting are run, with steps as
+    much longer, of 0.3 at most; the net and the tree always run whole.
     """
     weight = {"weightCol": weight_col} if weight_col else {}
-    base = {"featuresCol": "features", "labelCol": label_col}
     if name == "logistic":
+        base = {"featuresCol": "features", "labelCol": label_col}
         return LogisticRegression(maxIter=2000, regParam=1 / max(n_rows, 1), elasticNetParam=0.0, standardization=False, **base, **weight)
     if name == "tree":
-        return DecisionTreeClassifier(maxDepth=30, impurity="gini", seed=42, **base, **weight)
-    if name == "mlp":
-        return MultilayerPerceptronClassifier(layers=[size, 64, 32, 2] if drift else [size, 256, 128, 2], maxIter=round(200 * share), seed=42, **base)
+        return ExactTree(label_col=label_col, weight_col=weight_col)
+    if name == "mlp":  # the drift study's net has no held-out part; the other has one from 100 rows on
+        return Net(hidden=(64, 32), batch=64, held_out=0.0, label_col=label_col) if drift else Net(held_out=0.1 if n_rows >= 100 else 0.0, label_col=label_col)
     rounds, step, settings = BOOSTING[name, drift]
     return Boosting(rounds=max(round(rounds * share), 1), step=max(step, min(0.3, step / share)), label_col=label_col, weight_col=weight_col, **settings)
 
@@ -272,7 +276,7 @@ MORE_ROUNDS = 200
 def training_rows(prepared: Prepared, train: DataFrame, label_col: str, weight_col: str | None = None):
     """The prepared columns that a fit reads, kept in memory while it runs, in a task for each ROWS_OF_TASK rows.
 
-    Boosting and nets make thousands of short passes, whose time on small tables is that of starting their tasks.
+    Boosting makes thousands of short passes, whose time on small tables is that of starting their tasks.
     """
     ready = prepared.transform(train).select("features", label_col, *([weight_col] if weight_col else [])).persist()
     try:
@@ -332,7 +336,7 @@ def continue_tree(train1: DataFrame, train2: DataFrame, test2: DataFrame, label_
     def scored() -> DataFrame:
         first = train1.select(shared)
         n, before = first.count(), prepare(first, label_col)
-        model = make_baseline("tree", n, before.size, label_col, drift=drift).fit(before.transform(first).coalesce(1 + n // ROWS_OF_TASK))
+        model = make_baseline("tree", n, before.size, label_col, drift=drift).fit(before.transform(first))
         train, test = (with_prior(d.select(shared), before, model) for d in (train2, test2))
         after = prepare(train, label_col)
         with training_rows(after, train, label_col) as ready:
@@ -363,8 +367,7 @@ def continue_mlp(train1: DataFrame, train2: DataFrame, test2: DataFrame, label_c
     def scored() -> DataFrame:
         one, two, test = (d.select(shared) for d in (train1, train2, test2))
         prepared = prepare(one, label_col)
-        net = make_baseline("mlp", 0, prepared.size, label_col, drift=drift, share=share)
-        first = net.fit(prepared.transform(one))
-        return predicted(prepared, net.setInitialWeights(first.weights).fit(prepared.transform(two)), test, label_col)
+        first, second = (make_baseline("mlp", d.count(), prepared.size, label_col, drift=drift, share=share) for d in (one, two))
+        return predicted(prepared, second.fit(prepared.transform(two), start=first.fit(prepared.transform(one))), test, label_col)
 
     return guarded(train1.sparkSession, "mlp", scored)

@@ -87,11 +87,11 @@ class BoostedTrees:
             values = np.stack(features.to_list()) if len(features) else np.zeros((0, 1))
             return pd.Series(sum((t.margins(values) for t in trees), np.zeros(len(values))))
 
-        scored = df.withColumn("margin", margin(_as_array(df, self.features_col)))
+        scored = df.withColumn("margin", margin(as_array(df, self.features_col)))
         return scored.withColumns({"probability_1": 1 / (1 + F.exp(-F.col("margin"))), "prediction": (F.col("margin") > 0).cast("double")})
 
 
-def _as_array(df: DataFrame, name: str):
+def as_array(df: DataFrame, name: str):
     return F.col(f"`{name}`") if isinstance(df.schema[name].dataType, T.ArrayType) else vector_to_array(F.col(f"`{name}`"))
 
 
@@ -124,7 +124,7 @@ class Boosting:
     def fit(self, rows: DataFrame, start: BoostedTrees | None = None) -> BoostedTrees:
         first = start.trees if start else []
         with temporary_tables():
-            values = _as_array(rows, self.features_col)
+            values = as_array(rows, self.features_col)
             weight = F.col(f"`{self.weight_col}`").cast("double") if self.weight_col else F.lit(1.0)
             slim = written(rows.select(values.alias("x"), F.col(f"`{self.label_col}`").cast("double").alias("y"), weight.alias("w"), F.xxhash64(values, F.col(f"`{self.label_col}`").cast("double")).alias("key")), "boosting-rows")
             size = slim.agg(F.max(F.size("x")).alias("d"), F.count("*").alias("n")).first()

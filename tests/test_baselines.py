@@ -5,22 +5,22 @@ from pyspark.sql import functions as F
 
 from rulewright.operators import baselines
 from rulewright.operators.boosting import Boosting
+from rulewright.operators.exact_tree import ExactTree
+from rulewright.operators.net import Net
 from rulewright.plans import queries
 from tests.conftest import DATA
 
 SETTINGS = {
     "h8_baseline_logistic": {"maxIter": 2000},
-    "h9_baseline_tree": {"maxDepth": 30},
-    "h10_baseline_mlp": {"layers": [256, 128, 2], "maxIter": 50},
+    "h9_baseline_tree": {"task_rows": 50_000},
+    "h10_baseline_mlp": {"hidden": (256, 128), "passes": 200, "batch": 256, "step": 1e-3, "l2": 1e-4, "held_out": 0.1},
     "h11_baseline_boosting_a": {"max_depth": 6, "max_leaves": None, "rounds": 60, "step": 0.3, "l2": 1.0, "row_share": 0.8, "column_share": 0.8},
     "h11_baseline_boosting_b": {"max_depth": None, "max_leaves": 64, "rounds": 60, "step": 0.3, "l2": 1.0, "row_share": 0.8, "column_share": 0.8},
 }
 
 
 def _settings(made, names):
-    if isinstance(made, Boosting):
-        return {n: getattr(made, n) for n in names}
-    return {n: made.getOrDefault(n)[1:] if n == "layers" else made.getOrDefault(n) for n in names}
+    return {n: getattr(made, n) if isinstance(made, (Boosting, ExactTree, Net)) else made.getOrDefault(n) for n in names}
 
 
 @pytest.mark.parametrize("name", sorted(SETTINGS))
@@ -41,10 +41,10 @@ def test_full_settings():
     of = lambda name, *params: _settings(baselines.make_baseline(name, 10, 3), params)
     assert of("boosting_a", "rounds", "step") == {"rounds": 600, "step": 0.05}
     assert of("boosting_b", "rounds", "step") == {"rounds": 1200, "step": 0.03}
-    assert of("mlp", "maxIter") == {"maxIter": 200}
+    assert of("mlp", "passes", "held_out") == {"passes": 200, "held_out": 0.0}
 
 
-@pytest.mark.parametrize("name", ["logistic", "tree", "boosting_a", "boosting_b"])
+@pytest.mark.parametrize("name", ["logistic", "tree", "mlp", "boosting_a", "boosting_b"])
 def test_fitted_baselines_learn(spark, name):
     """A status of ok and better than chance on rows whose label follows from the features."""
     rows = [(i % 7 < 3, float(i % 7), "ab"[i % 2], int(i % 7 < 3)) for i in range(400)]
@@ -70,7 +70,7 @@ def test_drift_study(spark, monkeypatch):
     real = baselines.make_baseline
 
     class Unfitted:
-        def fit(self, df):
+        def fit(self, df, start=None):
             return self
 
     def note(name, *args, **kwargs):
@@ -87,7 +87,7 @@ def test_drift_study(spark, monkeypatch):
     assert sizes == [{"train": 1000, "val": 500, "test": 800}, {"train": 40, "val": 500, "test": 800}]
     assert _settings(seen["boosting_a"], ["max_depth", "rounds", "step"]) == {"max_depth": 5, "rounds": 20, "step": 0.3}
     assert _settings(seen["boosting_b"], ["max_leaves", "rounds", "step", "l2"]) == {"max_leaves": 31, "rounds": 30, "step": 0.3, "l2": 0.0}
-    assert real("mlp", 0, 3, drift=True).getLayers() == [3, 64, 32, 2]
+    assert _settings(real("mlp", 0, 3, drift=True), ["hidden", "batch", "held_out"]) == {"hidden": (64, 32), "batch": 64, "held_out": 0.0}
     spark.catalog.clearCache()
 
 
