@@ -2,8 +2,8 @@
 
 Rows are dealt into blocks of bounded size. A pass is one job: every task goes through the batches of its blocks from the same weights, and what the
 tasks arrive at (weights and Adam's moments) is averaged by their rows: cut into slices, a shuffle brings each slice of all blocks together, and the
-driver gets one vector. A table of one block is plain mini-batch Adam; with more blocks a pass has as many steps, each on more rows. The driver and
-every task hold three numbers for each weight, whatever the number of rows.
+driver gets one vector. A table of one block is plain mini-batch Adam, for which a job makes several passes, as there is nothing to average; with more
+blocks a pass has as many steps, each on more rows. The driver and every task hold three numbers for each weight and pass of a job, whatever the number of rows.
 
 A share of the rows, drawn by a hash of what they hold and the number of the copy, is held out: the fit ends when its accuracy no longer rises, and
 keeps the best weights. Without it, or where the draw leaves either part empty, all rows are fitted and the fit ends when the loss no longer falls.
@@ -25,11 +25,13 @@ from rulewright.sources.scratch import temporary_tables, written
 
 #: Rows and bytes of a block, about; copies of a row that a task makes at a time; most slices of the averaged vector.
 BLOCK_ROWS, BLOCK_BYTES, COPIES, SLICES = 50_000, 32 << 20, 10_000, 64
+#: Passes of a job over one block, whose average is itself.
+PASSES = 10
 #: Adam's decay of the two moments, and what keeps its division finite.
 DECAY_1, DECAY_2, EPSILON = 0.9, 0.999, 1e-8
 
 BLOCK = "block long, n int, n_held int, x binary, y binary, held binary"
-PASSED = "part int, block long, rows long, loss double, hits long, held long, steps long, vector binary"
+PASSED = "number int, part int, block long, rows long, loss double, hits long, held long, steps long, vector binary"
 KINDS = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
 
 
@@ -133,25 +135,23 @@ class Net:
     def _fitted(self, blocks: DataFrame, n_blocks: int, sizes: tuple[int, ...], watched: bool, vector: np.ndarray) -> FittedNet:
         state, steps = np.concatenate([vector, np.zeros(2 * len(vector))]), 0
         best, best_vector, waited = -np.inf, vector, 0
-        for i in range(self.passes + watched):  # the accuracy of a pass is known in the next one
-            got, after = self._pass(blocks, n_blocks, sizes, state, steps, i, watched)
-            if watched and i:
-                score = got["hits"] / got["held"]
-                waited = 0 if score >= best + self.tolerance else waited + 1
-                if score > best:
-                    best, best_vector = score, state[: len(vector)]
-            elif not watched:
-                score = -got["loss"] / got["rows"]
-                waited = 0 if score >= best + self.tolerance else waited + 1
-                best, best_vector = max(best, score), after[: len(vector)]
-            if waited > self.patience:
-                break
-            state, steps = after, steps + got["steps"]
+        i, last, chunk = -1, self.passes + watched, PASSES if n_blocks == 1 else 1  # the accuracy of a pass is known in the next one
+        while i + 1 < last and waited <= self.patience:
+            for got, after in self._passes(blocks, n_blocks, sizes, state, steps, range(i + 1, min(i + 1 + chunk, last)), watched):
+                i += 1
+                score = got["hits"] / got["held"] if watched else -got["loss"] / got["rows"]
+                if i or not watched:
+                    waited = 0 if score >= best + self.tolerance else waited + 1
+                    if score > best or not watched:
+                        best, best_vector = max(best, score), (state if watched else after)[: len(vector)]
+                if waited > self.patience:
+                    break
+                state, steps = after, steps + got["steps"]
         return FittedNet(sizes, best_vector, i + (not watched), self.features_col)
 
-    def _pass(self, blocks: DataFrame, n_blocks: int, sizes: tuple[int, ...], state: np.ndarray, steps: int, number: int, watched: bool) -> tuple[dict, np.ndarray]:
-        """Counts of a pass over all blocks, and the average state that they arrive at."""
-        train, n_slices, size, me = number < self.passes, min(n_blocks, SLICES), n_weights(sizes), self
+    def _passes(self, blocks: DataFrame, n_blocks: int, sizes: tuple[int, ...], state: np.ndarray, steps: int, numbers: range, watched: bool) -> list[tuple[dict, np.ndarray]]:
+        """For each of the passes, one if there are several blocks: counts over all blocks, and the average state that they arrive at."""
+        n_slices, size, me = min(n_blocks, SLICES), n_weights(sizes), self
         cuts = np.linspace(0, len(state), n_slices + 1).astype(int)
 
         def go(batches):
@@ -159,12 +159,15 @@ class Net:
                 for row in batch.to_pylist():
                     x = np.frombuffer(row["x"]).reshape(row["n"], sizes[0])
                     y, held = np.frombuffer(row["y"]), np.frombuffer(row["held"], bool) & watched
-                    hits = int(((margins(state[:size], sizes, x[held]) > 0) == (y[held] > 0.5)).sum())
-                    n, loss, made, end = int((~held).sum()), 0.0, 0, state
-                    if train and n:
-                        loss, made, end = me._batches(x[~held], y[~held], sizes, state.copy(), steps, [me.seed, number, row["block"] % 2**63])
-                    told = {"block": row["block"], "rows": n, "loss": loss, "hits": hits, "held": int(held.sum()), "steps": made}
-                    yield _record([{"part": k, "vector": end[a:b].tobytes(), **told} for k, (a, b) in enumerate(zip(cuts, cuts[1:]))])
+                    n, now, done = int((~held).sum()), state, steps
+                    for number in numbers:
+                        hits = int(((margins(now[:size], sizes, x[held]) > 0) == (y[held] > 0.5)).sum())
+                        loss, made = 0.0, 0
+                        if number < me.passes and n:
+                            loss, made, now = me._batches(x[~held], y[~held], sizes, now.copy(), done, [me.seed, number, row["block"] % 2**63])
+                        done += made
+                        told = {"number": number, "block": row["block"], "rows": n, "loss": loss, "hits": hits, "held": int(held.sum()), "steps": made}
+                        yield _record([{"part": k, "vector": now[a:b].tobytes(), **told} for k, (a, b) in enumerate(zip(cuts, cuts[1:]))])
 
         def average(batches):
             rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: (r["part"], r["block"]))
@@ -183,8 +186,8 @@ class Net:
         passed = blocks.mapInArrow(go, PASSED)
         if n_blocks > 1:
             passed = passed.repartition(n_slices, "part").mapInArrow(average, PASSED)
-        got = sorted((r.asDict() for r in passed.collect()), key=lambda r: r["part"])
-        return got[0], np.concatenate([np.frombuffer(r["vector"]) for r in got])
+        got = sorted((r.asDict() for r in passed.collect()), key=lambda r: (r["number"], r["part"]))
+        return [(got[k], np.concatenate([np.frombuffer(r["vector"]) for r in got[k : k + n_slices]])) for k in range(0, len(got), n_slices)]
 
     def _batches(self, x: np.ndarray, y: np.ndarray, sizes: tuple[int, ...], state: np.ndarray, steps: int, seed: list[int]) -> tuple[float, int, np.ndarray]:
         """(summed loss, steps, state) after all batches of a block, in an order drawn for the pass."""
