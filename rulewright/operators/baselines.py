@@ -19,7 +19,7 @@ from rulewright.operators.exact_tree import ExactTree
 from rulewright.operators.metrics import classification_metrics
 from rulewright.operators.net import Net
 from rulewright.operators.profile import coerce_numeric, medians
-from rulewright.sources.scratch import temporary_tables
+from rulewright.sources.scratch import temporary_tables, written
 from rulewright.sources.tables import with_row_id
 
 
@@ -289,9 +289,10 @@ def fit_eval_baseline(name: str, train: DataFrame, test: DataFrame, label_col: s
     """One result row (model, status, error, metrics); a failure is a row with its status and error."""
 
     def scored() -> DataFrame:
-        n, prepared = train.count(), prepare(train, label_col, exclude)
+        kept = written(train, "baseline-train")  # each step of the preparation reads it
+        n, prepared = kept.count(), prepare(kept, label_col, exclude)
         weight_col = "_weight" if weights and name != "mlp" else None
-        weighted = train.withColumn("_weight", class_weights(train, label_col, weights)) if weight_col else train
+        weighted = kept.withColumn("_weight", class_weights(kept, label_col, weights)) if weight_col else kept
         made = make_baseline(name, n, prepared.size, label_col, weight_col, drift, share)
         with training_rows(prepared, weighted, label_col, weight_col) as rows:
             model = made.fit(rows)

@@ -6,7 +6,10 @@ every node, so the driver gets a row for each node and feature, whatever the num
 
 Trees grow level by level to ``max_depth``, or best first to ``max_leaves`` leaves. Best first takes the cuts in the order of the smallest gain on the
 way to them, so a level looks only at nodes that can still be among the first ``max_leaves - 1``. Rows and features of a tree are drawn by
-share, rows by a hash of what they hold, so that equal rows are drawn together and the partitions don't matter. Margins of the rows are written anew every ``SNAPSHOT`` rounds; in between the tasks apply the newer trees.
+share, rows by a hash of what they hold, so that equal rows are drawn together and the partitions don't matter. A round starts with a pass that adds the
+last tree to the rows' margins and lays out what the round's levels read: bins of the drawn rows and features, gradients and second derivatives. It is kept
+in memory for the round, and written every ``SNAPSHOT`` rounds. A task goes through several blocks and sends one sum for each node and feature, so what
+is shuffled grows with the tasks and not with the blocks.
 With ``start`` the first margins are those of its trees, which the result keeps.
 """
 
@@ -22,12 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rulewright.sources.scratch import temporary_tables, written
+from rulewright.sources.scratch import job_settings, temporary_tables, written
 
-#: Most bins of a feature, most rows of a block, rounds between two writings of the margins.
+#: Most bins of a feature, rows of a block, rounds between two writings of the margins.
 BINS, BLOCK_ROWS, SNAPSHOT = 255, 50_000, 32
+#: Fewest and most blocks of a task, as far as the cores allow, and the bytes of sums that a task adds up, about. A task takes a tenth of a second to start.
+BLOCKS_OF_TASK, SUMS_OF_TASK = (4, 40), 16 << 20
 
 BLOCK = "n int, bins binary, y binary, w binary, key binary, margin binary"
+#: A block with what its round reads: bins (feature by feature), gradients and second derivatives of the m drawn rows.
+ROUND = f"{BLOCK}, m int, part binary, g binary, h binary"
 SUMS = "feature int, sums binary"
 CUTS = "node int, feature int, bin int, gain double, g_left double, h_left double, n_left long, g double, h double, n long"
 
@@ -52,11 +59,7 @@ class Tree:
         """The leaf of each row of bins or values."""
         feature, left, right = np.array(self.feature), np.array(self.left), np.array(self.right)
         limit = np.array(self.bin if by_bin else self.threshold)
-        at, rows = np.zeros(len(values), np.int64), np.arange(len(values))
-        while (open_ := feature[at] >= 0).any():
-            r, a = rows[open_], at[open_]
-            at[r] = np.where(values[r, feature[a]] <= limit[a], left[a], right[a])
-        return at
+        return _descend(len(values), feature, limit, left, right, lambda rows, j: values[rows, j])
 
     def margins(self, values: np.ndarray, by_bin: bool = False) -> np.ndarray:
         return np.array(self.value)[self.nodes_of(values, by_bin)]
@@ -69,6 +72,20 @@ class Tree:
         return below[0]
 
 
+def _descend(n: int, feature: np.ndarray, limit: np.ndarray, left: np.ndarray, right: np.ndarray, value) -> np.ndarray:
+    """The leaf of each of ``n`` rows; ``value`` gives the values of rows and features. Rows that have arrived are left alone."""
+    out = np.zeros(n, np.int64)
+    if feature[0] < 0:
+        return out
+    rows, at = np.arange(n), out
+    while len(rows):
+        at = np.where(value(rows, feature[at]) <= limit[at], left[at], right[at])
+        inner = feature[at] >= 0
+        out[rows[~inner]] = at[~inner]
+        rows, at = rows[inner], at[inner]
+    return out
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
@@ -132,23 +149,48 @@ class Boosting:
                 raise ValueError("no rows to fit")
             edges = bin_edges(slim, size["d"])
             n_blocks = -(-size["n"] // BLOCK_ROWS)
-            blocks, trees, new = self._written(_blocks(slim.repartition(n_blocks), edges, first)), [], []
+            n_tasks = _tasks(n_blocks, rows.sparkSession.sparkContext.defaultParallelism)
+            blocks, trees = self._written(_blocks(slim.repartition(n_tasks), edges, first)), []
+            kept = [blocks]
             try:
-                for round_ in range(self.rounds):
-                    if len(new) == SNAPSHOT:
-                        after = self._written(_with_margins(blocks, len(edges), new))
-                        blocks.unpersist()
-                        blocks, new = after, []
-                    tree = self._grow(blocks, n_blocks, edges, new, round_)
-                    trees.append(tree)
-                    new.append(tree)
+                with job_settings(rows.sparkSession):
+                    for round_ in range(self.rounds):
+                        if round_ and round_ % SNAPSHOT == 0:
+                            blocks = self._written(_with_margins(blocks, len(edges), trees[-1:]))
+                            last = []
+                        else:
+                            last = trees[-1:]
+                        blocks = self._of_round(blocks, len(edges), last, round_).persist()
+                        kept.append(blocks)
+                        trees.append(self._grow(blocks, n_tasks, edges, round_))
+                        for old in kept[:-1]:  # the round's first level has read them
+                            old.unpersist()
+                        kept = kept[-1:]
             finally:
-                blocks.unpersist()
+                for old in kept:
+                    old.unpersist()
         return BoostedTrees([*first, *trees], self.features_col)
 
     @staticmethod
     def _written(blocks: DataFrame) -> DataFrame:
-        return written(blocks, "boosting-blocks").persist()
+        return written(blocks, "boosting-blocks")
+
+    def _of_round(self, blocks: DataFrame, d: int, last: list[Tree], round_: int) -> DataFrame:
+        """The blocks with the last tree in their margins, and what the levels of this round read."""
+        columns, share, seed = self.columns(round_, d), self.row_share, self.seed
+
+        def lay_out(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    bins, y, w, key, margin = _unpacked(row, d)
+                    margin = _added(margin, bins, last)
+                    p, some = sigmoid(margin), drawn_rows(key, round_, seed, share)
+                    part = np.ascontiguousarray(bins[some][:, columns].T)
+                    out = {c: row[c] for c in ("n", "bins", "y", "w", "key")} | {"margin": margin.tobytes(), "m": int(some.sum()), "part": part.tobytes(), "g": (w * (p - y))[some].tobytes(), "h": (w * p * (1 - p))[some].tobytes()}
+                    yield pa.RecordBatch.from_pylist([out], pa.schema(_arrow(ROUND)))
+
+        return blocks.select(*[c.split()[0] for c in BLOCK.split(", ")]).mapInArrow(lay_out, ROUND)
 
     def columns(self, round_: int, d: int) -> np.ndarray:
         n = max(1, int(self.column_share * d))
@@ -157,13 +199,13 @@ class Boosting:
     def _value(self, g: float, h: float) -> float:
         return -self.step * g / (h + self.l2) if h + self.l2 > 0 else 0.0
 
-    def _grow(self, blocks: DataFrame, n_blocks: int, edges: list[np.ndarray], new: list[Tree], round_: int) -> Tree:
+    def _grow(self, blocks: DataFrame, n_tasks: int, edges: list[np.ndarray], round_: int) -> Tree:
         """One tree, a job for each level; then the cuts that best first would take, of those looked at."""
         columns, full = self.columns(round_, len(edges)), Tree()
         frontier, cuts, reach = [full.leaf(0.0)], {}, {}  # cuts: node to its best cut; reach: the smallest gain on the way, its own included
         depth = 0
         while frontier and (self.max_depth is None or depth < self.max_depth):
-            best = self._best_cuts(blocks, n_blocks, len(edges), columns, new, full, frontier, round_)
+            best = self._best_cuts(blocks, n_tasks, columns, full, frontier)
             if depth == 0 and 0 in best:
                 full.value[0] = self._value(best[0]["g"], best[0]["h"])
             parents = {full.left[i]: i for i in cuts} | {full.right[i]: i for i in cuts}
@@ -198,24 +240,32 @@ class Boosting:
         tree.right[node] = tree.leaf(self._value(cut["g"] - cut["g_left"], cut["h"] - cut["h_left"]))
         return [tree.left[node], tree.right[node]]
 
-    def _best_cuts(self, blocks: DataFrame, n_blocks: int, d: int, columns: np.ndarray, new: list[Tree], tree: Tree, frontier: list[int], round_: int) -> dict[int, dict]:
-        share, seed, me = self.row_share, self.seed, self
+    def _best_cuts(self, blocks: DataFrame, n_tasks: int, columns: np.ndarray, tree: Tree, frontier: list[int]) -> dict[int, dict]:
+        me = self
 
         def sums(batches):
-            total = {int(j): np.zeros((3, len(frontier), BINS + 1)) for j in columns}
+            total = {int(j): np.zeros((3, len(frontier) * (BINS + 1))) for j in columns}
             rank = np.full(len(tree.feature), -1)
             rank[frontier] = np.arange(len(frontier))
+            feature, limit, left, right = (np.array(c) for c in (tree.feature, tree.bin, tree.left, tree.right))
+            inner = np.where(feature < 0, -1, np.searchsorted(columns, feature))  # places among the drawn features
             for batch in batches:
-                for row in batch.to_pylist():
-                    bins, y, w, key, margin = _unpacked(row, d)
-                    p = sigmoid(margin + sum((t.margins(bins, True) for t in new), np.zeros(len(y))))
-                    node = rank[tree.nodes_of(bins, True)]
-                    some = (node >= 0) & drawn_rows(key, round_, seed, share)
-                    g, h, node, bins = (w * (p - y))[some], (w * p * (1 - p))[some], node[some], bins[some]
-                    for j, t in total.items():
-                        key = node * (BINS + 1) + bins[:, j]
-                        for k, weights in enumerate((g, h, None)):
-                            t[k] += np.bincount(key, weights, t[k].size).reshape(t[k].shape)
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    m = row["m"]
+                    if not m:
+                        continue
+                    part, g, h = np.frombuffer(row["part"], np.uint8), np.frombuffer(row["g"]), np.frombuffer(row["h"])
+                    node = rank[_descend(m, inner, limit, left, right, lambda r, j: part[j * m + r])]
+                    some = np.flatnonzero(node >= 0)
+                    if len(some) < m:
+                        g, h, node = g[some], h[some], node[some]
+                    at = node * (BINS + 1)
+                    for k, t in enumerate(total.values()):
+                        bins = part[k * m : (k + 1) * m]
+                        key = at + (bins[some] if len(some) < m else bins)
+                        for to, weights in zip(t, (g, h, None), strict=True):
+                            to += np.bincount(key, weights, len(to))
             yield pa.RecordBatch.from_pydict({"feature": pa.array(list(total), pa.int32()), "sums": [t.tobytes() for t in total.values()]})
 
         def cuts(batches):
@@ -227,9 +277,10 @@ class Boosting:
             found = [(k, j, *cut) for j, s in total.items() for k, cut in enumerate(me._cuts_of(s))]
             yield pa.RecordBatch.from_pylist([dict(zip((c.split()[0] for c in CUTS.split(", ")), x, strict=True)) for x in found], pa.schema(_arrow(CUTS)))
 
-        summed = blocks.mapInArrow(sums, SUMS)
-        if n_blocks > 1:
-            summed = summed.repartition(min(n_blocks, len(columns)), "feature")
+        summed = blocks.select("m", "part", "g", "h").mapInArrow(sums, SUMS)
+        if n_tasks > 1:
+            size = n_tasks * len(columns) * len(frontier) * 3 * 8 * (BINS + 1)
+            summed = summed.repartition(min(-(-size // SUMS_OF_TASK), len(columns)), "feature")
         best: dict[int, dict] = {}
         for cut in summed.mapInArrow(cuts, CUTS).collect():
             node, has = frontier[cut["node"]], best.get(frontier[cut["node"]])
@@ -251,10 +302,16 @@ class Boosting:
 
 
 def _arrow(ddl: str) -> list[tuple]:
-    kinds = {"int": pa.int32(), "double": pa.float64(), "long": pa.int64()}
+    kinds = {"int": pa.int32(), "double": pa.float64(), "long": pa.int64(), "binary": pa.binary()}
     return [(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))]
 
 
+def _tasks(n_blocks: int, cores: int) -> int:
+    """A task for each core, fewer where they would have next to nothing to do, a whole number of times as many for very many blocks."""
+    least, most = BLOCKS_OF_TASK
+    return min(-(-n_blocks // least), cores * max(1, -(-n_blocks // (most * cores))))
+
+
 def bin_edges(slim: DataFrame, d: int) -> list[np.ndarray]:
     """The upper ends of each feature's bins but the last: its values but the largest if they are few, else quantiles of its distinct values. The driver
     gets at most ``BINS`` numbers for each feature."""
@@ -267,18 +324,27 @@ def bin_edges(slim: DataFrame, d: int) -> list[np.ndarray]:
 
 
 def _blocks(slim: DataFrame, edges: list[np.ndarray], first: list[Tree]) -> DataFrame:
-    """A row for each partition: bins, labels, weights and the margins of the trees to start from."""
+    """Rows of about ``BLOCK_ROWS`` rows each: bins, labels, weights and the margins of the trees to start from."""
 
-    def pack(batches):
-        parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.concat_tables(parts)
+    def packed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts)
         values = t["x"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, len(edges))
         bins = np.stack([np.searchsorted(e, values[:, j]) for j, e in enumerate(edges)], axis=1).astype(np.uint8)
         margin = sum((x.margins(values) for x in first), np.zeros(len(values)))
         row = {"n": len(values), "bins": bins.tobytes()} | {c: t[c].to_numpy().tobytes() for c in ("y", "w", "key")} | {"margin": margin.tobytes()}
-        yield pa.RecordBatch.from_pydict({k: pa.array([v], pa.int32() if isinstance(v, int) else pa.binary()) for k, v in row.items()})
+        return pa.RecordBatch.from_pylist([row], pa.schema(_arrow(BLOCK)))
+
+    def pack(batches):
+        parts, n = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                some = batch.slice(0, BLOCK_ROWS - n)
+                parts, n, batch = [*parts, some], n + some.num_rows, batch.slice(some.num_rows)
+                if n == BLOCK_ROWS:
+                    yield packed(parts)
+                    parts, n = [], 0
+        if n:
+            yield packed(parts)
 
     return slim.mapInArrow(pack, BLOCK)
 
@@ -288,13 +354,16 @@ def _unpacked(row: dict, d: int) -> tuple[np.ndarray, ...]:
     return np.frombuffer(row["bins"], np.uint8).reshape(row["n"], d), *(np.frombuffer(row[c], np.int64 if c == "key" else np.float64) for c in ("y", "w", "key", "margin"))
 
 
+def _added(margin: np.ndarray, bins: np.ndarray, trees: list[Tree]) -> np.ndarray:
+    return margin + sum((t.margins(bins, True) for t in trees), np.zeros(len(margin)))
+
+
 def _with_margins(blocks: DataFrame, d: int, new: list[Tree]) -> DataFrame:
     def add(batches):
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 bins, *_, margin = _unpacked(row, d)
-                out.append(row | {"margin": (margin + sum((t.margins(bins, True) for t in new), np.zeros(len(margin)))).tobytes()})
-            yield pa.RecordBatch.from_pylist(out, batch.schema)
+                yield pa.RecordBatch.from_pylist([row | {"margin": _added(margin, bins, new).tobytes()}], batch.schema)
 
-    return blocks.mapInArrow(add, BLOCK)
+    return blocks.select(*[c.split()[0] for c in BLOCK.split(", ")]).mapInArrow(add, BLOCK)

@@ -142,3 +142,18 @@ def test_row_samples_are_even():
     drawn = [boosting.drawn_rows(key, r, 1, 0.8) for r in range(5)]
     assert all(abs(d.mean() - 0.8) < 0.02 for d in drawn) and abs((drawn[0] & drawn[1]).mean() - 0.64) < 0.02 and drawn[0].sum() != drawn[1].sum()
     assert math.isclose(boosting.drawn_rows(key, 0, 1, 1.0).mean(), 1.0)
+
+
+def test_a_task_goes_through_several_blocks(spark, monkeypatch):
+    """Blocks and tasks are counted apart, with sums of several tasks, and the margins are the plain booster's."""
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(boosting, "BLOCKS_OF_TASK", (3, 40))
+    monkeypatch.setattr(boosting, "SUMS_OF_TASK", 20_000)
+    x, y, w = made(150, 4)
+    df = table(spark, x, y, w)
+    slim = df.select(F.col("features").alias("x"), F.col("label").alias("y"), "w", F.xxhash64("features", "label").alias("key"))
+    blocks = boosting._blocks(slim.coalesce(1), boosting.bin_edges(slim, 4), [])
+    assert [r["n"] for r in blocks.select("n").collect()] == [20] * 7 + [10]
+    assert boosting._tasks(8, 4) == 3 and boosting._tasks(14, 12) == 5 and boosting._tasks(135, 12) == 12 and boosting._tasks(810, 12) == 24
+    s = Boosting(rounds=2, step=0.3, max_leaves=5, weight_col="w")
+    assert margins(s.fit(df), df) == pytest.approx(list(plain_fit(s, x, y, w, keys(df))), abs=1e-9)
