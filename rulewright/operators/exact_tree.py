@@ -1,6 +1,6 @@
 """A classification tree of two classes that tries every cut of every feature, without a bound on its depth.
 
-Equal rows are added up first, so copies weigh but don't multiply. A node with more than ``task_rows`` different rows is cut by Spark: counts by (node,
+Equal rows are added up first, so copies weigh but don't multiply. A node with more than ``task_rows`` different rows (a million for twelve features) is cut by Spark: counts by (node,
 feature, value) go to ranges of a sample sort, running sums inside the tasks and the totals of the tasks before give both classes below each value, and
 the best cut of each node is an aggregation. A smaller node is grown to its end inside one task. Both ways score a cut by the same operations on the same
 whole numbers, so where one ends and the other begins changes no cut. Cuts and subtrees are tables; the driver knows how many nodes are open.
@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from rulewright.operators.boosting import as_array
 from rulewright.sources.scratch import temporary_tables, written
 
-#: Numbers that a task looks at together, rows that meet a subtree together.
-NUMBERS, MET_ROWS = 1 << 20, 100_000
+#: Numbers (rows times features) that a task grows to the end, rows that a task has at least for it, rows that meet a subtree together.
+NUMBERS, TASK_ROWS, MET_ROWS = 12_000_000, 50_000, 100_000
 
 SUBTREE = "node long, feature array<int>, threshold array<double>, left array<int>, right array<int>, share array<double>"
 
@@ -38,58 +38,103 @@ def _clean(df: DataFrame, name: str) -> Column:
     return F.transform(as_array(df, name).cast("array<double>"), lambda v: F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)))
 
 
-def _halfway(a, b):
+def grown(x: np.ndarray, n: np.ndarray, weights: tuple[float, float]) -> dict[str, np.ndarray]:
+    """The whole tree below rows ``x`` with counts ``n`` (rows, 2): node i goes left where its feature is at most its threshold; a leaf has feature -1.
+
+    All nodes of a level are cut together: each feature is sorted once, and its order is parted in place as nodes are cut, so a level costs a few passes
+    over the rows of its open nodes, however many nodes they are.
+    """
+    x, counts = np.ascontiguousarray(x.T), np.ascontiguousarray(n.T.astype(np.int64))
+    d, size = x.shape
+    out: dict[str, list[np.ndarray]] = {c: [] for c in ("feature", "threshold", "left", "right", "share")}
+
+    def add(totals: np.ndarray) -> np.ndarray:
+        """New nodes, as leaves, of the rows' totals (2, nodes)."""
+        first = sum(map(len, out["feature"]))
+        w0, w1 = totals[0] * weights[0], totals[1] * weights[1]
+        share = np.divide(w1, w0 + w1, out=np.zeros(len(w1)), where=w0 + w1 != 0)
+        for c, values in (("feature", np.full(len(w1), -1)), ("threshold", np.zeros(len(w1))), ("left", np.full(len(w1), -1)), ("right", np.full(len(w1), -1)), ("share", share)):
+            out[c].append(values)
+        return np.arange(first, first + len(w1))
+
+    total = counts.sum(axis=1, keepdims=True)
+    ids = add(total)  # the open nodes and their rows, which are numbered by node in every order
+    orders = [np.argsort(v, kind="stable").astype(np.int32) for v in x]
+    sizes = np.array([size])
+    node_of = np.zeros(size, np.int32)
+    if not (total > 0).all():
+        ids = ids[:0]
+    while len(ids):
+        starts = np.cumsum(sizes) - sizes
+        at = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        best = np.full(len(ids), -np.inf)
+        feature, low, high = np.full(len(ids), -1), np.zeros(len(ids)), np.zeros(len(ids))
+        for j, o in enumerate(orders):
+            v = x[j][o]
+            some = np.flatnonzero((v[:-1] < v[1:]) & (at[:-1] == at[1:]))
+            if not len(some):
+                continue
+            node = at[some]
+            below = []
+            for c in counts:
+                up_to = np.cumsum(c[o])
+                below.append(up_to[some] - (up_to[starts] - c[o[starts]])[node])
+            l0, l1 = below
+            score = _score(l0 * weights[0], l1 * weights[1], (total[0][node] - l0) * weights[0], (total[1][node] - l1) * weights[1])
+            firsts = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1])
+            nodes, most = node[firsts], np.maximum.reduceat(score, firsts)
+            hit = np.flatnonzero(score == np.repeat(most, np.diff(np.append(firsts, len(node)))))
+            place = np.zeros(len(ids), np.int64)
+            place[node[hit[::-1]]] = some[hit[::-1]]  # the first of equal ones is set last
+            nodes = nodes[most > best[nodes]]
+            k = place[nodes]
+            best[nodes] = most[np.searchsorted(node[firsts], nodes)]
+            feature[nodes], low[nodes], high[nodes] = j, v[k], v[k + 1]
+        cut = feature >= 0
+        rows = orders[0]
+        of = node_of[rows]
+        goes_left = np.zeros(size, bool)
+        goes_left[rows] = x[feature[of], rows] <= low[of]
+        left = np.stack([np.bincount(of, c[rows] * goes_left[rows], len(ids)) for c in counts]).astype(np.int64)
+        n_left = np.bincount(of, goes_left[rows], len(ids)).astype(np.int64)
+        children = np.stack([left, total - left], axis=2)[:, cut].reshape(2, -1)  # left and right in turn
+        child_sizes = np.stack([n_left, sizes - n_left], axis=1)[cut].reshape(-1)
+        new = add(children)
+        for c, values in (("feature", feature[cut]), ("threshold", _halfway_each(low[cut], high[cut])), ("left", new[::2]), ("right", new[1::2])):
+            _put(out[c], ids[cut], values)
+        stays = (children > 0).all(axis=0)
+        first = np.full(len(new), -1)
+        first[stays] = np.cumsum(child_sizes[stays]) - child_sizes[stays]
+        to = np.full((len(ids), 2), -1)
+        to[cut] = first.reshape(-1, 2)
+        numbers = np.full((len(ids), 2), -1, np.int32)
+        numbers[cut] = np.where(stays, np.cumsum(stays) - 1, -1).reshape(-1, 2)
+        n_rows = int(child_sizes[stays].sum())
+        for j, o in enumerate(orders):
+            mine = goes_left[o]
+            before = np.cumsum(mine)
+            before -= mine + (before[starts] - mine[starts])[at]  # rows of the node that went left before this one
+            place = np.where(mine, to[at, 0], to[at, 1])
+            keep = np.flatnonzero(place >= 0)
+            place = place[keep] + np.where(mine[keep], before[keep], keep - starts[at[keep]] - before[keep])
+            orders[j] = np.empty(n_rows, np.int32)
+            orders[j][place] = o[keep]
+        node_of[rows] = np.where(goes_left[rows], numbers[of, 0], numbers[of, 1])
+        ids, sizes, total = new[stays], child_sizes[stays], children[:, stays]
+    return {c: np.concatenate(parts) for c, parts in out.items()}
+
+
+def _halfway_each(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Between a and b, but a where no number lies between."""
     mid = a + (b - a) / 2
-    return a if not mid < b else mid
-
-
-def best_cut(x: np.ndarray, n: np.ndarray, weights: tuple[float, float]) -> tuple[int, float, float] | None:
-    """(feature, value, next value) of the best cut of rows with counts ``n`` (rows, 2); None for equal rows."""
-    best = None
-    total = n.sum(axis=0)
-    step = max(1, NUMBERS // max(len(x), 1))
-    for first in range(0, x.shape[1], step):
-        part = x[:, first : first + step]
-        order = np.argsort(part, axis=0, kind="stable")
-        v = np.take_along_axis(part, order, axis=0)
-        below = np.cumsum(n[order], axis=0)[:-1]
-        above = total - below
-        with np.errstate(divide="ignore", invalid="ignore"):
-            score = _score(below[..., 0] * weights[0], below[..., 1] * weights[1], above[..., 0] * weights[0], above[..., 1] * weights[1])
-        score = np.where(v[:-1] < v[1:], score, -np.inf)
-        if not len(score):
-            return None
-        at = score.argmax(axis=0)
-        for j in range(part.shape[1]):
-            s = score[at[j], j]
-            if s > -np.inf and (best is None or s > best[0]):
-                best = s, first + j, float(v[at[j], j]), float(v[at[j] + 1, j])
-    return best and best[1:]
-
-
-def grown(x: np.ndarray, n: np.ndarray, weights: tuple[float, float]) -> dict[str, list]:
-    """The whole tree below rows ``x`` with counts ``n``: node i goes left where its feature is at most its threshold; a leaf has feature -1."""
-    out: dict[str, list] = {c: [] for c in ("feature", "threshold", "left", "right", "share")}
-
-    def node(rows: np.ndarray) -> tuple[int, np.ndarray]:
-        w0, w1 = (float(k) * w for k, w in zip(n[rows].sum(axis=0), weights, strict=True))
-        for c, value in (("feature", -1), ("threshold", 0.0), ("left", -1), ("right", -1), ("share", w1 / (w0 + w1) if w0 + w1 else 0.0)):
-            out[c].append(value)
-        return len(out["feature"]) - 1, rows
-
-    todo = [node(np.arange(len(x)))]
-    while todo:
-        i, rows = todo.pop()
-        cut = best_cut(x[rows], n[rows], weights) if (n[rows].sum(axis=0) > 0).all() else None
-        if cut is None:
-            continue
-        left = x[rows, cut[0]] <= cut[1]
-        out["feature"][i], out["threshold"][i] = cut[0], _halfway(*cut[1:])
-        children = node(rows[left]), node(rows[~left])
-        out["left"][i], out["right"][i] = children[0][0], children[1][0]
-        todo += children
-    return out
+    return np.where(mid < b, mid, a)
+
+
+def _put(levels: list[np.ndarray], ids: np.ndarray, values: np.ndarray) -> None:
+    """Sets entries of the level before the last, whose numbers end where the last one's begin."""
+    if len(ids):
+        level = levels[-2]
+        level[ids - sum(map(len, levels[:-2]))] = values
 
 
 def _running(batches):
@@ -134,11 +179,11 @@ class FittedTree:
         dealt = at.join(parts, F.col("_node") == F.col("node")).select("_row", "_x", "node", F.pmod(F.monotonically_increasing_id(), F.col("_parts")).alias("_part"))
 
         def meet(rows: pa.Table, tree: pa.Table) -> pa.Table:
-            t = tree.to_pylist()[0] if tree.num_rows else {"feature": [-1], "share": [0.0]}
-            feature, share, node = np.array(t["feature"]), np.array(t["share"]), np.zeros(rows.num_rows, np.int64)
+            t = {c: tree[c].combine_chunks().flatten().to_numpy() for c in ("feature", "threshold", "left", "right", "share")} if tree.num_rows else {"feature": np.array([-1]), "share": np.zeros(1)}
+            feature, share, node = t["feature"], t["share"], np.zeros(rows.num_rows, np.int64)
             if len(feature) > 1 and rows.num_rows:
                 x = rows["_x"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
-                limit, left, right, each = np.array(t["threshold"]), np.array(t["left"]), np.array(t["right"]), np.arange(rows.num_rows)
+                limit, left, right, each = t["threshold"], t["left"], t["right"], np.arange(rows.num_rows)
                 while (inner := feature[node] >= 0).any():
                     r, a = each[inner], node[inner]
                     node[r] = np.where(x[r, feature[a]] <= limit[a], left[a], right[a])
@@ -151,7 +196,7 @@ class FittedTree:
 
 @dataclass(frozen=True)
 class ExactTree:
-    task_rows: int = 50_000
+    task_rows: int | None = None  # by the number of features
     label_col: str = "label"
     features_col: str = "features"
     weight_col: str | None = None
@@ -165,13 +210,14 @@ class ExactTree:
             of = F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")
             alike = slim.groupBy("x").agg(*of, *[f(F.when(F.col("y") == k, F.col("w"))).alias(f"{f.__name__}{k}") for k in (0, 1) for f in (F.min, F.max)])
             alike = written(alike.withColumn("id", F.monotonically_increasing_id()), "tree-alike")
-            told = alike.agg(F.count("*").alias("n"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.min("id").alias("id"), *[f(f"{f.__name__}{k}").alias(f"{f.__name__}{k}") for k in (0, 1) for f in (F.min, F.max)]).first()
+            told = alike.agg(F.count("*").alias("n"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.min("id").alias("id"), F.max(F.size("x")).alias("d"), *[f(f"{f.__name__}{k}").alias(f"{f.__name__}{k}") for k in (0, 1) for f in (F.min, F.max)]).first()
             if not told["n"]:
                 raise ValueError("no rows to fit")
             if any(told[f"min{k}"] != told[f"max{k}"] for k in (0, 1)):
                 raise ValueError("rows of one label differ in weight")
             weights = tuple(1.0 if told[f"max{k}"] is None else told[f"max{k}"] for k in (0, 1))
-            kind = self._kind(told["n"], told["n0"], told["n1"])
+            task_rows = self.task_rows or max(TASK_ROWS, NUMBERS // max(told["d"], 1))
+            kind = "leaf" if not told["n0"] or not told["n1"] else "small" if told["n"] <= task_rows else "open"
             state = alike.select("id", "x", "n0", "n1", F.lit(told["id"]).cast("long").alias("node"), F.lit(kind).alias("kind"), F.lit(told["n0"]).alias("t0"), F.lit(told["n1"]).alias("t1"))
             cuts, small, leaves, n_open = [], [], [], int(kind == "open")
             while True:
@@ -179,16 +225,14 @@ class ExactTree:
                 leaves.append(state.where("kind = 'leaf'").select("node", "t0", "t1").distinct() if not cuts else self._leaves(cuts[-1]))
                 if not n_open:
                     break
-                level, state = self._level(state.where("kind = 'open'"), weights)
+                level, state = self._level(state.where("kind = 'open'"), weights, task_rows)
                 cuts.append(level)
                 n_open = level.agg(F.coalesce(F.sum((F.col("left_kind") == "open").cast("int") + (F.col("right_kind") == "open").cast("int")), F.lit(0))).first()[0]
             subtrees = self._subtrees(small, leaves, weights)
             return FittedTree(told["id"], [c.select("node", "feature", "threshold", "left", "right") for c in cuts], subtrees, self.features_col)
 
-    def _kind(self, n, n0, n1):
-        return "leaf" if not n0 or not n1 else "small" if n <= self.task_rows else "open"
-
-    def _level(self, open_: DataFrame, weights: tuple[float, float]) -> tuple[DataFrame, DataFrame]:
+    @staticmethod
+    def _level(open_: DataFrame, weights: tuple[float, float], task_rows: int) -> tuple[DataFrame, DataFrame]:
         """(the cut of each node with what its children hold, the rows of the children)."""
         long = open_.select("node", "n0", "n1", F.posexplode("x").alias("feature", "v"))
         counts = long.groupBy("node", "feature", "v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -218,7 +262,7 @@ class ExactTree:
         cut = cut.withColumn("threshold", F.when(mid < b, mid).otherwise(a)).drop("_a", "_b")
         for name in ("left", "right"):
             pure = (F.col(f"{name}_0") == 0) | (F.col(f"{name}_1") == 0)
-            cut = cut.withColumn(f"{name}_kind", F.when(pure, "leaf").when(F.col(f"{name}_n") <= self.task_rows, "small").otherwise("open"))
+            cut = cut.withColumn(f"{name}_kind", F.when(pure, "leaf").when(F.col(f"{name}_n") <= task_rows, "small").otherwise("open"))
         cut = written(cut, "tree-cuts", keep=True)
         mine = lambda c: F.when(F.col("below"), F.col(f"left{c}")).otherwise(F.col(f"right{c}"))
         rows = sided.drop("feature").join(cut.drop("feature"), "node")
@@ -233,7 +277,7 @@ class ExactTree:
     def _subtrees(small: list[DataFrame], leaves: list[DataFrame], weights: tuple[float, float]) -> DataFrame:
         def grow(rows: pd.DataFrame) -> pd.DataFrame:
             tree = grown(np.stack(rows["x"].to_list()), rows[["n0", "n1"]].to_numpy(), weights)
-            return pd.DataFrame([{"node": int(rows["node"].iloc[0]), **tree}])
+            return pd.DataFrame({"node": [int(rows["node"].iloc[0])], **{c: [v] for c, v in tree.items()}})
 
         below, ends = small[0], leaves[0]
         for s, e in zip(small[1:], leaves[1:], strict=True):

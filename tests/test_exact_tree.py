@@ -85,3 +85,22 @@ def test_edges(spark):
             ExactTree().fit(empty)
         with pytest.raises(ValueError, match="differ in weight"):
             ExactTree(weight_col="i").fit(same)
+
+
+def test_a_task_grows_all_nodes_of_a_level_together(spark):
+    """20,000 rows of noise, whose tree has thousands of nodes, in little time; and few features let a task take more rows, as end cuts make many levels."""
+    import time
+
+    rng = np.random.default_rng(3)
+    x, y = np.stack([rng.random(20_000), rng.random(20_000), *(rng.random((10, 20_000)) < 0.2)], axis=1), (rng.random(20_000) < 0.33).astype(int)
+    began = time.process_time()
+    tree = grown(x, np.stack([1 - y, y], axis=1), (1.0, 1.3))
+    assert time.process_time() - began < 3 and len(tree["feature"]) > 8000
+    at = np.zeros(len(x), int)
+    while (inner := tree["feature"][at] >= 0).any():
+        at[inner] = np.where(x[inner, tree["feature"][at[inner]]] <= tree["threshold"][at[inner]], tree["left"][at[inner]], tree["right"][at[inner]])
+    assert np.array_equal(tree["share"][at], y)
+    rows = spark.range(60_000).select(F.array(F.col("id").cast("double"), (F.col("id") % 7).cast("double")).alias("features"), (F.xxhash64("id") % 3 == 0).cast("int").alias("label"))
+    with temporary_tables():
+        fitted = ExactTree().fit(rows)
+        assert not fitted.cuts and fitted.transform(rows).where("prediction <> label").count() == 0
