@@ -25,6 +25,8 @@ from rulewright.sources.scratch import temporary_tables, written
 
 #: Rows and bytes of a block, about; copies of a row that a task makes at a time; most slices of the averaged vector.
 BLOCK_ROWS, BLOCK_BYTES, COPIES, SLICES = 50_000, 32 << 20, 10_000, 64
+#: Rows that are scored together, few enough for a processor's cache.
+CACHED_ROWS = 512
 #: Passes of a job over one block, whose average is itself.
 PASSES = 10
 #: Adam's decay of the two moments, and what keeps its division finite.
@@ -60,9 +62,19 @@ def first_weights(sizes: tuple[int, ...], seed: int) -> np.ndarray:
 
 def margins(vector: np.ndarray, sizes: tuple[int, ...], x: np.ndarray) -> np.ndarray:
     *hidden, (w, b) = layers_of(vector, sizes)
-    for v, c in hidden:
-        x = np.maximum(x @ v + c, 0.0)
-    return (x @ w + b)[:, 0]
+    out = np.empty(len(x))
+    for at in range(0, len(x), CACHED_ROWS):
+        a = x[at : at + CACHED_ROWS]
+        for v, c in hidden:
+            a = _rectified(a, v, c)
+        out[at : at + CACHED_ROWS] = (a @ w + b)[:, 0]
+    return out
+
+
+def _rectified(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = x @ w
+    out += b
+    return np.maximum(out, 0.0, out=out)
 
 
 def loss_and_gradient(vector: np.ndarray, sizes: tuple[int, ...], x: np.ndarray, y: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
@@ -70,13 +82,17 @@ def loss_and_gradient(vector: np.ndarray, sizes: tuple[int, ...], x: np.ndarray,
     parts, out, n = layers_of(vector, sizes), np.empty_like(vector), len(y)
     inputs = [x]
     for w, b in parts[:-1]:
-        inputs.append(np.maximum(inputs[-1] @ w + b, 0.0))
+        inputs.append(_rectified(inputs[-1], w, b))
     z = (inputs[-1] @ parts[-1][0] + parts[-1][1])[:, 0]
     loss = float(np.mean(np.logaddexp(0.0, z) - y * z)) + l2 / 2 * sum(float((w * w).sum()) for w, _ in parts) / n
     delta = ((sigmoid(z) - y) / n)[:, None]
     for (w, _), (gw, gb), a in zip(reversed(parts), reversed(layers_of(out, sizes)), reversed(inputs)):
-        gw[:], gb[:] = a.T @ delta + l2 / n * w, delta.sum(axis=0)
-        delta = (delta @ w.T) * (a > 0)
+        np.matmul(a.T, delta, out=gw)
+        gw += l2 / n * w
+        delta.sum(axis=0, out=gb)
+        if a is not x:
+            delta = delta @ w.T
+            delta *= a > 0
     return loss, out
 
 
@@ -193,14 +209,24 @@ class Net:
         """(summed loss, steps, state) after all batches of a block, in an order drawn for the pass."""
         order, made, loss = np.random.default_rng(seed).permutation(len(y)), 0, 0.0
         w, m, v = np.split(state, 3)  # views
+        a, b = np.empty_like(w), np.empty_like(w)
         for at in range(0, len(order), self.batch):
             some = order[at : at + self.batch]
             part, g = loss_and_gradient(w, sizes, x[some], y[some], self.l2)
             made, loss = made + 1, loss + part * len(some)
-            m += (1 - DECAY_1) * (g - m)
-            v += (1 - DECAY_2) * (g * g - v)
+            np.subtract(g, m, out=a)
+            a *= 1 - DECAY_1
+            m += a
+            np.multiply(g, g, out=a)
+            a -= v
+            a *= 1 - DECAY_2
+            v += a
             t = steps + made
-            w -= self.step * np.sqrt(1 - DECAY_2**t) / (1 - DECAY_1**t) * m / (np.sqrt(v) + EPSILON)
+            np.sqrt(v, out=a)
+            a += EPSILON
+            np.multiply(self.step * np.sqrt(1 - DECAY_2**t) / (1 - DECAY_1**t), m, out=b)
+            b /= a
+            w -= b
         return loss, made, state
 
 
