@@ -4,12 +4,14 @@ A text is lower-cased (A-Z), cut into pieces at ``ENDERS`` and pieces into words
 
 1. Every word's occurrences are counted by language; their sum is n.
 2. A task takes ``SHARD`` to twice ``SHARD`` bytes of text at a time; the texts of one language in them are a shard. A shard with n_i of the language's n words
-   is mined completely, by growing phrases, at a support of ceil(least * n_i / n), at least 1. A phrase that occurs ``least`` times
-   somewhere reaches that in one shard at least, as its counts in the others would add up to less.
+   is mined by growing phrases at a support of ceil(least * n_i / n), at least 1 and at most ``MOST_SUPPORT``: a support that falls as the corpus
+   grows would have a shard name more phrases the more shards there are. A phrase that occurs ``least`` times reaches its support in one shard at
+   least, as its counts in the others would add up to less.
 3. The shards' phrases are united. A shard that doesn't name a phrase holds less of it than its support, so a phrase whose named counts and
-   those bounds add up to less than ``least`` is dropped; this loses none.
-4. All shards count the phrases left. What the tasks know of them is a bit filter of a fixed size: a phrase that isn't in it is not
-   counted, one that is there by chance is, and drops out by its count. So nothing that grows with the data is broadcast.
+   those bounds add up to less than ``least`` is dropped; this loses none. Phrases are named by 64-bit hashes here: two with one hash pass together.
+4. Steps 2 and 3 run twice: for two words, among words that occur ``least`` times, then for longer phrases, among the pairs left.
+5. All shards count the phrases left. What the tasks know of them, and of the words and pairs before, is a bit filter of a fixed size: a phrase that isn't in
+   it is not counted, one that is there by chance is, and drops out by its count. So nothing that grows with the data is broadcast.
 
 Scores, cuts and containment are joins over the candidates and exact: products are decimals of 38 digits, larger ones an error.
 A null language is ``und``, a null or empty text has no words. Repeated rows count each. The best of a language are ranked
@@ -33,6 +35,8 @@ from rulewright.sources.tables import with_row_id
 
 #: Bytes of text that a task mines at a time, and that it splits into words at once.
 SHARD, SLICE = 20 << 20, 1 << 20
+#: The highest support at which a shard is mined.
+MOST_SUPPORT = 2
 #: Bits of the filter of candidates; a phrase sets two.
 FILTER_BITS = 1 << 26
 
@@ -99,6 +103,8 @@ class Shard:
             counts, first = np.diff(np.append(starts, len(codes))), places[order[starts]]
             kept = keep(k, first, counts)
             yield k, first[kept], counts[kept]
+            if k == longest:
+                return
             at[:] = -1
             at[places[order]] = np.repeat(np.where(kept, np.cumsum(kept) - 1, -1).astype(np.int32), counts)
             del codes, order
@@ -137,47 +143,55 @@ def shards(batches, size: int = SHARD) -> Iterator[tuple[str, int | None, Shard]
     yield from closed()
 
 
-def local_support(least: int, part: int, whole: int) -> int:
-    """The smallest whole number of at least ``least * part / whole``, and 1 at least."""
-    return max(-(-least * part // whole), 1)
+def local_support(least: int, part: int, whole: int, most: int = MOST_SUPPORT) -> int:
+    """The smallest whole number of at least ``least * part / whole``, but 1 at least and ``most`` at most."""
+    return min(max(-(-least * part // whole), 1), most)
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
     return np.array([int.from_bytes(blake2b(w, digest_size=8).digest(), "little") for w in words.to_pylist()], np.uint64)
 
 
-def filter_bits(lang: str, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of phrases; ``hashes`` has the first words' hashes of all phrases, then the second words', and so on."""
+def phrase_hashes(lang: str, hashes: list[np.ndarray]) -> np.ndarray:
+    """Hashes of phrases; ``hashes`` has the first words' hashes of all phrases, then the second words', and so on."""
     h = np.full(len(hashes[0]), word_hashes(pa.array([lang.encode()]))[0])
     for word in hashes:
         h = (h ^ word) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    return h % np.uint64(FILTER_BITS), (h >> np.uint64(32)) % np.uint64(FILTER_BITS)
+    return h
+
+
+def listed(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Marks the hashes that the filter lets through: both of a hash's bits are set."""
+    has = lambda b: known[b // np.uint64(8)] >> (b % np.uint64(8)).astype(np.uint8) & 1
+    return (has(h % np.uint64(FILTER_BITS)) & has((h >> np.uint64(32)) % np.uint64(FILTER_BITS))).astype(bool)
 
 
-def candidate_filter(phrases: DataFrame) -> np.ndarray:
-    """Bytes that hold the bits of all (lang, phrase): the driver gets at most ``FILTER_BITS`` bits, whatever their number."""
+def hashed_words(words: DataFrame) -> DataFrame:
+    """(h) of every (lang, phrase) of one word."""
 
-    def bits(batches):
+    def hashes(batches):
         for batch in batches:
-            table = pa.Table.from_batches([batch]).append_column("k", pc.add(pc.count_substring(batch["phrase"], " "), 1))
-            for group in table.group_by(["lang", "k"]).aggregate([]).to_pylist():
-                some = table.filter(pc.and_(pc.equal(table["lang"], group["lang"]), pc.equal(table["k"], group["k"])))
-                words = pc.split_pattern(some["phrase"], " ").combine_chunks().flatten().cast(pa.binary()).dictionary_encode()
-                hashes = word_hashes(words.dictionary)[words.indices.to_numpy()].reshape(-1, group["k"])
-                both = np.concatenate(filter_bits(group["lang"], list(hashes.T)))
-                value = np.left_shift(np.uint64(1), both % np.uint64(64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array((both // np.uint64(64)).astype(np.int32)), pa.array(value)], ["at", "bits"])
+            for lang in pc.unique(batch["lang"]).to_pylist():
+                found = word_hashes(batch["phrase"].filter(pc.equal(batch["lang"], lang)).cast(pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(phrase_hashes(lang, [found]).view(np.int64))], ["h"])
         give_back()
 
-    set_bits = phrases.select("lang", "phrase").mapInArrow(bits, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    return words.select("lang", "phrase").mapInArrow(hashes, "h long")
+
+
+def candidate_filter(hashes: DataFrame) -> np.ndarray:
+    """Bytes that hold the bits of all (h): the driver gets at most ``FILTER_BITS`` bits, whatever their number."""
+    low = F.lit(FILTER_BITS - 1)
+    bit = hashes.select(F.explode(F.array(F.col("h").bitwiseAND(low), F.shiftrightunsigned("h", 32).bitwiseAND(low))).alias("bit"))
+    set_bits = bit.groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("bits")).toArrow()
     found = np.zeros(FILTER_BITS // 64, np.int64)
     found[set_bits["at"].to_numpy()] = set_bits["bits"].to_numpy()
     return found.view(np.uint8)
 
 
-def rows(lang: str, phrases: pa.Array, numbers: np.ndarray, name: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), phrases, pa.array(numbers, pa.int64())], ["lang", "phrase", name])
+def rows(lang: str, phrases: pa.Array, numbers: np.ndarray, name: str, key: str = "phrase") -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(phrases)), phrases, pa.array(numbers, pa.int64())], ["lang", key, name])
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -193,20 +207,28 @@ def count_words(texts: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def mine_shards(texts: DataFrame, least: int, longest: int, size: int) -> DataFrame:
-    """(lang, phrase, over) from texts with n: each shard's phrases of 2 words and more that reach its support, and how far they are over the most that a
-    shard holds of a phrase that doesn't. A row without phrase tells that most of the shard."""
+def mine_shards(texts: DataFrame, bits, least: int, shortest: int, longest: int, size: int) -> DataFrame:
+    """(lang, h, over) from texts with n: each shard's phrases of ``shortest`` to ``longest`` words that reach its support, and how far they are over the most
+    that a shard holds of a phrase that doesn't. Shorter parts of them are in the broadcast filter. A row without h tells that most of the shard."""
 
     def mine(batches):
+        known = bits.value
         for lang, n, shard in shards(batches, size):
-            support = local_support(least, shard.n_words, n)
-            yield rows(lang, pa.array([None], pa.string()), np.array([support - 1]), "over")
-            for k, places, counts in shard.grow(longest, lambda k, places, counts, support=support: counts >= support):
-                if k > 1:
-                    yield rows(lang, shard.phrases(k, places), counts - (support - 1), "over")
+            support, hashes = local_support(least, shard.n_words, n), word_hashes(shard.vocabulary)
+
+            def named(places, k, lang=lang, shard=shard, hashes=hashes):
+                return phrase_hashes(lang, [hashes[shard.words[places + j]] for j in range(k)])
+
+            def keep(k, places, counts, support=support, named=named):
+                return counts >= support if k >= shortest else listed(known, named(places, k))
+
+            yield rows(lang, pa.array([None], pa.int64()), np.array([support - 1]), "over", "h")
+            for k, places, counts in shard.grow(longest, keep):
+                if k >= shortest:
+                    yield rows(lang, pa.array(named(places, k).view(np.int64)), counts - (support - 1), "over", "h")
         give_back()
 
-    return texts.mapInArrow(mine, "lang string, phrase string, over long")
+    return texts.mapInArrow(mine, "lang string, h long, over long")
 
 
 def count_candidates(texts: DataFrame, bits, longest: int, size: int) -> DataFrame:
@@ -217,12 +239,10 @@ def count_candidates(texts: DataFrame, bits, longest: int, size: int) -> DataFra
         for lang, _, shard in shards(batches, size):
             hashes = word_hashes(shard.vocabulary)
 
-            def listed(k, places, counts, lang=lang, shard=shard, hashes=hashes):
-                one, two = filter_bits(lang, [hashes[shard.words[places + j]] for j in range(k)])
-                has = lambda b: known[b // np.uint64(8)] >> (b % np.uint64(8)).astype(np.uint8) & 1
-                return (has(one) & has(two)).astype(bool)
+            def keep(k, places, counts, lang=lang, shard=shard, hashes=hashes):
+                return listed(known, phrase_hashes(lang, [hashes[shard.words[places + j]] for j in range(k)]))
 
-            for k, places, counts in shard.grow(longest, listed):
+            for k, places, counts in shard.grow(longest, keep):
                 if k > 1:
                     yield rows(lang, shard.phrases(k, places), counts, "f")
         give_back()
@@ -232,16 +252,22 @@ def count_candidates(texts: DataFrame, bits, longest: int, size: int) -> DataFra
 
 def frequent_phrases(texts: DataFrame, least: int, longest: int, size: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(phrases, words, totals): (lang, phrase, f) of every phrase of 2 to ``longest`` words and of every word with f >= ``least``, and (lang, n)."""
+    context = texts.sparkSession.sparkContext
     words = written(count_words(texts), "collocation-words")
     totals = written(words.groupBy("lang").agg(F.sum("f").alias("n")), "collocation-totals")
     words = words.where(F.col("f") >= least)
     n_tasks = math.ceil((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / (1.5 * size))
-    known = texts.join(totals, "lang").select("lang", "text", "n").coalesce(max(n_tasks, 1))  # few large shards keep the local support high
-    mined = written(mine_shards(known, least, longest, size), "collocation-shards")
-    bounds = mined.where(F.col("phrase").isNull()).groupBy("lang").agg(F.sum("over").alias("bound"))
-    united = mined.where(F.col("phrase").isNotNull()).groupBy("lang", "phrase").agg(F.sum("over").alias("over"))
-    candidates = written(united.join(bounds, "lang").where(F.col("over") + F.col("bound") >= least).select("lang", "phrase"), "collocation-candidates")
-    bits = texts.sparkSession.sparkContext.broadcast(candidate_filter(candidates.unionByName(words.select("lang", "phrase"))))
+    known = texts.join(totals, "lang").select("lang", "text", "n").coalesce(max(n_tasks, 1))  # few large shards name few rows twice
+    bits = context.broadcast(candidate_filter(hashed_words(words)))
+    for shortest, to in ((2, 2), (3, longest)):
+        if shortest > longest:
+            break
+        mined = written(mine_shards(known, bits, least, shortest, to, size), "collocation-shards")
+        bounds = mined.where(F.col("h").isNull()).groupBy("lang").agg(F.sum("over").alias("bound"))
+        united = mined.where(F.col("h").isNotNull()).groupBy("lang", "h").agg(F.sum("over").alias("over"))
+        found = candidate_filter(united.join(bounds, "lang").where(F.col("over") + F.col("bound") >= least).select("h"))
+        before, bits = bits, context.broadcast(bits.value | found)
+        before.unpersist()
     phrases = written(count_candidates(known, bits, longest, size).where(F.col("f") >= least), "collocation-phrases")
     bits.unpersist()
     return phrases, words, totals

@@ -112,6 +112,27 @@ def test_a_frequent_phrase_reaches_the_support_of_a_shard():
         assert sum(counts) < 100
 
 
+def test_shards_name_phrases_in_proportion_to_the_corpus(spark, monkeypatch):
+    """Five times the texts in shards of one size: a support that falls with the corpus has every shard name more."""
+    rng, named, real = np.random.default_rng(11), [], collocations.written
+
+    def counted(df, name, *args, **kwargs):
+        out = real(df, name, *args, **kwargs)
+        if name == "collocation-shards":
+            named[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(collocations, "written", counted)
+    share = 1 / np.arange(1, 41)
+    made = [" ".join(f"w{i}" for i in rng.choice(40, 250, p=share / share.sum())) for _ in range(500)]
+    for some in (made[:100], made):
+        named.append(0)
+        df = spark.createDataFrame([("en", t) for t in some], "lang string, text string").repartition(len(some) // 20)
+        got = collocations.collocations(df, least=100, size=10_000)
+        assert sorted(map(tuple, got.collect())) == plain_collocations([("en", t) for t in some], 100, 5, 2000, 100)
+    assert named[1] < 9 * named[0]
+
+
 def plain_top_k(vectors, ids, k):
     able = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
