@@ -10,11 +10,13 @@ share, rows by a hash of what they hold, so that equal rows are drawn together a
 last tree to the rows' margins and lays out what the round's levels read: bins of the drawn rows and features, gradients and second derivatives. It is kept
 in memory for the round, and written every ``SNAPSHOT`` rounds. A task goes through several blocks and sends one sum for each node and feature, so what
 is shuffled grows with the tasks and not with the blocks.
+A table of a single block is a task's work in any case: one job grows up to ``SNAPSHOT`` rounds there, by the same sums and cuts.
 With ``start`` the first margins are those of its trees, which the result keeps.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,6 +38,7 @@ BLOCK = "n int, bins binary, y binary, w binary, key binary, margin binary"
 #: A block with what its round reads: bins (feature by feature), gradients and second derivatives of the m drawn rows.
 ROUND = f"{BLOCK}, m int, part binary, g binary, h binary"
 SUMS = "feature int, sums binary"
+TREE = "feature array<int>, bin array<int>, threshold array<double>, left array<int>, right array<int>, value array<double>"
 CUTS = "node int, feature int, bin int, gain double, g_left double, h_left double, n_left long, g double, h double, n long"
 
 
@@ -154,7 +157,9 @@ class Boosting:
             kept = [blocks]
             try:
                 with job_settings(rows.sparkSession):
-                    for round_ in range(self.rounds):
+                    while n_blocks == 1 and len(trees) < self.rounds:
+                        trees += self._rounds_of_block(blocks, edges, trees)
+                    for round_ in range(len(trees), self.rounds):
                         if round_ and round_ % SNAPSHOT == 0:
                             blocks = self._written(_with_margins(blocks, len(edges), trees[-1:]))
                             last = []
@@ -162,7 +167,8 @@ class Boosting:
                             last = trees[-1:]
                         blocks = self._of_round(blocks, len(edges), last, round_).persist()
                         kept.append(blocks)
-                        trees.append(self._grow(blocks, n_tasks, edges, round_))
+                        columns = self.columns(round_, len(edges))
+                        trees.append(self._grow(lambda tree, frontier, of=(blocks, n_tasks, columns): self._best_cuts(*of, tree, frontier), edges))
                         for old in kept[:-1]:  # the round's first level has read them
                             old.unpersist()
                         kept = kept[-1:]
@@ -177,20 +183,40 @@ class Boosting:
 
     def _of_round(self, blocks: DataFrame, d: int, last: list[Tree], round_: int) -> DataFrame:
         """The blocks with the last tree in their margins, and what the levels of this round read."""
-        columns, share, seed = self.columns(round_, d), self.row_share, self.seed
 
         def lay_out(batches):
             for batch in batches:
                 for i in range(batch.num_rows):
-                    row = batch.slice(i, 1).to_pylist()[0]
-                    bins, y, w, key, margin = _unpacked(row, d)
-                    margin = _added(margin, bins, last)
-                    p, some = sigmoid(margin), drawn_rows(key, round_, seed, share)
-                    part = np.ascontiguousarray(bins[some][:, columns].T)
-                    out = {c: row[c] for c in ("n", "bins", "y", "w", "key")} | {"margin": margin.tobytes(), "m": int(some.sum()), "part": part.tobytes(), "g": (w * (p - y))[some].tobytes(), "h": (w * p * (1 - p))[some].tobytes()}
-                    yield pa.RecordBatch.from_pylist([out], pa.schema(_arrow(ROUND)))
+                    yield pa.RecordBatch.from_pylist([self._laid_out(batch.slice(i, 1).to_pylist()[0], d, last, round_)], pa.schema(_arrow(ROUND)))
 
-        return blocks.select(*[c.split()[0] for c in BLOCK.split(", ")]).mapInArrow(lay_out, ROUND)
+        return blocks.select(*_names(BLOCK)).mapInArrow(lay_out, ROUND)
+
+    def _laid_out(self, row: dict, d: int, last: list[Tree], round_: int) -> dict:
+        bins, y, w, key, margin = _unpacked(row, d)
+        margin = _added(margin, bins, last)
+        p, some = sigmoid(margin), drawn_rows(key, round_, self.seed, self.row_share)
+        part = np.ascontiguousarray(bins[some][:, self.columns(round_, d)].T)
+        return {c: row[c] for c in ("n", "bins", "y", "w", "key")} | {"margin": margin.tobytes(), "m": int(some.sum()), "part": part.tobytes(), "g": (w * (p - y))[some].tobytes(), "h": (w * p * (1 - p))[some].tobytes()}
+
+    def _rounds_of_block(self, blocks: DataFrame, edges: list[np.ndarray], trees: list[Tree]) -> list[Tree]:
+        """The next trees of a table of one block, at most ``SNAPSHOT``, from one job."""
+        begin, end = len(trees), min(len(trees) + SNAPSHOT, self.rounds)
+
+        def grow(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    last = trees
+                    for round_ in range(begin, end):
+                        row = self._laid_out(row, len(edges), last, round_)
+                        columns = self.columns(round_, len(edges))
+
+                        def best_cuts(tree, frontier, row=row, columns=columns):
+                            return _best(self._found(_sums([row], columns, tree, frontier)), frontier)
+
+                        last = [self._grow(best_cuts, edges)]
+                        yield pa.RecordBatch.from_pylist([{c: getattr(last[0], c) for c in _names(TREE)}], pa.schema([(c, pa.list_(pa.float64() if c in ("threshold", "value") else pa.int32())) for c in _names(TREE)]))
+
+        return [Tree(**r.asDict()) for r in blocks.select(*_names(BLOCK)).mapInArrow(grow, TREE).collect()]
 
     def columns(self, round_: int, d: int) -> np.ndarray:
         n = max(1, int(self.column_share * d))
@@ -199,13 +225,13 @@ class Boosting:
     def _value(self, g: float, h: float) -> float:
         return -self.step * g / (h + self.l2) if h + self.l2 > 0 else 0.0
 
-    def _grow(self, blocks: DataFrame, n_tasks: int, edges: list[np.ndarray], round_: int) -> Tree:
-        """One tree, a job for each level; then the cuts that best first would take, of those looked at."""
-        columns, full = self.columns(round_, len(edges)), Tree()
+    def _grow(self, best_cuts: Callable, edges: list[np.ndarray]) -> Tree:
+        """One tree, from the best cuts of a level's nodes at a time; then the cuts that best first would take, of those looked at."""
+        full = Tree()
         frontier, cuts, reach = [full.leaf(0.0)], {}, {}  # cuts: node to its best cut; reach: the smallest gain on the way, its own included
         depth = 0
         while frontier and (self.max_depth is None or depth < self.max_depth):
-            best = self._best_cuts(blocks, n_tasks, columns, full, frontier)
+            best = best_cuts(full, frontier)
             if depth == 0 and 0 in best:
                 full.value[0] = self._value(best[0]["g"], best[0]["h"])
             parents = {full.left[i]: i for i in cuts} | {full.right[i]: i for i in cuts}
@@ -244,28 +270,7 @@ class Boosting:
         me = self
 
         def sums(batches):
-            total = {int(j): np.zeros((3, len(frontier) * (BINS + 1))) for j in columns}
-            rank = np.full(len(tree.feature), -1)
-            rank[frontier] = np.arange(len(frontier))
-            feature, limit, left, right = (np.array(c) for c in (tree.feature, tree.bin, tree.left, tree.right))
-            inner = np.where(feature < 0, -1, np.searchsorted(columns, feature))  # places among the drawn features
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    row = batch.slice(i, 1).to_pylist()[0]
-                    m = row["m"]
-                    if not m:
-                        continue
-                    part, g, h = np.frombuffer(row["part"], np.uint8), np.frombuffer(row["g"]), np.frombuffer(row["h"])
-                    node = rank[_descend(m, inner, limit, left, right, lambda r, j: part[j * m + r])]
-                    some = np.flatnonzero(node >= 0)
-                    if len(some) < m:
-                        g, h, node = g[some], h[some], node[some]
-                    at = node * (BINS + 1)
-                    for k, t in enumerate(total.values()):
-                        bins = part[k * m : (k + 1) * m]
-                        key = at + (bins[some] if len(some) < m else bins)
-                        for to, weights in zip(t, (g, h, None), strict=True):
-                            to += np.bincount(key, weights, len(to))
+            total = _sums((batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(batch.num_rows)), columns, tree, frontier)
             yield pa.RecordBatch.from_pydict({"feature": pa.array(list(total), pa.int32()), "sums": [t.tobytes() for t in total.values()]})
 
         def cuts(batches):
@@ -274,19 +279,17 @@ class Boosting:
                 for row in batch.to_pylist():
                     s = np.frombuffer(row["sums"]).reshape(3, len(frontier), BINS + 1)
                     total[row["feature"]] = total[row["feature"]] + s if row["feature"] in total else s
-            found = [(k, j, *cut) for j, s in total.items() for k, cut in enumerate(me._cuts_of(s))]
-            yield pa.RecordBatch.from_pylist([dict(zip((c.split()[0] for c in CUTS.split(", ")), x, strict=True)) for x in found], pa.schema(_arrow(CUTS)))
+            yield pa.RecordBatch.from_pylist(me._found(total), pa.schema(_arrow(CUTS)))
 
         summed = blocks.select("m", "part", "g", "h").mapInArrow(sums, SUMS)
         if n_tasks > 1:
             size = n_tasks * len(columns) * len(frontier) * 3 * 8 * (BINS + 1)
             summed = summed.repartition(min(-(-size // SUMS_OF_TASK), len(columns)), "feature")
-        best: dict[int, dict] = {}
-        for cut in summed.mapInArrow(cuts, CUTS).collect():
-            node, has = frontier[cut["node"]], best.get(frontier[cut["node"]])
-            if cut["n"] and (has is None or (cut["gain"], -cut["feature"]) > (has["gain"], -has["feature"])):
-                best[node] = cut.asDict()
-        return best
+        return _best((cut.asDict() for cut in summed.mapInArrow(cuts, CUTS).collect()), frontier)
+
+    def _found(self, total: dict[int, np.ndarray]) -> list[dict]:
+        """The best cut of each node by each feature, from the sums of features."""
+        return [dict(zip(_names(CUTS), (k, j, *cut), strict=True)) for j, s in total.items() for k, cut in enumerate(self._cuts_of(s))]
 
     def _cuts_of(self, s: np.ndarray) -> list[tuple]:
         """(bin, gain, left sums, sums) of the best cut of each node by one feature; the first of equal ones."""
@@ -349,6 +352,45 @@ def _blocks(slim: DataFrame, edges: list[np.ndarray], first: list[Tree]) -> Data
     return slim.mapInArrow(pack, BLOCK)
 
 
+def _sums(rows: Iterable[dict], columns: np.ndarray, tree: Tree, frontier: list[int]) -> dict[int, np.ndarray]:
+    """Gradients, second derivatives and rows by (node, bin) for each drawn feature, of laid-out blocks."""
+    total = {int(j): np.zeros((3, len(frontier) * (BINS + 1))) for j in columns}
+    rank = np.full(len(tree.feature), -1)
+    rank[frontier] = np.arange(len(frontier))
+    feature, limit, left, right = (np.array(c) for c in (tree.feature, tree.bin, tree.left, tree.right))
+    inner = np.where(feature < 0, -1, np.searchsorted(columns, feature))  # places among the drawn features
+    for row in rows:
+        m = row["m"]
+        if not m:
+            continue
+        part, g, h = np.frombuffer(row["part"], np.uint8), np.frombuffer(row["g"]), np.frombuffer(row["h"])
+        node = rank[_descend(m, inner, limit, left, right, lambda r, j: part[j * m + r])]
+        some = np.flatnonzero(node >= 0)
+        if len(some) < m:
+            g, h, node = g[some], h[some], node[some]
+        at = node * (BINS + 1)
+        for k, t in enumerate(total.values()):
+            bins = part[k * m : (k + 1) * m]
+            key = at + (bins[some] if len(some) < m else bins)
+            for to, weights in zip(t, (g, h, None), strict=True):
+                to += np.bincount(key, weights, len(to))
+    return {j: t.reshape(3, len(frontier), BINS + 1) for j, t in total.items()}
+
+
+def _best(found: Iterable[dict], frontier: list[int]) -> dict[int, dict]:
+    """The best cut of each node of a level; of equal ones that by the first feature."""
+    best: dict[int, dict] = {}
+    for cut in found:
+        node, has = frontier[cut["node"]], best.get(frontier[cut["node"]])
+        if cut["n"] and (has is None or (cut["gain"], -cut["feature"]) > (has["gain"], -has["feature"])):
+            best[node] = cut
+    return best
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
 def _unpacked(row: dict, d: int) -> tuple[np.ndarray, ...]:
     """bins, labels, weights, keys and margins of a block."""
     return np.frombuffer(row["bins"], np.uint8).reshape(row["n"], d), *(np.frombuffer(row[c], np.int64 if c == "key" else np.float64) for c in ("y", "w", "key", "margin"))

@@ -157,3 +157,18 @@ def test_a_task_goes_through_several_blocks(spark, monkeypatch):
     assert boosting._tasks(8, 4) == 3 and boosting._tasks(14, 12) == 5 and boosting._tasks(135, 12) == 12 and boosting._tasks(810, 12) == 24
     s = Boosting(rounds=2, step=0.3, max_leaves=5, weight_col="w")
     assert margins(s.fit(df), df) == pytest.approx(list(plain_fit(s, x, y, w, keys(df))), abs=1e-9)
+
+
+def test_a_table_of_one_block_takes_no_job_for_each_level(spark, monkeypatch):
+    """Seven rounds, three to a job: besides those of the rows and their bins three jobs, and the plain booster's margins."""
+    monkeypatch.setattr(boosting, "SNAPSHOT", 3)
+    x, y, w = made(150, 1)
+    df, s = table(spark, x, y, w), Boosting(rounds=7, step=0.3, max_depth=3, weight_col="w")
+    spark.sparkContext.setJobGroup("one-block", "fit")
+    try:
+        model = s.fit(df)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("one-block"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 3 <= jobs < 20 and len(model.trees) == 7
+    assert margins(model, df) == pytest.approx(list(plain_fit(s, x, y, w, keys(df))), abs=1e-9)
