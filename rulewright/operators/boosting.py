@@ -10,29 +10,36 @@ share, rows by a hash of what they hold, so that equal rows are drawn together a
 last tree to the rows' margins and lays out what the round's levels read: bins of the drawn rows and features, gradients and second derivatives. It is kept
 in memory for the round, and written every ``SNAPSHOT`` rounds. A task goes through several blocks and sends one sum for each node and feature, so what
 is shuffled grows with the tasks and not with the blocks.
-A table of a single block is a task's work in any case: one job grows up to ``SNAPSHOT`` rounds there, by the same sums and cuts.
+Where the tasks that can run at once hold all rows (``HELD_BYTES`` each), one barrier job runs all rounds instead: a task keeps its rows' bins and margins,
+and the tasks exchange a level's sums through the shared folder and take the same cuts from them. There, features of two bins that no row has in the upper one together share a
+column, and of two children only the smaller is added up, the other being what is left of their parent.
 With ``start`` the first margins are those of its trees, which the result keeps.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rulewright.sources.scratch import job_settings, temporary_tables, written
+from rulewright.sources.scratch import file_system, job_settings, scratch_table, temporary_tables, written
 
 #: Most bins of a feature, rows of a block, rounds between two writings of the margins.
 BINS, BLOCK_ROWS, SNAPSHOT = 255, 50_000, 32
 #: Fewest and most blocks of a task, as far as the cores allow, and the bytes of sums that a task adds up, about. A task takes a tenth of a second to start.
 BLOCKS_OF_TASK, SUMS_OF_TASK = (4, 40), 16 << 20
+#: Bytes that a task holds of its rows through all rounds, and of a row besides its bins; bytes of a level's sums of all tasks, which each of them gets.
+HELD_BYTES, HELD_ROW, HELD_SUMS = 320 << 20, 80, 64 << 20
 
 BLOCK = "n int, bins binary, y binary, w binary, key binary, margin binary"
 #: A block with what its round reads: bins (feature by feature), gradients and second derivatives of the m drawn rows.
@@ -82,10 +89,10 @@ def _descend(n: int, feature: np.ndarray, limit: np.ndarray, left: np.ndarray, r
         return out
     rows, at = np.arange(n), out
     while len(rows):
-        at = np.where(value(rows, feature[at]) <= limit[at], left[at], right[at])
-        inner = feature[at] >= 0
-        out[rows[~inner]] = at[~inner]
-        rows, at = rows[inner], at[inner]
+        at = np.where(value(rows, feature.take(at)) <= limit.take(at), left.take(at), right.take(at))
+        out[rows] = at
+        on = np.flatnonzero(feature.take(at) >= 0)
+        rows, at = rows.take(on), at.take(on)
     return out
 
 
@@ -100,12 +107,15 @@ class BoostedTrees:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with ``margin``, ``probability_1`` and ``prediction``; trees are as large as rounds and leaves make them."""
-        trees = self.trees
+        trees = [tuple(np.array(c) for c in (t.feature, t.threshold, t.left, t.right, t.value)) for t in self.trees]
 
         @F.pandas_udf(T.DoubleType())
         def margin(features: pd.Series) -> pd.Series:
             values = np.stack(features.to_list()) if len(features) else np.zeros((0, 1))
-            return pd.Series(sum((t.margins(values) for t in trees), np.zeros(len(values))))
+            flat, d, out = values.reshape(-1), values.shape[1], np.zeros(len(values))
+            for *tree, value in trees:
+                out += value.take(_descend(len(values), tree[0], tree[1], tree[2], tree[3], lambda rows, j: flat.take(rows * d + j)))
+            return pd.Series(out)
 
         scored = df.withColumn("margin", margin(as_array(df, self.features_col)))
         return scored.withColumns({"probability_1": 1 / (1 + F.exp(-F.col("margin"))), "prediction": (F.col("margin") > 0).cast("double")})
@@ -153,13 +163,14 @@ class Boosting:
             edges = bin_edges(slim, size["d"])
             n_blocks = -(-size["n"] // BLOCK_ROWS)
             n_tasks = _tasks(n_blocks, rows.sparkSession.sparkContext.defaultParallelism)
+            held = self._held_tasks(rows.sparkSession, size["n"], edges)
+            if held:
+                return BoostedTrees([*first, *self._rounds_held(slim, held, edges, first)], self.features_col)
             blocks, trees = self._written(_blocks(slim.repartition(n_tasks), edges, first)), []
             kept = [blocks]
             try:
                 with job_settings(rows.sparkSession):
-                    while n_blocks == 1 and len(trees) < self.rounds:
-                        trees += self._rounds_of_block(blocks, edges, trees)
-                    for round_ in range(len(trees), self.rounds):
+                    for round_ in range(self.rounds):
                         if round_ and round_ % SNAPSHOT == 0:
                             blocks = self._written(_with_margins(blocks, len(edges), trees[-1:]))
                             last = []
@@ -168,7 +179,7 @@ class Boosting:
                         blocks = self._of_round(blocks, len(edges), last, round_).persist()
                         kept.append(blocks)
                         columns = self.columns(round_, len(edges))
-                        trees.append(self._grow(lambda tree, frontier, of=(blocks, n_tasks, columns): self._best_cuts(*of, tree, frontier), edges))
+                        trees.append(self._grow(lambda tree, frontier, of=(blocks, n_tasks, columns): self._best_cuts(*of, tree, frontier), edges)[0])
                         for old in kept[:-1]:  # the round's first level has read them
                             old.unpersist()
                         kept = kept[-1:]
@@ -198,25 +209,38 @@ class Boosting:
         part = np.ascontiguousarray(bins[some][:, self.columns(round_, d)].T)
         return {c: row[c] for c in ("n", "bins", "y", "w", "key")} | {"margin": margin.tobytes(), "m": int(some.sum()), "part": part.tobytes(), "g": (w * (p - y))[some].tobytes(), "h": (w * p * (1 - p))[some].tobytes()}
 
-    def _rounds_of_block(self, blocks: DataFrame, edges: list[np.ndarray], trees: list[Tree]) -> list[Tree]:
-        """The next trees of a table of one block, at most ``SNAPSHOT``, from one job."""
-        begin, end = len(trees), min(len(trees) + SNAPSHOT, self.rounds)
+    def _held_tasks(self, spark: SparkSession, n: int, edges: list[np.ndarray]) -> int:
+        """How many tasks hold the rows through all rounds, 0 if they or a level's sums are too large for it."""
+        n_tasks = min(-(-n // BLOCK_ROWS), _slots(spark))
+        nodes = min([n, *([2 * self.max_leaves] if self.max_leaves else []), *([2**self.max_depth] if self.max_depth is not None else [])])
+        fits = n_tasks and -(-n // n_tasks) * (2 * len(edges) + HELD_ROW) <= HELD_BYTES and n_tasks * nodes * sum(len(e) + 1 for e in edges) * 3 * 8 <= HELD_SUMS
+        return n_tasks if fits else 0
 
-        def grow(batches):
-            for batch in batches:
-                for row in batch.to_pylist():
-                    last = trees
-                    for round_ in range(begin, end):
-                        row = self._laid_out(row, len(edges), last, round_)
-                        columns = self.columns(round_, len(edges))
-
-                        def best_cuts(tree, frontier, row=row, columns=columns):
-                            return _best(self._found(_sums([row], columns, tree, frontier)), frontier)
+    def _rounds_held(self, slim: DataFrame, n_tasks: int, edges: list[np.ndarray], first: list[Tree]) -> list[Tree]:
+        """The trees of all rounds, from one job whose tasks hold the rows."""
+        folder = scratch_table(slim.sparkSession, "boosting-sums")
 
-                        last = [self._grow(best_cuts, edges)]
-                        yield pa.RecordBatch.from_pylist([{c: getattr(last[0], c) for c in _names(TREE)}], pa.schema([(c, pa.list_(pa.float64() if c in ("threshold", "value") else pa.int32())) for c in _names(TREE)]))
-
-        return [Tree(**r.asDict()) for r in blocks.select(*_names(BLOCK)).mapInArrow(grow, TREE).collect()]
+        def grow(batches):
+            exchange, me = (_Exchange(folder), BarrierTaskContext.get().partitionId()) if n_tasks > 1 else (lambda a: [a], 0)
+            held = _Held(batches, edges, first, exchange)
+            for round_ in range(self.rounds):
+                tree = self._held_round(held, round_, edges, exchange)
+                if me == 0:
+                    yield pa.RecordBatch.from_pylist([{c: getattr(tree, c) for c in _names(TREE)}], pa.schema([(c, pa.list_(pa.float64() if c in ("threshold", "value") else pa.int32())) for c in _names(TREE)]))
+
+        with job_settings(slim.sparkSession):
+            return [Tree(**r.asDict()) for r in slim.repartition(n_tasks).mapInArrow(grow, TREE, barrier=n_tasks > 1).collect()]
+
+    def _held_round(self, held: _Held, round_: int, edges: list[np.ndarray], exchange: Callable) -> Tree:
+        drawn = drawn_rows(held.key, round_, self.seed, self.row_share)
+        rows = np.flatnonzero(drawn)
+        w, p = held.w[rows], sigmoid(held.margin[rows])
+        levels = _Levels(self, held, rows, self.columns(round_, len(edges)), w * (p - held.y[rows]), w * p * (1 - p), exchange)
+        tree, ends = self._grow(levels.best_cuts, edges)
+        others, value = np.flatnonzero(~drawn), np.array(tree.value)
+        held.margin[rows] += value[held.nodes_of(tree, rows, np.array(ends)[levels.node])]  # the last level's cuts are to be gone down yet
+        held.margin[others] += value[held.nodes_of(tree, others, np.zeros(len(others), np.int64))]
+        return tree
 
     def columns(self, round_: int, d: int) -> np.ndarray:
         n = max(1, int(self.column_share * d))
@@ -225,8 +249,9 @@ class Boosting:
     def _value(self, g: float, h: float) -> float:
         return -self.step * g / (h + self.l2) if h + self.l2 > 0 else 0.0
 
-    def _grow(self, best_cuts: Callable, edges: list[np.ndarray]) -> Tree:
-        """One tree, from the best cuts of a level's nodes at a time; then the cuts that best first would take, of those looked at."""
+    def _grow(self, best_cuts: Callable, edges: list[np.ndarray]) -> tuple[Tree, list[int]]:
+        """One tree, from the best cuts of a level's nodes at a time; then the cuts that best first would take, of those looked at. And where in it
+        the rows of each node that was looked at are."""
         full = Tree()
         frontier, cuts, reach = [full.leaf(0.0)], {}, {}  # cuts: node to its best cut; reach: the smallest gain on the way, its own included
         depth = 0
@@ -246,14 +271,18 @@ class Boosting:
                 frontier += self._split(full, node, cuts[node], edges)
         wanted, out = set(self._first(reach)), Tree()
         out.leaf(full.value[0])
-        todo = [(0, 0)]
+        todo, ends = [(0, 0)], [0] * len(full.feature)
         while todo:  # the taken cuts only
             old, node = todo.pop()
+            ends[old] = node
             if old in wanted and full.feature[old] >= 0:
                 out.feature[node], out.bin[node], out.threshold[node] = full.feature[old], full.bin[old], full.threshold[old]
                 out.left[node], out.right[node] = out.leaf(full.value[full.left[old]]), out.leaf(full.value[full.right[old]])
                 todo += [(full.left[old], out.left[node]), (full.right[old], out.right[node])]
-        return out
+        for old in range(len(full.feature)):  # children come after their parents
+            if full.feature[old] >= 0 and out.feature[ends[old]] < 0:
+                ends[full.left[old]] = ends[full.right[old]] = ends[old]
+        return out, ends
 
     def _first(self, reach: dict[int, float]) -> list[int]:
         order = sorted(reach, key=lambda node: (-reach[node], node))  # a node comes after its parent
@@ -304,6 +333,196 @@ class Boosting:
         return [(int(b), float(gain[k, b]), float(gl[k, b]), float(hl[k, b]), int(nl[k, b]), float(g_all[k, 0]), float(h_all[k, 0]), int(n_all[k, 0])) for k, b in enumerate(at)]
 
 
+class _Held:
+    """A task's rows for all rounds: their bins, labels, weights, keys and margins.
+
+    ``columns`` has a row of bins for each feature, but features of two bins next to each other, of which no row anywhere has two in the upper bin, share
+    one: 0 where none is in it, else one more than the place of the one that is. ``members``: the features of a column.
+    """
+
+    def __init__(self, batches: Iterable[pa.RecordBatch], edges: list[np.ndarray], first: list[Tree], exchange: Callable):
+        d, parts = len(edges), [(np.zeros((len(edges), 0), np.uint8), *(np.zeros(0, t) for t in (float, float, np.int64, float)))]
+        for batch in batches:
+            values = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d)
+            bins = np.stack([np.searchsorted(e, values[:, j]) for j, e in enumerate(edges)]).astype(np.uint8)
+            parts.append((bins, *(batch[c].to_numpy(zero_copy_only=False) for c in ("y", "w", "key")), sum((t.margins(values) for t in first), np.zeros(len(values)))))
+        self.y, self.w, self.key, self.margin = (np.concatenate([p[i] for p in parts]) for i in range(1, 5))
+        bins = [np.concatenate([p[0][j] for p in parts]) for j in range(d)]
+        del parts
+        ends = np.min(exchange(np.array(_exclusive(bins, [len(e) == 1 for e in edges]), np.float64)), axis=0).astype(int)
+        self.members, j = [], 0
+        while j < d:
+            self.members.append(range(j, ends[j]))
+            j = ends[j]
+        self.column_of = np.repeat(np.arange(len(self.members)), [len(m) for m in self.members])
+        self.widths = np.array([len(m) + 1 if len(m) > 1 else len(edges[m[0]]) + 1 for m in self.members])
+        self.columns = np.empty((len(self.members), len(self.y)), np.uint8)
+        for column, m in zip(self.columns, self.members, strict=True):
+            column[:] = bins[m[0]]
+            for k, j in enumerate(m):
+                if k:
+                    column[bins[j] > 0] = k + 1
+
+    def goes_right(self, feature: int, limit: int) -> np.ndarray:
+        """By the value in the feature's column, whether a row is above a cut."""
+        m = self.members[self.column_of[feature]]
+        return np.arange(BINS + 1) == feature - m[0] + 1 if len(m) > 1 else np.arange(BINS + 1) > limit
+
+    def nodes_of(self, tree: Tree, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The leaf of each of some rows, from the nodes that they are at."""
+        inner = np.array([f >= 0 for f in tree.feature])
+        to, column = np.zeros((len(inner), BINS + 1), np.int64), np.zeros(len(inner), np.int64)
+        for i in np.flatnonzero(inner):
+            column[i] = self.column_of[tree.feature[i]]
+            to[i] = np.where(self.goes_right(tree.feature[i], tree.bin[i]), tree.right[i], tree.left[i])
+        flat, n = self.columns.reshape(-1), len(self.y)
+        left = np.flatnonzero(inner.take(at))
+        out, at = at, at.take(left)
+        while len(left):
+            at = to.reshape(-1).take(at * (BINS + 1) + flat.take(column.take(at) * n + rows.take(left)))
+            out[left] = at
+            on = np.flatnonzero(inner.take(at))
+            left, at = left.take(on), at.take(on)
+        return out
+
+
+def _exclusive(bins: list[np.ndarray], two: list[bool]) -> list[int]:
+    """For each feature, where those from it on end that can share its column."""
+    ends, end = [], 0
+    for j, here in enumerate(bins):
+        if end <= j:
+            end, taken = j + 1, here > 0
+        while two[j] and end < len(bins) and two[end] and end - j < BINS and not (taken & (bins[end] > 0)).any():
+            taken, end = taken | (bins[end] > 0), end + 1
+        ends.append(end)
+        taken = taken & (here == 0)
+    return ends
+
+
+class _Exchange:
+    """Gives the tasks of a barrier job each other's arrays, in the same order everywhere, through files of the shared folder: a message of Spark's own
+    barrier takes a second."""
+
+    def __init__(self, folder: str):
+        context = BarrierTaskContext.get()
+        self.store, path = file_system(folder)
+        self.me, self.step = context.partitionId(), 0
+        names = context.allGather(uuid.uuid4().hex)  # anew for each attempt, and all tasks run from here on
+        self.n, self.path = len(names), f"{path}/{names[0]}"
+        self.store.create_dir(self.path)
+
+    def __call__(self, a: np.ndarray) -> list[np.ndarray]:
+        mine = f"{self.path}/{self.step}-{self.me}"
+        with self.store.open_output_stream(f"{mine}-part") as out:
+            out.write(a.tobytes())
+        self.store.move(f"{mine}-part", mine)
+        got = [a if k == self.me else np.frombuffer(self._read(f"{self.path}/{self.step}-{k}")).reshape(a.shape) for k in range(self.n)]
+        if self.step:  # whoever has sent this step's array has read those of the one before
+            self.store.delete_file(f"{self.path}/{self.step - 1}-{self.me}")
+        self.step += 1
+        return got
+
+    def _read(self, path: str) -> bytes:
+        wait = 0.0003
+        while True:
+            try:
+                with self.store.open_input_stream(path) as there:
+                    return there.read()
+            except FileNotFoundError:
+                time.sleep(wait)
+                wait = min(wait * 1.3, 0.02)
+
+
+class _Levels:
+    """The best cuts of a round's levels from rows that tasks hold. ``node``: of each drawn row, the last of the nodes looked at that it is in."""
+
+    def __init__(self, settings: Boosting, held: _Held, rows: np.ndarray, features: np.ndarray, g: np.ndarray, h: np.ndarray, exchange: Callable):
+        self.settings, self.held, self.g, self.h, self.exchange = settings, held, g, h, exchange
+        used = np.unique(held.column_of[features])
+        self.part = np.stack([held.columns[c].take(rows) for c in used])
+        self.widths, self.place = held.widths[used], {int(c): i for i, c in enumerate(used)}
+        self.starts = np.cumsum(self.widths) - self.widths
+        drawn = set(features.tolist())
+        self.members = [[(j, k) for k, j in enumerate(held.members[c]) if j in drawn] for c in used]
+        self.shared = [len(held.members[c]) > 1 for c in used]
+        self.node = np.zeros(len(rows), np.int32)
+        self.rows, self.slot = np.arange(len(rows)), np.zeros(len(rows), np.int64)  # rows still in an open node, and in which
+        self.frontier: list[int] = []
+
+    def best_cuts(self, tree: Tree, frontier: list[int]) -> dict[int, dict]:
+        if not self.frontier:
+            self.sums = self._added_up(None, self.slot, 1)
+        else:
+            self._go_down(tree, frontier)
+            parents = [self.frontier.index(i) for i in self.frontier if tree.feature[i] >= 0]
+            right = np.array([2 * self.found[self.frontier[p]]["n_left"] > self.found[self.frontier[p]]["n"] for p in parents])  # the smaller child
+            some = np.flatnonzero((self.slot & 1) == right[self.slot >> 1])
+            one = self._added_up(self.rows[some], self.slot[some] >> 1, len(parents))
+            other = self.sums[:, parents] - one
+            other[:, other[2] == 0] = 0.0
+            self.sums = np.empty((3, len(frontier), one.shape[2]))
+            of = np.arange(len(parents)) * 2
+            self.sums[:, of + right], self.sums[:, of + ~right] = one, other
+        self.frontier = frontier
+        self.found = self._found()
+        return self.found
+
+    def _go_down(self, tree: Tree, frontier: list[int]) -> None:
+        at = {node: k for k, node in enumerate(frontier)}
+        to, column = np.full((len(self.frontier), BINS + 1), -1), np.zeros(len(self.frontier), np.int64)
+        for k, i in enumerate(self.frontier):
+            if tree.feature[i] >= 0:
+                column[k] = self.place[int(self.held.column_of[tree.feature[i]])]
+                to[k] = np.where(self.held.goes_right(tree.feature[i], tree.bin[i]), at[tree.right[i]], at[tree.left[i]])
+        values = self.part.reshape(-1).take((column * self.part.shape[1]).take(self.slot) + self.rows)
+        slot = to.reshape(-1).take(self.slot * (BINS + 1) + values)
+        stays = np.flatnonzero(slot >= 0)
+        if len(stays) < len(slot):
+            self.rows, slot = self.rows[stays], slot[stays]
+        self.slot = slot
+        self.node[self.rows] = np.array(frontier, np.int32).take(slot)
+
+    def _added_up(self, rows: np.ndarray | None, slot: np.ndarray, n: int) -> np.ndarray:
+        """Gradients, second derivatives and rows of all tasks by (slot, value of a column)."""
+        out = np.empty((3, n, int(self.widths.sum())))
+        g, h = (self.g, self.h) if rows is None else (self.g.take(rows), self.h.take(rows))
+        for values, width, start in zip(self.part, self.widths, self.starts, strict=True):
+            key = slot * width + (values if rows is None else values.take(rows))
+            for to, weights in zip(out, (g, h, None), strict=True):
+                to[:, start : start + width] = np.bincount(key, weights, n * width).reshape(n, width)
+        first, *more = self.exchange(out)
+        total = first.copy()
+        for other in more:
+            total += other
+        return total
+
+    def _found(self) -> dict[int, dict]:
+        s, n = self.settings, len(self.frontier)
+        best, feature, at, left = np.full(n, -np.inf), np.full(n, -1), np.zeros(n, np.int64), np.zeros((3, n))
+        score = lambda a, b: a * a / np.maximum(b + s.l2, 1e-300)
+        for members, shared, width, start in zip(self.members, self.shared, self.widths, self.starts, strict=True):
+            up_to = np.cumsum(self.sums[:, :, start : start + width], axis=2)
+            total = up_to[:, :, -1:]
+            if feature[0] < 0:
+                whole = total[:, :, 0]
+                feature[:] = members[0][0]
+                left[:] = whole
+            below = total - self.sums[:, :, [start + 1 + k for _, k in members]] if shared else up_to[:, :, :-1]
+            if not below.shape[2]:
+                continue
+            above = total - below
+            gain = score(below[0], below[1]) + score(above[0], above[1]) - score(total[0], total[1])
+            ok = (np.minimum(below[1], above[1]) >= s.least_hessian) & (np.minimum(below[2], above[2]) >= max(s.least_rows, 1))
+            gain = np.where(ok, gain, -np.inf)
+            k = gain.argmax(axis=1)
+            most = gain[np.arange(n), k]
+            more = np.flatnonzero(most > best)
+            best[more], left[:, more] = most[more], below[:, more, k[more]]
+            feature[more], at[more] = (np.array([j for j, _ in members])[k[more]], 0) if shared else (members[0][0], k[more])
+        rows = zip(self.frontier, feature.tolist(), at.tolist(), best.tolist(), *left.tolist(), *whole.tolist(), strict=True)
+        return {row[0]: dict(zip(_names(CUTS), row, strict=True)) for row in rows if row[-1]}
+
+
 def _arrow(ddl: str) -> list[tuple]:
     kinds = {"int": pa.int32(), "double": pa.float64(), "long": pa.int64(), "binary": pa.binary()}
     return [(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))]
@@ -315,6 +534,15 @@ def _tasks(n_blocks: int, cores: int) -> int:
     return min(-(-n_blocks // least), cores * max(1, -(-n_blocks // (most * cores))))
 
 
+def _slots(spark: SparkSession) -> int:
+    """Tasks that a barrier job can run at once; 1, which needs no barrier, where executors come and go."""
+    context = spark.sparkContext
+    if context.getConf().get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        return 1
+    jvm = context._jsc.sc()
+    return max(1, min(context.defaultParallelism, jvm.maxNumConcurrentTasks(jvm.resourceProfileManager().defaultResourceProfile())))
+
+
 def bin_edges(slim: DataFrame, d: int) -> list[np.ndarray]:
     """The upper ends of each feature's bins but the last: its values but the largest if they are few, else quantiles of its distinct values. The driver
     gets at most ``BINS`` numbers for each feature."""

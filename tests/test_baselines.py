@@ -37,6 +37,14 @@ def test_registered_settings(spark, monkeypatch, name):
     spark.catalog.clearCache()
 
 
+@pytest.mark.parametrize(("name", "rounds", "step"), [("h11_baseline_boosting_a", 600, 0.05)])
+def test_registered_boosting_runs_all_rounds(spark, monkeypatch, name, rounds, step):
+    fits = []
+    monkeypatch.setattr(Boosting, "fit", lambda self, rows, start=None: fits.append(self) or 1 / 0)
+    assert queries.QUERIES[name](spark, f"{DATA}/sf0.001").first()["status"] == "failed"
+    assert [(f.rounds, f.step) for f in fits] == [(rounds, step)]
+
+
 def test_full_settings():
     of = lambda name, *params: _settings(baselines.make_baseline(name, 10, 3), params)
     assert of("boosting_a", "rounds", "step") == {"rounds": 600, "step": 0.05}

@@ -172,3 +172,46 @@ def test_a_table_of_one_block_takes_no_job_for_each_level(spark, monkeypatch):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert 3 <= jobs < 20 and len(model.trees) == 7
     assert margins(model, df) == pytest.approx(list(plain_fit(s, x, y, w, keys(df))), abs=1e-9)
+
+
+@pytest.mark.parametrize("s", SETTINGS)
+def test_rows_that_tasks_do_not_hold_take_a_job_for_each_level(spark, s, monkeypatch):
+    """The plain booster's margins there too."""
+    monkeypatch.setattr(boosting, "SNAPSHOT", 2)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(boosting, "HELD_BYTES", 0)
+    monkeypatch.setattr(Boosting, "_rounds_held", None)
+    x, y, w = made(150, 1)
+    df = table(spark, x, y, w)
+    assert margins(s.fit(df.repartition(3)), df) == pytest.approx(list(plain_fit(s, x, y, w if s.weight_col else np.ones(150), keys(df))), abs=1e-9)
+
+
+@pytest.mark.parametrize("max_leaves", [None, 9])
+def test_all_rounds_of_several_blocks_in_one_job(spark, monkeypatch, max_leaves):
+    """Tasks that hold their rows, with features of two bins that share a column and others that don't: the margins of a job for each level."""
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 100)
+    x, y, w = made(300, 5)
+    kind, other = np.random.default_rng(6).integers(0, 4, (2, 300))
+    x = np.concatenate([x, np.stack([kind == k for k in range(4)], axis=1), (x[:, :1] > 1), np.stack([other == k for k in range(3)], axis=1), np.ones((300, 1))], axis=1).astype(float)
+    y = ((x[:, 0] > 2) ^ (kind == 2) ^ (other == 1)).astype(float)
+    df, s = table(spark, x, y, w), Boosting(rounds=12, step=0.3, max_depth=None if max_leaves else 4, max_leaves=max_leaves, weight_col="w")
+    first = Boosting(rounds=2, step=0.3, max_depth=2).fit(df)
+    monkeypatch.setattr(boosting, "HELD_BYTES", 0)
+    want = s.fit(df, start=first)
+    monkeypatch.undo()
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(Boosting, "_best_cuts", None)
+    seen, real = [], Boosting._rounds_held
+    monkeypatch.setattr(Boosting, "_rounds_held", lambda self, slim, n_tasks, *more: seen.append(n_tasks) or real(self, slim, n_tasks, *more))
+    model = s.fit(df, start=first)
+    assert seen == [3] and model.trees[:2] == first.trees and len(model.trees) == 14
+    assert margins(model, df) == pytest.approx(margins(want, df), abs=1e-9)
+    if not max_leaves:
+        assert margins(model, df) == pytest.approx(list(plain_fit(s, x, y, w, keys(df), start=margins(first, df))), abs=1e-9)
+
+
+def test_columns_of_features_that_no_row_has_together():
+    """One-hot features share a column; one that meets another starts its own."""
+    hot = np.eye(3, dtype=np.uint8)[np.array([0, 1, 2, 0])]
+    bins = [np.array([5, 0, 1, 2], np.uint8), *hot.T, np.array([1, 1, 0, 0], np.uint8), np.array([0, 0, 1, 0], np.uint8)]
+    assert boosting._exclusive(bins, [False, True, True, True, True, True]) == [1, 4, 4, 5, 6, 6]
