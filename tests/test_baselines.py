@@ -37,7 +37,7 @@ def test_registered_settings(spark, monkeypatch, name):
     spark.catalog.clearCache()
 
 
-@pytest.mark.parametrize(("name", "rounds", "step"), [("h11_baseline_boosting_a", 600, 0.05)])
+@pytest.mark.parametrize(("name", "rounds", "step"), [("h11_baseline_boosting_a", 600, 0.05), ("h11_baseline_boosting_b", 1200, 0.03)])
 def test_registered_boosting_runs_all_rounds(spark, monkeypatch, name, rounds, step):
     fits = []
     monkeypatch.setattr(Boosting, "fit", lambda self, rows, start=None: fits.append(self) or 1 / 0)
