@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulewright.operators import baselines
-from rulewright.operators.boosting import Boosting
+from rulewright.operators.boosting import BoostedTrees, Boosting
 from rulewright.operators.exact_tree import ExactTree
 from rulewright.operators.net import Net
 from rulewright.plans import queries
@@ -45,6 +45,21 @@ def test_registered_boosting_runs_all_rounds(spark, monkeypatch, name, rounds, s
     assert [(f.rounds, f.step) for f in fits] == [(rounds, step)]
 
 
+def test_drift_study_runs_all_rounds(spark, monkeypatch):
+    """Both boostings: the first stage's rounds, the same on the shared features, and those that the second stage adds."""
+    fits = []
+
+    def fit(self, rows, start=None):
+        fits.append((self.rounds, self.step, self.max_depth, start is not None))
+        return BoostedTrees([])
+
+    monkeypatch.setattr(Boosting, "fit", fit)
+    two = baselines.two_stage_baselines
+    monkeypatch.setattr(baselines, "two_stage_baselines", lambda one, other, *args, **kwargs: two(one, other, *args, models=("boosting_a", "boosting_b"), **kwargs))
+    assert {r["status"] for r in queries.QUERIES["h12_h16_two_stage_baselines"](spark, f"{DATA}/sf0.01").collect()} == {"ok"}
+    assert fits == [(200, 0.05, 5, False), (200, 0.05, 5, False), (200, 0.05, 5, True), (300, 0.05, None, False), (300, 0.05, None, False), (200, 0.05, None, True)]
+
+
 def test_full_settings():
     of = lambda name, *params: _settings(baselines.make_baseline(name, 10, 3), params)
     assert of("boosting_a", "rounds", "step") == {"rounds": 600, "step": 0.05}
