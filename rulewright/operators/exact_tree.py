@@ -1,6 +1,6 @@
 """A classification tree of two classes that tries every cut of every feature, without a bound on its depth.
 
-Equal rows are added up first, so copies weigh but don't multiply. A node with more than ``task_rows`` different rows (a million for twelve features) is cut by Spark: counts by (node,
+Equal rows are added up first, so copies weigh but don't multiply. A node with more than ``task_rows`` different rows (eight million for twelve features) is cut by Spark: counts by (node,
 feature, value) go to ranges of a sample sort, running sums inside the tasks and the totals of the tasks before give both classes below each value, and
 the best cut of each node is an aggregation. A smaller node is grown to its end inside one task. Both ways score a cut by the same operations on the same
 whole numbers, so where one ends and the other begins changes no cut. Cuts and subtrees are tables; the driver knows how many nodes are open.
@@ -11,20 +11,22 @@ cut, also without a drop, until they hold one class or one row. A leaf predicts
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rulewright.operators.boosting import as_array
+from rulewright.operators.boosting import _exclusive, as_array
 from rulewright.sources.scratch import temporary_tables, written
 
 #: Numbers (rows times features) that a task grows to the end, rows that a task has at least for it, rows that meet a subtree together.
-NUMBERS, TASK_ROWS, MET_ROWS = 12_000_000, 50_000, 100_000
+NUMBERS, TASK_ROWS, MET_ROWS = 96_000_000, 50_000, 100_000
+#: Rows whose cuts by a sorted feature are scored at once.
+CUTS_AT_ONCE = 1 << 15
 
 SUBTREE = "node long, feature array<int>, threshold array<double>, left array<int>, right array<int>, share array<double>"
 
@@ -39,13 +41,28 @@ def _clean(df: DataFrame, name: str) -> Column:
 
 
 def grown(x: np.ndarray, n: np.ndarray, weights: tuple[float, float]) -> dict[str, np.ndarray]:
-    """The whole tree below rows ``x`` with counts ``n`` (rows, 2): node i goes left where its feature is at most its threshold; a leaf has feature -1.
+    """The whole tree below rows ``x`` with counts ``n`` (rows, 2): node i goes left where its feature is at most its threshold; a leaf has feature -1."""
+    return _grown([_slim(x)], n, weights)
 
-    All nodes of a level are cut together: each feature is sorted once, and its order is parted in place as nodes are cut, so a level costs a few passes
-    over the rows of its open nodes, however many nodes they are.
+
+def _slim(x: np.ndarray) -> list[np.ndarray]:
+    """The columns of some rows, those of 0 and 1 only as bytes."""
+    return [(v.astype(np.uint8) if ((v == 0) | (v == 1)).all() else v.copy()) for v in x.T]
+
+
+def _grown(parts: list[list[np.ndarray]], n: np.ndarray, weights: tuple[float, float]) -> dict[str, np.ndarray]:
+    """As ``grown``, from the columns of the rows' parts.
+
+    All nodes of a level are cut together, and the rows are kept grouped by node in several orders: each feature is sorted once, and its order is parted
+    as nodes are cut, left children before right ones, so a level costs a few passes over the rows of its open nodes, however many nodes they are. Features
+    of 0 and 1 are counted and not sorted, together where no row has two of them (one-hot columns).
     """
-    x, counts = np.ascontiguousarray(x.T), np.ascontiguousarray(n.T.astype(np.int64))
-    d, size = x.shape
+    d, size = len(parts[0]), len(n)
+    x = []
+    for j in range(d):
+        x.append(np.concatenate([p[j] for p in parts]))
+        for p in parts:
+            p[j] = None
     out: dict[str, list[np.ndarray]] = {c: [] for c in ("feature", "threshold", "left", "right", "share")}
 
     def add(totals: np.ndarray) -> np.ndarray:
@@ -57,73 +74,113 @@ def grown(x: np.ndarray, n: np.ndarray, weights: tuple[float, float]) -> dict[st
             out[c].append(values)
         return np.arange(first, first + len(w1))
 
-    total = counts.sum(axis=1, keepdims=True)
-    ids = add(total)  # the open nodes and their rows, which are numbered by node in every order
-    orders = [np.argsort(v, kind="stable").astype(np.int32) for v in x]
-    sizes = np.array([size])
-    node_of = np.zeros(size, np.int32)
+    counts = n.astype(np.int64 if size and n.max() > 2**31 - 1 else np.int32)
+    total = n.sum(axis=0, dtype=np.int64)[:, None]
+    ids, sizes = add(total), np.array([size])  # the open nodes, in the order that every layout of the rows has them in
+    # layouts: the rows' numbers, counts and values in the order of a numeric feature; the first has the columns of bytes instead
+    two = [v.dtype == np.uint8 for v in x]
+    ends, groups, j = _exclusive([v if t else np.zeros(0, np.uint8) for v, t in zip(x, two, strict=True)], two), [], 0
+    while j < d:
+        if two[j]:
+            groups.append(range(j, ends[j]))
+        j = ends[j]
+    shared = [sum((x[j] * np.uint8(k + 1) for k, j in enumerate(g)), np.zeros(size, np.uint8)) for g in groups]
+    layouts = [[np.arange(size), counts[:, 0], counts[:, 1], *shared]]
+    numeric = [j for j in range(d) if not two[j]]
+    for j in numeric:
+        o = np.argsort(x[j], kind="stable")
+        layouts.append([o, counts[o, 0], counts[o, 1], x[j][o]])
+        x[j] = None
+    del x, shared, counts, n
+    in_order = sorted([(g[0], k) for k, g in enumerate(groups)] + [(j, k) for k, j in enumerate(numeric)])
     if not (total > 0).all():
         ids = ids[:0]
     while len(ids):
-        starts = np.cumsum(sizes) - sizes
-        at = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-        best = np.full(len(ids), -np.inf)
-        feature, low, high = np.full(len(ids), -1), np.zeros(len(ids)), np.zeros(len(ids))
-        for j, o in enumerate(orders):
-            v = x[j][o]
-            some = np.flatnonzero((v[:-1] < v[1:]) & (at[:-1] == at[1:]))
-            if not len(some):
-                continue
-            node = at[some]
-            below = []
-            for c in counts:
-                up_to = np.cumsum(c[o])
-                below.append(up_to[some] - (up_to[starts] - c[o[starts]])[node])
-            l0, l1 = below
-            score = _score(l0 * weights[0], l1 * weights[1], (total[0][node] - l0) * weights[0], (total[1][node] - l1) * weights[1])
-            firsts = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1])
-            nodes, most = node[firsts], np.maximum.reduceat(score, firsts)
-            hit = np.flatnonzero(score == np.repeat(most, np.diff(np.append(firsts, len(node)))))
-            place = np.zeros(len(ids), np.int64)
-            place[node[hit[::-1]]] = some[hit[::-1]]  # the first of equal ones is set last
-            nodes = nodes[most > best[nodes]]
-            k = place[nodes]
-            best[nodes] = most[np.searchsorted(node[firsts], nodes)]
-            feature[nodes], low[nodes], high[nodes] = j, v[k], v[k + 1]
+        at = np.repeat(np.arange(len(ids)), sizes)
+        before = np.cumsum(total, axis=1) - total
+        best, feature, place = np.full(len(ids), -np.inf), np.full(len(ids), -1), np.zeros(len(ids), np.int64)
+        low, high, left = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros((2, len(ids)), np.int64)
+        for j, k in in_order:
+            if two[j]:
+                _cut_bytes(groups[k], layouts[0][3 + k], layouts[0][1:3], at, total, weights, best, feature, place, low, high, left)
+            else:
+                _cut_sorted(j, layouts[1 + k], at, total, before, weights, best, feature, place, low, high, left)
         cut = feature >= 0
-        rows = orders[0]
-        of = node_of[rows]
         goes_left = np.zeros(size, bool)
-        goes_left[rows] = x[feature[of], rows] <= low[of]
-        left = np.stack([np.bincount(of, c[rows] * goes_left[rows], len(ids)) for c in counts]).astype(np.int64)
-        n_left = np.bincount(of, goes_left[rows], len(ids)).astype(np.int64)
-        children = np.stack([left, total - left], axis=2)[:, cut].reshape(2, -1)  # left and right in turn
-        child_sizes = np.stack([n_left, sizes - n_left], axis=1)[cut].reshape(-1)
-        new = add(children)
-        for c, values in (("feature", feature[cut]), ("threshold", _halfway_each(low[cut], high[cut])), ("left", new[::2]), ("right", new[1::2])):
+        for j, k in in_order:
+            by = (feature >= j) & (feature < groups[k][-1] + 1) if two[j] else feature == j
+            if not by.any():
+                continue
+            rows = np.flatnonzero(np.repeat(by, sizes))
+            if two[j]:
+                rows = rows[layouts[0][3 + k].take(rows) != place.take(at.take(rows))]
+                goes_left[layouts[0][0].take(rows)] = True
+            else:
+                rows = rows[rows <= place.take(at.take(rows))]
+                goes_left[layouts[1 + k][0].take(rows)] = True
+        n_left = np.add.reduceat(goes_left[layouts[0][0]], np.cumsum(sizes) - sizes, dtype=np.int64)
+        new = [add(left[:, cut]), add((total - left)[:, cut])]
+        for c, values in (("feature", feature[cut]), ("threshold", _halfway_each(low[cut], high[cut])), ("left", new[0]), ("right", new[1])):
             _put(out[c], ids[cut], values)
-        stays = (children > 0).all(axis=0)
-        first = np.full(len(new), -1)
-        first[stays] = np.cumsum(child_sizes[stays]) - child_sizes[stays]
-        to = np.full((len(ids), 2), -1)
-        to[cut] = first.reshape(-1, 2)
-        numbers = np.full((len(ids), 2), -1, np.int32)
-        numbers[cut] = np.where(stays, np.cumsum(stays) - 1, -1).reshape(-1, 2)
-        n_rows = int(child_sizes[stays].sum())
-        for j, o in enumerate(orders):
-            mine = goes_left[o]
-            before = np.cumsum(mine)
-            before -= mine + (before[starts] - mine[starts])[at]  # rows of the node that went left before this one
-            place = np.where(mine, to[at, 0], to[at, 1])
-            keep = np.flatnonzero(place >= 0)
-            place = place[keep] + np.where(mine[keep], before[keep], keep - starts[at[keep]] - before[keep])
-            orders[j] = np.empty(n_rows, np.int32)
-            orders[j][place] = o[keep]
-        node_of[rows] = np.where(goes_left[rows], numbers[of, 0], numbers[of, 1])
-        ids, sizes, total = new[stays], child_sizes[stays], children[:, stays]
+        stays = [cut & (side > 0).all(axis=0) for side in (left, total - left)]
+        stay = [np.repeat(s, sizes) for s in stays]
+        for k, layout in enumerate(layouts):
+            mine = goes_left.take(layout[0])
+            keep = np.concatenate([np.flatnonzero(mine & stay[0]), np.flatnonzero(~mine & stay[1])])
+            layouts[k] = [c.take(keep) for c in layout]
+        ids = np.concatenate([new[k][stays[k][cut]] for k in (0, 1)])
+        total = np.concatenate([left[:, stays[0]], (total - left)[:, stays[1]]], axis=1)
+        sizes = np.concatenate([n_left[stays[0]], (sizes - n_left)[stays[1]]])
     return {c: np.concatenate(parts) for c, parts in out.items()}
 
 
+def _cut_sorted(j, layout, at, total, before, weights, best, feature, place, low, high, left):
+    """Betters the nodes' best cuts by those of a sorted feature; ``place`` is the last row below."""
+    _, c0, c1, v = layout
+    run = np.zeros(2, np.int64)
+    for begin in range(0, len(v) - 1, CUTS_AT_ONCE):
+        end = min(begin + CUTS_AT_ONCE, len(v) - 1)
+        here = at[begin:end]
+        up_to = [np.cumsum(c[begin:end], dtype=np.int64) + r for c, r in zip((c0, c1), run, strict=True)]
+        run = np.array([u[-1] for u in up_to])
+        some = np.flatnonzero((v[begin:end] < v[begin + 1 : end + 1]) & (here == at[begin + 1 : end + 1]))
+        if not len(some):
+            continue
+        node = here.take(some)
+        firsts = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1])
+        nodes, n_cuts = node[firsts], np.diff(np.append(firsts, len(node)))
+        l0, l1 = (u.take(some) - np.repeat(b[nodes], n_cuts) for u, b in zip(up_to, before, strict=True))
+        r0, r1 = (np.repeat(t[nodes], n_cuts) - below for t, below in zip(total, (l0, l1), strict=True))
+        score = _score(l0 * weights[0], l1 * weights[1], r0 * weights[0], r1 * weights[1])
+        most = np.maximum.reduceat(score, firsts)
+        more = np.flatnonzero(most > best[nodes])
+        if not len(more):
+            continue
+        if len(more) < len(nodes):
+            most = np.where(most > best[nodes], most, np.inf)
+        hit = np.flatnonzero(score == np.repeat(most, n_cuts))
+        hit = hit[np.concatenate([[0], np.flatnonzero(node[hit[1:]] != node[hit[:-1]]) + 1])]  # the first of equal ones
+        nodes, k = node[hit], some[hit] + begin
+        best[nodes], feature[nodes], place[nodes], low[nodes], high[nodes] = score[hit], j, k, v[k], v[k + 1]
+        left[0, nodes], left[1, nodes] = l0[hit], l1[hit]
+
+
+def _cut_bytes(group, values, counts, at, total, weights, best, feature, place, low, high, left):
+    """Betters the nodes' best cuts by those of features that share a column of bytes; ``place`` is the byte of the rows above."""
+    width = len(group) + 1
+    key = at * width + values
+    a0, a1 = (np.bincount(key, c, len(best) * width).reshape(-1, width)[:, 1:].astype(np.int64) for c in counts)
+    l0, l1 = total[0][:, None] - a0, total[1][:, None] - a1
+    ok = (a0 + a1 > 0) & (l0 + l1 > 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = np.where(ok, _score(l0 * weights[0], l1 * weights[1], (total[0][:, None] - l0) * weights[0], (total[1][:, None] - l1) * weights[1]), -np.inf)
+    k = score.argmax(axis=1)
+    nodes = np.flatnonzero(score[np.arange(len(best)), k] > best)
+    k = k[nodes]
+    best[nodes], feature[nodes], place[nodes], low[nodes], high[nodes] = score[nodes, k], group[0] + k, k + 1, 0.0, 1.0
+    left[0, nodes], left[1, nodes] = l0[nodes, k], l1[nodes, k]
+
+
 def _halfway_each(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Between a and b, but a where no number lies between."""
     mid = a + (b - a) / 2
@@ -131,10 +188,14 @@ def _halfway_each(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _put(levels: list[np.ndarray], ids: np.ndarray, values: np.ndarray) -> None:
-    """Sets entries of the level before the last, whose numbers end where the last one's begin."""
+    """Sets entries of the two lists before the last two, a level's right nodes and its left ones, or of the first node."""
     if len(ids):
-        level = levels[-2]
-        level[ids - sum(map(len, levels[:-2]))] = values
+        parts = levels[-4:-2] if len(levels) > 3 else levels[:1]
+        first = sum(map(len, levels[: -2 - len(parts)]))
+        for part in parts:
+            some = (ids >= first) & (ids < first + len(part))
+            part[ids[some] - first] = values[some]
+            first += len(part)
 
 
 def _running(batches):
@@ -275,12 +336,20 @@ class ExactTree:
 
     @staticmethod
     def _subtrees(small: list[DataFrame], leaves: list[DataFrame], weights: tuple[float, float]) -> DataFrame:
-        def grow(rows: pd.DataFrame) -> pd.DataFrame:
-            tree = grown(np.stack(rows["x"].to_list()), rows[["n0", "n1"]].to_numpy(), weights)
-            return pd.DataFrame({"node": [int(rows["node"].iloc[0])], **{c: [v] for c, v in tree.items()}})
+        def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts, counts, node = [], [], None
+            for batch in batches:
+                if batch.num_rows:
+                    node = batch["node"][0].as_py()
+                    counts.append(np.stack([batch["n0"].to_numpy(), batch["n1"].to_numpy()], axis=1))
+                    parts.append(_slim(batch["x"].flatten().to_numpy().reshape(batch.num_rows, -1)))
+            counts[:] = [np.concatenate(counts)]
+            tree = _grown(parts, counts.pop(), weights)
+            kinds = {"feature": pa.int32(), "threshold": pa.float64(), "left": pa.int32(), "right": pa.int32(), "share": pa.float64()}
+            yield pa.RecordBatch.from_pydict({"node": pa.array([node], pa.int64()), **{c: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, kinds[c])) for c, v in tree.items()}})
 
         below, ends = small[0], leaves[0]
         for s, e in zip(small[1:], leaves[1:], strict=True):
             below, ends = below.unionByName(s), ends.unionByName(e)
         one = {"feature": F.array(F.lit(-1)), "threshold": F.array(F.lit(0.0)), "left": F.array(F.lit(-1)), "right": F.array(F.lit(-1)), "share": F.array((F.col("t1") > 0).cast("double"))}
-        return written(below.groupBy("node").applyInPandas(grow, SUBTREE).unionByName(ends.select("node", *[c.alias(name) for name, c in one.items()])), "tree-below", keep=True)
+        return written(below.groupBy("node").applyInArrow(grow, SUBTREE).unionByName(ends.select("node", *[c.alias(name) for name, c in one.items()])), "tree-below", keep=True)

@@ -104,3 +104,33 @@ def test_a_task_grows_all_nodes_of_a_level_together(spark):
     with temporary_tables():
         fitted = ExactTree().fit(rows)
         assert not fitted.cuts and fitted.transform(rows).where("prediction <> label").count() == 0
+
+
+def test_a_task_takes_a_million_rows_and_more(spark):
+    """1,050,000 different rows of twelve features, ten of them 0 and 1: no level is Spark's."""
+    id_ = F.col("id")
+    rows = spark.range(1_050_000).select(F.array(id_.cast("double"), (id_ % 1000).cast("double"), *[(id_ % 10 == k).cast("double") for k in range(10)]).alias("features"), ((id_ > 700_000) != (id_ % 10 == 3)).cast("int").alias("label"))
+    with temporary_tables():
+        fitted = ExactTree().fit(rows)
+        assert not fitted.cuts and fitted.transform(rows).where("prediction <> label").count() == 0
+
+
+@pytest.mark.parametrize("at_once", [5, 1 << 15])
+def test_one_hot_columns_and_cuts_in_parts(monkeypatch, at_once):
+    """Features of 0 and 1 that share a column, that meet, and that lie between others; scores as the plain tree's."""
+    from rulewright.operators import exact_tree
+
+    monkeypatch.setattr(exact_tree, "CUTS_AT_ONCE", at_once)
+    rng = np.random.default_rng(11)
+    hot, other = np.eye(4)[rng.integers(0, 4, 150)], np.eye(3)[rng.integers(0, 3, 150)]
+    x = np.concatenate([hot, rng.integers(0, 9, (150, 1)) / 2, other[:, :2], rng.random((150, 2)) < 0.4, np.ones((150, 1)), rng.integers(0, 3, (150, 1))], axis=1)
+    y = (x[:, 2] + x[:, 4] * x[:, 6] + rng.random(150) > 1.2).astype(int)
+    rows, at = np.unique(x, axis=0, return_inverse=True)
+    counts = np.stack([np.bincount(at.reshape(-1), y == k, len(rows)) for k in (0, 1)], axis=1).astype(np.int64)
+    tree = grown(rows, counts, (1.0, 1.5))
+    depth, want = plain(x, y, (1.0, 1.5))
+    new = np.concatenate([x, rng.permuted(x, axis=0)])
+    node = np.zeros(len(new), int)
+    while (inner := tree["feature"][node] >= 0).any():
+        node[inner] = np.where(new[inner, tree["feature"][node[inner]]] <= tree["threshold"][node[inner]], tree["left"][node[inner]], tree["right"][node[inner]])
+    assert tree["share"][node].tolist() == pytest.approx([want(r) for r in new], abs=1e-12)
