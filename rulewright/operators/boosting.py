@@ -39,7 +39,7 @@ BINS, BLOCK_ROWS, SNAPSHOT = 255, 50_000, 32
 #: Fewest and most blocks of a task, as far as the cores allow, and the bytes of sums that a task adds up, about. A task takes a tenth of a second to start.
 BLOCKS_OF_TASK, SUMS_OF_TASK = (4, 40), 16 << 20
 #: Bytes that a task holds of its rows through all rounds, and of a row besides its bins; bytes of a level's sums of all tasks, which each of them gets.
-HELD_BYTES, HELD_ROW, HELD_SUMS = 320 << 20, 80, 64 << 20
+HELD_BYTES, HELD_ROW, HELD_SUMS = 320 << 20, 150, 64 << 20
 
 BLOCK = "n int, bins binary, y binary, w binary, key binary, margin binary"
 #: A block with what its round reads: bins (feature by feature), gradients and second derivatives of the m drawn rows.
